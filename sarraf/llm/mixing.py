@@ -2,7 +2,8 @@
 
 Each document should appear target / source_size times. The whole part is fixed; the fractions of a source's
 documents are paired, and words are moved at random between the two of a pair until one fraction is 0 or 1, so
-expectations hold and the words taken never drift. Every bucket leaves one open fraction a source; these meet in
+expectations hold and the words taken never drift. In a bucket the larger partner comes first, and the other is
+the bundle of all smaller documents, so that what stays open is short. Every bucket leaves one open fraction a source; these meet in
 a reduction tree over ever fewer buckets, and the last one of a source is rounded by its own chance.
 
 Defined cases: null source is a source of its own, last in order; null or blank text has size 0 and takes 0;
@@ -41,69 +42,91 @@ def targets(sizes: DataFrame) -> DataFrame:
     return sources.select("source", "source_size", "n_rows", target.alias("target"))
 
 
-def _pivot(rows: pd.DataFrame, last: bool) -> pd.DataFrame:
+class _Rounding:
+    """Closes the fractions p of one source's rows in a bucket; closed: (row, 0 or 1, how many of its equal rows)."""
+
+    def __init__(self, size: list[int], p: list[float], n: list[int], draw):
+        self.size, self.p, self.draw, self.closed, self.open = size, p, draw, [], []
+        for i, count in enumerate(n):
+            if size[i] == 0:
+                self.close(i, 0, count)  # no words either way
+            elif count > 1:  # equal rows among themselves: whole sums close, one fraction stays
+                whole = int(count * p[i] + 1e-9)
+                p[i] = max(0.0, count * p[i] - whole)
+                self.close(i, 1, whole)
+                self.close(i, 0, count - whole - 1)
+                if whole < count:
+                    self.keep(i)
+            else:
+                self.keep(i)
+
+    def close(self, i: int, copies: int, count: int = 1) -> None:
+        if count:
+            self.closed.append((i, copies, count))
+
+    def keep(self, i: int) -> None:
+        """Leaves a row open if its fraction is one."""
+        if self.p[i] <= 1e-9 or self.p[i] >= 1 - 1e-9:
+            self.close(i, int(self.p[i] > 0.5))
+        else:
+            self.open.append(i)
+
+    def bundle(self) -> None:
+        """Largest first, pairs each row with the bundle of all smaller ones, which share one fraction.
+
+        So long texts are settled while the bundle can take their words, and what stays open is short.
+        """
+        rows, self.open = sorted(self.open, key=lambda i: -self.size[i]), []
+        share, rest = self.p[rows[0]] if rows else 0.0, sum(self.size[i] for i in rows)
+        for at, i in enumerate(rows):
+            z = self.size[i]
+            rest -= z
+            up, down = min((1 - share) * z, share * rest), min(share * z, (1 - share) * rest)
+            move = up if self.draw() * (up + down) < down else -down
+            self.p[i] = share + move / z
+            share = share - move / rest if rest else 0.0
+            self.keep(i)
+            if self.open:  # the bundle closed instead
+                for j in rows[at + 1 :]:
+                    self.close(j, int(share > 0.5))
+                return
+
+    def pairs(self) -> None:
+        """Pairs open rows until one is left."""
+        while len(self.open) > 1:
+            a, b = self.open.pop(), self.open.pop()
+            up, down = min((1 - self.p[a]) * self.size[a], self.p[b] * self.size[b]), min(self.p[a] * self.size[a], (1 - self.p[b]) * self.size[b])
+            move = up if self.draw() * (up + down) < down else -down
+            self.p[a] += move / self.size[a]
+            self.p[b] -= move / self.size[b]
+            self.keep(b)
+            self.keep(a)
+
+
+def _pivot(rows: pd.DataFrame, leaf: bool, last: bool) -> pd.DataFrame:
     """Rounds the open fractions of one bucket; a source keeps one open row unless this is the last level."""
     rows = rows.sort_values(["source_hash", "key", "doc_id", "n"], kind="stable").reset_index(drop=True)
-    out, open_row = [], None
     rng = np.random.Generator(np.random.PCG64([int(rows["key"].iloc[0]) & (2**63 - 1), len(rows)]))
-    draws = rng.random(2 * len(rows) + 2)
-    p, z, of, n, used = rows["p"].tolist(), rows["size"].tolist(), rows["source_hash"].tolist(), rows["n"].tolist(), 0
-
-    def close(i: int, up: float, count: int = 1) -> None:
-        if count:
-            out.append((i, int(up), 0.0, count))
-
-    def leave(i: int | None) -> None:
-        nonlocal used
-        if i is not None:
-            if last:
-                close(i, draws[used] < p[i])
-                used += 1
-            else:
-                out.append((i, -1, p[i], 1))
-
-    for i in range(len(rows)):
-        if open_row is not None and of[open_row] != of[i]:
-            leave(open_row)
-            open_row = None
-        if z[i] == 0:
-            close(i, 0, n[i])
-            continue
-        if n[i] > 1:  # equal rows among themselves: whole sums close, one fraction stays
-            whole = int(n[i] * p[i] + 1e-9)
-            p[i] = max(0.0, n[i] * p[i] - whole)
-            close(i, 1, whole)
-            close(i, 0, n[i] - whole - 1)
-            if whole == n[i]:
-                continue
-        if p[i] <= 1e-12 or p[i] >= 1 - 1e-12:
-            close(i, p[i] > 0.5)
-            continue
-        if open_row is None:
-            open_row = i
-            continue
-        a, b = open_row, i
-        up, down = min((1 - p[a]) * z[a], p[b] * z[b]), min(p[a] * z[a], (1 - p[b]) * z[b])
-        move = up if draws[used] * (up + down) < down else -down
-        used += 1
-        ends = []
-        for k, by in ((a, move), (b, -move)):
-            mass = p[k] * z[k] + by
-            p[k] = 0.0 if mass <= 1e-9 * z[k] else 1.0 if mass >= (1 - 1e-9) * z[k] else mass / z[k]
-            if p[k] in (0.0, 1.0):
-                close(k, p[k])
-            else:
-                ends.append(k)
-        open_row = ends[0] if ends else None
-    leave(open_row)
-    at = [x[0] for x in out]
-    done = rows.iloc[at][["doc_id", "source_hash", "key", "size", "whole", "bucket"]].reset_index(drop=True)
+    out, source = [], rows["source_hash"].to_numpy()
+    cuts = np.flatnonzero(np.r_[True, source[1:] != source[:-1]])
+    for lo, hi in zip(cuts, [*cuts[1:], len(rows)], strict=True):
+        part = rows.iloc[lo:hi]
+        r = _Rounding(part["size"].tolist(), part["p"].tolist(), part["n"].tolist(), rng.random)
+        if leaf and not (part["n"] > 1).any():
+            r.bundle()
+        r.pairs()
+        if last:
+            for i in r.open:
+                r.close(i, int(rng.random() < r.p[i]))
+            r.open = []
+        out += [(lo + i, copies, 0.0, n) for i, copies, n in r.closed] + [(lo + i, -1, r.p[i], 1) for i in r.open]
+    done = rows.iloc[[x[0] for x in out]][["doc_id", "source_hash", "key", "size", "whole", "bucket"]].reset_index(drop=True)
     done["extra"], done["p"], done["n"] = [x[1] for x in out], [x[2] for x in out], [x[3] for x in out]
     return done
 
 
-def _level(last: bool):
-    return lambda rows: _pivot(rows, last)
+def _level(leaf: bool, last: bool):
+    return lambda rows: _pivot(rows, leaf, last)
 
 
 _STATE = "doc_id long, source_hash long, key long, size long, whole int, bucket long, extra int, p double, n long"
@@ -126,7 +149,7 @@ def copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     done = None
     while True:
         last = buckets == 1
-        level = common.materialize(now.groupBy("bucket").applyInPandas(_level(last), _STATE))
+        level = common.materialize(now.groupBy("bucket").applyInPandas(_level(done is None, last), _STATE))
         closed = level.filter("extra >= 0")
         done = closed if done is None else done.unionByName(closed)
         if last:
