@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 #: Tenge for one unit of a currency.
 RATES = {"KZT": 1.0, "USD": 475.50, "EUR": 520.30, "RUB": 5.20, "CNY": 66.00}
-ZERO = F.lit(0).cast("decimal(18,2)")
 
 
 def number(c: Column) -> Column:

@@ -11,7 +11,7 @@ from . import text
 from .text import any_of, norm_text
 
 
-def counterparty_key(iin: Column, account: Column, name: Column, order: str = "name", strict_ids: bool = True) -> Column:
+def counterparty_key(iin: Column, account: Column, name: Column, order: str = "name", strict_ids: bool = False) -> Column:
     """Key of a party. order "name": id, name, account; "account": id, account, name; "fraud": digits of the id, then account, name.
 
     The fraud order takes the all-zero id for an id unless strict_ids is set.

@@ -13,9 +13,15 @@ from pyspark.sql import functions as F
 
 from ..functions import parties, text
 from ..functions.numbers import delta_percent
-from .filters import CATEGORY, EFFECTIVE, cash
+from .filters import cash, category_of, effective
 
-CREDIT, DEBIT = F.col("amount_credit"), F.col("amount_debit")
+
+def credit() -> Column:
+    return F.col("amount_credit")
+
+
+def debit() -> Column:
+    return F.col("amount_debit")
 
 
 def money(c: Column | str) -> Column:
@@ -25,17 +31,17 @@ def money(c: Column | str) -> Column:
 
 def time_series(df: DataFrame, period: str = "month") -> DataFrame:
     form = {"year": "yyyy", "month": "yyyy-MM", "day": "yyyy-MM-dd"}[period]
-    out = df.withColumn("bucket", F.date_format(EFFECTIVE, form)).filter("bucket is not null").groupBy("bucket").agg(money(CREDIT).alias("credit"), money(DEBIT).alias("debit"))
+    out = df.withColumn("bucket", F.date_format(effective(), form)).filter("bucket is not null").groupBy("bucket").agg(money(credit()).alias("credit"), money(debit()).alias("debit"))
     label = {"year": F.col("bucket"), "month": text.month_label(F.to_date("bucket", "yyyy-MM")), "day": F.date_format(F.to_date("bucket"), "dd.MM.yyyy")}[period]
     return out.select(label.alias("label"), "bucket", "credit", "debit").orderBy("bucket")
 
 
 def summary(df: DataFrame) -> DataFrame:
-    return df.agg(money(CREDIT).alias("total_credit"), money(DEBIT).alias("total_debit"), money(CREDIT + DEBIT).alias("total_turnover"), F.count("*").alias("total_transactions"), F.min(EFFECTIVE).alias("period_from"), F.max(EFFECTIVE).alias("period_to"))
+    return df.agg(money(credit()).alias("total_credit"), money(debit()).alias("total_debit"), money(credit() + debit()).alias("total_turnover"), F.count("*").alias("total_transactions"), F.min(effective()).alias("period_from"), F.max(effective()).alias("period_to"))
 
 
 def within(start: date, end: date) -> Column:
-    return F.coalesce((EFFECTIVE >= F.lit(start)) & (EFFECTIVE < F.lit(end + timedelta(1))), F.lit(False))
+    return F.coalesce((effective() >= F.lit(start)) & (effective() < F.lit(end + timedelta(1))), F.lit(False))
 
 
 def sides(df: DataFrame) -> DataFrame:
@@ -62,14 +68,14 @@ def compare_periods(df: DataFrame, a: tuple[date, date], b: tuple[date, date]) -
     """Four metrics of two periods in one pass: turnover in and out, payments, parties."""
     in_a, in_b = within(*a), within(*b)
     part = sides(df.filter(in_a | in_b)).withColumn("key", key("account")).withColumn("in_a", in_a).withColumn("in_b", in_b).withColumn("once", F.col("side") == "payer")
-    values = part.agg(*(x.alias(f"{m}_{p}") for p, f in (("a", F.col("in_a")), ("b", F.col("in_b"))) for m, x in (("credit", money(F.when(f & F.col("once"), CREDIT))), ("debit", money(F.when(f & F.col("once"), DEBIT))), ("count", F.count_if(f & F.col("once")).cast("double")), ("parties", F.count_distinct(F.when(f, F.col("key"))).cast("double")))))
+    values = part.agg(*(x.alias(f"{m}_{p}") for p, f in (("a", F.col("in_a")), ("b", F.col("in_b"))) for m, x in (("credit", money(F.when(f & F.col("once"), credit()))), ("debit", money(F.when(f & F.col("once"), debit()))), ("count", F.count_if(f & F.col("once")).cast("double")), ("parties", F.count_distinct(F.when(f, F.col("key"))).cast("double")))))
     rows = F.array(*(F.struct(F.lit(m).alias("label"), F.col(f"{m}_a").alias("value_a"), F.col(f"{m}_b").alias("value_b")) for m in ("credit", "debit", "count", "parties")))
     return values.select(F.explode(rows).alias("r")).select("r.*").withColumn("absolute", F.round(F.col("value_b") - F.col("value_a"), 2)).withColumn("percent", delta_percent(F.col("value_a"), F.col("value_b")))
 
 
 def compare_categories(df: DataFrame, a: tuple[date, date], b: tuple[date, date], limit: int = 10) -> DataFrame:
     in_a, in_b = within(*a), within(*b)
-    out = df.filter(in_a | in_b).groupBy(CATEGORY.alias("category")).agg(*(x for p, f in (("a", in_a), ("b", in_b)) for x in (money(F.when(f, CREDIT + DEBIT)).alias(f"value_{p}"), F.count_if(f).alias(f"transaction_count_{p}"))))
+    out = df.filter(in_a | in_b).groupBy(category_of().alias("category")).agg(*(x for p, f in (("a", in_a), ("b", in_b)) for x in (money(F.when(f, credit() + debit())).alias(f"value_{p}"), F.count_if(f).alias(f"transaction_count_{p}"))))
     out = out.withColumn("delta", F.round(F.col("value_b") - F.col("value_a"), 2)).withColumn("delta_percent", delta_percent(F.col("value_a"), F.col("value_b")))
     return out.orderBy(F.abs("delta").desc(), F.desc("value_b"), F.desc("value_a"), "category").limit(limit)
 
@@ -89,7 +95,7 @@ def compare_anomalies(metrics: DataFrame, categories: DataFrame) -> DataFrame:
 
 def top_expenses(df: DataFrame, kind: str = "debit", limit: int = 10) -> DataFrame:
     """Parties by amount: receivers of credits or payers of debits. Spellings merge before the limit."""
-    side, amount = ("receiver", CREDIT) if kind == "credit" else ("payer", DEBIT)
+    side, amount = ("receiver", credit()) if kind == "credit" else ("payer", debit())
     part = df.filter(amount > 0).select(F.col(f"{side}_name").alias("name"), F.col(f"{side}_iin_bin").alias("iin_bin"), F.col(f"{side}_account").alias("account"), amount.alias("amount"))
     groups = part.withColumn("key", key("name")).filter("key is not null").groupBy("key").agg(*party_columns(), money("amount").alias("amount"), F.count("*").alias("transaction_count"))
     total = part.agg(money("amount").alias("_total"))  # one row
@@ -99,7 +105,7 @@ def top_expenses(df: DataFrame, kind: str = "debit", limit: int = 10) -> DataFra
 
 def party_totals(df: DataFrame, order: str) -> DataFrame:
     return sides(df).withColumn("key", key(order)).filter("key is not null").groupBy("key").agg(
-        *party_columns(), money(F.when(F.col("side") == "receiver", CREDIT)).alias("total_credit"), money(F.when(F.col("side") == "payer", DEBIT)).alias("total_debit"), money(CREDIT + DEBIT).alias("total_turnover"), F.count("*").alias("transaction_count")
+        *party_columns(), money(F.when(F.col("side") == "receiver", credit())).alias("total_credit"), money(F.when(F.col("side") == "payer", debit())).alias("total_debit"), money(credit() + debit()).alias("total_turnover"), F.count("*").alias("transaction_count")
     )
 
 
@@ -110,19 +116,19 @@ def top_counterparties(df: DataFrame, limit: int = 20) -> DataFrame:
 def counterparty_search(df: DataFrame, query: str, limit: int = 20) -> DataFrame:
     match = text.any_of(text.text_match(F.col("name"), query), F.col("iin_bin").contains(query), text.norm_account(F.col("account")).contains(text.norm_account(F.lit(query))))
     part = sides(df).filter(match).withColumn("key", key("account")).filter("key is not null")
-    out = part.groupBy("key").agg(*party_columns(), money(CREDIT + DEBIT).alias("total_turnover"), F.count("*").alias("transaction_count"))
+    out = part.groupBy("key").agg(*party_columns(), money(credit() + debit()).alias("total_turnover"), F.count("*").alias("transaction_count"))
     return out.orderBy(F.desc("total_turnover"), F.desc("transaction_count"), "key").limit(limit)
 
 
 def category_summary(df: DataFrame, limit: int = 50) -> DataFrame:
-    out = df.groupBy(CATEGORY.alias("category")).agg(F.count("*").alias("transaction_count"), money(CREDIT + DEBIT).alias("total_turnover"), money(DEBIT).alias("total_debit"), money(CREDIT).alias("total_credit"))
+    out = df.groupBy(category_of().alias("category")).agg(F.count("*").alias("transaction_count"), money(credit() + debit()).alias("total_turnover"), money(debit()).alias("total_debit"), money(credit()).alias("total_credit"))
     return out.orderBy(F.desc("total_turnover"), "category").limit(limit)
 
 
 def cash_top(df: DataFrame, kind: str = "withdrawal", limit: int = 10) -> DataFrame:
     """Parties that take or bring cash, with their share of all such payments and the last date."""
-    side, amount = ("payer", DEBIT) if kind == "withdrawal" else ("receiver", CREDIT)
-    part = df.filter(cash(kind) & (amount > 0)).select(F.col(f"{side}_name").alias("name"), F.col(f"{side}_iin_bin").alias("iin_bin"), F.col(f"{side}_account").alias("account"), amount.alias("amount"), EFFECTIVE.alias("ts"))
+    side, amount = ("payer", debit()) if kind == "withdrawal" else ("receiver", credit())
+    part = df.filter(cash(kind) & (amount > 0)).select(F.col(f"{side}_name").alias("name"), F.col(f"{side}_iin_bin").alias("iin_bin"), F.col(f"{side}_account").alias("account"), amount.alias("amount"), effective().alias("ts"))
     total = part.agg(money("amount").alias("_total"))
     groups = part.withColumn("key", key("name")).filter("key is not null").groupBy("key").agg(*party_columns(), money("amount").alias("amount"), F.count("*").alias("transaction_count"), F.max("ts").alias("last_transaction_date"))
     share = F.round(F.when(F.col("_total") > 0, F.col("amount") / F.col("_total") * 100).otherwise(0.0), 2)
@@ -130,14 +136,14 @@ def cash_top(df: DataFrame, kind: str = "withdrawal", limit: int = 10) -> DataFr
 
 
 def list_totals(df: DataFrame) -> DataFrame:
-    return df.agg(F.count("*").alias("total"), money(DEBIT).alias("total_debit"), money(CREDIT).alias("total_credit"))
+    return df.agg(F.count("*").alias("total"), money(debit()).alias("total_debit"), money(credit()).alias("total_credit"))
 
 
 DETAIL = ["tx_id", "date", "sender_name", "recipient_name", "purpose_text", "currency", "debit", "credit", "amount_kzt"]
 
 
 def detail(df: DataFrame) -> DataFrame:
-    return df.select("tx_id", EFFECTIVE.alias("date"), text.display_name(F.col("payer_name"), F.col("payer_account")).alias("sender_name"), text.display_name(F.col("receiver_name"), F.col("receiver_account")).alias("recipient_name"), "purpose_text", "currency", DEBIT.cast("double").alias("debit"), CREDIT.cast("double").alias("credit"), F.col("amount_kzt").cast("double").alias("amount_kzt"))
+    return df.select("tx_id", effective().alias("date"), text.display_name(F.col("payer_name"), F.col("payer_account")).alias("sender_name"), text.display_name(F.col("receiver_name"), F.col("receiver_account")).alias("recipient_name"), "purpose_text", "currency", debit().cast("double").alias("debit"), credit().cast("double").alias("credit"), F.col("amount_kzt").cast("double").alias("amount_kzt"))
 
 
 def newest(df: DataFrame, limit: int) -> DataFrame:
@@ -171,10 +177,10 @@ def sort_keys(by: str, descending: bool = True) -> list[Column]:
     """Sort of the ledger list: the chosen key (texts in lower case), then newest, then id."""
     lower = lambda c: F.lower(F.coalesce(c, F.lit("")))
     keys = {
-        "date": [EFFECTIVE], "debit": [DEBIT], "credit": [CREDIT], "amount": [F.col("amount_kzt")], "category": [lower(CATEGORY)], "type": [lower(F.col("operation_type_raw"))], "purpose": [lower(F.col("purpose_text"))],
+        "date": [effective()], "debit": [debit()], "credit": [credit()], "amount": [F.col("amount_kzt")], "category": [lower(category_of())], "type": [lower(F.col("operation_type_raw"))], "purpose": [lower(F.col("purpose_text"))],
         "sender": [lower(F.col("payer_name"))], "recipient": [lower(F.col("receiver_name"))], "currency": [F.when(F.col("currency") == "KZT", 0).otherwise(1), lower(F.col("currency"))], "uploader": [lower(F.col("uploaded_by_email"))] if by == "uploader" else [],
     }[by]
-    return [k.desc_nulls_last() if descending else k.asc_nulls_last() for k in keys] + [EFFECTIVE.desc_nulls_last(), F.desc("tx_id")]
+    return [k.desc_nulls_last() if descending else k.asc_nulls_last() for k in keys] + [effective().desc_nulls_last(), F.desc("tx_id")]
 
 
 def page(df: DataFrame, number: int, size: int, keys: list[Column]) -> DataFrame:

@@ -93,7 +93,7 @@ def tag_questions(df: DataFrame, text: str = "question") -> DataFrame:
 
 def token_set_ratio(a: Column, b: Column) -> Column:
     """0 to 100: 100 if one word set holds the other, else by edit distance of the sorted words. An approximation of the usual measure."""
-    words = lambda c: F.array_sort(F.array_distinct(F.split(F.regexp_replace(c, r"[^\p{L}\p{N}]+", " "), " ")))
+    words = lambda c: F.array_sort(F.array_distinct(F.filter(F.split(F.regexp_replace(c, r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")))
     x, y = words(F.trim(a)), words(F.trim(b))
     both = F.array_intersect(x, y)
     sx, sy = F.array_join(x, " "), F.array_join(y, " ")

@@ -11,8 +11,14 @@ from ..functions.dates import effective_ts
 from ..functions.numbers import debit_amount, number
 from ..functions.text import any_of, derived_category, norm_account, norm_iin, norm_name, text_match
 
-EFFECTIVE = effective_ts(F.col("operation_ts"), F.col("operation_date"))
-CATEGORY = derived_category(F.col("transaction_category"), F.col("sdp_name"), F.col("purpose_text"), F.col("operation_type_raw"), F.col("direction"))
+
+def effective() -> Column:
+    """When a payment happened."""
+    return effective_ts(F.col("operation_ts"), F.col("operation_date"))
+
+
+def category_of() -> Column:
+    return derived_category(F.col("transaction_category"), F.col("sdp_name"), F.col("purpose_text"), F.col("operation_type_raw"), F.col("direction"))
 
 
 def scoped(df: DataFrame, project_id: str | None) -> DataFrame:
@@ -39,11 +45,11 @@ def apply_filters(
     if on:
         df = df.filter(((F.col("operation_ts") >= F.lit(on)) & (F.col("operation_ts") < F.lit(on + timedelta(1)))) | (F.col("operation_date") == F.lit(on)))
     if date_from:
-        df = df.filter(EFFECTIVE >= F.lit(date_from))
+        df = df.filter(effective() >= F.lit(date_from))
     if date_to:
-        df = df.filter(EFFECTIVE < F.lit(date_to + timedelta(1)))
+        df = df.filter(effective() < F.lit(date_to + timedelta(1)))
     if category:
-        df = df.filter(CATEGORY == category)
+        df = df.filter(category_of() == category)
     if search:
         df = df.filter(any_of(*(text_match(F.col(c), search) for c in ("purpose_text", "payer_name", "receiver_name", "payer_account", "receiver_account", "operation_type_raw"))))
     if min_amount is not None:

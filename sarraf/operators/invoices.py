@@ -9,8 +9,13 @@ from ..functions import text
 from ..functions.numbers import invoice_amount
 from .analytics import money
 
-AMOUNT = invoice_amount(*(F.col(c) for c in ("total_amount", "cost_with_indirect_tax", "turnover_amount", "cost_without_indirect_tax")))
-EFFECTIVE = F.coalesce("turnover_date", "issue_date")
+
+def amount_of() -> Column:
+    return invoice_amount(*(F.col(c) for c in ("total_amount", "cost_with_indirect_tax", "turnover_amount", "cost_without_indirect_tax")))
+
+
+def effective() -> Column:
+    return F.coalesce("turnover_date", "issue_date")
 
 
 def invoice_totals(df: DataFrame) -> DataFrame:
@@ -61,7 +66,7 @@ def reconcile(ledger: DataFrame, invoices: DataFrame, amount: str = "amount_kzt"
     joined by equality; a pair that shares several tokens counts once.
     """
     paid = ledger.select("project_id", "tx_id", F.col(amount).alias("paid"), F.explode(tokens("purpose_text", "raw_note")).alias("token"))
-    due = invoices.select("project_id", "registration_number", AMOUNT.alias("due"), F.explode(F.array_distinct(F.array_compact(F.array(plain_token("registration_number"), plain_token("contract_number"))))).alias("token"))
+    due = invoices.select("project_id", "registration_number", amount_of().alias("due"), F.explode(F.array_distinct(F.array_compact(F.array(plain_token("registration_number"), plain_token("contract_number"))))).alias("token"))
     pairs = due.join(paid, ["project_id", "token"]).dropDuplicates(["project_id", "registration_number", "tx_id"])
     out = pairs.groupBy("project_id", "registration_number").agg(F.max("due").cast("double").alias("invoice_total"), money("paid").alias("paid_total"), F.count("*").alias("payments"))
     return out.withColumn("difference", F.round(F.col("paid_total") - F.col("invoice_total"), 2)).filter(F.abs("difference") >= tolerance)
@@ -70,9 +75,9 @@ def reconcile(ledger: DataFrame, invoices: DataFrame, amount: str = "amount_kzt"
 def invoice_shadow(invoices: DataFrame, ledger: DataFrame) -> DataFrame:
     """Invoices that the ledger lacks, as ledger rows: the supplier pays, purchases are debits and sales credits."""
     known = ledger.select("project_id", "row_hash")
-    amount, buys = AMOUNT, F.col("esf_direction") == "purchase"
+    amount, buys = amount_of(), F.col("esf_direction") == "purchase"
     return invoices.join(known, ["project_id", "row_hash"], "left_anti").select(
-        F.concat(F.lit("esf-"), "registration_number").alias("tx_id"), "project_id", "row_hash", F.lit("esf").alias("source_bank"), EFFECTIVE.alias("operation_ts"), F.coalesce("currency_code", F.lit("KZT")).alias("currency"), amount.alias("amount_kzt"),
+        F.concat(F.lit("esf-"), "registration_number").alias("tx_id"), "project_id", "row_hash", F.lit("esf").alias("source_bank"), effective().alias("operation_ts"), F.coalesce("currency_code", F.lit("KZT")).alias("currency"), amount.alias("amount_kzt"),
         F.when(buys, amount).otherwise(0).alias("amount_debit"), F.when(buys, 0).otherwise(amount).alias("amount_credit"), F.when(buys, "debit").otherwise("credit").alias("direction"), F.col("tru_name").alias("purpose_text"),
         *(F.col(f"{a}_{c}").alias(f"{b}_{c}") for a, b in (("supplier", "payer"), ("buyer", "receiver")) for c in ("name", "iin_bin")),
     )
@@ -84,4 +89,4 @@ INVOICE_SORT = ["registration_number", "esf_status", "issue_date", "turnover_dat
 def invoice_sort(by: str, descending: bool = True) -> list[Column]:
     if by not in INVOICE_SORT:
         raise ValueError(f"no sort by {by}")
-    return [F.col(by).desc_nulls_last() if descending else F.col(by).asc_nulls_last(), EFFECTIVE.desc_nulls_last(), F.asc("registration_number")]
+    return [F.col(by).desc_nulls_last() if descending else F.col(by).asc_nulls_last(), effective().desc_nulls_last(), F.asc("registration_number")]

@@ -69,7 +69,7 @@ def query(sql: str | None = None):
 def b_party_keys(spark, d):
     x = ledger(spark, d)
     k = lambda order: parties.counterparty_key(F.col("payer_iin_bin"), F.col("payer_account"), F.col("payer_name"), order)
-    return x.select("tx_id", text.display_name(F.col("payer_name"), F.col("payer_account")).alias("sender"), k("name").alias("key_name"), k("account").alias("key_account"), k("fraud").alias("key_fraud"), filters.CATEGORY.alias("category"), filters.EFFECTIVE.alias("effective_ts"))
+    return x.select("tx_id", text.display_name(F.col("payer_name"), F.col("payer_account")).alias("sender"), k("name").alias("key_name"), k("account").alias("key_account"), k("fraud").alias("key_fraud"), filters.category_of().alias("category"), filters.effective().alias("effective_ts"))
 
 
 @query(f"""{_L} SELECT tx_id, CAST(round(round(CASE WHEN amount_kzt > 0 THEN CAST(amount_kzt AS DOUBLE) WHEN amount_currency > 0 THEN CAST(amount_currency AS DOUBLE) * CASE currency WHEN 'USD' THEN CAST(475.5 AS DOUBLE) WHEN 'EUR' THEN CAST(520.3 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END ELSE CAST(0 AS DOUBLE) END, 2), 0) AS BIGINT) AS kzt_units,
@@ -100,7 +100,7 @@ def b_purpose_text(spark, d):
   AND amount_kzt >= 1000 AND currency = 'KZT' AND contains(lower(purpose_text), 'перевод')""")
 def c_filtered_ledger(spark, d):
     out = filters.list_filter(filters.meaningful(ledger(spark, d)), project_id="ASIA", date_from=A_YEAR[0], date_to=B_YEAR[1], search="перевод", min_amount=1000, currency="KZT")
-    return out.select("tx_id", F.col("amount_kzt").cast("double").alias("amount_kzt"), filters.EFFECTIVE.alias("ts"))
+    return out.select("tx_id", F.col("amount_kzt").cast("double").alias("amount_kzt"), filters.effective().alias("ts"))
 
 
 # --- E: aggregations ---------------------------------------------------------------------------------------

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import display_name, norm_text
-from ..operators.filters import CATEGORY, EFFECTIVE
+from ..operators.filters import category_of, effective
 
 KEY = ["project_id", "row_hash"]
 #: The columns that a replayed row may renew.
@@ -69,11 +69,11 @@ def discovery_log(df: DataFrame, unmapped: list[str], file_id: str = "file_id",
 
 def export_ledger(df: DataFrame) -> DataFrame:
     """Fifteen labelled columns, newest first."""
-    day = F.date_format(EFFECTIVE, "dd.MM.yyyy HH:mm")
-    out = df.orderBy(EFFECTIVE.desc_nulls_last(), F.desc("tx_id"))
+    day = F.date_format(effective(), "dd.MM.yyyy HH:mm")
+    out = df.orderBy(effective().desc_nulls_last(), F.desc("tx_id"))
     return out.select(
         day.alias("Дата"), display_name(F.col("payer_name"), F.col("payer_account")).alias("Отправитель"), F.col("payer_iin_bin").alias("ИИН/БИН отправителя"), F.col("payer_account").alias("Счёт отправителя"),
-        display_name(F.col("receiver_name"), F.col("receiver_account")).alias("Получатель"), F.col("receiver_iin_bin").alias("ИИН/БИН получателя"), F.col("receiver_account").alias("Счёт получателя"), CATEGORY.alias("Категория"),
+        display_name(F.col("receiver_name"), F.col("receiver_account")).alias("Получатель"), F.col("receiver_iin_bin").alias("ИИН/БИН получателя"), F.col("receiver_account").alias("Счёт получателя"), category_of().alias("Категория"),
         F.col("operation_type_raw").alias("Тип операции"), F.col("purpose_text").alias("Назначение"), F.col("currency").alias("Валюта"), F.col("amount_debit").alias("Дебет"), F.col("amount_credit").alias("Кредит"), F.col("amount_kzt").alias("Сумма в тенге"), F.col("source_bank").alias("Банк"),
     )
 
