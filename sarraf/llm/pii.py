@@ -46,6 +46,10 @@ DECOYS = re.compile(r"\b(?:isbn|issn|order|invoice|version|ver|release|build|sku
 LABELERS = ("exact", "cue", "decoy", "edges", "shape")
 
 
+#: Log-odds from which estimation starts: without votes, and by labeler for votes p, n, -.
+START = (-0.5, np.array([[3.0, 0.0, 0.0], [1.5, 0.0, 0.0], [0.0, -3.0, 0.0], [0.0, -1.0, 0.0], [0.0, -1.0, 0.0]]))
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -113,7 +117,8 @@ def _find(batches):
 def estimate(patterns: list[tuple[str, int]], rounds: int = 50) -> tuple[dict[str, float], np.ndarray]:
     """Chance of personal data for each vote pattern, and each labeler's shares of votes p, n, - on data and on other spans.
 
-    Two-class expectation-maximisation with smoothed counts; it starts from the majority of votes.
+    Two-class expectation-maximisation with smoothed counts. It starts from START's weights of votes: edges and
+    shape can only speak against a candidate.
     """
     if not patterns:
         return {}, np.full((2, len(LABELERS), 3), 1 / 3)
@@ -121,7 +126,7 @@ def estimate(patterns: list[tuple[str, int]], rounds: int = 50) -> tuple[dict[st
     n = np.array([c for _, c in patterns], float)
     v = np.array([["pn-".index(c) for c in x] for x in names])
     one = np.eye(3)[v]
-    chance = 1 / (1 + np.exp(-2.0 * ((v == 0).sum(1) - 1.5 * (v == 1).sum(1))))
+    chance = 1 / (1 + np.exp(-(START[0] + sum(START[1][k][v[:, k]] for k in range(len(LABELERS))))))
     # Priors on right votes keep the classes from trading places.
     prior = np.array([[[4.0, 1.0, 2.0]] * len(LABELERS), [[1.0, 4.0, 2.0]] * len(LABELERS)])
     for _ in range(rounds):
