@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 from . import common
 
 LEAST = 0.95
-OVERLAP, SHARD, SAMPLE = 2, 1024, 20_000
+OVERLAP, SHARD, SAMPLE = 3, 1024, 20_000
+#: Centroids this near to a larger one are dropped.
+APART = 0.7
 DEGREE, CANDIDATES, ALPHA, BEAM, MEDOIDS = 16, 48, 1.2, 32, 8
 
 
@@ -63,7 +65,11 @@ def centroids(nodes: DataFrame, dim: int) -> np.ndarray:
         np.add.at(sums, of, x)
         norm = np.sqrt((sums**2).sum(1, keepdims=True))
         c = np.where(norm > 1e-9, sums / np.maximum(norm, 1e-9), c)
-    return c
+    apart: list[int] = []
+    for i in np.argsort(-np.bincount((x @ c.T).argmax(1), minlength=k), kind="stable"):
+        if not apart or (c[apart] @ c[i]).max() < APART:  # else one dense group would be split over its own centroids
+            apart.append(int(i))
+    return c[apart]
 
 
 def _assign(held):
