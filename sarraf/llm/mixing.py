@@ -178,8 +178,7 @@ def mix(docs: DataFrame) -> DataFrame:
     """The mix itself: each document as often as its copies say, with the columns of the input."""
     rounded, _ = copies(docs)
     often = rounded.groupBy("doc_id", "key").agg(F.sum(F.col("copies") * F.col("n")).alias("_often"), F.sum("n").alias("_rows")).filter("_often > 0")
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text", "source"))
-    same = (F.col("_key") == F.col("key")) & keyed["doc_id"].eqNullSafe(often["doc_id"])
-    single = keyed.join(often.filter("_rows = 1"), same).select(*[keyed[c] for c in docs.columns], "_often")
-    equal = keyed.join(often.filter("_rows > 1"), same).dropDuplicates(["_key"]).select(*[keyed[c] for c in docs.columns], "_often")
-    return single.unionByName(equal).withColumn("_often", F.explode(F.expr("sequence(1L, _often)"))).drop("_often")
+    whole = docs.select(F.struct("*").alias("_doc"), F.col("doc_id").alias("_id"), F.xxhash64("doc_id", "text", "source").alias("_key"))
+    joined = whole.join(often, (F.col("_key") == F.col("key")) & F.col("_id").eqNullSafe(F.col("doc_id")))
+    one = joined.filter("_rows = 1").unionByName(joined.filter("_rows > 1").dropDuplicates(["_id", "_key"]))
+    return one.withColumn("_copy", F.explode(F.expr("sequence(1L, _often)"))).select("_doc.*")
