@@ -21,10 +21,16 @@ def first_match(c: Column, table: list[tuple[str, object]]) -> Column:
     return out
 
 
-def rule_of(purpose: Column, code: Column, op_type: Column) -> Column:
-    """Struct of rule_id, category, confidence and source: the first rule by priority, else OTHER for review."""
-    text = F.concat_ws(" | ", *(F.nullif(c, F.lit("")) for c in (clean_purpose(purpose), F.trim(F.coalesce(code, F.lit(""))), clean_purpose(op_type))))
-    raw = F.concat_ws(" | ", purpose, op_type)
+def rule_text(purpose: Column, code: Column, op_type: Column) -> Column:
+    """What the rules search: cleaned purpose, code and operation type."""
+    return F.concat_ws(" | ", *(F.nullif(c, F.lit("")) for c in (clean_purpose(purpose), F.trim(F.coalesce(code, F.lit(""))), clean_purpose(op_type))))
+
+
+def rule_of(text: Column, raw: Column) -> Column:
+    """Struct of rule_id, category, confidence and source: the first rule by priority, else OTHER for review.
+
+    text and raw are columns, not expressions: each of the patterns reads them.
+    """
 
     def result(rule_id: str, category: str, confidence: float, source: str, review: bool) -> Column:
         return F.struct(F.lit(category).alias("category"), F.lit(confidence).alias("confidence"), F.lit(source).alias("source"), F.lit(rule_id).alias("rule_id"), F.lit(review).alias("needs_review"))
@@ -40,7 +46,12 @@ NEW = {"transaction_category": "category", "category_confidence": "confidence",
 
 def classify_rules(df: DataFrame) -> DataFrame:
     code = F.col("purpose_code") if "purpose_code" in df.columns else F.lit("")
-    return df.withColumn("_r", rule_of(F.col("purpose_text"), code, F.col("operation_type_raw"))).withColumns({k: F.col(f"_r.{v}") for k, v in NEW.items()}).drop("_r")
+    return _with_rule(df, code).withColumns({k: F.col(f"_r.{v}") for k, v in NEW.items()}).drop("_r")
+
+
+def _with_rule(df: DataFrame, code: Column) -> DataFrame:
+    texts = {"_text": rule_text(F.col("purpose_text"), code, F.col("operation_type_raw")), "_raw": F.concat_ws(" | ", "purpose_text", "operation_type_raw")}
+    return df.withColumns(texts).withColumn("_r", rule_of(F.col("_text"), F.col("_raw"))).drop("_text", "_raw")
 
 
 def classify_vectors(df: DataFrame, label_vectors: DataFrame, accept: float = 0.35, review: float = 0.55) -> DataFrame:
@@ -54,8 +65,7 @@ def classify_vectors(df: DataFrame, label_vectors: DataFrame, accept: float = 0.
 def reclassify(df: DataFrame) -> DataFrame:
     """Runs the rules again where the category is missing or OTHER; other rows stay as they are."""
     again = F.col("transaction_category").isNull() | (F.col("transaction_category") == "OTHER") | (F.col("category_source") == "other")
-    new = rule_of(F.col("purpose_text"), F.lit(""), F.col("operation_type_raw"))
-    return df.withColumn("_a", F.coalesce(again, F.lit(True))).withColumn("_r", new).withColumns({k: F.when(F.col("_a"), F.col(f"_r.{v}")).otherwise(F.col(k)) for k, v in NEW.items()}).drop("_a", "_r")
+    return _with_rule(df.withColumn("_a", F.coalesce(again, F.lit(True))), F.lit("")).withColumns({k: F.when(F.col("_a"), F.col(f"_r.{v}")).otherwise(F.col(k)) for k, v in NEW.items()}).drop("_a", "_r")
 
 
 def source_counts(df: DataFrame) -> DataFrame:

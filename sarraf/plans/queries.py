@@ -72,13 +72,13 @@ def b_party_keys(spark, d):
     return x.select("tx_id", text.display_name(F.col("payer_name"), F.col("payer_account")).alias("sender"), k("name").alias("key_name"), k("account").alias("key_account"), k("fraud").alias("key_fraud"), filters.category_of().alias("category"), filters.effective().alias("effective_ts"))
 
 
-@query(f"""{_L} SELECT tx_id, CAST(round(round(CASE WHEN amount_kzt > 0 THEN CAST(amount_kzt AS DOUBLE) WHEN amount_currency > 0 THEN CAST(amount_currency AS DOUBLE) * CASE currency WHEN 'USD' THEN CAST(475.5 AS DOUBLE) WHEN 'EUR' THEN CAST(520.3 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END ELSE CAST(0 AS DOUBLE) END, 2), 0) AS BIGINT) AS kzt_units,
+@query(f"""{_L} SELECT tx_id, CAST(floor(CASE WHEN amount_kzt > 0 THEN CAST(amount_kzt AS DOUBLE) WHEN amount_currency > 0 THEN round(CAST(amount_currency AS DOUBLE) * CASE currency WHEN 'USD' THEN CAST(475.5 AS DOUBLE) WHEN 'EUR' THEN CAST(520.3 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END, 2) ELSE CAST(0 AS DOUBLE) END / 1000) AS BIGINT) AS kzt_thousands,
   CAST(amount_debit AS DOUBLE) AS debit, CASE WHEN operation_type_raw LIKE '%дебет%' THEN 'debit' WHEN purpose_text LIKE '%кредит%' THEN 'credit' WHEN lower(purpose_text) LIKE '%перевод card to card%' THEN 'debit'
   WHEN amount_debit <> 0 AND amount_credit = 0 THEN 'debit' WHEN amount_credit <> 0 AND amount_debit = 0 THEN 'credit' END AS derived FROM ledger""")
 def b_amounts_and_direction(spark, d):
     c = F.col
     kzt = numbers.resolve_amount_kzt(c("amount_kzt"), c("amount_currency"), c("amount_debit"), c("amount_credit"), c("currency"))
-    return ledger(spark, d).select("tx_id", F.round(kzt, 0).cast("long").alias("kzt_units"), numbers.number(c("amount_debit")).alias("debit"), parties.derive_direction(c("operation_type_raw"), c("purpose_text"), c("amount_debit"), c("amount_credit")).alias("derived"))
+    return ledger(spark, d).select("tx_id", F.floor(kzt / 1000).cast("long").alias("kzt_thousands"), numbers.number(c("amount_debit")).alias("debit"), parties.derive_direction(c("operation_type_raw"), c("purpose_text"), c("amount_debit"), c("amount_credit")).alias("derived"))
 
 
 @query()
