@@ -105,10 +105,9 @@ def components(edges: DataFrame) -> DataFrame:
         return out.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
     edges = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = None
     while True:
         edges = materialize(star(star(edges, True), False))
-        now = edges.agg(F.count("*"), F.expr("sum(cast(xxhash64(a, b) as decimal(38, 0)))")).first()
-        if now == mark:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
-        mark = now
+        # Done when all trees are stars: no node has two parents, or a parent and a child.
+        ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("x")).select("x.*")
+        if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or (up > 0 and down > 0)").isEmpty():
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("root")))
