@@ -7,9 +7,10 @@ at the first n-gram they share if the lengths that remain there still allow the
 verified hub by hub: the hub's partners form a trie of ordered n-grams that is walked depth first, partial
 overlaps of a shared path are counted once, and a subtree ends where remaining lengths cannot reach the overlap.
 
-Nodes of up to SMALL sets propose all their pairs. Larger nodes propose their least member against the rest;
-once those links are joined into components, a node that still holds several components proposes every pair
-across them, in blocks. So large groups of copies stay linear, and no link between components is lost.
+Nodes of up to SMALL sets propose all their pairs. Larger nodes propose their least member against the rest,
+then for HUBS turns another hub against those not yet in its component; at last a node that still holds several
+components proposes every pair across them, in blocks. So large groups of copies stay linear, and no link between
+components is lost. Parity maps of a bit a hash discard most proposed pairs before any set is sent.
 
 Defined cases: null and blank texts have no set and link with nothing; fewer than n words are one n-gram; equal
 rows and equal sets link; an empty table gives no rows; other columns are ignored.
@@ -29,6 +30,8 @@ from . import common
 
 N, NUM, DEN = 5, 80, 100
 SMALL, BLOCK = 32, 256
+#: Turns in which sets of a large node try another hub before all pairs across its components are tried.
+HUBS = 1
 #: Cells of the count sketch, and slices in which its parts are added up.
 CELLS, SLICES = 1 << 20, 16
 #: Rows of ids that may be broadcast; beyond, the join shuffles.
@@ -81,22 +84,39 @@ def needed(a, b):
     return -(-NUM * (a + b) // (DEN + NUM))
 
 
-_INFO = "doc_id long, n long, set_key long, slice int, cells binary"
+def parity(grams: np.ndarray) -> bytes:
+    """Each hash flips a bit of a map of at least as many bits: maps of two sets differ in at most as many bits as the sets in hashes."""
+    bits = max(64, 1 << (len(grams) - 1).bit_length()) if len(grams) else 64
+    return np.packbits(np.bincount((grams & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+_ONES = np.array([bin(i).count("1") for i in range(256)], np.int64)
+
+
+def may_link(a: bytes, na: int, b: bytes, nb: int) -> bool:
+    """False only if so many bits differ that the sets cannot link; a longer map is folded."""
+    x, y = (np.frombuffer(v, np.uint8) for v in (a, b))
+    while len(x) != len(y):
+        x, y = (x if len(x) < len(y) else np.bitwise_xor(x[: len(x) // 2], x[len(x) // 2 :])), (y if len(y) < len(x) else np.bitwise_xor(y[: len(y) // 2], y[len(y) // 2 :]))
+    return int(_ONES[x ^ y].sum()) <= na + nb - 2 * needed(na, nb)
+
+
+_INFO = "doc_id long, n long, set_key long, map binary, slice int, cells binary"
 
 
 def _inform(batches):
     """Size and name of each document's set; at the task's end, its part of the sketch."""
     count = np.zeros(CELLS, np.uint32)
     shift = np.uint64(64 - CELLS.bit_length() + 1)
-    names = ["doc_id", "n", "set_key", "slice", "cells"]
+    names = ["doc_id", "n", "set_key", "map", "slice", "cells"]
     for batch in batches:
         sets = shingles(*common.utf8(batch["text"]))
         if len(grams := np.concatenate(sets)) if sets else False:
             np.add.at(count, (grams >> shift).astype(np.int64), np.uint32(1))
-        yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.int64()), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.int64()), pa.array([parity(s) for s in sets], pa.binary()), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], names)
     if count.any():
         part = np.minimum(count, 65535).astype(np.uint16).reshape(SLICES, -1)
-        yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in part], pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in part], pa.binary())], names)
 
 
 def _add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,10 +220,11 @@ def _across(pdf: pd.DataFrame) -> pd.DataFrame:
     """Pairs across components in two blocks of one node, or within one block."""
     left, right = pdf[pdf["side"] == pdf["x"]], pdf[pdf["side"] == pdf["y"]]
     out = []
-    k, c, place = (right[x].to_numpy() for x in ("set_key", "root", "place"))
+    k, c, place, maps = (right[x].to_numpy() for x in ("set_key", "root", "place", "map"))
     n, at = place >> 32, place & 0xFFFFFFFF
-    for key, root, p in zip(left["set_key"], left["root"], left["place"], strict=True):
-        ok = (c != root) & (k != key) & _fits(p >> 32, p & 0xFFFFFFFF, n, at)
+    for key, root, p, bits in zip(left["set_key"], left["root"], left["place"], left["map"], strict=True):
+        ok = np.flatnonzero((c != root) & (k != key) & _fits(p >> 32, p & 0xFFFFFFFF, n, at))
+        ok = ok[[may_link(bits, p >> 32, maps[i], int(n[i])) for i in ok]] if len(ok) else ok
         out.append(np.stack([np.minimum(k[ok], key), np.maximum(k[ok], key)], 1))
     pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
     return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]}).astype("int64")
@@ -264,47 +285,74 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
 
 
+def _maybe(batches):
+    """The pairs whose parity maps allow a link."""
+    for batch in batches:
+        cols = [batch[c].to_pylist() for c in ("map_a", "n_a", "map_b", "n_b")]
+        yield batch.select(["a", "b"]).filter(pa.array([may_link(*x) for x in zip(*cols, strict=True)], pa.bool_()))
+
+
 def jaccard_join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, set_key, kept for each document; kept marks one row of each component."""
+    """doc_id, n_shingles, component_id and set_key for each document."""
     spark = docs.sparkSession
     common.text_batches(spark)
     texts = docs.select("doc_id", "text")
     info = common.materialize(texts.mapInArrow(_inform, _INFO))
     levels = spark.sparkContext.broadcast(_levels(info))
-    info = info.filter("slice is null").select("doc_id", "n", "set_key")
+    info = info.filter("slice is null").select("doc_id", "n", "set_key", "map")
+    distinct = info.filter("set_key is not null").groupBy("set_key").agg(F.min("n").alias("n"), F.min("map").alias("map"), F.min("doc_id").alias("doc_id"))
     nodes = texts.select("text").mapInArrow(_enter(levels), "gram long, set_key long, place long")
     nodes = nodes.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "gram").sortWithinPartitions("gram", "set_key")
     met = common.materialize(nodes.mapInArrow(_meet, _MET))
 
     def linked(pairs: DataFrame) -> DataFrame:
+        """Of these pairs those that link: first by parity maps, then by the sets, which are made anew for the pairs left."""
+        for x in ("a", "b"):
+            pairs = pairs.join(distinct.select(F.col("set_key").alias(x), F.col("n").alias(f"n_{x}"), F.col("map").alias(f"map_{x}")), x)
+        pairs = common.materialize(pairs.mapInArrow(_maybe, "a long, b long"))
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct()
-        ids = common.materialize(info.join(wanted, "set_key").groupBy("set_key").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct())
+        ids = common.materialize(distinct.join(wanted, "set_key").select("doc_id").distinct())
         ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
         sets = texts.join(ids, "doc_id", "left_semi").select("text").mapInArrow(_sets(levels), "set_key long, grams binary").dropDuplicates(["set_key"])
         both = pairs.join(sets.select(F.col("set_key").alias("b"), F.col("grams").alias("grams_b")), "b").join(sets.select(F.col("set_key").alias("a"), F.col("grams").alias("grams_a")), "a")
-        return both.select("a", "grams_a", "b", "grams_b").mapInArrow(_verify, "a long, b long")
+        return common.materialize(both.select("a", "grams_a", "b", "grams_b").mapInArrow(_verify, "a long, b long"))
 
     tried = common.materialize(met.filter("kind = 0").select("a", "b").distinct())
-    links = common.materialize(linked(tried))
-    roots = common.materialize(common.components(links))
-    members = met.filter("kind = 1").select(F.col("a").alias("gram"), F.col("b").alias("set_key"), "place").distinct().join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
-    mixed = members.groupBy("gram").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").withColumn("blocks", F.ceil(F.col("size") / BLOCK)).select("gram", "blocks")
-    rest = members.join(mixed, "gram").withColumn("side", F.pmod(F.xxhash64("set_key"), F.col("blocks"))).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
-    rest = rest.select("gram", "set_key", "root", "place", "side", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"))
-    more = rest.groupBy("gram", "x", "y").applyInPandas(_across, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
-    more = common.materialize(more)
-    if not more.isEmpty():
-        roots = common.materialize(common.components(links.unionByName(linked(more))))
-    named = info.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
+    links = linked(tried)
+    members = common.materialize(met.filter("kind = 1").select(F.col("a").alias("gram"), F.col("b").alias("set_key"), "place").distinct())
+    roots, fresh = None, True
+    for turn in range(HUBS + 1):
+        if fresh:
+            roots, fresh = common.materialize(common.components(links)), False
+        if turn == 0 and members.isEmpty():
+            break
+        placed = members.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
+        mixed = placed.groupBy("gram").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct(F.xxhash64("set_key", F.lit(turn)), "set_key", "root")).alias("hub")).filter("low <> high")
+        if turn < HUBS:  # another hub of each node that is not yet one component; a set goes to one hub a turn
+            more = placed.join(mixed.select("gram", "hub.set_key", "hub.root").toDF("gram", "hub", "hub_root"), "gram").filter("root <> hub_root").groupBy("set_key").agg(F.min("hub").alias("hub"))
+            more = more.select(F.least("set_key", "hub").alias("a"), F.greatest("set_key", "hub").alias("b")).distinct()
+        else:  # every pair across components that is left
+            mixed = mixed.select("gram", F.ceil(F.col("size") / BLOCK).alias("blocks"))
+            rest = placed.join(mixed, "gram").join(distinct.select("set_key", "map"), "set_key").withColumn("side", F.pmod(F.xxhash64("set_key"), F.col("blocks"))).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+            rest = rest.select("gram", "set_key", "root", "place", "map", "side", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"))
+            more = rest.groupBy("gram", "x", "y").applyInPandas(_across, "a long, b long").distinct()
+        more = common.materialize(more.join(tried, ["a", "b"], "left_anti"))
+        if more.isEmpty():
+            continue
+        tried = common.materialize(tried.unionByName(more))
+        found = linked(more)
+        fresh = not found.isEmpty()
+        links = common.materialize(links.unionByName(found)) if fresh else links
+    roots = common.materialize(common.components(links)) if fresh else roots
+    named = info.drop("map").join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
     named = common.materialize(named)
     least = named.filter("set_key is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     return named.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), "set_key")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents without their near copies: of each group the least doc_id stays, once."""
-    kept = jaccard_join(docs).filter("doc_id <=> component_id").select("doc_id", F.col("set_key").isNotNull().alias("_has_set"), "set_key")
-    kept = kept.groupBy("doc_id").agg(F.max("_has_set").alias("_has_set"))
-    out = docs.join(kept.withColumnRenamed("doc_id", "_id"), docs["doc_id"].eqNullSafe(F.col("_id"))).withColumn("_text", F.xxhash64("text"))
-    same = out.filter("_has_set").dropDuplicates(["doc_id", "_text"])
-    return same.unionByName(out.filter("not _has_set")).select(*docs.columns)
+    """The documents without their near copies: of each group the least doc_id stays, once. Documents without words all stay."""
+    kept = jaccard_join(docs).filter("doc_id <=> component_id").groupBy("doc_id").agg(F.max(F.col("set_key").isNotNull()).alias("_has_set"))
+    whole = docs.select(F.struct("*").alias("_doc"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_text"))
+    out = whole.join(kept, F.col("_id").eqNullSafe(F.col("doc_id")))
+    return out.filter("_has_set").dropDuplicates(["_id", "_text"]).unionByName(out.filter("not _has_set")).select("_doc.*")
