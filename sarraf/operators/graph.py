@@ -92,7 +92,6 @@ def connected_components(pairs: DataFrame) -> DataFrame:
     """
     a, b = F.col("a"), F.col("b")
     e = cut(pairs.filter(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct())
-    mark = None
     while True:
         both = e.unionByName(e.select(b.alias("a"), a.alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
@@ -100,7 +99,7 @@ def connected_components(pairs: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(b.alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         e = cut(small.filter(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct())
-        now = e.agg(F.count("*"), F.expr("sum(cast(xxhash64(a, b) as decimal(38, 0)))")).first()
-        if now == mark:
-            return e.select(a.alias("node"), b.alias("root")).unionByName(e.select(b.alias("node"), b.alias("root"))).distinct()
-        mark = now
+        # Done when all trees are stars: no node has two parents, or a parent and a child.
+        ends = e.select(F.explode(F.array(F.struct(a.alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(b.alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("x")).select("x.*")
+        if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or (up > 0 and down > 0)").isEmpty():
+            return e.select(a.alias("node"), b.alias("root")).unionByName(e.select("b").distinct().select(b.alias("node"), b.alias("root")))
