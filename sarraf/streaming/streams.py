@@ -11,7 +11,7 @@ from ..sources.sinks import KEY, swap_in, upsert_ledger
 
 def ingest_stream(batches: DataFrame, table: str, checkpoint: str, watermark: str = "7 days") -> StreamingQuery:
     """Idempotent upsert of streamed rows by (project_id, row_hash): replays change nothing but the renewed columns."""
-    unique = batches.withWatermark("operation_ts", watermark).dropDuplicatesWithinWatermark(KEY)
+    unique = batches.withColumn("operation_ts", F.col("operation_ts").cast("timestamp")).withWatermark("operation_ts", watermark).dropDuplicatesWithinWatermark(KEY)
 
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
@@ -27,12 +27,12 @@ def ingest_stream(batches: DataFrame, table: str, checkpoint: str, watermark: st
 
 def activity_stream(events: DataFrame, rows: int = 10, watermark: str = "1 day", account: str = "account", ts: str = "ts", amount: str = "amount") -> DataFrame:
     """Days on which an account has at least so many payments; rows later than the watermark are dropped."""
-    day = events.withWatermark(ts, watermark).groupBy(F.window(ts, "1 day"), account).agg(F.count("*").alias("n"), F.round(F.sum(amount), 2).alias("turnover"))
+    day = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark).groupBy(F.window(ts, "1 day"), account).agg(F.count("*").alias("n"), F.round(F.sum(amount), 2).alias("turnover"))
     return day.filter(F.col("n") >= rows).select(account, F.col("window.start").cast("date").alias("day"), "n", "turnover")
 
 
 def flush_stream(events: DataFrame, credit: float = 300_000, debit: float = 200_000, ratio: float = 0.80, watermark: str = "1 day", account: str = "account", ts: str = "ts") -> DataFrame:
     """Days on which most of an account's credits leave again. events has columns credit and debit."""
-    day = events.withWatermark(ts, watermark).groupBy(F.window(ts, "1 day"), account).agg(F.round(F.sum("credit"), 2).alias("credit"), F.round(F.sum("debit"), 2).alias("debit"))
+    day = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark).groupBy(F.window(ts, "1 day"), account).agg(F.round(F.sum("credit"), 2).alias("credit"), F.round(F.sum("debit"), 2).alias("debit"))
     hit = (F.col("credit") >= credit) & (F.col("debit") >= debit) & (F.col("debit") / F.col("credit") >= ratio)
     return day.filter(hit).select(account, F.col("window.start").cast("date").alias("day"), "credit", "debit", F.round(F.col("debit") / F.col("credit"), 4).alias("ratio"))
