@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import common
 
 N, NUM, DEN = 5, 80, 100
-SMALL, BLOCK = 32, 256
+SMALL, BLOCK = 4, 256
 #: Turns in which sets of a large node try another hub before all pairs across its components are tried.
 HUBS = 1
 #: Cells of the count sketch, and slices in which its parts are added up.
@@ -129,7 +129,11 @@ def _add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Itera
 
 
 def _levels(info: DataFrame) -> np.ndarray:
-    """How many doublings over the mean each cell's count is; one byte a cell, CELLS bytes whatever the corpus."""
+    """How far each cell's count stands over the mean, in doublings of the deviation that unique n-grams would give.
+
+    So n-grams that occur as often as the root of a cell's load already go last. One byte a cell, CELLS bytes whatever
+    the corpus.
+    """
     parts = info.filter("slice is not null").select("slice", F.lit(False).alias("wide"), "cells", F.pmod(F.xxhash64("cells"), F.lit(32)).alias("part"))
     form = "slice int, wide boolean, cells binary"
     sums = parts.groupBy("slice", "part").applyInArrow(_add, form).groupBy("slice").applyInArrow(_add, form).collect()
@@ -137,7 +141,7 @@ def _levels(info: DataFrame) -> np.ndarray:
     for r in sums:
         count[r["slice"] * (CELLS // SLICES) :][: CELLS // SLICES] = np.frombuffer(bytes(r["cells"]), np.uint64)
     mean = max(1.0, count.sum() / CELLS)
-    return np.clip(np.floor(np.log2(np.maximum(count / mean, 1.0))), 0, 31).astype(np.uint8)
+    return np.clip(np.floor(np.log2(np.maximum((count - mean) / np.sqrt(mean), 1.0))), 0, 31).astype(np.uint8)
 
 
 def ordered(grams: np.ndarray, levels: np.ndarray) -> np.ndarray:
