@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of text per Arrow batch: documents are a few kB, so a batch stays near a megabyte.
-TEXT_ROWS = "256"
+#: Rows and bytes of an Arrow batch: texts are cut by bytes, rows of numbers by their count.
+BATCH_ROWS, BATCH_BYTES = "10000", str(1 << 20)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,8 +19,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def text_batches(spark: SparkSession) -> None:
-    """Keeps Arrow batches of whole texts small, whatever the length of one text."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_ROWS)
+    """Keeps Arrow batches near a megabyte: a batch ends with the row that passes the bound, whatever its length."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def shared_dir(spark: SparkSession) -> str:

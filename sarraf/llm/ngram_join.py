@@ -30,6 +30,8 @@ from . import common
 
 N, NUM, DEN = 5, 80, 100
 SMALL, BLOCK = 4, 256
+#: Rows of one node that a task holds before it sends them on, and words of maps compared at once.
+HELD, MAP_WORDS = 1 << 16, 1 << 20
 #: Turns in which sets of a large node try another hub before all pairs across its components are tried.
 HUBS = 1
 #: Cells of the count sketch, and slices in which its parts are added up.
@@ -90,15 +92,36 @@ def parity(grams: np.ndarray) -> bytes:
     return np.packbits(np.bincount((grams & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
 
 
-_ONES = np.array([bin(i).count("1") for i in range(256)], np.int64)
+def _fold(maps: np.ndarray, words: int) -> np.ndarray:
+    """Maps, one a row, folded to so many words."""
+    while maps.shape[1] > words:
+        half = maps.shape[1] // 2
+        maps = maps[:, :half] ^ maps[:, half:]
+    return maps
 
 
-def may_link(a: bytes, na: int, b: bytes, nb: int) -> bool:
-    """False only if so many bits differ that the sets cannot link; a longer map is folded."""
-    x, y = (np.frombuffer(v, np.uint8) for v in (a, b))
-    while len(x) != len(y):
-        x, y = (x if len(x) < len(y) else np.bitwise_xor(x[: len(x) // 2], x[len(x) // 2 :])), (y if len(y) < len(x) else np.bitwise_xor(y[: len(y) // 2], y[len(y) // 2 :]))
-    return int(_ONES[x ^ y].sum()) <= na + nb - 2 * needed(na, nb)
+def may_link(a: list[bytes], na: np.ndarray, b: list[bytes], nb: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For pairs of a[i] and b[j]: false only if so many bits differ that the sets cannot link; a longer map is folded."""
+
+    def by_size(maps: list[bytes]):
+        size = np.array([len(x) // 8 for x in maps], np.int64)
+        at, tables = np.zeros(len(maps), np.int64), {}
+        for w in np.unique(size).tolist():
+            own = np.flatnonzero(size == w)
+            at[own] = np.arange(len(own))
+            tables[w] = np.frombuffer(b"".join(maps[k] for k in own), np.uint64).reshape(-1, w)
+        return size, at, tables
+
+    (size_a, at_a, tables_a), (size_b, at_b, tables_b) = by_size(a), by_size(b)
+    differ = np.zeros(len(i), np.int64)
+    for x, left in tables_a.items():
+        for y, right in tables_b.items():
+            own, w = np.flatnonzero((size_a[i] == x) & (size_b[j] == y)), min(x, y)
+            one, two, step = _fold(left, w), _fold(right, w), max(1, MAP_WORDS // w)
+            for lo in range(0, len(own), step):
+                part = own[lo : lo + step]
+                differ[part] = np.bitwise_count(one[at_a[i[part]]] ^ two[at_b[j[part]]]).sum(1, dtype=np.int64)
+    return differ <= na[i] + nb[j] - 2 * needed(na[i], nb[j])
 
 
 _INFO = "doc_id long, n long, set_key long, map binary, slice int, cells binary"
@@ -174,47 +197,55 @@ def _fits(na, pa_, nb, pb):
     return 1 + np.minimum(na - pa_ - 1, nb - pb - 1) >= needed(na, nb)
 
 
-def _meet(batches):
-    """Streams rows sorted by n-gram: pairs of small nodes, stars and members of large ones."""
-    held = None
-
-    def node(gram, key, place):
-        keep = np.r_[True, key[1:] != key[:-1]]
-        key, place = key[keep], place[keep]
-        if len(key) < 2:
-            return None
-        n, at = place >> 32, place & 0xFFFFFFFF
-        if len(key) <= SMALL:
-            i, j = np.triu_indices(len(key), 1)
-        else:
-            i, j = np.zeros(len(key) - 1, np.int64), np.arange(1, len(key))
-        ok = _fits(n[i], at[i], n[j], at[j])
-        edges = (np.zeros(ok.sum(), np.int64), key[i[ok]], key[j[ok]], np.zeros(ok.sum(), np.int64))
-        return [edges] if len(key) <= SMALL else [edges, (np.ones(len(key), np.int64), np.full(len(key), gram), key, place)]
-
-    def emit(gram, key, place):
-        out = []
-        cuts = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
-        for lo, hi in zip(cuts, np.r_[cuts[1:], len(gram)], strict=True):
-            if hi - lo > 1 and (got := node(gram[lo], key[lo:hi], place[lo:hi])):
-                out += got
-        if out:
-            kind, a, b, place = (np.concatenate(x) for x in zip(*out, strict=True))
-            pairs = np.unique(np.stack([a[kind == 0], b[kind == 0]]), axis=1) if (kind == 0).any() else np.zeros((2, 0), np.int64)
-            rest = kind == 1
-            zero = np.zeros(pairs.shape[1], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.r_[x, y[rest]]) for x, y in ((zero, kind), (pairs[0], a), (pairs[1], b), (zero, place))], ["kind", "a", "b", "place"])
+def _nodes(gram: np.ndarray, key: np.ndarray, place: np.ndarray, more: bool) -> pa.RecordBatch:
+    """Pairs of small nodes, stars and members of large ones, from rows sorted by n-gram and set.
+
+    more: the first row is the hub of a large node, and has been sent as its member.
+    """
+    keep = np.r_[True, (gram[1:] != gram[:-1]) | (key[1:] != key[:-1])]
+    gram, key, place = gram[keep], key[keep], place[keep]
+    first = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
+    size = np.diff(np.r_[first, len(gram)])
+    large = size > SMALL
+    large[0] |= more
+    hub, member = np.repeat(first, size), np.flatnonzero(np.repeat(large, size))
+    pairs = [np.stack([hub[member], member])[:, hub[member] != member]]
+    for s in range(2, SMALL + 1):
+        at = first[(size == s) & ~large]
+        pairs.append(np.stack([(at + x[:, None]).ravel() for x in np.triu_indices(s, 1)]))
+    i, j = np.concatenate(pairs, axis=1)
+    n, at = place >> 32, place & 0xFFFFFFFF
+    ok = _fits(n[i], at[i], n[j], at[j])
+    a, b = key[i[ok]], key[j[ok]]
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)]
+    a, b, member = a[new], b[new], member[int(more) :]
+    zero = np.zeros(len(a), np.int64)
+    cols = ((zero, np.ones(len(member), np.int64)), (a, gram[member]), (b, key[member]), (zero, place[member]))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in cols], ["kind", "a", "b", "place"])
 
+
+def _meet(batches):
+    """Streams rows sorted by n-gram through _nodes(); of a node over HELD rows, only the hub is held."""
+    held, more = None, False
     for batch in batches:
         now = [batch[c].to_numpy(zero_copy_only=False) for c in ("gram", "set_key", "place")]
-        now = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
         if not len(now[0]):
             continue
-        last = np.searchsorted(now[0], now[0][-1])  # the last node may go on in the next batch
-        yield from emit(*(x[:last] for x in now))
-        held = [x[last:] for x in now]
-    if held is not None and len(held[0]):
-        yield from emit(*held)
+        now = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
+        last = int(np.searchsorted(now[0], now[0][-1]))  # the last node may go on in the next batch
+        if last:
+            yield _nodes(*(x[:last] for x in now), more)
+            held, more = [x[last:] for x in now], False
+        else:
+            new = np.r_[True, now[1][1:] != now[1][:-1]]
+            held = [x[new] for x in now]
+            if len(held[0]) > HELD:
+                yield _nodes(*held, more)
+                held, more = [x[:1] for x in held], True
+    if held is not None:
+        yield _nodes(*held, more)
 
 
 _MET = "kind long, a long, b long, place long"
@@ -222,16 +253,14 @@ _MET = "kind long, a long, b long, place long"
 
 def _across(pdf: pd.DataFrame) -> pd.DataFrame:
     """Pairs across components in two blocks of one node, or within one block."""
-    left, right = pdf[pdf["side"] == pdf["x"]], pdf[pdf["side"] == pdf["y"]]
-    out = []
-    k, c, place, maps = (right[x].to_numpy() for x in ("set_key", "root", "place", "map"))
-    n, at = place >> 32, place & 0xFFFFFFFF
-    for key, root, p, bits in zip(left["set_key"], left["root"], left["place"], left["map"], strict=True):
-        ok = np.flatnonzero((c != root) & (k != key) & _fits(p >> 32, p & 0xFFFFFFFF, n, at))
-        ok = ok[[may_link(bits, p >> 32, maps[i], int(n[i])) for i in ok]] if len(ok) else ok
-        out.append(np.stack([np.minimum(k[ok], key), np.maximum(k[ok], key)], 1))
-    pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]}).astype("int64")
+    sides = [{c: side[c].to_numpy() for c in ("set_key", "root", "place", "map")} for side in (pdf[pdf["side"] == pdf["x"]], pdf[pdf["side"] == pdf["y"]])]
+    (na, at), (nb, bt) = ((x["place"] >> 32, x["place"] & 0xFFFFFFFF) for x in sides)
+    left, right = sides
+    open_ = (left["root"][:, None] != right["root"]) & (left["set_key"][:, None] != right["set_key"])
+    i, j = np.nonzero(open_ & _fits(na[:, None], at[:, None], nb, bt))
+    ok = may_link(list(left["map"]), na, list(right["map"]), nb, i, j)
+    a, b = left["set_key"][i[ok]], right["set_key"][j[ok]]
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).astype("int64").drop_duplicates()
 
 
 def _sets(levels):
@@ -292,8 +321,9 @@ def _verify(batches):
 def _maybe(batches):
     """The pairs whose parity maps allow a link."""
     for batch in batches:
-        cols = [batch[c].to_pylist() for c in ("map_a", "n_a", "map_b", "n_b")]
-        yield batch.select(["a", "b"]).filter(pa.array([may_link(*x) for x in zip(*cols, strict=True)], pa.bool_()))
+        (a, b), (na, nb) = (batch[c].to_pylist() for c in ("map_a", "map_b")), (batch[c].to_numpy(zero_copy_only=False) for c in ("n_a", "n_b"))
+        each = np.arange(batch.num_rows)
+        yield batch.select(["a", "b"]).filter(pa.array(may_link(a, na, b, nb, each, each), pa.bool_()))
 
 
 def jaccard_join(docs: DataFrame) -> DataFrame:

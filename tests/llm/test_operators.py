@@ -214,10 +214,48 @@ def test_walk_and_maps():
     members = [np.sort(np.r_[r.choice(hub, 400 - k, replace=False), r.choice(np.setdiff1d(pool, hub), k, replace=False)]) for k in (0, 10, 40, 45, 50, 100, 399)]
     true = [180 * len(np.intersect1d(hub, m)) >= 80 * (len(hub) + len(m)) for m in members]
     assert ngram_join.walk(hub, members) == true
-    maps = [ngram_join.may_link(ngram_join.parity(hub), len(hub), ngram_join.parity(m), len(m)) for m in members]
+    sizes, each = np.array([len(m) for m in members]), np.arange(len(members))
+    maps = ngram_join.may_link([ngram_join.parity(hub)], np.array([len(hub)]), [ngram_join.parity(m) for m in members], sizes, each * 0, each)
     assert all(may for may, link in zip(maps, true, strict=True) if link) and not maps[-1]
 
 
+def test_nodes_longer_than_a_task_holds(monkeypatch):
+    import pyarrow as pa
+
+    r = random.Random(4)
+    sets = {k: (100 + k % 3 << 32) for k in range(60)}
+    rows = sorted((g, k, n + g) for g, size in ((1, 2), (2, 4), (3, 40), (4, 1), (5, 25), (6, 3)) for k, n in r.sample(sorted(sets.items()), size) for _ in range(r.randint(1, 2)))
+
+    def run(width):
+        batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows[i : i + width], strict=True)], ["gram", "set_key", "place"]) for i in range(0, len(rows), width)]
+        return {tuple(x.values()) for b in ngram_join._meet(batches) for x in b.to_pylist()}
+
+    whole = run(1000)
+    monkeypatch.setattr(ngram_join, "HELD", 5)
+    assert run(1000) == run(7) == run(1) == whole
+    nodes = {g: sorted({(k, n) for h, k, n in rows if h == g}) for g in range(1, 7)}
+    want = {(1, g, k, n) for g in (3, 5) for k, n in nodes[g]}
+    want |= {(0, nodes[g][0][0], k, 0) for g in (3, 5) for k, _ in nodes[g][1:]}
+    want |= {(0, a[0], b[0], 0) for g in (1, 2, 6) for i, a in enumerate(nodes[g]) for b in nodes[g][i + 1 :]}
+    assert whole == want
+
+
+def test_vectors_of_maps():
+    r = np.random.Generator(np.random.PCG64(3))
+    sets = [np.sort(r.integers(0, 1 << 40, n, dtype=np.uint64)) for n in (5, 60, 70, 120, 130, 300)]
+    maps, sizes = [ngram_join.parity(x) for x in sets], np.array([len(x) for x in sets])
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(6), np.arange(6)))
+    bits = lambda x, m: {b for b in range(m) if (x[b // 8] >> (b % 8)) & 1}
+
+    def differ(a, b):
+        m = 8 * min(len(maps[a]), len(maps[b]))
+        one, two = ([sum(1 for x in bits(maps[k], 8 * len(maps[k])) if x % m == y) % 2 for y in range(m)] for k in (a, b))
+        return sum(x != y for x, y in zip(one, two, strict=True))
+
+    want = [differ(a, b) <= sizes[a] + sizes[b] - 2 * ngram_join.needed(sizes[a], sizes[b]) for a, b in zip(i, j, strict=True)]
+    assert ngram_join.may_link(maps, sizes, maps, sizes, i, j).tolist() == want
+
+
 def test_keep_one(docs):
     kept = ngram_join.keep_one(docs)
     assert kept.columns == docs.columns
