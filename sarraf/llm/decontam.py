@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW = 10
-#: Bytes of benchmark text for which one automaton is built on each executor; beyond, items are scanned in groups.
+#: Bytes of benchmark text for which one automaton is built on each executor; more are refused.
 AUTOMATON_BYTES = 32 << 20
 
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -108,15 +108,18 @@ def _scan(held):
     return run
 
 
-def scan_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and the hit byte spans for each document."""
-    spark = docs.sparkSession
-    common.text_batches(spark)
+def _share(benchmark: DataFrame):
+    """The windows of a benchmark of checked size, sent to every executor."""
     size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     if size > AUTOMATON_BYTES:
         raise ValueError(f"benchmark holds {size} bytes of text; one automaton takes {AUTOMATON_BYTES}: call it for parts of the benchmark")
-    held = spark.sparkContext.broadcast(windows([tuple(r) for r in benchmark.select("item_id", "text").collect()]))
-    return docs.select("doc_id", "text").mapInArrow(_scan(held), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<array<long>>")
+    return benchmark.sparkSession.sparkContext.broadcast(windows([tuple(r) for r in benchmark.select("item_id", "text").collect()]))
+
+
+def scan_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and the hit byte spans for each document."""
+    common.text_batches(docs.sparkSession)
+    return docs.select("doc_id", "text").mapInArrow(_scan(_share(benchmark)), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<array<long>>")
 
 
 def _clean(held):
@@ -131,5 +134,4 @@ def _clean(held):
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without any hit word, with the columns of the input, in one scan."""
     common.text_batches(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(windows([tuple(r) for r in benchmark.select("item_id", "text").collect()]))
-    return docs.mapInArrow(_clean(held), docs.schema)
+    return docs.mapInArrow(_clean(_share(benchmark)), docs.schema)
