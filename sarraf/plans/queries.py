@@ -405,6 +405,24 @@ def j4_global_graph(spark, d):
     return graph.global_graph(ledger(spark, d), 60)[0].select("id", "total_turnover")
 
 
+@query()
+def j6_all_components(spark, d):
+    """Components of the whole graph: every edge, whatever its sum. Recursive SQL over all edges would not end in useful time."""
+    return graph.connected_components(graph.edges(ledger(spark, d)).select(F.col("source").alias("a"), F.col("target").alias("b")))
+
+
+@query()
+def j7_graph_nodes(spark, d):
+    """Nodes of the global graph at its default size, with their communities."""
+    return graph.global_graph(ledger(spark, d))[0].select("id", "total_turnover", "community_id")
+
+
+@query()
+def j8_graph_edges(spark, d):
+    """Edges of the same graph."""
+    return graph.global_graph(ledger(spark, d))[1]
+
+
 @query()
 def j3_merged_names(spark, d):
     x = ledger(spark, d)
