@@ -55,3 +55,18 @@ def test_graph_with_communities(spark, sf, edges):
     found = queries.QUERIES["j8_graph_edges"](spark, sf).collect()
     assert sorted((r["source"], r["target"], r["tx_count"]) for r in found) == sorted((a, b, n) for a, b, _, n in inside)
     assert {(r["source"], r["target"]): r["amount"] for r in found} == pytest.approx({(a, b): amount for a, b, amount, _ in inside})
+
+
+def test_index_search_is_exact(spark, sf):
+    read = lambda name: {(r["query_id"], r["vec_id"], r["rank"]) for r in queries.QUERIES[name](spark, sf).select("query_id", "vec_id", "rank").collect()}
+    assert read("l6_coarse_index") == read("l2_knn")
+
+
+def test_index_search_with_one_probe(spark):
+    from sarraf.operators import vectors
+
+    e = spark.createDataFrame([(i, [float(i % 7), float(i // 7)]) for i in range(49)], "vec_id long, embedding array<float>")
+    indexed, centres = vectors.ivf_build(e, 5)
+    for k in (4, 30):
+        got = {(r["query_id"], r["vec_id"], r["rank"]) for r in vectors.ivf_search(e, indexed, centres, k, 1).collect()}
+        assert got == {(r["query_id"], r["vec_id"], r["rank"]) for r in vectors.knn(e, e, k).collect()}
