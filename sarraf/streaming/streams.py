@@ -9,9 +9,12 @@ from pyspark.sql.streaming import StreamingQuery
 from ..sources.sinks import KEY, swap_in, upsert_ledger
 
 
-def ingest_stream(batches: DataFrame, table: str, checkpoint: str, watermark: str = "7 days") -> StreamingQuery:
-    """Idempotent upsert of streamed rows by (project_id, row_hash): replays change nothing but the renewed columns."""
-    unique = batches.withColumn("operation_ts", F.col("operation_ts").cast("timestamp")).withWatermark("operation_ts", watermark).dropDuplicatesWithinWatermark(KEY)
+def ingest_stream(batches: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+    """Idempotent upsert of streamed rows by (project_id, row_hash): replays change nothing but the renewed columns.
+
+    There is no watermark, since an older statement may arrive after a newer one; the upsert alone settles repeats.
+    """
+    rows = batches.withColumn("operation_ts", F.col("operation_ts").cast("timestamp"))
 
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
@@ -22,7 +25,7 @@ def ingest_stream(batches: DataFrame, table: str, checkpoint: str, watermark: st
         else:
             swap_in(batch.dropDuplicates(KEY), table)
 
-    return unique.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def activity_stream(events: DataFrame, rows: int = 10, watermark: str = "1 day", account: str = "account", ts: str = "ts", amount: str = "amount") -> DataFrame:
