@@ -79,10 +79,15 @@ def resolve_format(new: DataFrame, formats: DataFrame, least: float = 0.92) -> D
     """format_id of each layout: by fingerprint, else the most similar vector of the same bank, else of any, else new.
 
     new: (layout_id, fingerprint, source_bank, embedding); formats: (format_id, fingerprint, source_bank, embedding).
+    If new has own_format, a layout is not compared with that one by vector.
     """
     exact = new.join(formats.select("fingerprint", "format_id"), "fingerprint").select("layout_id", "format_id", F.lit("fingerprint").alias("method"))
-    rest = new.join(exact, "layout_id", "left_anti")
-    pairs = against(formats.select("format_id", F.col("source_bank").alias("_bank"), F.col("embedding").alias("_v")), rest).withColumn("score", cosine(F.col("embedding"), F.col("_v"))).filter(F.col("score") >= least)
+    rest = cut(new.join(exact, "layout_id", "left_anti"))
+    vectors = formats.select("format_id", F.col("source_bank").alias("_bank"), F.col("embedding").alias("_v"))
+    pairs = against(rest, vectors) if rest.count() < vectors.count() else against(vectors, rest)
+    if "own_format" in new.columns:
+        pairs = pairs.filter(~F.col("own_format").eqNullSafe(F.col("format_id")))
+    pairs = pairs.withColumn("score", cosine(F.col("embedding"), F.col("_v"))).filter(F.col("score") >= least)
     near = pairs.groupBy("layout_id").agg(F.max(F.struct((F.col("source_bank") == F.col("_bank")).alias("same"), "score", "format_id")).alias("m")).select("layout_id", "m.format_id", F.lit("vector").alias("method"))
     fresh = rest.join(near, "layout_id", "left_anti").select("layout_id", F.concat(F.lit("fmt-"), F.substring("fingerprint", 1, 16)).alias("format_id"), F.lit("new").alias("method"))
     return exact.unionByName(near).unionByName(fresh)

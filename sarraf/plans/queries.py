@@ -480,10 +480,12 @@ def l6_coarse_index(spark, d):
 
 @query()
 def l3_resolve_format(spark, d):
+    """Every row is a known format and a layout. Layouts with ids divisible by 50, the query set of the vectors, come under other fingerprints and do not match themselves."""
     e = embeddings(spark, d)
-    name = F.concat(F.lit("fp-"), F.col("vec_id"))
-    known = e.filter("vec_id % 20 = 0").select(F.concat(F.lit("fmt-"), F.col("vec_id")).alias("format_id"), name.alias("fingerprint"), F.col("label").cast("string").alias("source_bank"), "embedding", F.lit(1).alias("usage_count"))
-    new = e.select(F.col("vec_id").alias("layout_id"), name.alias("fingerprint"), F.col("label").cast("string").alias("source_bank"), "embedding")
+    bank, own = F.col("label").cast("string").alias("source_bank"), F.concat(F.lit("fmt-"), F.col("vec_id"))
+    known = e.select(own.alias("format_id"), F.concat(F.lit("fp-"), F.col("vec_id")).alias("fingerprint"), bank, "embedding", F.lit(1).alias("usage_count"))
+    other = F.when(F.col("vec_id") % 50 == 0, "re-").otherwise("fp-")
+    new = e.select(F.col("vec_id").alias("layout_id"), F.concat(other, F.col("vec_id")).alias("fingerprint"), bank, "embedding", own.alias("own_format"))
     return vectors.resolve_format(new, known)
 
 

@@ -70,3 +70,22 @@ def test_index_search_with_one_probe(spark):
     for k in (4, 30):
         got = {(r["query_id"], r["vec_id"], r["rank"]) for r in vectors.ivf_search(e, indexed, centres, k, 1).collect()}
         assert got == {(r["query_id"], r["vec_id"], r["rank"]) for r in vectors.knn(e, e, k).collect()}
+
+
+def test_formats_against_all_rows(spark, tmp_path):
+    """Layouts near a row of their own bank, near one of another bank only, and near none, against brute force."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    made = {i: (rng.normal(size=64).astype("float32"), i % 3) for i in range(301)}
+    for i, near in ((50, 51), (100, 103), (150, 200), (250, 20)):
+        made[i] = (made[near][0] + rng.normal(size=64).astype("float32") * np.float32(0.1), made[i][1])
+    spark.createDataFrame([(i, [float(x) for x in v], b) for i, (v, b) in made.items()], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r["layout_id"]: (r["format_id"], r["method"]) for r in queries.QUERIES["l3_resolve_format"](spark, str(tmp_path)).collect()}
+    want = {i: (f"fmt-{i}", "fingerprint") for i in made}
+    for i in range(0, 301, 50):
+        v, bank = made[i][0].astype(float), made[i][1]
+        score = {j: v @ w / np.sqrt((v @ v) * (w @ w)) for j, w in ((j, w.astype(float)) for j, (w, _) in made.items() if j != i)}
+        near = [((made[j][1] == bank), s, f"fmt-{j}") for j, s in score.items() if s >= 0.92]
+        want[i] = (max(near)[2], "vector") if near else (f"fmt-re-{i}", "new")
+    assert got == want and sum(m == "vector" for _, m in got.values()) >= 4
