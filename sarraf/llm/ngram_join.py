@@ -1,19 +1,25 @@
-"""Exact Jaccard join of word n-gram sets over a prefix tree.
+"""Exact Jaccard join of word n-gram sets in prefix trees.
 
 The n-grams of a document are 64-bit hashes in one global order: first by how often their cell of a corpus-wide
 count sketch is hit (rare first), then by hash. Sets that reach the threshold share an n-gram among the first
-n - ceil(t * n) + 1 of each, so each set enters the first level of the tree under those only, and two sets meet
-at the first n-gram they share if the lengths that remain there still allow the overlap. The sets that met are
-verified hub by hub: the hub's partners form a trie of ordered n-grams that is walked depth first, partial
-overlaps of a shared path are counted once, and a subtree ends where remaining lengths cannot reach the overlap.
+n - ceil(t * n) + 1 of each, so each set enters the first level of the tree under those only. At such a node a set
+stays if the lengths that remain behind the shared n-gram allow the overlap with some other set there. The node's
+hub is the set in which the n-gram stands earliest; nodes of one hub are one cell, so a set enters a cell once,
+however many n-grams lead there, and every pair that can link meets in a cell.
 
-Nodes of up to SMALL sets propose all their pairs. Larger nodes propose their least member against the rest,
-then for HUBS turns another hub against those not yet in its component; at last a node that still holds several
-components proposes every pair across them, in blocks. So large groups of copies stay linear, and no link between
-components is lost. Parity maps of a bit a hash discard most proposed pairs before any set is sent.
+1. The members of each cell are stored in a trie, which is walked with the hub.
+2. In cells whose members are then of several components, tries of at most BLOCK members are walked with those
+   outside the hub's component, BLOCK at a time. Only links between components are returned, at most one a set and
+   block, so groups of copies stay linear, and no link between components is lost.
+
+A walk counts the overlap along a shared path once, and leaves a subtree as soon as overlap and remaining lengths
+stay under the overlap needed. Before sets are sent to tries, parity maps of about two bits an n-gram drop those
+without a possible partner. In the worst case (very many sets share four fifths of their n-grams but link with
+none) step 2 sends the members of a cell times those outside its hub's component, over BLOCK.
 
 Defined cases: null and blank texts have no set and link with nothing; fewer than n words are one n-gram; equal
-rows and equal sets link; an empty table gives no rows; other columns are ignored.
+rows and equal sets link; rows with a null doc_id link like others, and component_id is the least doc_id that is not
+null (null if there is none); an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +27,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,14 +34,13 @@ from pyspark.sql import functions as F
 from . import common
 
 N, NUM, DEN = 5, 80, 100
-SMALL, BLOCK = 4, 256
-#: Rows of one node that a task holds before it sends them on, and words of maps compared at once.
-HELD, MAP_WORDS = 1 << 16, 1 << 20
-#: Turns in which sets of a large node try another hub before all pairs across its components are tried.
-HUBS = 1
+#: Members of a trie, n-grams that it holds, and depths that a walk looks ahead.
+BLOCK, BLOCK_GRAMS, STEP = 128, 1 << 20, 256
+#: Rows of a node that are compared at once, rows that a task holds before it sends them on, and words of maps compared at once.
+WHOLE, HELD, MAP_WORDS = 256, 1 << 16, 1 << 20
 #: Cells of the count sketch, and slices in which its parts are added up.
 CELLS, SLICES = 1 << 20, 16
-#: Rows of ids that may be broadcast; beyond, the join shuffles.
+#: Rows of 8-byte keys that may be broadcast, 8 MB; beyond, the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -87,8 +91,8 @@ def needed(a, b):
 
 
 def parity(grams: np.ndarray) -> bytes:
-    """Each hash flips a bit of a map of at least as many bits: maps of two sets differ in at most as many bits as the sets in hashes."""
-    bits = max(64, 1 << (len(grams) - 1).bit_length()) if len(grams) else 64
+    """Each hash flips a bit of a map of two bits a hash or more: maps of two sets differ in at most as many bits as the sets in hashes."""
+    bits = max(64, 2 << (len(grams) - 1).bit_length()) if len(grams) else 64
     return np.packbits(np.bincount((grams & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
 
 
@@ -124,22 +128,24 @@ def may_link(a: list[bytes], na: np.ndarray, b: list[bytes], nb: np.ndarray, i:
     return differ <= na[i] + nb[j] - 2 * needed(na[i], nb[j])
 
 
-_INFO = "doc_id long, n long, set_key long, map binary, slice int, cells binary"
+_INFO = "doc_id long, row_key long, n long, set_key long, map binary, slice int, cells binary"
 
 
 def _inform(batches):
     """Size and name of each document's set; at the task's end, its part of the sketch."""
     count = np.zeros(CELLS, np.uint32)
     shift = np.uint64(64 - CELLS.bit_length() + 1)
-    names = ["doc_id", "n", "set_key", "map", "slice", "cells"]
+    names = ["doc_id", "row_key", "n", "set_key", "map", "slice", "cells"]
     for batch in batches:
         sets = shingles(*common.utf8(batch["text"]))
         if len(grams := np.concatenate(sets)) if sets else False:
             np.add.at(count, (grams >> shift).astype(np.int64), np.uint32(1))
-        yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.int64()), pa.array([parity(s) for s in sets], pa.binary()), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], names)
+        keys = [set_key(s) if len(s) else None for s in sets]
+        yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), batch["row_key"], pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), pa.array([parity(s) if len(s) else None for s in sets], pa.binary()), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], names)
     if count.any():
         part = np.minimum(count, 65535).astype(np.uint16).reshape(SLICES, -1)
-        yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in part], pa.binary())], names)
+        none = pa.nulls(SLICES, pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in part], pa.binary())], names)
 
 
 def _add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +180,7 @@ def ordered(grams: np.ndarray, levels: np.ndarray) -> np.ndarray:
 
 
 def _enter(levels):
-    """(gram, set, size and position) for the first n-grams of each distinct set of a task."""
+    """(n-gram, place, size and name) for the first n-grams of each distinct set of a task."""
 
     def run(batches):
         seen = set()
@@ -184,83 +190,81 @@ def _enter(levels):
                 if len(grams) and (key := set_key(grams)) not in seen:
                     seen.add(key)
                     first = ordered(grams, levels.value)[: prefix_size(len(grams))]
-                    out.append((first, np.full(len(first), key), (len(grams) << 32) + np.arange(len(first))))
+                    out.append((first.view(np.int64), np.arange(len(first), dtype=np.int32), np.full(len(first), len(grams), np.int32), np.full(len(first), key)))
             if out:
-                gram, key, place = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(key.astype(np.int64)), pa.array(place.astype(np.int64))], ["gram", "set_key", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], _ENTRY)
 
     return run
 
 
-def _fits(na, pa_, nb, pb):
+_ENTRY = ["gram", "at", "n", "set_key"]
+
+
+def _fits(na, at_a, nb, at_b):
     """If a first shared n-gram at these places leaves enough in both sets."""
-    return 1 + np.minimum(na - pa_ - 1, nb - pb - 1) >= needed(na, nb)
+    return 1 + np.minimum(na - at_a - 1, nb - at_b - 1) >= needed(na, nb)
 
 
-def _nodes(gram: np.ndarray, key: np.ndarray, place: np.ndarray, more: bool) -> pa.RecordBatch:
-    """Pairs of small nodes, stars and members of large ones, from rows sorted by n-gram and set.
+def _cells(gram: np.ndarray, at: np.ndarray, n: np.ndarray, key: np.ndarray, hub: tuple[int, ...] | None) -> pa.RecordBatch:
+    """(hub, member, its size, if the two may link) from rows sorted by n-gram, place and name.
 
-    more: the first row is the hub of a large node, and has been sent as its member.
+    hub: place, size and name of that of a node begun before.
     """
     keep = np.r_[True, (gram[1:] != gram[:-1]) | (key[1:] != key[:-1])]
-    gram, key, place = gram[keep], key[keep], place[keep]
-    first = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
-    size = np.diff(np.r_[first, len(gram)])
-    large = size > SMALL
-    large[0] |= more
-    hub, member = np.repeat(first, size), np.flatnonzero(np.repeat(large, size))
-    pairs = [np.stack([hub[member], member])[:, hub[member] != member]]
-    for s in range(2, SMALL + 1):
-        at = first[(size == s) & ~large]
-        pairs.append(np.stack([(at + x[:, None]).ravel() for x in np.triu_indices(s, 1)]))
-    i, j = np.concatenate(pairs, axis=1)
-    n, at = place >> 32, place & 0xFFFFFFFF
-    ok = _fits(n[i], at[i], n[j], at[j])
-    a, b = key[i[ok]], key[j[ok]]
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)]
-    a, b, member = a[new], b[new], member[int(more) :]
-    zero = np.zeros(len(a), np.int64)
-    cols = ((zero, np.ones(len(member), np.int64)), (a, gram[member]), (b, key[member]), (zero, place[member]))
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in cols], ["kind", "a", "b", "place"])
+    gram, at, n, key = gram[keep], at[keep].astype(np.int64), n[keep].astype(np.int64), key[keep]
+    cuts = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
+    size = np.diff(np.r_[cuts, len(gram)])
+    out: list[tuple[np.ndarray, ...]] = []
+
+    def member(head: np.ndarray, rows: np.ndarray, may: np.ndarray) -> None:
+        out.append((head, key[rows], n[rows], may))
+
+    for s in np.unique(size).tolist():
+        nodes = cuts[size == s]
+        if hub is not None and nodes[0] == 0:
+            nodes = nodes[1:]
+        if s > WHOLE:
+            for lo in nodes.tolist():
+                rows = np.arange(lo, lo + s)
+                member(np.full(s, key[lo]), rows, _fits(n[lo], at[lo], n[rows], at[rows]))
+        elif s > 1:
+            for lo in range(0, len(nodes), step := max(1, WHOLE**2 // s**2)):
+                rows = nodes[lo : lo + step, None] + np.arange(s)
+                ok = _fits(n[rows][:, :, None], at[rows][:, :, None], n[rows][:, None], at[rows][:, None])
+                ok[:, np.arange(s), np.arange(s)] = False
+                stays = ok.any(2)
+                head = stays.argmax(1)  # the first that stays
+                each, place = np.nonzero(stays)
+                member(key[rows[each, head[each]]], rows[each, place], ok[each, head[each], place])
+    if hub is not None:
+        rows = np.arange(size[0])
+        member(np.full(len(rows), hub[2]), rows, _fits(hub[1], hub[0], n[rows], at[rows]))
+    a, b, size, may = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (key[:0], key[:0], key[:0], key[:0] > 0)
+    order = np.lexsort((~may, b, a))  # of equal rows, one that may link goes first
+    order = order[np.r_[True, (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)][: len(a)]]
+    return pa.RecordBatch.from_arrays([pa.array(x[order]) for x in (a, b, size, may)], ["hub", "set_key", "n", "may"])
 
 
 def _meet(batches):
-    """Streams rows sorted by n-gram through _nodes(); of a node over HELD rows, only the hub is held."""
-    held, more = None, False
+    """Streams rows sorted by n-gram through _cells(); of a node over HELD rows, only the hub is held."""
+    held, hub = None, None
     for batch in batches:
-        now = [batch[c].to_numpy(zero_copy_only=False) for c in ("gram", "set_key", "place")]
+        now = [batch[c].to_numpy(zero_copy_only=False) for c in _ENTRY]
         if not len(now[0]):
             continue
         now = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
         last = int(np.searchsorted(now[0], now[0][-1]))  # the last node may go on in the next batch
         if last:
-            yield _nodes(*(x[:last] for x in now), more)
-            held, more = [x[last:] for x in now], False
+            yield _cells(*(x[:last] for x in now), hub)
+            held, hub = [x[last:] for x in now], None
         else:
-            new = np.r_[True, now[1][1:] != now[1][:-1]]
-            held = [x[new] for x in now]
-            if len(held[0]) > HELD:
-                yield _nodes(*held, more)
-                held, more = [x[:1] for x in held], True
+            held = now
+        if len(held[0]) > HELD:
+            hub = hub or tuple(int(x[0]) for x in held[1:])
+            yield _cells(*held, hub)
+            held = [x[-1:] for x in held]  # a repeated name may go on
     if held is not None:
-        yield _nodes(*held, more)
-
-
-_MET = "kind long, a long, b long, place long"
-
-
-def _across(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs across components in two blocks of one node, or within one block."""
-    sides = [{c: side[c].to_numpy() for c in ("set_key", "root", "place", "map")} for side in (pdf[pdf["side"] == pdf["x"]], pdf[pdf["side"] == pdf["y"]])]
-    (na, at), (nb, bt) = ((x["place"] >> 32, x["place"] & 0xFFFFFFFF) for x in sides)
-    left, right = sides
-    open_ = (left["root"][:, None] != right["root"]) & (left["set_key"][:, None] != right["set_key"])
-    i, j = np.nonzero(open_ & _fits(na[:, None], at[:, None], nb, bt))
-    ok = may_link(list(left["map"]), na, list(right["map"]), nb, i, j)
-    a, b = left["set_key"][i[ok]], right["set_key"][j[ok]]
-    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).astype("int64").drop_duplicates()
+        yield _cells(*held, hub)
 
 
 def _sets(levels):
@@ -278,31 +282,42 @@ def _sets(levels):
     return run
 
 
-def walk(hub: np.ndarray, members: list[np.ndarray]) -> list[bool]:
-    """Which members link with the hub. Members in lexicographic order are their trie's leaves, depth first:
-    the overlap counted along the path that a member shares with the one before is kept, and a branch ends
-    as soon as its overlap and the shorter remaining length stay under the overlap needed."""
-    out, order = [False] * len(members), sorted(range(len(members)), key=lambda i: members[i].byteswap().tobytes())
-    before, path, known = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
-    for i in order:
-        now = members[i]
-        m = min(len(now), known, len(before))
-        differ = np.flatnonzero(now[:m] != before[:m])
-        shared = int(differ[0]) if len(differ) else m
-        need, counts = needed(len(hub), len(now)), np.zeros(len(now), np.int64)
-        counts[:shared], at = path[:shared], shared
-        while True:
-            have = int(counts[at - 1]) if at else 0
-            passed = int(np.searchsorted(hub, now[at - 1], "right")) if at else 0
-            if have + min(len(hub) - passed, len(now) - at) < need or at == len(now):
-                break
-            to = min(len(now), at + 256)
-            where = np.minimum(np.searchsorted(hub, now[at:to]), len(hub) - 1)
-            counts[at:to] = have + np.cumsum(hub[where] == now[at:to])
-            at = to
-        out[i] = at == len(now) and int(counts[-1]) >= need
-        before, path, known = now, counts, at
-    return out
+class Trie:
+    """Sets in the global order as paths: sorted, each with how long a path it shares with the one before."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.order = sorted(range(len(sets)), key=lambda i: sets[i].byteswap().tobytes())
+        self.sets, self.shared = [sets[i] for i in self.order], [0]
+        self.size = np.array([len(x) for x in self.sets], np.int64)
+        for before, now in zip(self.sets, self.sets[1:], strict=False):
+            m = min(len(now), len(before))
+            differ = np.flatnonzero(now[:m] != before[:m])
+            self.shared.append(int(differ[0]) if len(differ) else m)
+
+    def walk(self, probe: np.ndarray, skip: np.ndarray | None = None) -> list[int]:
+        """Which sets link with the probe, depth first, by their place in the list given; skip: those not asked for.
+
+        path[d] is the overlap of the path's first d n-grams with the probe, known up to the depth that the walk
+        reached: the part shared with the next set is not counted again, and below a depth where overlap and
+        remaining lengths stay under the overlap needed nothing is looked at.
+        """
+        found, known, path = [], 0, np.zeros(int(self.size.max(initial=0)) + 1, np.int64)
+        needs = needed(len(probe), self.size).tolist()
+        for i, now, shared, n, need in zip(self.order, self.sets, self.shared, self.size.tolist(), needs, strict=False):
+            known = min(known, shared)
+            if skip is not None and skip[i]:
+                continue
+            while known < n:
+                have, passed = int(path[known]), int(np.searchsorted(probe, now[known]))
+                if have + min(len(probe) - passed, n - known) < need:
+                    break
+                label = now[known : known + STEP]
+                where = np.minimum(np.searchsorted(probe, label), len(probe) - 1)
+                path[known + 1 : known + 1 + len(label)] = have + np.cumsum(probe[where] == label)
+                known += len(label)
+            if known == n and path[n] >= need:
+                found.append(i)
+        return found
 
 
 def _verify(batches):
@@ -310,12 +325,12 @@ def _verify(batches):
     for batch in batches:
         a, b, hubs, grams = (batch[c] for c in ("a", "b", "grams_a", "grams_b"))
         ids, keep = a.to_numpy(zero_copy_only=False), []
-        cuts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]) if len(ids) else []
+        cuts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]).tolist() if len(ids) else []
         for lo, hi in zip(cuts, [*cuts[1:], len(ids)], strict=True):
-            hub = np.frombuffer(hubs[int(lo)].as_py(), np.uint64)
-            keep += walk(hub, [np.frombuffer(grams[j].as_py(), np.uint64) for j in range(lo, hi)])
-        mask = pa.array(keep, pa.bool_())
-        yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
+            trie = Trie([np.frombuffer(grams[j].as_py(), np.uint64) for j in range(lo, hi)])
+            keep += [lo + j for j in trie.walk(np.frombuffer(hubs[lo].as_py(), np.uint64))]
+        at = pa.array(sorted(keep), pa.int64())
+        yield pa.RecordBatch.from_arrays([a.take(at), b.take(at)], ["a", "b"])
 
 
 def _maybe(batches):
@@ -326,67 +341,135 @@ def _maybe(batches):
         yield batch.select(["a", "b"]).filter(pa.array(may_link(a, na, b, nb, each, each), pa.bool_()))
 
 
-def jaccard_join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and set_key for each document."""
+_PLACE = ["hub", "i", "j"]
+
+
+def _blocks(batches):
+    """The rows of each block, from batches sorted by _PLACE."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x = [batch[c].to_numpy() for c in _PLACE]
+        cuts = (np.flatnonzero(np.any([c[1:] != c[:-1] for c in x], axis=0)) + 1).tolist()
+        if held and any(held[-1][c][0] != batch[c][0] for c in _PLACE):
+            yield pa.Table.from_batches(held)
+            held = []
+        for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+            held.append(batch.slice(lo, hi - lo))
+            if hi < batch.num_rows:
+                yield pa.Table.from_batches(held)
+                held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _possible(batches):
+    """The rows of each block that have a partner of another component on the other side, by size and parity map."""
+    for block in _blocks(batches):
+        key, n, root, outside, probe = (block[c].to_numpy() for c in ("set_key", "n", "root", "outside", "probe"))
+        maps, i, j = block["map"].to_pylist(), np.flatnonzero(probe), np.flatnonzero(~probe)
+        may = (root[i][:, None] != root[j]) & (needed(n[i][:, None], n[j]) <= np.minimum(n[i][:, None], n[j]))
+        may &= ~outside[j] | (key[i][:, None] < key[j])  # both outside the hub's component: one order will do
+        x, y = np.nonzero(may)
+        ok = may_link([maps[k] for k in i], n[i], [maps[k] for k in j], n[j], x, y)
+        rows = np.union1d(i[x[ok]], j[y[ok]])
+        if len(rows):
+            yield from block.select([*_PLACE, "probe", "set_key", "n", "root", "outside"]).take(pa.array(rows)).combine_chunks().to_batches()
+
+
+def _across(batches):
+    """Links between components in each block: its members' trie is walked with its probes; what a link joins is one component then."""
+    for block in _blocks(batches):
+        key, root, outside, probe = (block[c].to_numpy() for c in ("set_key", "root", "outside", "probe"))
+        sets, links = [np.frombuffer(x.as_py(), np.uint64) for x in block["grams"].combine_chunks()], []
+        members, name = np.flatnonzero(~probe), root.copy()
+        trie = Trie([sets[k] for k in members])
+        for i in np.flatnonzero(probe).tolist():
+            skip = (name[members] == name[i]) | (outside[members] & (key[members] < key[i]))
+            if skip.all():
+                continue
+            for j in members[trie.walk(sets[i], skip)].tolist():
+                if name[i] != name[j]:
+                    links.append((int(key[i]), int(key[j])))
+                    name[name == name[j]] = name[i]
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """doc_id, row_key, n, set_key, root and least doc_id of the root's component for each document; root names a component of sets."""
     spark = docs.sparkSession
     common.text_batches(spark)
-    texts = docs.select("doc_id", "text")
+    texts = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"))
     info = common.materialize(texts.mapInArrow(_inform, _INFO))
     levels = spark.sparkContext.broadcast(_levels(info))
-    info = info.filter("slice is null").select("doc_id", "n", "set_key", "map")
-    distinct = info.filter("set_key is not null").groupBy("set_key").agg(F.min("n").alias("n"), F.min("map").alias("map"), F.min("doc_id").alias("doc_id"))
-    nodes = texts.select("text").mapInArrow(_enter(levels), "gram long, set_key long, place long")
-    nodes = nodes.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "gram").sortWithinPartitions("gram", "set_key")
-    met = common.materialize(nodes.mapInArrow(_meet, _MET))
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        """Of these pairs those that link: first by parity maps, then by the sets, which are made anew for the pairs left."""
-        for x in ("a", "b"):
-            pairs = pairs.join(distinct.select(F.col("set_key").alias(x), F.col("n").alias(f"n_{x}"), F.col("map").alias(f"map_{x}")), x)
-        pairs = common.materialize(pairs.mapInArrow(_maybe, "a long, b long"))
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct()
-        ids = common.materialize(distinct.join(wanted, "set_key").select("doc_id").distinct())
-        ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-        sets = texts.join(ids, "doc_id", "left_semi").select("text").mapInArrow(_sets(levels), "set_key long, grams binary").dropDuplicates(["set_key"])
-        both = pairs.join(sets.select(F.col("set_key").alias("b"), F.col("grams").alias("grams_b")), "b").join(sets.select(F.col("set_key").alias("a"), F.col("grams").alias("grams_a")), "a")
-        return common.materialize(both.select("a", "grams_a", "b", "grams_b").mapInArrow(_verify, "a long, b long"))
-
-    tried = common.materialize(met.filter("kind = 0").select("a", "b").distinct())
-    links = linked(tried)
-    members = common.materialize(met.filter("kind = 1").select(F.col("a").alias("gram"), F.col("b").alias("set_key"), "place").distinct())
-    roots, fresh = None, True
-    for turn in range(HUBS + 1):
-        if fresh:
-            roots, fresh = common.materialize(common.components(links)), False
-        if turn == 0 and members.isEmpty():
-            break
-        placed = members.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
-        mixed = placed.groupBy("gram").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct(F.xxhash64("set_key", F.lit(turn)), "set_key", "root")).alias("hub")).filter("low <> high")
-        if turn < HUBS:  # another hub of each node that is not yet one component; a set goes to one hub a turn
-            more = placed.join(mixed.select("gram", "hub.set_key", "hub.root").toDF("gram", "hub", "hub_root"), "gram").filter("root <> hub_root").groupBy("set_key").agg(F.min("hub").alias("hub"))
-            more = more.select(F.least("set_key", "hub").alias("a"), F.greatest("set_key", "hub").alias("b")).distinct()
-        else:  # every pair across components that is left
-            mixed = mixed.select("gram", F.ceil(F.col("size") / BLOCK).alias("blocks"))
-            rest = placed.join(mixed, "gram").join(distinct.select("set_key", "map"), "set_key").withColumn("side", F.pmod(F.xxhash64("set_key"), F.col("blocks"))).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
-            rest = rest.select("gram", "set_key", "root", "place", "map", "side", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"))
-            more = rest.groupBy("gram", "x", "y").applyInPandas(_across, "a long, b long").distinct()
-        more = common.materialize(more.join(tried, ["a", "b"], "left_anti"))
-        if more.isEmpty():
-            continue
-        tried = common.materialize(tried.unionByName(more))
-        found = linked(more)
-        fresh = not found.isEmpty()
-        links = common.materialize(links.unionByName(found)) if fresh else links
-    roots = common.materialize(common.components(links)) if fresh else roots
-    named = info.drop("map").join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
-    named = common.materialize(named)
-    least = named.filter("set_key is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return named.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), "set_key")
+    info = info.filter("slice is null").select("doc_id", "row_key", "n", "set_key", "map")
+    distinct = common.materialize(info.filter("set_key is not null").groupBy("set_key").agg(F.min("n").alias("n"), F.min("map").alias("map"), F.min("doc_id").alias("doc_id"), F.min("row_key").alias("row_key")))
+    nodes = texts.select("text").mapInArrow(_enter(levels), "gram long, at int, n int, set_key long")
+    nodes = nodes.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "gram").sortWithinPartitions("gram", "at", "set_key")
+    met = nodes.mapInArrow(_meet, "hub long, set_key long, n long, may boolean")
+    cells = common.materialize(met.groupBy("hub", "set_key").agg(F.max("n").alias("n"), F.max("may").alias("may")).filter("hub <> set_key"))
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """(set_key, grams) of the sets wanted, made anew from one document each."""
+        rows = common.materialize(distinct.join(wanted, "set_key", "left_semi").select("row_key"))
+        rows = F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+        return texts.join(rows, "row_key", "left_semi").select("text").mapInArrow(_sets(levels), "set_key long, grams binary").dropDuplicates(["set_key"])
+
+    # 1. Hubs. Rows of pairs are as many as cells have members.
+    pairs = cells.filter("may").select(F.col("hub").alias("a"), F.col("set_key").alias("b"))
+    for x in ("a", "b"):
+        pairs = pairs.join(distinct.select(F.col("set_key").alias(x), F.col("n").alias(f"n_{x}"), F.col("map").alias(f"map_{x}")), x)
+    pairs = common.materialize(pairs.mapInArrow(_maybe, "a long, b long"))
+    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct())
+    both = pairs.join(sets.toDF("b", "grams_b"), "b").join(sets.toDF("a", "grams_a"), "a")
+    links = common.materialize(both.select("a", "grams_a", "b", "grams_b").mapInArrow(_verify, "a long, b long"))
+    roots = common.materialize(common.components(links))
+    # 2. Cells of several components.
+    placed = cells.join(roots.toDF("set_key", "root"), "set_key", "left").join(roots.toDF("hub", "hub_root"), "hub", "left")
+    root = F.coalesce("root", "set_key")
+    placed = common.materialize(placed.select("hub", "set_key", "n", root.alias("root"), (root != F.coalesce("hub_root", "hub")).alias("outside")))
+    blocks = lambda rows, grams: F.ceil(F.greatest(rows / BLOCK, grams / BLOCK_GRAMS))
+    mixed = placed.groupBy("hub").agg(blocks(F.count("*"), F.sum("n")).alias("all"), blocks(F.count_if("outside"), F.sum(F.when(F.col("outside"), F.col("n")))).alias("probes"), F.count("*").alias("members"))
+    mixed = common.materialize(mixed.filter("probes > 0 and members > 1").drop("members"))
+    if not mixed.isEmpty():
+        spread = lambda x: F.explode(F.sequence(F.lit(0).cast("long"), F.col(x) - 1))
+        part = lambda x: F.pmod(F.xxhash64("set_key"), F.col(x))
+        held = ["set_key", "n", "map", "root", "outside"]
+        opened = placed.join(mixed, "hub").join(distinct.select("set_key", "map"), "set_key")
+        members = opened.select("hub", part("all").alias("i"), spread("probes").alias("j"), F.lit(False).alias("probe"), *held)
+        probes = opened.filter("outside").select("hub", spread("all").alias("i"), part("probes").alias("j"), F.lit(True).alias("probe"), *held)
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        met = members.unionByName(probes).repartition(parts, *_PLACE).sortWithinPartitions(*_PLACE)
+        met = common.materialize(met.mapInArrow(_possible, "hub long, i long, j long, probe boolean, set_key long, n long, root long, outside boolean"))
+        met = met.join(sets_of(met.select("set_key").distinct()), "set_key").repartition(parts, *_PLACE).sortWithinPartitions(*_PLACE)
+        found = common.materialize(met.mapInArrow(_across, "a long, b long"))
+        if not found.isEmpty():
+            roots = common.materialize(common.components(links.unionByName(found)))
+    named = common.materialize(distinct.select("set_key", "doc_id").join(roots.toDF("set_key", "root"), "set_key", "left").select("set_key", "doc_id", F.coalesce("root", "set_key").alias("root")))
+    least = common.materialize(named.groupBy("root").agg(F.min("doc_id").alias("least")))
+    named = common.materialize(named.drop("doc_id").join(least, "root"))
+    return info.drop("map").join(named, "set_key", "left")
+
+
+def jaccard_join(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and set_key for each document."""
+    component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("least"))
+    return _named(docs).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "set_key")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents without their near copies: of each group the least doc_id stays, once. Documents without words all stay."""
-    kept = jaccard_join(docs).filter("doc_id <=> component_id").groupBy("doc_id").agg(F.max(F.col("set_key").isNotNull()).alias("_has_set"))
-    whole = docs.select(F.struct("*").alias("_doc"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_text"))
-    out = whole.join(kept, F.col("_id").eqNullSafe(F.col("doc_id")))
-    return out.filter("_has_set").dropDuplicates(["_id", "_text"]).unionByName(out.filter("not _has_set")).select("_doc.*")
+    """The documents without their near copies: of each group one row stays, that with the least doc_id, nulls last.
+
+    Of rows with one doc_id the one with the least hash of id and text stays. Documents without words all stay.
+    """
+    named = common.materialize(_named(docs).filter("set_key is not null").select("root", "doc_id", "row_key"))
+    best = common.materialize(named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")).alias("best")))
+    marked = named.join(best, "root").select("row_key", (F.col("row_key") == F.col("best.row_key")).alias("stays"))
+    marked = common.materialize(marked.groupBy("row_key").agg(F.max("stays").alias("stays"), F.count("*").alias("rows")).filter("not stays or rows > 1").select(F.col("row_key").alias("_row"), "stays"))
+    keys = lambda x: F.broadcast(x) if x.count() <= BROADCAST_ROWS else x
+    whole = docs.select(F.struct("*").alias("_doc"), F.xxhash64("doc_id", "text").alias("_row"))
+    rest, again = whole.join(keys(marked.select("_row")), "_row", "left_anti"), marked.filter("stays").select("_row")
+    if not again.isEmpty():  # equal rows of which one stays
+        rest = rest.unionByName(whole.join(keys(again), "_row", "left_semi").dropDuplicates(["_row"]))
+    return rest.select("_doc.*")

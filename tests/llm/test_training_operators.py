@@ -186,58 +186,108 @@ JOIN = ["doc_id", "n_shingles", "component_id"]
 
 
 def test_ngram_join(docs, empty, small):
-    known = docs.filter("doc_id is not null")
-    for df in (known, small):
+    for df in (docs, small):
         same(ngram_join.jaccard_join(df), JOIN, brute.jaccard(pairs(df)))
-    assert ngram_join.jaccard_join(docs).count() == docs.count() and ngram_join.jaccard_join(empty).count() == 0
+    assert ngram_join.jaccard_join(empty).count() == 0
+
 
+def test_null_ids_link(spark):
+    text = words(31, 60)
+    near = lambda *at: " ".join(f"other{k}" if k in at else w for k, w in enumerate(text))
+    rows = [(None, near()), (None, near(0)), (7, near(0, 1)), (None, " ".join(words(32, 30))), (None, None), (9, near()), (9, " ".join(words(33, 30)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    same(ngram_join.jaccard_join(df), JOIN, brute.jaccard(rows))
+    kept = Counter((r["doc_id"], r["text"]) for r in ngram_join.keep_one(df).collect())
+    assert kept == Counter([rows[2], rows[3], rows[4], rows[6]])
 
-def test_large_groups(spark, monkeypatch):
-    """Many copies with edits and a line that all share: stars, other hubs and pairs across components."""
-    monkeypatch.setattr(ngram_join, "SMALL", 4)
-    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+
+def grouped(n=70):
+    """Many copies with edits, and lines that all share: cells whose members are of several components."""
     base, line, texts = words(5, 80), words(6, 12), []
-    for i in range(70):
+    for i in range(n):
         w = list(base)
         for k in random.Random(i).sample(range(80), i % 4):
             w[k] = f"edit{i}"
         texts.append(" ".join(w))
-    texts += [" ".join([*line, *words(100 + i, 3)]) for i in range(40)] + [" ".join([*line, *words(200 + i, 1)]) for i in range(30)]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for i in range(n):  # two or three lots of copies around one passage, not near each other's
+        r = random.Random(1000 + i)
+        texts.append(" ".join([*words(300 + i % 3, 12), *base[:60], *(f"x{i}_{k}" for k in range(r.randrange(2)))]))
+    return texts + [" ".join([*line, *words(100 + i, 3)]) for i in range(40)] + [" ".join([*line, *words(200 + i, 1)]) for i in range(30)]
+
+
+@pytest.mark.parametrize("block, whole, held", [(128, 256, 1 << 16), (4, 3, 7), (1, 2, 1)])
+def test_large_groups(spark, monkeypatch, block, whole, held):
+    for name, value in (("BLOCK", block), ("WHOLE", whole), ("HELD", held)):
+        monkeypatch.setattr(ngram_join, name, value)
+    df = spark.createDataFrame(list(enumerate(grouped())), "doc_id long, text string")
     same(ngram_join.jaccard_join(df), JOIN, brute.jaccard(pairs(df)))
 
 
-def test_walk_and_maps():
+def test_trie_and_maps():
     r = np.random.Generator(np.random.PCG64(1))
     pool = np.unique(r.integers(0, 1 << 60, 3000, dtype=np.uint64))
     hub = np.sort(r.choice(pool, 400, replace=False))
-    members = [np.sort(np.r_[r.choice(hub, 400 - k, replace=False), r.choice(np.setdiff1d(pool, hub), k, replace=False)]) for k in (0, 10, 40, 45, 50, 100, 399)]
+    members = [np.sort(np.r_[r.choice(hub, 400 - k, replace=False), r.choice(np.setdiff1d(pool, hub), k, replace=False)]) for k in (0, 10, 40, 45, 50, 100, 399)] + [hub[:330], hub[:310], hub[90:]]
     true = [180 * len(np.intersect1d(hub, m)) >= 80 * (len(hub) + len(m)) for m in members]
-    assert ngram_join.walk(hub, members) == true
+    assert sorted(ngram_join.Trie(members).walk(hub)) == np.flatnonzero(true).tolist()
+    assert ngram_join.Trie([]).walk(hub) == []
     sizes, each = np.array([len(m) for m in members]), np.arange(len(members))
     maps = ngram_join.may_link([ngram_join.parity(hub)], np.array([len(hub)]), [ngram_join.parity(m) for m in members], sizes, each * 0, each)
-    assert all(may for may, link in zip(maps, true, strict=True) if link) and not maps[-1]
+    assert all(may for may, link in zip(maps, true, strict=True) if link) and not maps[6]
+
+
+def test_trie_against_sets():
+    """Random sets with long shared paths, all against all, with and without sets left out."""
+    r, common_path = random.Random(3), sorted(random.Random(2).sample(range(10_000), 300))
+    sets = [np.array(sorted({*common_path[: r.randrange(200, 300)], *r.sample(range(10_000), r.randrange(40))}), np.uint64) for _ in range(60)]
+    trie = ngram_join.Trie(sets)
+    for step in (1, 7, 256):
+        ngram_join.STEP = step
+        for k, probe in enumerate(sets):
+            true = [i for i, m in enumerate(sets) if 180 * len(np.intersect1d(probe, m)) >= 80 * (len(probe) + len(m))]
+            assert sorted(trie.walk(probe)) == true
+            skip = np.array([i % 3 == k % 3 for i in range(60)])
+            assert sorted(trie.walk(probe, skip)) == [i for i in true if not skip[i]]
+    ngram_join.STEP = 256
 
 
 def test_nodes_longer_than_a_task_holds(monkeypatch):
     import pyarrow as pa
 
     r = random.Random(4)
-    sets = {k: (100 + k % 3 << 32) for k in range(60)}
-    rows = sorted((g, k, n + g) for g, size in ((1, 2), (2, 4), (3, 40), (4, 1), (5, 25), (6, 3)) for k, n in r.sample(sorted(sets.items()), size) for _ in range(r.randint(1, 2)))
+    sets = {k: 100 + k % 9 for k in range(60)}
+    rows = sorted((g, r.randrange(20), n, k) for g, size in ((1, 2), (2, 4), (3, 40), (4, 1), (5, 25), (6, 3)) for k, n in r.sample(sorted(sets.items()), size))
+    rows = sorted(rows + r.sample(rows, 20))
 
     def run(width):
-        batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows[i : i + width], strict=True)], ["gram", "set_key", "place"]) for i in range(0, len(rows), width)]
-        return {tuple(x.values()) for b in ngram_join._meet(batches) for x in b.to_pylist()}
-
-    whole = run(1000)
+        batches = [pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[i : i + width], strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)], ngram_join._ENTRY) for i in range(0, len(rows), width)]
+        return [tuple(x.values()) for b in ngram_join._meet(batches) for x in b.to_pylist()]
+
+    def cells(found):
+        out = defaultdict(bool)
+        for h, k, n, may in found:
+            assert n == sets[k]
+            out[h, k] |= may
+        return out
+
+    fits = lambda a, b: 1 + min(a[2] - a[1], b[2] - b[1]) - 1 >= -(-80 * (a[2] + b[2]) // 180)
+    pairs = {frozenset((a[3], b[3])) for a in rows for b in rows if a[0] == b[0] and a[3] != b[3] and fits(a, b)}
+    whole = cells(run(1000))
+    for width in (1000, 7, 1):
+        got = cells(run(width))
+        assert got == whole or width < 1000
+        met = defaultdict(set)
+        for h, k in got:
+            met[h].add(k)
+        assert all(any(p <= m for m in met.values()) for p in pairs)
+        assert all(frozenset(x) in pairs for x, may in got.items() if may and x[0] != x[1])
     monkeypatch.setattr(ngram_join, "HELD", 5)
-    assert run(1000) == run(7) == run(1) == whole
-    nodes = {g: sorted({(k, n) for h, k, n in rows if h == g}) for g in range(1, 7)}
-    want = {(1, g, k, n) for g in (3, 5) for k, n in nodes[g]}
-    want |= {(0, nodes[g][0][0], k, 0) for g in (3, 5) for k, _ in nodes[g][1:]}
-    want |= {(0, a[0], b[0], 0) for g in (1, 2, 6) for i, a in enumerate(nodes[g]) for b in nodes[g][i + 1 :]}
-    assert whole == want
+    monkeypatch.setattr(ngram_join, "WHOLE", 4)
+    for width in (1000, 7, 1):
+        met = defaultdict(set)
+        for h, k in cells(run(width)):
+            met[h].add(k)
+        assert all(any(p <= m for m in met.values()) for p in pairs)
 
 
 def test_vectors_of_maps():
