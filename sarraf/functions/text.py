@@ -101,11 +101,10 @@ def is_service_row(*values: Column) -> Column:
 
 def reference_tokens(*texts: Column) -> Column:
     """Distinct upper-case references: what follows a number sign, and ESF numbers."""
-    t = F.upper(F.concat_ws(" ", *texts))
-    marked = F.regexp_extract_all(t, F.lit(r"№\s*([^\s,;()]{3,})"), F.lit(1))
-    esf = F.regexp_extract_all(t, F.lit(r"(?U)\b(ESF[A-Z0-9\-]+)"), F.lit(1))
-    clean = F.transform(F.array_union(marked, esf), lambda x: F.regexp_replace(x, r"[\"'«»\s]|[.]+$", ""))
-    return F.array_distinct(F.filter(clean, lambda x: F.length(x) >= 3))
+    t = F.upper(F.concat_ws("\x01", *texts))
+    marked = F.regexp_extract_all(t, F.lit(r"№\s*([A-ZА-Я0-9/_-]{3,})"), F.lit(1))
+    esf = F.regexp_extract_all(t, F.lit(r"(ESF[-A-Z0-9_]+)"), F.lit(1))
+    return F.array_distinct(F.concat(marked, esf))
 
 
 def text_match(c: Column, query: str, wild: bool = False) -> Column:

@@ -29,6 +29,11 @@ def money(c: Column | str) -> Column:
     return F.coalesce(F.sum(c).cast("double"), F.lit(0.0))
 
 
+def turnover(when: Column | None = None) -> Column:
+    """Turnover of payments in tenge."""
+    return money(F.col("amount_kzt") if when is None else F.when(when, F.col("amount_kzt")))
+
+
 def time_series(df: DataFrame, period: str = "month") -> DataFrame:
     form = {"year": "yyyy", "month": "yyyy-MM", "day": "yyyy-MM-dd"}[period]
     out = df.withColumn("bucket", F.date_format(effective(), form)).filter("bucket is not null").groupBy("bucket").agg(money(credit()).alias("credit"), money(debit()).alias("debit"))
@@ -75,11 +80,15 @@ def compare_periods(df: DataFrame, a: tuple[date, date], b: tuple[date, date]) -
 
 def compare_categories(df: DataFrame, a: tuple[date, date], b: tuple[date, date], limit: int = 10) -> DataFrame:
     in_a, in_b = within(*a), within(*b)
-    out = df.filter(in_a | in_b).groupBy(category_of().alias("category")).agg(*(x for p, f in (("a", in_a), ("b", in_b)) for x in (money(F.when(f, credit() + debit())).alias(f"value_{p}"), F.count_if(f).alias(f"transaction_count_{p}"))))
+    out = df.filter(in_a | in_b).groupBy(category_of().alias("category")).agg(*(x for p, f in (("a", in_a), ("b", in_b)) for x in (turnover(f).alias(f"value_{p}"), F.count_if(f).alias(f"transaction_count_{p}"))))
     out = out.withColumn("delta", F.round(F.col("value_b") - F.col("value_a"), 2)).withColumn("delta_percent", delta_percent(F.col("value_a"), F.col("value_b")))
     return out.orderBy(F.abs("delta").desc(), F.desc("value_b"), F.desc("value_a"), "category").limit(limit)
 
 
+#: Fixed value: the category of cash withdrawals.
+CASH_CATEGORY = "Снятие наличных"
+
+
 def compare_anomalies(metrics: DataFrame, categories: DataFrame) -> DataFrame:
     """Up to four notable changes between two periods, most telling first."""
     m = metrics.select(
@@ -87,9 +96,16 @@ def compare_anomalies(metrics: DataFrame, categories: DataFrame) -> DataFrame:
         .when((F.col("label") == "count") & (F.col("percent") >= 30), F.struct(F.lit(2).alias("rank"), F.lit("count_growth").alias("message"), F.col("percent").alias("value")))
         .when((F.col("label") == "parties") & (F.col("absolute") >= 5), F.struct(F.lit(3).alias("rank"), F.lit("more_parties").alias("message"), F.col("absolute").alias("value"))).alias("x")
     )
-    cash_word = F.lower("category").contains("налич")
-    c = categories.select(F.when(cash_word & (F.col("delta_percent") >= 100), F.struct(F.lit(4).alias("rank"), F.concat(F.lit("cash_growth: "), F.col("category")).alias("message"), F.col("delta_percent").alias("value"))).when((F.col("value_a") == 0) & (F.col("value_b") > 0), F.struct(F.lit(5).alias("rank"), F.concat(F.lit("new_category: "), F.col("category")).alias("message"), F.col("value_b").alias("value"))).alias("x"))
-    first = m.unionByName(c).filter("x is not null").select("x.*").withColumn("n", F.row_number().over(Window.partitionBy("rank").orderBy(F.desc("value"), "message"))).filter("n = 1")  # at most five rows
+    place = F.row_number().over(Window.orderBy(F.abs("delta").desc(), F.desc("value_b"), F.desc("value_a"), "category"))  # a row a category
+    cash_row = (F.col("category") == CASH_CATEGORY) & (F.col("delta_percent") >= 100)
+    new_row = (F.col("value_a") <= 0) & (F.col("value_b") > 0)
+    said = F.array_compact(F.array(
+        F.when(cash_row, F.struct(F.lit(4).alias("rank"), F.lit("cash_growth").alias("message"), F.col("delta_percent").alias("value"), "place")),
+        F.when(new_row, F.struct(F.lit(5).alias("rank"), F.concat(F.lit("new_category: "), F.col("category")).alias("message"), F.col("value_b").alias("value"), "place")),
+    ))
+    c = categories.withColumn("place", place).select(F.explode(said).alias("x"))
+    m = m.filter("x is not null").select("x.*").withColumn("place", F.lit(0))
+    first = m.unionByName(c.select("x.*")).withColumn("n", F.row_number().over(Window.partitionBy("rank").orderBy("place"))).filter("n = 1")  # at most five rows
     return first.select("message", "value", "rank").orderBy("rank").limit(4).drop("rank")
 
 
@@ -105,7 +121,7 @@ def top_expenses(df: DataFrame, kind: str = "debit", limit: int = 10) -> DataFra
 
 def party_totals(df: DataFrame, order: str) -> DataFrame:
     return sides(df).withColumn("key", key(order)).filter("key is not null").groupBy("key").agg(
-        *party_columns(), money(F.when(F.col("side") == "receiver", credit())).alias("total_credit"), money(F.when(F.col("side") == "payer", debit())).alias("total_debit"), money(credit() + debit()).alias("total_turnover"), F.count("*").alias("transaction_count")
+        *party_columns(), money(F.when(F.col("side") == "receiver", credit())).alias("total_credit"), money(F.when(F.col("side") == "payer", debit())).alias("total_debit"), turnover().alias("total_turnover"), F.count("*").alias("transaction_count")
     )
 
 
@@ -116,13 +132,13 @@ def top_counterparties(df: DataFrame, limit: int = 20) -> DataFrame:
 def counterparty_search(df: DataFrame, query: str, limit: int = 20) -> DataFrame:
     match = text.any_of(text.text_match(F.col("name"), query), F.col("iin_bin").contains(query), text.norm_account(F.col("account")).contains(text.norm_account(F.lit(query))))
     part = sides(df).filter(match).withColumn("key", key("account")).filter("key is not null")
-    out = part.groupBy("key").agg(*party_columns(), money(credit() + debit()).alias("total_turnover"), F.count("*").alias("transaction_count"))
+    out = part.groupBy("key").agg(*party_columns(), turnover().alias("total_turnover"), F.count("*").alias("transaction_count"))
     return out.orderBy(F.desc("total_turnover"), F.desc("transaction_count"), "key").limit(limit)
 
 
 def category_summary(df: DataFrame, limit: int = 50) -> DataFrame:
-    out = df.groupBy(category_of().alias("category")).agg(F.count("*").alias("transaction_count"), money(credit() + debit()).alias("total_turnover"), money(debit()).alias("total_debit"), money(credit()).alias("total_credit"))
-    return out.orderBy(F.desc("total_turnover"), "category").limit(limit)
+    out = df.groupBy(category_of().alias("category")).agg(F.count("*").alias("transaction_count"), turnover().alias("total_turnover"), money(debit()).alias("total_debit"), money(credit()).alias("total_credit"))
+    return out.orderBy(F.desc("transaction_count"), F.desc("total_turnover"), "category").limit(limit)
 
 
 def cash_top(df: DataFrame, kind: str = "withdrawal", limit: int = 10) -> DataFrame:

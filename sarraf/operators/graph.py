@@ -15,7 +15,7 @@ VALID = lambda c: ~text.is_unknown_iin(F.col(c))
 def edges(df: DataFrame) -> DataFrame:
     """source < target, amount and payments between two valid ids; no self-loops."""
     pair = df.filter(VALID("payer_iin_bin") & VALID("receiver_iin_bin") & (F.col("payer_iin_bin") != F.col("receiver_iin_bin")))
-    return pair.groupBy(F.least("payer_iin_bin", "receiver_iin_bin").alias("source"), F.greatest("payer_iin_bin", "receiver_iin_bin").alias("target")).agg(money(F.col("amount_credit") + F.col("amount_debit")).alias("amount"), F.count("*").alias("tx_count"))
+    return pair.groupBy(F.least("payer_iin_bin", "receiver_iin_bin").alias("source"), F.greatest("payer_iin_bin", "receiver_iin_bin").alias("target")).agg(money("amount_kzt").alias("amount"), F.count("*").alias("tx_count"))
 
 
 def both_ways(e: DataFrame) -> DataFrame:
@@ -71,7 +71,7 @@ def merge_by_name(nodes: DataFrame, e: DataFrame) -> tuple[DataFrame, DataFrame]
 def top_nodes(df: DataFrame, limit: int) -> DataFrame:
     """Ids by turnover on both sides; invalid ids go after the cut."""
     pair = F.explode(F.array(F.struct(F.col("payer_iin_bin").alias("id")), F.struct(F.col("receiver_iin_bin").alias("id"))))
-    total = df.select(pair.alias("x"), (F.col("amount_credit") + F.col("amount_debit")).alias("a")).select("x.id", "a").groupBy("id").agg(money("a").alias("turnover"))
+    total = df.select(pair.alias("x"), F.col("amount_kzt").alias("a")).select("x.id", "a").groupBy("id").agg(money("a").alias("turnover"))
     return total.orderBy(F.desc("turnover"), F.asc_nulls_last("id")).limit(limit).filter(VALID("id"))
 
 

@@ -55,21 +55,26 @@ def tokens(*cols: str) -> Column:
 
 
 def plain_token(c: str) -> Column:
-    t = F.upper(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"[\"'«»\s№]", ""))
-    return F.when(F.length(t) >= 3, t)
+    return F.nullif(F.upper(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"[\"'\s]", "")), F.lit(""))
 
 
-def reconcile(ledger: DataFrame, invoices: DataFrame, amount: str = "amount_kzt", tolerance: float = 1.0) -> DataFrame:
-    """Invoices whose matched payments differ from their total.
+def reconcile(ledger: DataFrame, invoices: DataFrame, tolerance: float = 1.0) -> DataFrame:
+    """Invoices whose matched payments differ from their total: difference is the invoice's total less the payments.
 
-    A payment matches an invoice that shares a reference token with it. Tokens are exploded on both sides and
-    joined by equality; a pair that shares several tokens counts once.
+    A payment of a bank matches an invoice that shares a reference token with it, and counts with the greatest of
+    its credit, debit and tenge. Tokens are exploded on both sides and joined by equality; payments are first
+    summed up by their set of tokens, so one frequent token does not bring all its payments to each invoice.
     """
-    paid = ledger.select("project_id", "tx_id", F.col(amount).alias("paid"), F.explode(tokens("purpose_text", "raw_note")).alias("token"))
-    due = invoices.select("project_id", "registration_number", amount_of().alias("due"), F.explode(F.array_distinct(F.array_compact(F.array(plain_token("registration_number"), plain_token("contract_number"))))).alias("token"))
-    pairs = due.join(paid, ["project_id", "token"]).dropDuplicates(["project_id", "registration_number", "tx_id"])
-    out = pairs.groupBy("project_id", "registration_number").agg(F.max("due").cast("double").alias("invoice_total"), money("paid").alias("paid_total"), F.count("*").alias("payments"))
-    return out.withColumn("difference", F.round(F.col("paid_total") - F.col("invoice_total"), 2)).filter(F.abs("difference") >= tolerance)
+    paid = F.greatest(*(F.coalesce(F.col(c), F.lit(0)) for c in ("amount_credit", "amount_debit", "amount_kzt"))).cast("decimal(18,2)")
+    sets = ledger.filter("source_bank <> 'esf'").select("project_id", F.array_sort(tokens("purpose_text", "raw_note", "operation_type_raw")).alias("tokens"), paid.alias("paid")).filter(F.size("tokens") > 0)
+    sets = sets.groupBy("project_id", "tokens").agg(F.sum("paid").alias("paid"), F.count("*").alias("payments")).select("project_id", "tokens", "paid", "payments", F.explode("tokens").alias("token"))
+    own = ["project_id", "registration_number", "contract_number", *(c for c in ("row_hash",) if c in invoices.columns)]
+    due = invoices.groupBy(*own, F.coalesce(F.col("total_amount"), F.lit(0)).cast("decimal(18,2)").alias("due")).agg(F.count("*").alias("copies"))
+    due = due.withColumn("token", F.explode(F.array_distinct(F.array_compact(F.array(plain_token("registration_number"), plain_token("contract_number"))))))
+    pairs = due.join(sets, ["project_id", "token"]).dropDuplicates([*own, "due", "tokens"])
+    out = pairs.groupBy(*own, "due").agg(money("paid").alias("paid_total"), F.sum("payments").alias("payments"), F.max("copies").alias("copies"))
+    out = out.withColumn("invoice_total", F.col("due").cast("double")).withColumn("difference", F.round(F.col("invoice_total") - F.col("paid_total"), 2)).filter(F.abs("difference") >= tolerance)
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*own, "invoice_total", "paid_total", "payments", "difference")
 
 
 def invoice_shadow(invoices: DataFrame, ledger: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -128,17 +128,27 @@ def e3_compare_periods(spark, d):
     return analytics.compare_periods(ledger(spark, d), A_YEAR, B_YEAR)
 
 
-@query(f"""{_L}, g AS (SELECT {_CATEGORY} AS category, {_MONEY(f"CASE WHEN year({_TS}) = 1995 THEN amount_credit + amount_debit END")} AS value_a, count(CASE WHEN year({_TS}) = 1995 THEN 1 END) AS transaction_count_a,
-  {_MONEY(f"CASE WHEN year({_TS}) = 1996 THEN amount_credit + amount_debit END")} AS value_b, count(CASE WHEN year({_TS}) = 1996 THEN 1 END) AS transaction_count_b FROM ledger WHERE year({_TS}) IN (1995, 1996) GROUP BY 1)
+@query(f"""{_L}, g AS (SELECT {_CATEGORY} AS category, {_MONEY(f"CASE WHEN year({_TS}) = 1995 THEN amount_kzt END")} AS value_a, count(CASE WHEN year({_TS}) = 1995 THEN 1 END) AS transaction_count_a,
+  {_MONEY(f"CASE WHEN year({_TS}) = 1996 THEN amount_kzt END")} AS value_b, count(CASE WHEN year({_TS}) = 1996 THEN 1 END) AS transaction_count_b FROM ledger WHERE year({_TS}) IN (1995, 1996) GROUP BY 1)
   SELECT *, round(value_b - value_a, 2) AS delta, CASE WHEN abs(value_a) < 1e-9 THEN CASE WHEN abs(value_b) < 1e-9 THEN CAST(0 AS DOUBLE) END ELSE round((value_b - value_a) / abs(value_a) * 100, 2) END AS delta_percent FROM g""")
 def e4_compare_categories(spark, d):
     return analytics.compare_categories(ledger(spark, d), A_YEAR, B_YEAR, 100)
 
 
-@query()
+_SPRING, _AUTUMN = (date(1995, 5, 1), date(1995, 6, 30)), (date(1995, 7, 1), date(1995, 12, 31))
+_IN = lambda p, x: f"CASE WHEN {_TS} >= TIMESTAMP '{p[0]}' AND {_TS} < TIMESTAMP '{p[1] + timedelta(1)}' THEN {x} END"
+_GROWTH = lambda a, b: f"round(({b} - {a}) / abs({a}) * 100, 2)"
+
+
+@query(f"""{_L}, {_SIDES}, m AS (SELECT CAST(sum({_IN(_SPRING, "amount_debit")}) AS DOUBLE) AS da, CAST(sum({_IN(_AUTUMN, "amount_debit")}) AS DOUBLE) AS db, CAST(count({_IN(_SPRING, "1")}) AS DOUBLE) AS na, CAST(count({_IN(_AUTUMN, "1")}) AS DOUBLE) AS nb FROM ledger),
+  u AS (SELECT CAST(count(DISTINCT {_IN(_AUTUMN, _key("account"))}) - count(DISTINCT {_IN(_SPRING, _key("account"))}) AS DOUBLE) AS more FROM sides),
+  c AS (SELECT {_CATEGORY} AS category, {_MONEY(_IN(_SPRING, "amount_kzt"))} AS va, {_MONEY(_IN(_AUTUMN, "amount_kzt"))} AS vb FROM ledger GROUP BY 1),
+  w AS (SELECT 1 AS rank, 'debit_growth' AS message, {_GROWTH("da", "db")} AS value FROM m WHERE {_GROWTH("da", "db")} >= 50 UNION ALL SELECT 2, 'count_growth', {_GROWTH("na", "nb")} FROM m WHERE {_GROWTH("na", "nb")} >= 30
+    UNION ALL SELECT 3, 'more_parties', more FROM u WHERE more >= 5 UNION ALL SELECT 4, 'cash_growth', {_GROWTH("va", "vb")} FROM c WHERE category = 'Снятие наличных' AND {_GROWTH("va", "vb")} >= 100
+    UNION ALL (SELECT 5, concat('new_category: ', category), vb FROM c WHERE va <= 0 AND vb > 0 ORDER BY abs(vb - va) DESC, category LIMIT 1)) SELECT message, value FROM w ORDER BY rank LIMIT 4""")
 def e5_compare_anomalies(spark, d):
     x = ledger(spark, d)
-    return analytics.compare_anomalies(analytics.compare_periods(x, A_YEAR, B_YEAR), analytics.compare_categories(x, A_YEAR, B_YEAR, 100))
+    return analytics.compare_anomalies(analytics.compare_periods(x, _SPRING, _AUTUMN), analytics.compare_categories(x, _SPRING, _AUTUMN, 100))
 
 
 @query(f"{_L}, {_SIDES} SELECT count(DISTINCT {_key('account')}) AS unique_counterparties FROM sides")
@@ -154,18 +164,18 @@ def e7_top_expenses(spark, d):
 
 
 @query(f"""{_L}, {_SIDES} SELECT {_key("name")} AS key, {_PARTY}, {_MONEY("CASE WHEN side = 'receiver' THEN amount_credit END")} AS total_credit, {_MONEY("CASE WHEN side = 'payer' THEN amount_debit END")} AS total_debit,
-  {_MONEY("amount_credit + amount_debit")} AS total_turnover, count(*) AS transaction_count FROM sides GROUP BY 1 HAVING key IS NOT NULL ORDER BY total_turnover DESC, transaction_count DESC, key LIMIT 50""")
+  {_MONEY("amount_kzt")} AS total_turnover, count(*) AS transaction_count FROM sides GROUP BY 1 HAVING key IS NOT NULL ORDER BY total_turnover DESC, transaction_count DESC, key LIMIT 50""")
 def e8_top_counterparties(spark, d):
     return analytics.top_counterparties(ledger(spark, d), 50)
 
 
-@query(f"""{_L}, {_SIDES} SELECT {_key("account")} AS key, {_PARTY}, {_MONEY("amount_credit + amount_debit")} AS total_turnover, count(*) AS transaction_count FROM sides
+@query(f"""{_L}, {_SIDES} SELECT {_key("account")} AS key, {_PARTY}, {_MONEY("amount_kzt")} AS total_turnover, count(*) AS transaction_count FROM sides
   WHERE contains(lower(name), 'supplier 1') OR contains(iin_bin, 'supplier 1') OR contains(upper(account), 'SUPPLIER1') GROUP BY 1 HAVING key IS NOT NULL ORDER BY total_turnover DESC, transaction_count DESC, key LIMIT 20""")
 def e9_counterparty_search(spark, d):
     return analytics.counterparty_search(ledger(spark, d), "supplier 1", 20)
 
 
-@query(f"{_L} SELECT {_CATEGORY} AS category, count(*) AS transaction_count, {_MONEY('amount_credit + amount_debit')} AS total_turnover, {_MONEY('amount_debit')} AS total_debit, {_MONEY('amount_credit')} AS total_credit FROM ledger GROUP BY 1")
+@query(f"{_L} SELECT {_CATEGORY} AS category, count(*) AS transaction_count, {_MONEY('amount_kzt')} AS total_turnover, {_MONEY('amount_debit')} AS total_debit, {_MONEY('amount_credit')} AS total_credit FROM ledger GROUP BY 1")
 def e10_category_summary(spark, d):
     return analytics.category_summary(ledger(spark, d))
 
@@ -260,11 +270,22 @@ def d1_ledger_view(spark, d):
     return sinks.ledger_view(x, fixtures.statements(x)).select("tx_id", "client_name", F.col("closing_balance").cast("double").alias("closing_balance"), "semantic_text")
 
 
-@query(f"""WITH ledger AS ({LEDGER_SQL}), invoices AS ({INVOICES_SQL}), p AS (SELECT project_id, tx_id, amount_currency, regexp_extract(purpose_text, '№ ([0-9]{{3,}})', 1) AS token FROM ledger WHERE contains(purpose_text, '№')),
-  g AS (SELECT invoices.project_id, registration_number, max(CAST(total_amount AS DOUBLE)) AS invoice_total, {_MONEY("amount_currency")} AS paid_total, count(DISTINCT tx_id) AS payments FROM invoices JOIN p ON p.project_id = invoices.project_id AND token = registration_number WHERE length(token) >= 3 GROUP BY 1, 2)
-  SELECT *, round(paid_total - invoice_total, 2) AS difference FROM g WHERE abs(round(paid_total - invoice_total, 2)) >= 1""")
+_TOKENS = " UNION ".join(f"SELECT project_id, tx_id, unnest(regexp_extract_all(upper({c}), '{p}', 1)) AS token FROM ledger WHERE source_bank <> 'esf'" for c in ("purpose_text", "raw_note", "operation_type_raw") for p in ("№\\s*([A-ZА-Я0-9/_-]{3,})", "(ESF[-A-Z0-9_]+)"))
+_RECONCILED = f"""WITH ledger AS ({LEDGER_SQL}), invoices AS ({INVOICES_SQL}), t AS ({_TOKENS}),
+  i AS (SELECT project_id, registration_number, contract_number, row_hash, CAST(total_amount AS DOUBLE) AS due, unnest([upper(registration_number), upper(contract_number)]) AS token FROM invoices),
+  p AS (SELECT DISTINCT i.project_id, registration_number, contract_number, row_hash, due, tx_id FROM i JOIN t ON t.project_id = i.project_id AND t.token = i.token),
+  g AS (SELECT p.project_id, registration_number, contract_number, row_hash, due AS invoice_total, {_MONEY("greatest(amount_credit, amount_debit, amount_kzt)")} AS paid_total, count(*) AS payments FROM p JOIN ledger ON p.tx_id = ledger.tx_id GROUP BY 1, 2, 3, 4, 5),
+  r AS (SELECT *, round(invoice_total - paid_total, 2) AS difference FROM g WHERE abs(round(invoice_total - paid_total, 2)) >= 1)"""
+
+
+@query(f"{_RECONCILED} SELECT * FROM r")
 def d3_reconcile_invoices(spark, d):
-    return invoices.reconcile(ledger(spark, d), invoice_rows(spark, d), "amount_currency")
+    return invoices.reconcile(ledger(spark, d), invoice_rows(spark, d))
+
+
+@query(f"{_RECONCILED} SELECT project_id, CAST(NULL AS VARCHAR) AS file_id, 'esf_bank_amount_mismatch' AS code, 'medium' AS severity, payments AS n, abs(difference) AS amount, round(paid_total / invoice_total, 4) AS ratio FROM r")
+def f10_invoice_mismatch(spark, d):
+    return detectors.invoice_mismatches(ledger(spark, d), invoice_rows(spark, d)).drop("articles")
 
 
 @query(f"""WITH ledger AS ({LEDGER_SQL}), invoices AS ({INVOICES_SQL}) SELECT concat('esf-', registration_number) AS tx_id, project_id, CAST(total_amount AS DOUBLE) AS amount_kzt, CASE WHEN esf_direction = 'purchase' THEN 'debit' ELSE 'credit' END AS direction, supplier_name AS payer_name
@@ -378,7 +399,7 @@ def h7_drill_party(spark, d):
 
 # --- J: graph ----------------------------------------------------------------------------------------------
 _VALID = "payer_iin_bin NOT IN ('', '0', '000000000000') AND receiver_iin_bin NOT IN ('', '0', '000000000000') AND payer_iin_bin <> receiver_iin_bin"
-_EDGES = f"e AS (SELECT least(payer_iin_bin, receiver_iin_bin) AS source, greatest(payer_iin_bin, receiver_iin_bin) AS target, {_MONEY('amount_credit + amount_debit')} AS amount, count(*) AS tx_count FROM ledger WHERE {_VALID} GROUP BY 1, 2)"
+_EDGES = f"e AS (SELECT least(payer_iin_bin, receiver_iin_bin) AS source, greatest(payer_iin_bin, receiver_iin_bin) AS target, {_MONEY('amount_kzt')} AS amount, count(*) AS tx_count FROM ledger WHERE {_VALID} GROUP BY 1, 2)"
 
 
 @query(f"{_L}, {_EDGES} SELECT * FROM e")
@@ -392,22 +413,30 @@ def j2_neighbourhood(spark, d):
     return graph.neighbourhood(graph.edges(ledger(spark, d)), "900000000001", 2, 6)[0]
 
 
-@query(f"""WITH RECURSIVE ledger AS ({LEDGER_SQL}), {_EDGES}, s AS (SELECT source, target FROM e WHERE amount >= 150000), b AS (SELECT source AS a, target AS b FROM s UNION SELECT target, source FROM s), w AS (SELECT a AS node, a AS root FROM b UNION SELECT b.b, w.root FROM w JOIN b ON b.a = w.node)
-  SELECT node, min(root) AS root FROM w GROUP BY 1""")
+def _components(where: str) -> str:
+    return f"""WITH RECURSIVE ledger AS ({LEDGER_SQL}), {_EDGES}, s AS (SELECT source, target FROM e WHERE {where}), b AS MATERIALIZED (SELECT source AS x, target AS y FROM s UNION SELECT target, source FROM s),
+  w(node, root) USING KEY (node) AS (SELECT DISTINCT x, x FROM b UNION (SELECT b.x, min(w.root) FROM w JOIN b ON w.node = b.y JOIN recurring.w AS u ON u.node = b.x WHERE w.root < u.root GROUP BY b.x)) SELECT node, root FROM w"""
+
+
+#: An edge's sum in tenge from which j5 counts it.
+_STRONG = 71_325_000
+
+
+@query(_components(f"amount >= {_STRONG}"))
 def j5_components(spark, d):
-    strong = graph.edges(ledger(spark, d)).filter("amount >= 150000")
+    strong = graph.edges(ledger(spark, d)).filter(F.col("amount") >= _STRONG)
     return graph.connected_components(strong.select(F.col("source").alias("a"), F.col("target").alias("b")))
 
 
-@query(f"""{_L}, {_EDGES}, p AS (SELECT payer_iin_bin AS id, amount_credit + amount_debit AS a FROM ledger UNION ALL SELECT receiver_iin_bin, amount_credit + amount_debit FROM ledger), t AS (SELECT id, {_MONEY("a")} AS turnover FROM p GROUP BY 1 ORDER BY turnover DESC, id NULLS LAST LIMIT 60),
+@query(f"""{_L}, {_EDGES}, p AS (SELECT payer_iin_bin AS id, amount_kzt AS a FROM ledger UNION ALL SELECT receiver_iin_bin, amount_kzt FROM ledger), t AS (SELECT id, {_MONEY("a")} AS turnover FROM p GROUP BY 1 ORDER BY turnover DESC, id NULLS LAST LIMIT 500),
   c AS (SELECT * FROM e WHERE source IN (SELECT id FROM t) AND target IN (SELECT id FROM t)) SELECT id, round(sum(amount), 2) AS total_turnover FROM (SELECT source AS id, amount FROM c UNION ALL SELECT target, amount FROM c) GROUP BY 1""")
 def j4_global_graph(spark, d):
-    return graph.global_graph(ledger(spark, d), 60)[0].select("id", "total_turnover")
+    return graph.global_graph(ledger(spark, d), 500)[0].select("id", "total_turnover")
 
 
-@query()
+@query(_components("true"))
 def j6_all_components(spark, d):
-    """Components of the whole graph: every edge, whatever its sum. Recursive SQL over all edges would not end in useful time."""
+    """Components of the whole graph: every edge, whatever its sum."""
     return graph.connected_components(graph.edges(ledger(spark, d)).select(F.col("source").alias("a"), F.col("target").alias("b")))
 
 

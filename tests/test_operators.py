@@ -108,7 +108,7 @@ def test_reconcile(spark):
     inv = spark.createDataFrame([("p", "ESF-100", "D-7", 1000.0), ("p", "ESF-200", None, 500.0), ("p", "ESF-300", None, 9.0)], "project_id string, registration_number string, contract_number string, total_amount double").withColumns({c: F.lit(None).cast("double") for c in ("cost_with_indirect_tax", "turnover_amount", "cost_without_indirect_tax")})
     pay = ledger(spark, [tx(1, 1, debit=400, purpose="Оплата ESF-100 по № D-7"), tx(2, 2, debit=500, purpose="за ESF-200"), tx(3, 2, debit=1, purpose="прочее")])
     got = [(r["registration_number"], r["paid_total"], r["payments"], r["difference"]) for r in invoices.reconcile(pay, inv).collect()]
-    assert got == [("ESF-100", 400.0, 1, -600.0)]
+    assert got == [("ESF-100", 400.0, 1, 600.0)]
 
 
 def test_upsert_is_idempotent(spark):
