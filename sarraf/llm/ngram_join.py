@@ -414,7 +414,8 @@ def _named(docs: DataFrame) -> DataFrame:
         """(set_key, grams) of the sets wanted, made anew from one document each."""
         rows = common.materialize(distinct.join(wanted, "set_key", "left_semi").select("row_key"))
         rows = F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
-        return texts.join(rows, "row_key", "left_semi").select("text").mapInArrow(_sets(levels), "set_key long, grams binary").dropDuplicates(["set_key"])
+        found = texts.join(rows, "row_key", "left_semi").select("text").mapInArrow(_sets(levels), "set_key long, grams binary")
+        return common.materialize(found.dropDuplicates(["set_key"]))  # so that a hub with many members is a join that Spark can split
 
     # 1. Hubs. Rows of pairs are as many as cells have members.
     pairs = cells.filter("may").select(F.col("hub").alias("a"), F.col("set_key").alias("b"))
