@@ -5,15 +5,21 @@ density, those of the blocks before and after it, and what its enclosing element
 aside, form, article, names of classes and ids). A decision tree trained on the small labelled table below
 tells main text from the rest; it is trained by Spark on every use and then walked inside the tasks.
 
+What elements say: html and body say nothing; article and main begin anew, unless they stand in a nav, header,
+aside or footer or are themselves a comment; names such as no-sidebar or has-sidebar say nothing.
+
 Defined cases: null and empty html give an empty text; unclosed and unknown tags, lone `<` and truncated
-references are taken as browsers do; scripts, styles, comments, titles and form controls hold no text; equal rows
-count each; an empty table gives no rows; other columns are ignored.
+references are taken as browsers do; scripts, styles, comments, titles and form controls hold no text; null
+page_id and url are kept; equal rows count each; an empty table gives no rows; other columns are ignored. Time is
+linear in the page's length, however deep its elements are.
 """
 
 from __future__ import annotations
 
 import html as references
 import re
+from collections import Counter
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,36 +30,58 @@ from . import common
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style noscript template textarea select button iframe object svg math title head canvas audio video".split())
-#: Words in names of elements, classes and ids, by what they say of a block.
-MENU = frozenset("nav menu navbar navigation breadcrumb breadcrumbs header masthead toolbar tabs pagination pager footer colophon copyright".split())
-SIDE = frozenset("aside sidebar related widget ad ads advert advertisement adsense banner promo sponsor sponsored cookie cookies consent notice notices alert popup modal newsletter subscribe share social".split())
+#: Words in names of elements, classes, ids and roles, by what they say of a block.
+MENU = frozenset("nav menu navbar navigation breadcrumb breadcrumbs header masthead toolbar tabs pagination pager footer colophon copyright contentinfo".split())
+SIDE = frozenset("aside sidebar related widget ad ads advert advertisement adsense banner promo sponsor sponsored cookie cookies consent notice notices alert popup modal newsletter subscribe share social complementary".split())
 TALK = frozenset("comment comments respond replies disqus form login signup search".split())
 BODY = frozenset("article main post content entry story body-text".split())
+#: Elements that an article inside them does not leave, and first parts of names that speak of the layout only.
+FIRM = frozenset("nav header aside footer".split())
+LAYOUT = frozenset("no has with without is not hide show".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>?", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>?", re.S)
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_SPACE = re.compile(r"[\s ]+")
+_SPACE = re.compile(r"[\s ]+")
 _END = {x: re.compile(rf"</{x}\b[^>]*>?", re.I) for x in ("script", "style", "textarea", "title", "noscript", "iframe", "template")}
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "menu", "side", "talk", "body", "loose")
 
 
-def _says(tag: str, attributes: str) -> tuple[int, int, int, int]:
-    names = {tag}
-    for m in _NAMED.finditer(attributes):
-        for name in (m[1] or m[2] or m[3] or "").lower().split():
-            names |= {name, *re.split(r"[-_]", name)}
-    return tuple(int(bool(names & x)) for x in (MENU, SIDE, TALK, BODY))
+class _Inside(NamedTuple):
+    """What holds for text at one place: flags menu, side, talk and body; if a FIRM element encloses it; silent elements and links."""
+
+    flags: tuple[int, int, int, int] = (0, 0, 0, 0)
+    firm: bool = False
+    silent: bool = False
+    linked: bool = False
+
+
+def _within(outer: _Inside, tag: str, attributes: str) -> _Inside:
+    """What holds inside this element."""
+    outer = outer._replace(silent=outer.silent or tag in SILENT, linked=outer.linked or tag == "a")
+    if tag in ("html", "body") or (tag not in BLOCKS and not attributes):
+        return outer
+    whole = [name for m in _NAMED.finditer(attributes) for name in (m[1] or m[2] or m[3] or "").lower().split()]
+    if tag in ("article", "main"):
+        kept = outer.flags if outer.firm else (0, 0, 0, 0)
+        return outer._replace(flags=(kept[0], kept[1], max(kept[2], int(not TALK.isdisjoint(whole))), 1))
+    names = {tag, *whole}
+    for name in whole:
+        parts = re.split(r"[-_]", name)
+        names.update(parts if parts[0] not in LAYOUT else ())
+    says = [int(not names.isdisjoint(x)) for x in (MENU, SIDE, TALK, BODY)]
+    return outer._replace(flags=tuple(map(max, outer.flags, says)), firm=outer.firm or tag in FIRM)
 
 
 def blocks(page: str) -> list[list]:
     """[text, words, share of words in links, menu, side, talk, body] of each block."""
-    out, parts, stack, at = [], [], [], 0
-    linked = 0
+    out, parts, at = [], [], 0
+    stack: list[tuple[str, _Inside]] = [("", _Inside())]
+    open_: Counter[str] = Counter()
 
     def say(text: str) -> None:
-        if text and not any(s[0] in SILENT for s in stack):
-            parts.append((references.unescape(text), linked > 0))
+        if text and not stack[-1][1].silent:
+            parts.append((references.unescape(text), stack[-1][1].linked))
 
     def end() -> None:
         nonlocal parts
@@ -61,10 +89,16 @@ def blocks(page: str) -> list[list]:
         if text:
             words = len(text.split(" "))
             inside = sum(len(x.split()) for x, link in parts if link)
-            flags = [max((s[1][k] for s in stack), default=0) for k in range(4)]
-            out.append([text, words, min(1.0, inside / words), *flags])
+            out.append([text, words, min(1.0, inside / words), *stack[-1][1].flags])
         parts = []
 
+    def close(tag: str) -> None:
+        while open_[tag]:
+            name, _ = stack.pop()
+            open_[name] -= 1
+            if name == tag:
+                break
+
     for m in _TOKEN.finditer(page):
         say(page[at : m.start()]) if m.start() > at else None
         if m.start() < at:
@@ -76,29 +110,26 @@ def blocks(page: str) -> list[list]:
         if tag in BLOCKS:
             end()
         if m[1]:
-            if tag == "a":
-                linked = max(0, linked - 1)
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            close(tag)
         elif tag in _END:
             found = _END[tag].search(page, at)
             at = found.end() if found else len(page)
         elif tag not in VOID and not m[3].rstrip().endswith("/"):
-            if tag == "a":
-                linked += 1
-            if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == tag:
-                stack.pop()  # closed by the next of its kind
-            stack.append((tag, _says(tag, m[3])))
+            if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option", "a") and stack[-1][0] == tag:
+                close(tag)  # closed by the next of its kind
+            if tag == "body":
+                close("head")
+            stack.append((tag, _within(stack[-1][1], tag, m[3])))
+            open_[tag] += 1
     say(page[at:]) if at < len(page) else None
     end()
     return out
 
 
 def features(found: list[list]) -> list[list[float]]:
-    """FEATURES of each block; page ends count as empty blocks. loose: the page names no body."""
-    named, none = any(b[6] for b in found), ["", 0, 0.0]
+    """FEATURES of each block; page ends count as empty blocks. loose: no named body holds a fair part of the page's words."""
+    free = [b for b in found if not (b[3] or b[4] or b[5])]
+    named, none = sum(b[1] for b in free if b[6]) * 4 > sum(b[1] for b in free), ["", 0, 0.0]
     rows = []
     for i, b in enumerate(found):
         before, after = found[i - 1] if i else none, found[i + 1] if i + 1 < len(found) else none
@@ -107,24 +138,33 @@ def features(found: list[list]) -> list[list[float]]:
 
 
 def labelled() -> list[tuple]:
-    """The small labelled table: blocks of made-up layouts, label 1 for main text.
+    """The small labelled table: blocks of made-up pages, label 1 for main text.
 
-    Each layout lists its blocks as (words, share in links, menu, side, talk, body, label); lengths vary by rule.
+    A page lists its blocks as (words, share in links, menu, side, talk, body, label); lengths vary by rule. Names
+    decide only where there are some. Elsewhere runs of links are menus, also within an article, and short lines
+    among them belong to them, while a lone link, a heading or a short paragraph beside text is main text.
     """
     rows = []
     for size in (1, 3, 8, 20, 60, 150):
-        short = max(1, size // 3)
-        menu = [(n, 1.0, 1, 0, 0, 0, 0) for n in (1, 1, 2, 1, 3)]
-        foot = [(short + 2, 0.0, 1, 0, 0, 0, 0), (4, 0.5, 1, 0, 0, 0, 0)]
-        story = [(7, 0.0, 0, 0, 0, 1, 1), (size, 0.0, 0, 0, 0, 1, 1), (short, 0.0, 0, 0, 0, 1, 1), (size + 5, 0.2, 0, 0, 0, 1, 1), (2, 1.0, 0, 0, 0, 1, 1), (size, 0.0, 0, 0, 0, 1, 1)]
-        advert, talk = [(size, 0.0, 0, 1, 0, 0, 0)], [(size, 0.0, 0, 0, 1, 0, 0), (short, 0.0, 0, 0, 1, 0, 0)]
-        inner = [(size, 0.0, 0, 1, 0, 1, 0), (size, 0.0, 0, 0, 1, 1, 0), (2, 1.0, 1, 0, 0, 1, 0)]
-        plain = [(size + 12, 0.0, 0, 0, 0, 0, 1), (size + 25, 0.1, 0, 0, 0, 0, 1), (size + 12, 0.0, 0, 0, 0, 0, 1)]
-        stray = [(2, 1.0, 0, 0, 0, 0, 0), (3, 1.0, 0, 0, 0, 0, 0), (1, 0.0, 0, 0, 0, 0, 0)]
-        beside = [(size, 0.0, 0, 0, 0, 0, 0), (short, 0.4, 0, 0, 0, 0, 0)]
-        for layout in ([*menu, *advert, *story, *foot], [*menu, *story, *talk, *foot], [*menu, *story[:2], *inner, *story[2:], *foot], [*beside, *story, *beside], [*stray, *plain, *stray], [*menu, *plain, *advert, *foot]):
-            found = [["", n, links, a, b, c, d] for n, links, a, b, c, d, _ in layout]
-            rows += [(*f, float(x[-1])) for f, x in zip(features(found), layout, strict=True)]
+        short, named, plain = max(1, size // 3), (0, 0, 0, 1), (0, 0, 0, 0)
+        text = lambda n, says, links=0.0: (n, links, *says, 1)
+        rest = lambda n, says, links=0.0: (n, links, *says, 0)
+        story = lambda says: [text(7, says), text(size, says), text(short, says), text(size + 5, says, 0.2), text(2, says, 1.0), text(size, says), text(size + 9, says, 0.4), text(3, says), text(size + 30, says), text(3, says, 1.0), text(size, says), text(4, says), text(1, says, 1.0), text(12, says), text(6, says, 0.8), text(size + 2, says)]
+        links = lambda says: [rest(n, says, share) for n, share in ((1, 1.0), (2, 1.0), (1, 1.0), (4, 0.9), (3, 1.0), (6, 1.0))]
+        lines = lambda says: [rest(1, says, 1.0), rest(2, says, 1.0), rest(2, says), rest(3, says, 1.0), rest(1, says, 1.0)]
+        bits = lambda says: [text(n, says) for n in (1, 12, 2, size, 2, 1, 40, 1, 1, 8, 2, 70, 3, 1)]
+        menu, foot = links((1, 0, 0, 0)), [rest(short + 2, (1, 0, 0, 0)), rest(4, (1, 0, 0, 0), 0.5)]
+        advert, talk = [rest(size, (0, 1, 0, 0))], [rest(size, (0, 0, 1, 0)), rest(short, (0, 0, 1, 0))]
+        inner = [rest(size, (0, 1, 0, 1)), rest(size, (0, 0, 1, 1)), rest(2, (1, 0, 0, 1), 1.0)]
+        beside = [rest(size, plain), rest(short, plain), rest(size + 5, plain, 0.4), rest(4, plain), rest(1, plain), rest(size + 30, plain)]
+        pages = [
+            [*menu, *advert, *story(named), *foot], [*menu, *story(named), *talk, *foot], [*menu, *story(named)[:2], *inner, *story(named)[2:], *foot], [*beside, *story(named), *beside], [*links(plain), *story(named), *beside],
+            [*story(named)[:3], *links(named), *story(named)[1:]], [*story(named), *lines(named)], [*menu, *beside, *bits(named), *foot], [*advert, *bits(named), *beside], [*bits(plain)], [*links(plain), *bits(plain)[1:], *foot],
+            [*links(plain), *story(plain), *lines(plain)], [*lines(plain), *story(plain)], [*menu, *story(plain), *advert, *foot], [text(size, plain)], [text(9, plain), text(size, plain)], [*links(plain), text(size + 5, plain), text(short + 4, plain)],
+        ]
+        for page in pages:
+            found = [["", n, share, a, b, c, d] for n, share, a, b, c, d, _ in page]
+            rows += [(*f, float(x[-1])) for f, x in zip(features(found), page, strict=True)]
     return rows
 
 
@@ -134,7 +174,7 @@ def train(spark: SparkSession) -> tuple:
     from pyspark.ml.feature import VectorAssembler
 
     rows = spark.createDataFrame(labelled(), ", ".join(f"{x} double" for x in (*FEATURES, "label"))).coalesce(1)
-    model = DecisionTreeClassifier(maxDepth=6, minInstancesPerNode=2, seed=7).fit(VectorAssembler(inputCols=[*FEATURES], outputCol="features").transform(rows))
+    model = DecisionTreeClassifier(maxDepth=8, minInstancesPerNode=2, seed=7).fit(VectorAssembler(inputCols=[*FEATURES], outputCol="features").transform(rows))
 
     def plain(node):
         if node.subtreeDepth() == 0:

@@ -144,6 +144,62 @@ def test_main_text(spark, sf):
         assert found[r["page_id"]] == (want, len(want))
 
 
+@pytest.fixture(scope="module")
+def tree(spark):
+    return html_blocks.train(spark)
+
+
+def main_text(tree, page):
+    found = html_blocks.blocks(page)
+    return [b[0] for b, row in zip(found, html_blocks.features(found), strict=True) if html_blocks.classify(tree, row)]
+
+
+LONG = "It has a good many words that stand in one long line of running text, and so it goes on for a while until it ends here at last."
+MENU = "<ul><li><a href=a>Home</a></li><li><a href=b>News and views</a></li><li><a href=c>About</a></li></ul>"
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<body class='has-sidebar'><article><p>{LONG}</p></article></body>", [LONG]),
+        (f"<article class='post sidebar-right'><p>{LONG}</p></article>", [LONG]),
+        ("<body><p>Only nine words stand here in this one.</p></body>", ["Only nine words stand here in this one."]),
+        (f"<div class='no-sidebar'><p>{LONG}</p></div>", [LONG]),
+        (f"<form id=aspnet><div class=search-results><main><h1>Head</h1><p>{LONG}</p></main></div></form>", ["Head", LONG]),
+        (f"<div class=widget><div class=content>{LONG}</div></div><article>{LONG}<aside>More of it</aside></article>", [LONG]),
+        (f"<article>{LONG}</article><div id=comments><article class=comment><p>{LONG}</p></article></div>", [LONG]),
+        (f"<aside><article>{LONG}</article></aside><main>{LONG}</main>", [LONG]),
+        (f"{MENU}<h2>Head of it</h2><p>{LONG}</p><p>Short end.</p><p>{LONG} <a href=x>with a link</a></p>", ["Head of it", LONG, "Short end.", f"{LONG} with a link"]),
+        (f"<article><p>{LONG}</p>{MENU}<p>{LONG}</p></article>", [LONG, LONG]),
+        (f"<article><p>{LONG}</p><p><a href=x>One link</a></p><p>{LONG}</p></article>", [LONG, "One link", LONG]),
+        ("<head><title>x</title><body><p>no end of the head is given here", ["no end of the head is given here"]),
+    ],
+)
+def test_layouts(tree, page, want):
+    assert main_text(tree, page) == want
+
+
+def test_tree_splits(tree):
+    """Link density and neighbours decide where names do not."""
+    splits, held = set(), [tree]
+    while held:
+        node = held.pop()
+        if isinstance(node, tuple):
+            splits.add(html_blocks.FEATURES[node[0]])
+            held += node[2:]
+    assert {"links", "menu", "side", "talk", "body"} <= splits and splits & {"links_before", "links_after"}
+
+
+def test_deep_pages_take_linear_time(tree):
+    import time
+
+    began = time.time()
+    assert len(html_blocks.blocks("<div>x" * 100_000)) == 100_000
+    assert len(html_blocks.blocks("<div>" * 100_000 + "</span>x" * 100_000)) == 1
+    assert html_blocks.blocks("<![CDATA[" * 100_000) == [] and len(html_blocks.blocks("<a href=x>y" * 50_000)) == 1
+    assert time.time() - began < 20
+
+
 # --- 4 language ----------------------------------------------------------------------------------------------
 def test_language(docs, empty, small):
     got = {r["doc_id"]: r for r in lang_id.identify(docs).collect()}
