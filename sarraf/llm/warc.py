@@ -33,6 +33,10 @@ from . import common
 REVISIT_BYTES = 1000
 #: Compressed bytes after which a task begins another archive: a reader holds one at a time.
 ARCHIVE_BYTES = 16 << 20
+#: Compressed bytes that a reader decompresses at once.
+STEP = 4096
+#: Payloads that repeat whose references may be broadcast, at most about 300 bytes each; beyond, the join shuffles.
+BROADCAST_ROWS = 100_000
 
 #: Fixed values of the two ARC versions: the fields of a header line.
 FIELDS = {
@@ -128,13 +132,20 @@ def to_warc(r: ArcRecord, more: dict[str, str], revisit: bool = False) -> bytes:
 
 
 def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields and block of each record of a file of gzip members; checks declared lengths and block digests."""
-    while data:
-        member = zlib.decompressobj(31)
-        record = member.decompress(data)
-        if not member.eof:
-            raise ValueError("a record breaks off")
-        data = member.unused_data
+    """Header fields and block of each record of a file of gzip members; checks declared lengths and block digests.
+
+    A member is fed STEP bytes at a time, so that what follows it is not copied for each record.
+    """
+    view, at_file = memoryview(data), 0
+    while at_file < len(view):
+        member, parts = zlib.decompressobj(31), []
+        while not member.eof:
+            if at_file >= len(view):
+                raise ValueError("a record breaks off")
+            fed = view[at_file : at_file + STEP]
+            parts.append(member.decompress(fed))
+            at_file += len(fed) - len(member.unused_data)
+        record = b"".join(parts)
         at = record.index(b"\r\n\r\n")
         version, *lines = record[:at].decode("utf-8", "surrogateescape").split("\r\n")
         fields = dict(x.split(": ", 1) for x in lines)
@@ -193,7 +204,9 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     rows = pages.select("page_id", "url", "html", F.sha1(html).alias("digest"), F.octet_length(html).alias("size"))
     # The largest page_id of each payload; partial maxima leave one row a payload and task.
     largest = rows.select("page_id", "url", "digest", "size").filter(F.col("size") >= REVISIT_BYTES).groupBy("digest", "size").agg(F.max(F.struct("page_id", "url")).alias("last"), F.count("*").alias("n")).filter("n > 1").select("digest", "size", "last")
-    joined = rows.join(largest, ["digest", "size"], "left")
+    largest = common.materialize(largest)
+    small = largest.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("last.url")), F.lit(0))).first()
+    joined = rows.join(F.broadcast(largest) if small[0] <= BROADCAST_ROWS and small[1] <= 200 * BROADCAST_ROWS else largest, ["digest", "size"], "left")
     original = F.when(F.col("last").isNotNull() & ~F.col("last.page_id").eqNullSafe(F.col("page_id")), F.col("last"))
     common.text_batches(pages.sparkSession)
     return common.materialize(joined.select("page_id", "url", "html", original.alias("original")).mapInArrow(_write(folder), "name string, records long"))
@@ -212,9 +225,9 @@ def _read(batches):
 
 def read_archives(spark: SparkSession, folder: str, names: DataFrame) -> DataFrame:
     """One row per record of the named archives."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # an archive is up to ARCHIVE_BYTES and a record long
+    common.text_batches(spark)  # a batch ends with the first archive, which is up to ARCHIVE_BYTES and a record long
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
-    names = F.broadcast(names.select("name")) if names.count() <= 1_000_000 else names.select("name")
+    names = F.broadcast(names.select("name")) if names.count() <= BROADCAST_ROWS else names.select("name")
     return files.join(names, "name", "left_semi").select("content").mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, url string")
 
 
