@@ -105,8 +105,12 @@ def train(docs: DataFrame) -> Model:
     """Counts bytes in context over the sample; at most SAMPLE documents a language are read whole."""
     common.text_batches(docs.sparkSession)
     labelled = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    place = F.xxhash64("doc_id") / 2.0**64 + 0.5  # evenly between 0 and 1
+    # Of each language, only so many ids meet in one task as make SAMPLE very likely: 2 * SAMPLE by their share of all.
+    shares = labelled.groupBy("lang").agg((F.lit(2.0 * SAMPLE) / F.count("*")).alias("share"))
+    few = labelled.select("doc_id", "lang").join(F.broadcast(shares), "lang").filter(place <= F.col("share"))  # a row a language
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = labelled.select("doc_id", "lang").withColumn("at", F.row_number().over(first)).filter(F.col("at") <= SAMPLE).select("doc_id").distinct()
+    ids = few.withColumn("at", F.row_number().over(first)).filter(F.col("at") <= SAMPLE).select("doc_id").distinct()
     counted = labelled.join(F.broadcast(ids), "doc_id", "left_semi").select("lang", "text").mapInArrow(_count, "lang string, code long, n long")
     rows = counted.groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(pc.unique(rows["lang"]).to_pylist(), key=str.encode)
