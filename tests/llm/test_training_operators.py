@@ -426,6 +426,26 @@ def test_personal_data(spark, docs, empty, small):
     assert pii.find_personal_data(empty).count() == 0
 
 
+@pytest.mark.parametrize("text", ["1" * 200_000, "a" * 200_000 + "@", "a@" * 100_000, "a@b." * 50_000, "1.2." * 50_000, "1.2.3.4" * 30_000, "+1(" * 60_000, "(555) " * 30_000, "a@b.c@d.e.%x@y.z.w a@b..c %@x.y", "1.1.1.1.1.1.1.1", "4111 1111 1111 1111 " * 5000])
+def test_long_runs(text):
+    """Patterns are guarded against long runs and match as the contract's do."""
+    import time
+
+    began = time.time()
+    held = pii.exact(text)
+    pii.loose(text, held)
+    assert time.time() - began < 10
+    short = text[:3000]
+    assert pii.line(pii.exact(short)) == brute.personal_spans(short)
+
+
+def test_span_classifier(spark):
+    """The final classifier sees the words around a span, which no labeler reads: where cues are missing, it still tells telephones from orders."""
+    texts = [f"call {200 + i}-555-{1000 + i} now" for i in range(40)] + [f"ring {200 + i}-555-{1000 + i} now, or call us" for i in range(40)] + [f"order {300 + i} 222 {4000 + i} is late" for i in range(40)]
+    got = {r["doc_id"]: r["n_added"] for r in pii.find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert sum(got[i] for i in range(40)) >= 38 and sum(got[i] for i in range(80, 120)) == 0
+
+
 def test_added_spans_keep_base(spark):
     texts = [f"call {200 + i}-555-{1000 + i} or mail u{i}@x.example.com" for i in range(30)] + [f"order {300 + i} 222 {4000 + i}" for i in range(30)]
     got = pii.find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
@@ -491,10 +511,29 @@ def test_decontamination(spark, sf, docs, empty, small):
 
 def test_original_spans():
     text = "Ünder — One,TWO; three".encode()
-    n, spans, _ = decontam.scan(text, decontam.windows([(1, "one two")]))
+    n, spans, _ = decontam.Scanner([(1, "one two")]).scan(text)
     assert n == 5 and [text[a:b] for a, b in decontam.original_spans(text, spans)] == [b"One,TWO"]
 
 
+def test_benchmarks_after_one_another(spark, docs):
+    """Workers are kept: each scan must use its own benchmark's automaton."""
+    for k in range(6):
+        items = [(k, " ".join(words(3, 120)[10 * k : 10 * k + 15]))]
+        bench = spark.createDataFrame(items, "item_id long, text string")
+        same(decontam.scan_documents(docs, bench), HITS, brute.contamination(pairs(docs), items))
+
+
+def test_many_words_of_a_benchmark():
+    """Codes of words differ beyond 256 and 65536 words, and no hit begins within a word."""
+    names = [f"n{i}" for i in range(70_000)]
+    found = decontam.Scanner([(i, " ".join(names[i : i + 12])) for i in range(0, 70_000, 12)])
+    assert len({*found.code.values()}) == len(found.code)
+    text = " ".join(["zz", *names[66_000:66_011], "zz", *names[5:13]]).encode()
+    assert found.scan(text)[:2] == (21, [(1, 12)]) or found.scan(text)[1] == []
+    for i in (0, 252, 65_532, 69_996):
+        assert found.scan(" ".join(["x", *names[i : i + 10]]).encode()) == (len(names[i : i + 10]) + 1, [(1, len(names[i : i + 10]) + 1)], {str(i)})
+
+
 # --- 10 archives -----------------------------------------------------------------------------------------------------
 def test_arc_versions():
     held = [warc.ArcRecord("http://a/b%20c", "1.2.3.4", "20240102030405", "text/html", b"HTTP/1.1 200 OK\r\nX: y\r\n\r\nbody\nmore", {}), warc.ArcRecord("http://e", "0.0.0.0", "19990101000000", "text/plain", b"", {})]
@@ -521,6 +560,23 @@ def test_archives(spark, sf):
     assert warc.convert(pages).filter("record_type = 'response'").count() == pages.filter(F.length("html") >= 0).count()
 
 
+def test_many_small_records():
+    """A reader's time is linear in the records of an archive."""
+    import time
+    import zlib
+
+    def member(i):
+        deflate = zlib.compressobj(1, zlib.DEFLATED, 31)
+        r = warc.ArcRecord(f"http://a/{i}", "0.0.0.0", "20240101000000", "text/html", b"HTTP/1.1 200 OK\r\n\r\n" + b"%d" % i * (i % 50), {})
+        return deflate.compress(warc.to_warc(r, {})) + deflate.flush()
+
+    data, began = b"".join(map(member, range(16_000))), time.time()
+    got = [(f["WARC-Target-URI"], warc.split_http(b)[1]) for f, b in warc.read_warc(data)]
+    assert got == [(f"http://a/{i}", b"%d" % i * (i % 50)) for i in range(16_000)] and time.time() - began < 10
+    with pytest.raises(ValueError):
+        list(warc.read_warc(data[:-3]))
+
+
 # --- all ---------------------------------------------------------------------------------------------------------------
 def test_components(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (8, 7), (5, 5), (3, 10)], "a long, b long")
