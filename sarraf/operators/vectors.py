@@ -51,8 +51,9 @@ def best_match(rows: DataFrame, key: str, labels: DataFrame, label: str) -> Data
     return pairs.groupBy(key).agg(F.max(F.struct("score", label)).alias("m")).select(key, f"m.{label}", "m.score")
 
 
-def knn(queries: DataFrame, corpus: DataFrame, k: int, key: str = "vec_id") -> DataFrame:
-    """The k nearest of the corpus to each query by L2. Ranks within each task first, so k rows a query and task are shuffled."""
+def knn(queries: DataFrame, corpus: DataFrame, k: int, key: str = "vec_id", where: Column | None = None) -> DataFrame:
+    """The k nearest of the corpus, or of its rows where a condition holds, to each query by L2. Ranks within each task first, so k rows a query and task are shuffled."""
+    corpus = corpus if where is None else corpus.filter(where)
     q = queries.select(F.col(key).alias("query_id"), F.col("embedding").alias("_q"))
     pairs = against(q, corpus.select(key, "embedding")).withColumn("distance", l2(F.col("embedding"), F.col("_q"))).select("query_id", key, "distance")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", key))

@@ -232,10 +232,12 @@ def e18_category_centroids(spark, d):
     return vectors.centroids(embeddings(spark, d)).select("label", "n", F.posexplode("embedding").alias("pos", "x")).select("label", "n", F.col("pos").cast("long").alias("pos"), F.round("x", 6).alias("x"))
 
 
-@query()
+@query("""WITH t AS (SELECT DISTINCT label, concat('vec-', vec_id) AS sample FROM embeddings), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY sample) AS n FROM t), s AS (SELECT label, string_agg(sample, ';' ORDER BY sample) AS samples FROM r WHERE n <= 10 GROUP BY 1)
+  SELECT e.label, count(*) AS size, count(*) >= 5 AS has_centroid, any_value(samples) AS samples FROM embeddings e JOIN s ON e.label = s.label GROUP BY 1""")
 def e19_category_clusters(spark, d):
+    """The centroids are those of e18."""
     named = embeddings(spark, d).withColumn("sample", F.concat(F.lit("vec-"), F.col("vec_id")))
-    return vectors.clusters(named, "sample")
+    return vectors.clusters(named, "sample").select("label", "size", F.col("embedding").isNotNull().alias("has_centroid"), F.array_join("samples", ";").alias("samples"))
 
 
 @query(f"""{_L}, b AS (SELECT tx_id, amount_kzt <= 0 AS bad, project_id, concat(file_id, direction) AS h, row_number() OVER (PARTITION BY amount_kzt <= 0, project_id, concat(file_id, direction) ORDER BY tx_id) AS n FROM ledger),
@@ -413,9 +415,13 @@ def j2_neighbourhood(spark, d):
     return graph.neighbourhood(graph.edges(ledger(spark, d)), "900000000001", 2, 6)[0]
 
 
+#: Components of the edges s(source, target).
+_COMPONENT_STEP = """b AS MATERIALIZED (SELECT source AS x, target AS y FROM s UNION SELECT target, source FROM s),
+  w(node, root) USING KEY (node) AS (SELECT DISTINCT x, x FROM b UNION (SELECT b.x, min(w.root) FROM w JOIN b ON w.node = b.y JOIN recurring.w AS u ON u.node = b.x WHERE w.root < u.root GROUP BY b.x))"""
+
+
 def _components(where: str) -> str:
-    return f"""WITH RECURSIVE ledger AS ({LEDGER_SQL}), {_EDGES}, s AS (SELECT source, target FROM e WHERE {where}), b AS MATERIALIZED (SELECT source AS x, target AS y FROM s UNION SELECT target, source FROM s),
-  w(node, root) USING KEY (node) AS (SELECT DISTINCT x, x FROM b UNION (SELECT b.x, min(w.root) FROM w JOIN b ON w.node = b.y JOIN recurring.w AS u ON u.node = b.x WHERE w.root < u.root GROUP BY b.x)) SELECT node, root FROM w"""
+    return f"WITH RECURSIVE ledger AS ({LEDGER_SQL}), {_EDGES}, s AS (SELECT source, target FROM e WHERE {where}), {_COMPONENT_STEP} SELECT node, root FROM w"
 
 
 #: An edge's sum in tenge from which j5 counts it.
@@ -440,13 +446,17 @@ def j6_all_components(spark, d):
     return graph.connected_components(graph.edges(ledger(spark, d)).select(F.col("source").alias("a"), F.col("target").alias("b")))
 
 
-@query()
+_GLOBAL = f"""WITH RECURSIVE ledger AS ({LEDGER_SQL}), {_EDGES}, p AS (SELECT payer_iin_bin AS id, amount_kzt AS a FROM ledger UNION ALL SELECT receiver_iin_bin, amount_kzt FROM ledger), t AS (SELECT id, {_MONEY("a")} AS turnover FROM p GROUP BY 1 ORDER BY turnover DESC, id NULLS LAST LIMIT 200),
+  s AS MATERIALIZED (SELECT * FROM e WHERE source IN (SELECT id FROM t) AND target IN (SELECT id FROM t)), {_COMPONENT_STEP}"""
+
+
+@query(f"{_GLOBAL}, n AS (SELECT id, round(sum(amount), 2) AS total_turnover FROM (SELECT source AS id, amount FROM s UNION ALL SELECT target, amount FROM s) GROUP BY 1) SELECT id, total_turnover, root AS community_id FROM n JOIN w ON w.node = n.id")
 def j7_graph_nodes(spark, d):
     """Nodes of the global graph at its default size, with their communities."""
     return graph.global_graph(ledger(spark, d))[0].select("id", "total_turnover", "community_id")
 
 
-@query()
+@query(f"{_GLOBAL} SELECT source, target, amount, tx_count FROM s")
 def j8_graph_edges(spark, d):
     """Edges of the same graph."""
     return graph.global_graph(ledger(spark, d))[1]
@@ -468,7 +478,7 @@ def k1_rules(spark, d):
     return classify.classify_rules(ledger(spark, d)).select("tx_id", F.col("transaction_category").alias("category"), F.col("category_rule_id").alias("rule_id"))
 
 
-@query()
+@query(f"WITH k AS ({SQL['k1_rules']}) SELECT CASE WHEN rule_id = 'DEFAULT_OTHER' THEN 'other' ELSE 'rule' END AS category_source, count(*) AS n FROM k GROUP BY 1")
 def k6_source_counts(spark, d):
     return classify.source_counts(classify.reclassify(classify.classify_rules(ledger(spark, d))))
 
@@ -500,11 +510,12 @@ def l1_best_label(spark, d):
     return vectors.best_match(e, "vec_id", labels, "label").withColumn("score", F.round("score", 4))
 
 
-@query()
+@query(SQL["l2_knn"])
 def l6_coarse_index(spark, d):
+    """Exact over a coarse index, so its SQL is that of l2_knn."""
     e = embeddings(spark, d)
     indexed, centres = vectors.ivf_build(e, 16)
-    return vectors.ivf_search(e.filter("vec_id % 50 = 0"), indexed, centres, 8, 8)
+    return vectors.ivf_search(e.filter("vec_id % 50 = 0"), indexed, centres, 8, 8).select("query_id", "vec_id", F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 
 @query()
@@ -588,4 +599,6 @@ def flagship(spark, d) -> DataFrame:
     return e8_top_counterparties(spark, d)
 
 
-__all__ = ["QUERIES", "SQL", "dates", "flagship"]
+from . import detail_queries  # noqa: E402  registers its queries here
+
+__all__ = ["QUERIES", "SQL", "dates", "detail_queries", "flagship"]
