@@ -1,17 +1,21 @@
 """Near-duplicate vectors over a robust-pruned flat graph.
 
-Vectors go to the shards of their OVERLAP nearest centroids; a shard over SHARD rows is dealt into parts. Each
-shard builds a graph: the nearest candidates of a vector, pruned so that no kept neighbour is much nearer to a
-candidate than the vector itself (factor ALPHA). Adjacency lists of a vector from its shards are united. Then each
-shard is searched greedily from its medoids over the united lists, and wherever a vector within range is met its
-neighbours are met too, until the range is exhausted. Links are verified by cosine in double precision, counted in
-the first shard that both vectors share, and joined into components. Equal vectors are one node with a count.
-
-The parts of a large shard meet in pairs, so no part grows with it. Centroids are fitted on at most SAMPLE
-vectors; every vector is indexed. audit() measures recall against brute force.
+Vectors go to the shards of their OVERLAP nearest centroids. A shard over SHARD rows is split again by centroids of
+its own, fitted on its own sample, so shards do not grow with the table; what centroids cannot split, since they would
+all lie within one dense group, is dealt into parts that meet in pairs. Each shard builds a graph: the nearest
+candidates of a vector, pruned so that no kept neighbour is much nearer to a candidate than the vector itself (factor
+ALPHA). Adjacency lists of a vector from its shards are united. Then each shard is searched over the united lists and
+their reverse edges: every vector starts at the medoid, at spread places and at itself, goes on greedily to the nearest
+neighbours met, and wherever a vector within range is met its neighbours are met too, until the range is exhausted.
+Only what the search meets is compared, by cosine in double precision, which verifies the link; it is counted in the
+first shard that both vectors share, and links are joined into components. Equal vectors are one node with a count.
+
+Centroids are fitted on at most SAMPLE vectors, those of a shard on at most SAMPLE of its vectors; every vector is
+indexed. audit() measures recall against brute force.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite numbers have no links; vectors of
-different lengths do not link; equal rows link; an empty table gives no rows; other columns are ignored.
+different lengths do not link; equal rows link; rows with a null vec_id count as links of others, and component_id is
+the least vec_id that is not null; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,9 +30,15 @@ from . import common
 
 LEAST = 0.95
 OVERLAP, SHARD, SAMPLE = 3, 1024, 20_000
+#: Rows of (shard, parts), 16 bytes each, that may be broadcast; beyond, the join shuffles.
+PARTS_BROADCAST = 500_000
+#: Centroids fitted at once, and rows of a shard that are dealt to its own centroids in one task.
+CENTROIDS, DEALT = 1024, 16_384
 #: Centroids this near to a larger one are dropped.
 APART = 0.7
-DEGREE, CANDIDATES, ALPHA, BEAM, MEDOIDS = 16, 48, 1.2, 32, 8
+DEGREE, CANDIDATES, ALPHA = 16, 48, 1.2
+#: Nearest vectors that a search holds, those that it goes on from in a round, places where it starts, and cosines at once.
+BEAM, STEPS, STARTS, COSINES = 8, 4, 4, 1 << 18
 
 
 def _unit(col) -> list[np.ndarray | None]:
@@ -49,14 +59,10 @@ def _normalise(batches):
         yield pa.RecordBatch.from_arrays([batch["vec_id"].cast(pa.int64()), pa.array([None if u is None else u.tobytes() for u in units], pa.binary())], ["vec_id", "unit"])
 
 
-def centroids(nodes: DataFrame, dim: int) -> np.ndarray:
-    """Spherical k-means on a sample by hash, about one centroid a half shard, at most SAMPLE / 8."""
-    mine = nodes.filter(F.octet_length("unit") == 8 * dim)
-    total = mine.count()
-    picked = mine.filter(F.pmod(F.xxhash64("unit"), F.lit(1_000_000)) < int(1e6 * min(1.0, 0.9 * SAMPLE / total)) + 1).select("unit").limit(SAMPLE).collect()
-    x = np.stack([np.frombuffer(bytes(r["unit"]), np.float64) for r in picked]) if picked else np.eye(1, dim)
+def fit(x: np.ndarray, k: int) -> np.ndarray:
+    """Spherical k-means of a sample, without centroids within one dense group."""
     x = x[np.lexsort(x.T[::-1])]
-    k = int(np.clip(2 * total // SHARD, 1, max(1, min(len(x), SAMPLE // 8))))
+    k = int(np.clip(k, 1, min(len(x), CENTROIDS)))
     rng = np.random.Generator(np.random.PCG64(11))
     c = x[rng.choice(len(x), k, replace=False)]
     for _ in range(8):
@@ -72,22 +78,61 @@ def centroids(nodes: DataFrame, dim: int) -> np.ndarray:
     return c[apart]
 
 
+def _wanted(rows: int) -> int:
+    """Centroids for so many rows: with OVERLAP, shards come to about half of SHARD, as they differ in size."""
+    return -(-2 * OVERLAP * rows // SHARD)
+
+
+def centroids(nodes: DataFrame, dim: int) -> np.ndarray:
+    """Centroids of the vectors of one length, from a sample by hash."""
+    mine = nodes.filter(F.octet_length("unit") == 8 * dim)
+    total = mine.count()
+    picked = mine.filter(_drawn(F.lit(total))).select("unit").limit(SAMPLE).collect()
+    x = np.stack([np.frombuffer(bytes(r["unit"]), np.float64) for r in picked]) if picked else np.eye(1, dim)
+    return fit(x, _wanted(total))
+
+
+def _drawn(total):
+    """About 0.9 * SAMPLE of so many rows, by hash."""
+    return F.pmod(F.xxhash64("unit", F.lit(5)), F.lit(1_000_000)) < 1 + 1e6 * F.least(F.lit(1.0), F.lit(0.9 * SAMPLE) / total)
+
+
+def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :OVERLAP]
+
+
 def _assign(held):
-    """A row for each of a vector's shards, with all its shards in order."""
+    """A row for each of a vector's shards; a shard is known by the vectors' length and its centroid."""
 
     def run(batches):
         for batch in batches:
-            out = []
-            for node, unit in zip(batch["node"].to_pylist(), batch["unit"].to_pylist(), strict=True):
-                c = held.value[len(unit) // 8]
-                near = np.sort(np.argsort(-(c @ np.frombuffer(unit, np.float64)), kind="stable")[:OVERLAP])
-                out += [(node, unit, int(s) + (len(unit) << 40), [int(y) + (len(unit) << 40) for y in near]) for s in near]
-            cols = zip(*out, strict=True) if out else [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64())), strict=True)], ["node", "unit", "shard", "shards"])
+            units = batch["unit"].to_pylist()
+            size = np.array([len(u) for u in units], np.int64)
+            for w in np.unique(size).tolist():
+                own = np.flatnonzero(size == w)
+                near = _nearest(np.frombuffer(b"".join(units[i] for i in own), np.float64).reshape(len(own), -1), held.value[w // 8])
+                rows = pa.array(np.repeat(own, near.shape[1]))
+                yield pa.RecordBatch.from_arrays([batch["node"].take(rows), batch["unit"].take(rows), pa.array((w << 32) + (near.ravel().astype(np.int64) << 16))], ["node", "unit", "shard"])
 
     return run
 
 
+def _own_centroids(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Centroids of one large shard from its sample."""
+    x = np.stack([np.frombuffer(u, np.float64) for u in pdf["unit"].iloc[:SAMPLE]])
+    return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "centroids": [fit(x, _wanted(int(pdf["size"].iloc[0]))).tobytes()]})
+
+
+def _deal(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+    """Rows of a large shard to the shards of its own centroids."""
+    if not len(rows):
+        return pd.DataFrame({"node": [], "unit": [], "shard": []})
+    x = np.stack([np.frombuffer(u, np.float64) for u in rows["unit"]])
+    near = _nearest(x, np.frombuffer(own["centroids"].iloc[0], np.float64).reshape(-1, x.shape[1]))
+    i = np.repeat(np.arange(len(rows)), near.shape[1])
+    return pd.DataFrame({"node": rows["node"].to_numpy()[i], "unit": rows["unit"].to_numpy()[i], "shard": rows["shard"].to_numpy()[i] + 1 + near.ravel()})
+
+
 def prune(sims: np.ndarray) -> list[np.ndarray]:
     """Robust-pruned neighbours of each row of a square of cosines (distance 1 - cosine)."""
     n, dist = len(sims), 1 - sims
@@ -108,32 +153,61 @@ def prune(sims: np.ndarray) -> list[np.ndarray]:
     return [near[i][kept[i]] for i in range(n)]
 
 
-def search(sims: np.ndarray, lists: list[np.ndarray]) -> np.ndarray:
-    """What each row finds within range: greedy search from medoids with a beam, then range expansion.
+def neighbours(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Lists and their reverse edges: where those of each node begin, and all of them end to end."""
+    n = len(lists)
+    i, j = np.repeat(np.arange(n), [len(x) for x in lists]), np.concatenate([*lists, np.zeros(0, np.int64)]).astype(np.int64)
+    code = np.unique(np.r_[i * n + j, j * n + i])
+    code = code[code // n != code % n]
+    return np.searchsorted(code, np.arange(n + 1) * n), code % n
+
+
+def _around(q: np.ndarray, v: np.ndarray, first: np.ndarray, near: np.ndarray, n: int) -> np.ndarray:
+    """The neighbours of places v for queries q, as q * n + neighbour."""
+    size = first[v + 1] - first[v]
+    at = np.repeat(first[v], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    return np.unique(np.repeat(q, size) * n + near[at])
+
+
+def search(x: np.ndarray, first: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, node) within range that greedy search with range expansion meets; all rows ask, round by round.
 
-    sims[q, x]: cosine of query q and node x; lists: neighbours of node x. All queries go in step."""
-    n_q, n = sims.shape
-    width = max(1, max((len(x) for x in lists), default=1))
-    table = np.full((n, width), -1)
-    for i, x in enumerate(lists):
-        table[i, : len(x)] = x
+    first, near: neighbours(). A round goes on from the STEPS nearest places of each query that are open: within range,
+    or among the BEAM nearest met. Cosines are worked out for what a round meets, and for nothing else.
+    """
+    n = len(x)
     rng = np.random.Generator(np.random.PCG64(n))
-    start = np.unique(np.r_[sims.sum(0).argmax(), rng.choice(n, min(n, MEDOIDS), replace=False)])
-    seen, done = np.zeros((n_q, n), bool), np.zeros((n_q, n), bool)
-    seen[:, start] = True
-    while True:
-        score = np.where(seen, sims, -np.inf)
-        beam = np.argpartition(-score, min(BEAM, n) - 1, axis=1)[:, : min(BEAM, n)]
-        wanted = np.zeros_like(seen)
-        np.put_along_axis(wanted, beam, True, 1)
-        wanted = (wanted | (sims >= LEAST)) & seen & ~done
-        q, x = np.nonzero(wanted)
-        if not len(q):
-            return seen & (sims >= LEAST)
-        done[q, x] = True
-        to = table[x]
-        ok = to >= 0
-        seen[np.repeat(q, ok.sum(1)), to[ok]] = True
+    start = np.unique(np.r_[(x @ x.mean(0)).argmax(), rng.choice(n, min(n, STARTS), replace=False)])
+    seen = np.zeros((n, n), bool)
+    met = np.unique(np.r_[(np.arange(n)[:, None] * n + start).ravel(), np.arange(n) * n + np.arange(n)])
+    open_q, open_x, open_s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    best, links = np.full((n, BEAM), -2.0), []
+    while len(met):
+        seen.ravel()[met] = True
+        q, v = met // n, met % n
+        s = np.concatenate([np.einsum("ij,ij->i", x[q[lo : lo + COSINES]], x[v[lo : lo + COSINES]]) for lo in range(0, len(q), COSINES)])
+        within = (s >= LEAST) & (q != v)
+        links.append(met[within])
+        # The BEAM best of each query so far: new ones are ranked within their query and merged.
+        order = np.lexsort((-s, q))
+        place = np.arange(len(q)) - np.searchsorted(q[order], q[order])
+        top = place < BEAM
+        new = np.full((n, BEAM), -2.0)
+        new[q[order][top], place[top]] = s[order][top]
+        best = -np.sort(-np.concatenate([best, new], axis=1), axis=1)[:, :BEAM]
+        open_q, open_x, open_s = np.r_[open_q, q], np.r_[open_x, v], np.r_[open_s, s]
+        keep = (open_s >= LEAST) | (open_s >= best[open_q, -1])
+        open_q, open_x, open_s = open_q[keep], open_x[keep], open_s[keep]
+        order = np.lexsort((-open_s, open_q))
+        place = np.arange(len(order)) - np.searchsorted(open_q[order], open_q[order])
+        open_q, open_x, open_s, met = open_q[order], open_x[order], open_s[order], met[:0]
+        while not len(met) and len(open_q):  # from the next places, if all around these has been met
+            now = place < STEPS
+            met = _around(open_q[now], open_x[now], first, near, n)
+            met = met[~seen.ravel()[met]]
+            open_q, open_x, open_s, place = open_q[~now], open_x[~now], open_s[~now], place[~now] - STEPS
+    found = np.concatenate(links) if links else np.zeros(0, np.int64)
+    return found // n, found % n
 
 
 def _build(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -147,21 +221,15 @@ def _link(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["part", "node"], kind="stable").reset_index(drop=True)
     x, ids, n, part = np.stack([np.frombuffer(u, np.float64) for u in pdf["unit"]]), pdf["node"].to_numpy(), pdf["n"].to_numpy(), pdf["part"].to_numpy()
     shard, place = pdf["shard"].iloc[0], {v: i for i, v in enumerate(ids)}
-    sims = x @ x.T
-    lists = [np.array([place[v] for v in near if v in place], np.int64) for near in pdf["near"]]
-    for i, near in enumerate([*lists]):  # a node that keeps another is kept by it
-        for j in near:
-            lists[j] = np.append(lists[j], i) if len(lists[j]) < 4 * DEGREE else lists[j]
-    met = search(sims, lists)
-    met |= met.T
-    np.fill_diagonal(met, False)
+    i, j = search(x, *neighbours([np.array([place[v] for v in near if v in place], np.int64) for near in pdf["near"]]))
+    code = np.unique(np.r_[i * len(ids) + j, j * len(ids) + i])  # a link found from one end holds for both
+    i, j = code // len(ids), code % len(ids)
     x_, y_ = int(pdf["x"].iloc[0]), int(pdf["y"].iloc[0])
     if x_ != y_:
-        met &= (part == x_)[:, None] & (part == y_)[None, :]
-        met |= met.T
-    i, j = np.nonzero(met)
-    first = [tuple(s) for s in pdf["shards"]]
-    keep = np.fromiter((min(set(first[a]) & set(first[b])) == shard for a, b in zip(i, j, strict=True)), bool, len(i)) if len(i) else np.zeros(0, bool)
+        across = part[i] != part[j]
+        i, j = i[across], j[across]
+    first = pdf["shards"].to_numpy()
+    keep = np.fromiter((min(set(first[a]) & set(first[b])) == shard for a, b in zip(i, j, strict=True)), bool, len(i))
     i, j = i[keep], j[keep]
     counts = np.bincount(i, n[j], len(ids)).astype(np.int64)
     low = np.arange(len(ids))
@@ -183,10 +251,21 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     nodes = common.materialize(rows.filter("unit is not null").groupBy("node").agg(F.count("*").alias("n"), F.min("unit").alias("unit"), F.min("vec_id").alias("least")))
     dims = [r[0] // 8 for r in nodes.select(F.octet_length("unit")).distinct().collect()]
     held = spark.sparkContext.broadcast({d: centroids(nodes, d) for d in dims})
-    placed = nodes.select("node", "unit").mapInArrow(_assign(held), "node long, unit binary, shard long, shards array<long>").join(nodes.select("node", "n"), "node")
+    placed = common.materialize(nodes.select("node", "unit").mapInArrow(_assign(held), "node long, unit binary, shard long"))
+    sizes = common.materialize(placed.groupBy("shard").agg(F.count("*").alias("size")))
+    large = F.broadcast(sizes.filter(F.col("size") > SHARD))  # at most CENTROIDS rows a vector length
+    own = placed.join(large, "shard").filter(_drawn(F.col("size"))).groupBy("shard").applyInPandas(_own_centroids, "shard long, centroids binary")
+    own = common.materialize(own)
+    tasks = F.ceil(F.col("size") / DEALT)
+    salted = placed.join(large, "shard").withColumn("salt", F.pmod(F.xxhash64("node"), tasks)).select("shard", "salt", "node", "unit")
+    spread = own.join(large, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), tasks - 1))).select("shard", "salt", "centroids")
+    dealt = salted.groupBy("shard", "salt").cogroup(spread.groupBy("shard", "salt")).applyInPandas(_deal, "node long, unit binary, shard long")
+    placed = placed.join(large, "shard", "left_anti").unionByName(dealt)
+    placed = common.materialize(placed.join(nodes.select("node", "n"), "node"))
+    mine = placed.groupBy("node").agg(F.sort_array(F.collect_set("shard")).alias("shards"))  # at most OVERLAP * OVERLAP
+    parts = common.materialize(placed.groupBy("shard").agg(F.ceil(F.count("*") / SHARD).alias("parts")))
+    placed = placed.join(mine, "node").join(F.broadcast(parts) if parts.count() <= PARTS_BROADCAST else parts, "shard").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
     placed = common.materialize(placed)
-    parts = placed.groupBy("shard").agg(F.ceil(F.count("*") / SHARD).alias("parts"))
-    placed = placed.join(parts, "shard").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
     near = placed.groupBy("shard", "part").applyInPandas(_build, "node long, near array<long>").groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     met = placed.join(near, "node").withColumn("other", F.explode(F.expr("sequence(0L, parts - 1)"))).withColumn("x", F.least("part", "other")).withColumn("y", F.greatest("part", "other"))
     found = common.materialize(met.groupBy("shard", "x", "y").applyInPandas(_link, "node long, links long, other long"))
@@ -194,7 +273,7 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     roots = common.components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
     named = nodes.select("node", "n", "least").join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = common.materialize(named)
-    least = named.groupBy("root").agg(F.min("least").alias("component"))
+    least = common.materialize(named.groupBy("root").agg(F.min("least").alias("component")))
     named = named.join(least, "root").select("node", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), "component")
     return rows.select("vec_id", "node", F.col("unit").isNotNull().alias("fit")).join(named, "node", "left").select(
         "vec_id", F.when(F.col("fit"), F.col("links")).otherwise(0).cast("long").alias("n_links"), F.when(F.col("fit"), F.col("component")).otherwise(F.col("vec_id")).alias("component_id")

@@ -490,6 +490,37 @@ def test_large_shard(spark, monkeypatch):
     assert sum(got.values()) >= 0.95 * sum(want.values())
 
 
+def test_search_meets_little(monkeypatch):
+    """The graph finds the links of a shard of full size without comparing all with all; no pair under the bound."""
+    r = np.random.Generator(np.random.PCG64(8))
+    centres = r.normal(size=(150, 32))
+    x = np.concatenate([c + 0.12 * r.normal(size=(r.integers(1, 12), 32)) for c in centres])[: vector_graph.SHARD]
+    x /= np.sqrt((x**2).sum(1, keepdims=True))
+    sims, counted = x @ x.T, []
+    real = np.einsum
+    monkeypatch.setattr(np, "einsum", lambda form, a, b: counted.append(len(a)) or real(form, a, b))
+    i, j = vector_graph.search(x, *vector_graph.neighbours(vector_graph.prune(sims.copy())))
+    want = {(a, b) for a, b in zip(*np.nonzero(sims >= vector_graph.LEAST), strict=True) if a != b}
+    got = set(zip(i.tolist(), j.tolist(), strict=True))
+    assert got <= want and len(got) >= 0.99 * len(want) > 500
+    assert sum(counted) < 0.25 * len(x) ** 2
+
+
+def test_split_shards(spark, monkeypatch):
+    """Shards over the bound get centroids of their own; dense ones are dealt into parts. Recall by audit()."""
+    monkeypatch.setattr(vector_graph, "SHARD", 64)
+    monkeypatch.setattr(vector_graph, "CENTROIDS", 8)
+    monkeypatch.setattr(vector_graph, "DEALT", 100)
+    r = np.random.Generator(np.random.PCG64(9))
+    x = np.concatenate([c + 0.1 * r.normal(size=(12, 24)) for c in r.normal(size=(100, 24))] + [r.normal(size=24) + 0.05 * r.normal(size=(200, 24))])
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    found = common.materialize(vector_graph.near_duplicates(df))
+    want = {v: n for v, n, _, _ in brute.vectors([(i, row.tolist()) for i, row in enumerate(x)])}
+    got = {row["vec_id"]: row["n_links"] for row in found.collect()}
+    assert all(got[v] <= n for v, n in want.items()) and sum(got.values()) >= 0.97 * sum(want.values())
+    assert vector_graph.audit(df, found, 5) >= 0.95
+
+
 # --- 9 decontamination -----------------------------------------------------------------------------------------------
 HITS = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
 
