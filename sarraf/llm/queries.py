@@ -50,8 +50,43 @@ def op10_arc_to_warc(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_slot_sharding, op2_suffix_dedup, op3_html_blocks, op4_ppm_language, op5_ngram_jaccard, op6_pivotal_mixing, op7_weak_pii, op8_pruned_graph, op9_aho_decontamination, op10_arc_to_warc)}
 
-#: The conversion's result in SQL: digests, types and references follow from the pages alone.
+#: Components of links(a, b), under the nodes of rows(node): the least node of each.
+_COMPONENTS = """b AS MATERIALIZED (SELECT a AS x, b AS y FROM links UNION SELECT b, a FROM links),
+        w(node, root) USING KEY (node) AS (SELECT DISTINCT node, node FROM nodes
+          UNION (SELECT b.x, min(w.root) FROM w JOIN b ON w.node = b.y JOIN recurring.w AS u ON u.node = b.x WHERE w.root < u.root GROUP BY b.x))"""
+#: A-Z in lower case, nothing else.
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: What follows from the tables alone, by brute force.
 ORACLE_SQL = {
+    "op5_ngram_jaccard": f"""
+        WITH RECURSIVE t AS MATERIALIZED (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        g AS MATERIALIZED (SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i : i + 4], ' ') END AS gram FROM t, range(1, 1 + greatest(1, len(w) - 4)) r(i) WHERE len(w) > 0),
+        n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+        p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both_have FROM g x JOIN g y ON x.gram = y.gram AND x.doc_id < y.doc_id GROUP BY 1, 2),
+        links AS MATERIALIZED (SELECT a, b FROM p JOIN n m ON m.doc_id = a JOIN n o ON o.doc_id = b WHERE 100 * both_have >= 80 * (m.n + o.n - both_have)),
+        nodes AS (SELECT doc_id AS node FROM documents), {_COMPONENTS}
+        SELECT t.doc_id, coalesce(n, 0) AS n_shingles, root AS component_id FROM t LEFT JOIN n ON n.doc_id = t.doc_id JOIN w ON w.node = t.doc_id
+    """,
+    "op8_pruned_graph": f"""
+        WITH RECURSIVE e AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+        u AS MATERIALIZED (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS size FROM e WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        links AS MATERIALIZED (SELECT x.vec_id AS a, y.vec_id AS b FROM u x JOIN u y ON x.vec_id < y.vec_id AND x.size > 0 AND y.size > 0 AND len(x.v) = len(y.v) AND list_inner_product(x.v, y.v) >= 0.95 * x.size * y.size),
+        nodes AS (SELECT vec_id AS node FROM embeddings), {_COMPONENTS}, c AS (SELECT x AS vec_id, count(*) AS n FROM b GROUP BY 1)
+        SELECT e.vec_id, coalesce(n, 0) AS n_links, root AS component_id, e.vec_id = root AS kept FROM e LEFT JOIN c ON c.vec_id = e.vec_id JOIN w ON w.node = e.vec_id
+    """,
+    "op9_aho_decontamination": f"""
+        WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+        i AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+        k AS MATERIALIZED (SELECT DISTINCT item_id, least(10, len(w)) AS size, array_to_string(w[p : p + 9], ' ') AS phrase FROM i, range(1, 1 + greatest(1, len(w) - 9)) r(p) WHERE len(w) > 0),
+        s AS (SELECT DISTINCT size FROM k),
+        m AS MATERIALIZED (SELECT doc_id, p, size, array_to_string(w[p : p + size - 1], ' ') AS phrase FROM d, s, range(1, 1 + greatest(0, len(w) - size + 1)) r(p)),
+        f AS MATERIALIZED (SELECT doc_id, p, m.size, item_id FROM m JOIN k ON m.size = k.size AND m.phrase = k.phrase),
+        h AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM f, range(p, p + size) r(q) GROUP BY 1),
+        j AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(name, ',' ORDER BY name)) AS items_sha256 FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS name FROM f) GROUP BY 1)
+        SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN j ON j.doc_id = d.doc_id
+    """,
     "op10_arc_to_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
         d AS (SELECT page_id, octet_length(body) AS payload_bytes, sha1(body) AS payload_digest FROM p),
