@@ -163,8 +163,15 @@ def neighbours(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _around(q: np.ndarray, v: np.ndarray, first: np.ndarray, near: np.ndarray, n: int) -> np.ndarray:
-    """The neighbours of places v for queries q, as q * n + neighbour."""
+    """The neighbours of places v for queries q, as q * n + neighbour; if they are many, by a product of 0-1 matrices."""
     size = first[v + 1] - first[v]
+    if size.sum() > 64 * n:
+        where, near_to = np.zeros((n, n), np.float32), np.zeros((n, n), np.float32)
+        where[q, v] = 1
+        near_to[np.repeat(np.arange(n), np.diff(first)), near] = 1
+        asks = np.unique(q)
+        reach = np.flatnonzero(where[asks] @ near_to)
+        return asks[reach // n] * n + reach % n
     at = np.repeat(first[v], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
     return np.unique(np.repeat(q, size) * n + near[at])
 
@@ -172,8 +179,8 @@ def _around(q: np.ndarray, v: np.ndarray, first: np.ndarray, near: np.ndarray, n
 def search(x: np.ndarray, first: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (query, node) within range that greedy search with range expansion meets; all rows ask, round by round.
 
-    first, near: neighbours(). A round goes on from the STEPS nearest places of each query that are open: within range,
-    or among the BEAM nearest met. Cosines are worked out for what a round meets, and for nothing else.
+    first, near: neighbours(). A round goes on from all places of each query that are within range, and from the STEPS
+    nearest that are among the BEAM nearest met. Cosines are worked out for what a round meets, and for nothing else.
     """
     n = len(x)
     rng = np.random.Generator(np.random.PCG64(n))
@@ -202,7 +209,7 @@ def search(x: np.ndarray, first: np.ndarray, near: np.ndarray) -> tuple[np.ndarr
         place = np.arange(len(order)) - np.searchsorted(open_q[order], open_q[order])
         open_q, open_x, open_s, met = open_q[order], open_x[order], open_s[order], met[:0]
         while not len(met) and len(open_q):  # from the next places, if all around these has been met
-            now = place < STEPS
+            now = (place < STEPS) | (open_s >= LEAST)
             met = _around(open_q[now], open_x[now], first, near, n)
             met = met[~seen.ravel()[met]]
             open_q, open_x, open_s, place = open_q[~now], open_x[~now], open_s[~now], place[~now] - STEPS
