@@ -120,8 +120,10 @@ def top_expenses(df: DataFrame, kind: str = "debit", limit: int = 10) -> DataFra
 
 
 def party_totals(df: DataFrame, order: str) -> DataFrame:
-    return sides(df).withColumn("key", key(order)).filter("key is not null").groupBy("key").agg(
-        *party_columns(), money(F.when(F.col("side") == "receiver", credit())).alias("total_credit"), money(F.when(F.col("side") == "payer", debit())).alias("total_debit"), turnover().alias("total_turnover"), F.count("*").alias("transaction_count")
+    """Totals by party. Payments are summed by raw name, id and account first, so keys are made once for each of these."""
+    raw = sides(df).groupBy("side", "name", "iin_bin", "account").agg(F.sum(credit()).alias("amount_credit"), F.sum(debit()).alias("amount_debit"), F.sum("amount_kzt").alias("amount_kzt"), F.count("*").alias("n"))
+    return raw.withColumn("key", key(order)).filter("key is not null").groupBy("key").agg(
+        *party_columns(), money(F.when(F.col("side") == "receiver", credit())).alias("total_credit"), money(F.when(F.col("side") == "payer", debit())).alias("total_debit"), turnover().alias("total_turnover"), F.sum("n").alias("transaction_count")
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import any_of, clean_purpose, norm_text
+from ..plans.runtime import cut
 from . import rules, vectors
 
 
@@ -26,21 +27,29 @@ def rule_text(purpose: Column, code: Column, op_type: Column) -> Column:
     return F.concat_ws(" | ", *(F.nullif(c, F.lit("")) for c in (clean_purpose(purpose), F.trim(F.coalesce(code, F.lit(""))), clean_purpose(op_type))))
 
 
-def rule_of(text: Column, raw: Column) -> Column:
-    """Struct of rule_id, category, confidence and source: the first rule by priority, else OTHER for review.
+def result(rule_id: str, category: str, confidence: float, source: str, review: bool) -> Column:
+    return F.struct(F.lit(category).alias("category"), F.lit(confidence).alias("confidence"), F.lit(source).alias("source"), F.lit(rule_id).alias("rule_id"), F.lit(review).alias("needs_review"))
 
-    text and raw are columns, not expressions: each of the patterns reads them.
-    """
 
-    def result(rule_id: str, category: str, confidence: float, source: str, review: bool) -> Column:
-        return F.struct(F.lit(category).alias("category"), F.lit(confidence).alias("confidence"), F.lit(source).alias("source"), F.lit(rule_id).alias("rule_id"), F.lit(review).alias("needs_review"))
+def recycled() -> Column:
+    """What payments get whose raw text names a cash recycler."""
+    return result("CASH_TOPUP_DIRECT", "CASH_TOPUP", 0.99, "rule", False)
 
-    out = F.when(raw.rlike(rx(rules.RECYCLER)), result("CASH_TOPUP_DIRECT", "CASH_TOPUP", 0.99, "rule", False))
+
+def rule_of(text: Column) -> Column:
+    """Struct of rule_id, category, confidence and source: the first rule by priority, else OTHER for review.
+
+    text is a column, not an expression: each of the patterns reads it.
+    """
+    out = None
     for rule_id, category, _, pattern in sorted(rules.RULES, key=lambda r: -r[2]):
-        out = out.when(text.rlike(rx(pattern)), result(rule_id, category, rules.RULE_CONFIDENCE, "rule", False))
+        hit = text.rlike(rx(pattern)), result(rule_id, category, rules.RULE_CONFIDENCE, "rule", False)
+        out = F.when(*hit) if out is None else out.when(*hit)
     return out.otherwise(result("DEFAULT_OTHER", "OTHER", 1.0, "other", True))
 
 
+#: Different texts whose rules may be broadcast, about 100 characters each; beyond, the join shuffles.
+BROADCAST_TEXTS = 50_000
 NEW = {"transaction_category": "category", "category_confidence": "confidence", "category_source": "source", "category_rule_id": "rule_id", "needs_review": "needs_review"}
 
 
@@ -50,8 +59,14 @@ def classify_rules(df: DataFrame) -> DataFrame:
 
 
 def _with_rule(df: DataFrame, code: Column) -> DataFrame:
-    texts = {"_text": rule_text(F.col("purpose_text"), code, F.col("operation_type_raw")), "_raw": F.concat_ws(" | ", "purpose_text", "operation_type_raw")}
-    return df.withColumns(texts).withColumn("_r", rule_of(F.col("_text"), F.col("_raw"))).drop("_text", "_raw")
+    """Each different cleaned text meets the rules once, however many payments have it; the one rule over raw texts is tried on every row."""
+    raw = F.concat_ws(" | ", "purpose_text", "operation_type_raw").rlike(rx(rules.RECYCLER))
+    rows = df.withColumns({"_text": rule_text(F.col("purpose_text"), code, F.col("operation_type_raw")), "_recycler": raw})
+    ruled = rows.select("_text").distinct().withColumn("_plain", rule_of(F.col("_text")))
+    ruled = cut(ruled)
+    size = ruled.agg(F.count("*"), F.coalesce(F.sum(F.length("_text")), F.lit(0))).first()
+    ruled = F.broadcast(ruled) if size[0] <= BROADCAST_TEXTS and size[1] <= 100 * BROADCAST_TEXTS else ruled
+    return rows.join(ruled, "_text").withColumn("_r", F.when(F.col("_recycler"), recycled()).otherwise(F.col("_plain"))).drop("_text", "_recycler", "_plain")
 
 
 def classify_vectors(df: DataFrame, label_vectors: DataFrame, accept: float = 0.35, review: float = 0.55) -> DataFrame:

@@ -104,7 +104,7 @@ CASH_IN = [
 
 
 def cash(kind: str) -> Column:
-    """Condition on withdrawals or deposits of cash; any outgoing document counts as a withdrawal, ."""
+    """Condition on withdrawals or deposits of cash; any outgoing document counts as a withdrawal."""
     return any_of(*((F.coalesce(F.col(c), F.lit("")) if exact else F.lower(F.coalesce(F.col(c), F.lit("")))).contains(w) for c, exact, words in (CASH_OUT if kind == "withdrawal" else CASH_IN) for w in words))
 
 
