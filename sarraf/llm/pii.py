@@ -216,10 +216,12 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     found = common.materialize(docs.select("doc_id", "text").mapInArrow(_find, _FOUND))
     spans = found.select(F.explode("patterns").alias("p")).select("p.*")
     # At most kinds x 3 ** labelers patterns come to the driver, whatever the corpus, and SAMPLE candidates.
-    patterns = sorted(tuple(r) for r in spans.groupBy("votes").count().collect())
+    different = common.materialize(spans.groupBy("votes", "seen").agg(F.count("*").alias("n")))
+    patterns = sorted(tuple(r) for r in different.groupBy("votes").agg(F.sum("n")).collect())
     chance, _ = estimate(patterns)
-    total = sum(n for _, n in patterns)
     name = F.xxhash64("votes", "seen")
-    rows = spans.groupBy("votes", "seen").agg(F.count("*").alias("n")).orderBy(name, "votes").limit(SAMPLE).collect() if total else []
+    # About 2 * SAMPLE of them are sorted, so that no more come to the driver however many tasks there are.
+    share = 2 * SAMPLE / max(1, different.count())
+    rows = different.filter(name / 2.0**64 + 0.5 <= share).orderBy(name, "votes").limit(SAMPLE).collect()
     weights = fit([r["seen"] for r in rows], np.array([chance[r["votes"]] for r in rows]), np.array([float(r["n"]) for r in rows]))
     return found.select("doc_id", "base", "more").mapInArrow(_decide(weights), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
