@@ -43,7 +43,7 @@ def test_against_duckdb(spark, sf, duck, name):
 def test_coarse_index_recall(spark, sf):
     exact = {(r["query_id"], r["vec_id"]) for r in queries.l2_knn(spark, sf).collect()}
     near = {(r["query_id"], r["vec_id"]) for r in queries.l6_coarse_index(spark, sf).collect()}
-    assert len(exact & near) / len(exact) >= 0.8
+    assert len(exact & near) / len(exact) >= 0.9
 
 
 def test_streams(spark, sf, tmp_path):
