@@ -201,18 +201,17 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     keyed = docs.select("doc_id", F.coalesce(F.col("doc_id"), F.lit(0)).cast("long").alias("doc_key"), F.xxhash64("doc_id", "text").alias("row_key"), "text")
     packed = keyed.mapInArrow(_pack, "doc_id long, doc_key long, row_key long, packed binary")
     runs = common.materialize(keyed.mapInArrow(_rank, _RUNS))
-    # Round 1: anchors whose seed occurs once are unique. Round 2: classes of equal stretches among the others.
+    # Round 1: anchors whose seed occurs once are unique. Round 2: classes of equal stretches among the others, counted
+    # before they meet by seed, so that a frequent seed is as many rows as it has different stretches.
     seeds = runs.groupBy("seed").agg(F.count("*").alias("all")).filter("all > 1").select("seed")
-    left = runs.join(seeds, "seed")
     stretch = ["seed", "low", "high", "stretch"]
-    classes = common.materialize(left.groupBy(*stretch).agg(F.count("*").alias("n")))
+    classes = runs.groupBy(*stretch).agg(F.count("*").alias("n"), F.min(F.struct(*_ID, "anchor")).alias("one"))
+    classes = common.materialize(classes.join(seeds, "seed", "left_semi"))
     twice = classes.filter("n > 1")
     open_seeds = classes.groupBy("seed").agg(F.count_if(F.col("n") == 1).alias("single"), F.count("*").alias("members")).filter("single > 0").select("seed", "members")
     whole = runs.join(twice.select(*stretch), stretch, "left_semi").select(*_ID, (F.col("anchor") - F.col("high")).alias("start"), (F.col("anchor") - F.col("low") + WINDOW).alias("end"))
     # Round 3: the unique stretches, and one of each repeated class for them to meet.
-    met = common.materialize(runs.join(classes.join(open_seeds, "seed"), stretch).select(*_ID, "anchor", *stretch, "n", "members"))
-    shown = met.filter("n > 1").groupBy(*stretch).agg(F.min(F.struct(*_ID, "anchor")).alias("one")).select("one.*", *stretch[:3], F.lit(False).alias("asked"))
-    asked = met.filter("n = 1").select(*_ID, "anchor", *stretch[:3], F.lit(True).alias("asked")).unionByName(shown)
+    asked = classes.join(open_seeds, "seed", "left_semi").select("one.*", *stretch[:3], (F.col("n") == 1).alias("asked"))
     asked = asked.groupBy(*_ID).agg(F.collect_list(F.struct("anchor", "low", "high", "seed", "asked")).alias("asked"))  # as many as the text has anchors
     fetched = packed.join(asked, _ID).select(*_ID, "packed", "asked").dropDuplicates(_ID).mapInArrow(_fetch, _BYTES)
     fetched = common.materialize(fetched)
