@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, ids, numbers, parties, text
-from ..operators import analytics, classify, detectors, filters, graph, invoices, sheets, vectors
+from ..operators import analytics, classify, detectors, evidence, filters, graph, invoices, sheets, vectors
 from ..sources import readers, sinks
 from ..streaming import streams
 from . import fixtures, runtime
@@ -374,6 +374,26 @@ def f12_row_evidence(spark, d):
     return detectors.row_evidence(rows, warned).select("project_id", "file_id", "tx_id", "amount", F.col("rank").cast("long").alias("rank"))
 
 
+@query()
+def f11_all_parties(spark, d):
+    """Parties behind every warning; their articles are those of the warning."""
+    found = evidence.Found(detectors.prepared(ledger(spark, d)))
+    return evidence.warning_parties(found).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query()
+def f12_all_rows(spark, d):
+    """Payments behind every warning, at most eight of each."""
+    found = evidence.Found(detectors.prepared(ledger(spark, d)))
+    return evidence.warning_rows(found).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query()
+def f_indicators(spark, d):
+    """The figures of every warning."""
+    return evidence.indicators(evidence.Found(detectors.prepared(ledger(spark, d))))
+
+
 # --- G, H: ranking and drill-down ------------------------------------------------------------------------
 @query(f"{_L}, o AS (SELECT *, row_number() OVER (PARTITION BY project_id, concat(statement_id, direction) ORDER BY tx_id) AS n FROM ledger) SELECT project_id, concat(statement_id, direction) AS row_hash, tx_id FROM o WHERE n = 1")
 def g1_first_in_batch(spark, d):
