@@ -10,9 +10,11 @@ from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..functions import parties, text
 from ..functions.numbers import delta_percent
+from ..plans.runtime import cut
 from .filters import cash, category_of, effective
 
 
@@ -219,11 +221,46 @@ def rank_by(df: DataFrame, metric: str, limit: int) -> DataFrame:
     return df.filter(F.col(metric).isNotNull()).orderBy(F.col(metric).desc_nulls_last(), *sorted(set(df.columns) - {metric})).limit(limit)
 
 
+def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, value, number, n): how often each value occurs; nulls are left out, number is null in columns of no numbers."""
+    numeric = {f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)}
+    number = lambda c: F.col(c).cast("double") if c in numeric else F.lit(None).cast("double")
+    cells = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"), number(c).alias("number")) for c in columns))
+    return df.select(F.explode(cells).alias("x")).select("x.*").filter("value is not null").groupBy("column", "value", "number").agg(F.count("*").alias("n"))
+
+
+def quartiles(values: DataFrame) -> DataFrame:
+    """Exact quartiles of counted numbers, linear between ranks: (column, q25, q50, q75).
+
+    Values are sorted by ranges; each range adds up its counts, and ranks follow from the sums of the ranges before,
+    so that no task holds a column.
+    """
+    parts = cut(values.filter("number is not null").select("column", "number", "n").repartitionByRange("column", "number").withColumn("part", F.spark_partition_id()))
+    sizes = parts.groupBy("column", "part").agg(F.sum("n").alias("rows"))  # a row a range and column
+    earlier = Window.partitionBy("column").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("before", F.coalesce(F.sum("rows").over(earlier), F.lit(0))).withColumn("total", F.sum("rows").over(Window.partitionBy("column")))
+    ranked = parts.join(F.broadcast(sizes), ["column", "part"]).withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("column", "part").orderBy("number")))
+    at = {f"q{q}": (F.col("total") - 1) * q / 100 for q in (25, 50, 75)}
+    ends = ranked.groupBy("column").agg(F.max("total").alias("total"), *(F.min(F.when(F.col("upto") > side(p), F.col("number"))).alias(f"{q}_{name}") for q, p in at.items() for name, side in (("low", F.floor), ("high", F.ceil))))
+    return ends.select("column", *((F.col(f"{q}_low") + (F.col(f"{q}_high") - F.col(f"{q}_low")) * (p - F.floor(p))).alias(q) for q, p in at.items()))
+
+
 def profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row a column: count, distinct, mean, deviation, least, quartiles, greatest."""
-    pct = lambda c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    one = df.agg(*(x for c in columns for x in (F.struct(F.lit(c).alias("column"), F.count(c).alias("count"), F.count_distinct(c).alias("distinct"), F.round(F.avg(c), 4).alias("mean"), F.round(F.stddev(c), 4).alias("std"), F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"), pct(F.col(c).cast("double")).alias("q")).alias(c),)))
-    return one.select(F.explode(F.array(*columns)).alias("x")).select("x.column", "x.count", "x.distinct", "x.mean", "x.std", "x.min", F.get("x.q", F.lit(0)).alias("q25"), F.get("x.q", F.lit(1)).alias("q50"), F.get("x.q", F.lit(2)).alias("q75"), "x.max")
+    """One row a column: count, distinct, mean, deviation, least, quartiles, greatest, most frequent value and its count.
+
+    The least of equally frequent values is the top one. Columns of no numbers have only counts and top; all-null
+    columns have counts of 0. Everything comes from one table of value counts.
+    """
+    values = cut(value_counts(df, columns))
+    number, n = F.col("number"), F.col("n")
+    known = F.when(number.isNotNull(), n)
+    base = values.groupBy("column").agg(F.sum(n).alias("count"), F.count("*").alias("distinct"), (F.sum(number * n) / F.sum(known)).alias("mean"), F.sum(known).alias("_known"), F.min(number).alias("min"), F.max(number).alias("max"), F.min(F.struct((-n).alias("less"), "value")).alias("_top"))
+    spread = values.join(F.broadcast(base.select("column", "mean")), "column").groupBy("column").agg(F.sum(n * (number - F.col("mean")) * (number - F.col("mean"))).alias("_squares"))
+    every = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    out = every.join(base, "column", "left").join(spread, "column", "left").join(quartiles(values), "column", "left")
+    std = F.when(F.col("_known") > 1, F.sqrt(F.col("_squares") / (F.col("_known") - 1)))
+    none = F.lit(0).cast("long")
+    return out.select("column", F.coalesce("count", none).alias("count"), F.coalesce("distinct", none).alias("distinct"), F.round("mean", 4).alias("mean"), F.round(std, 4).alias("std"), "min", "q25", "q50", "q75", "max", F.col("_top.value").alias("top"), (-F.col("_top.less")).alias("freq"))
 
 
 def sample_values(df: DataFrame, columns: list[str], limit: int = 20) -> DataFrame:

@@ -50,6 +50,8 @@ def rule_of(text: Column) -> Column:
 
 #: Different texts whose rules may be broadcast, about 100 characters each; beyond, the join shuffles.
 BROADCAST_TEXTS = 50_000
+#: How payments of no category are marked, by code and by label.
+OTHER = ["OTHER", "Прочее"]
 NEW = {"transaction_category": "category", "category_confidence": "confidence", "category_source": "source", "category_rule_id": "rule_id", "needs_review": "needs_review"}
 
 
@@ -77,10 +79,19 @@ def classify_vectors(df: DataFrame, label_vectors: DataFrame, accept: float = 0.
     return out.withColumns({"transaction_category": F.when(hit, F.col("_label")).otherwise(F.col("transaction_category")), "category_confidence": F.when(hit, F.round("_score", 4)).otherwise(F.col("category_confidence")), "category_source": F.when(hit, "vector").otherwise(F.col("category_source")), "needs_review": F.when(hit, F.col("_score") < review).otherwise(F.col("needs_review"))}).drop("_label", "_score")
 
 
-def reclassify(df: DataFrame) -> DataFrame:
-    """Runs the rules again where the category is missing or OTHER; other rows stay as they are."""
-    again = F.col("transaction_category").isNull() | (F.col("transaction_category") == "OTHER") | (F.col("category_source") == "other")
-    return _with_rule(df.withColumn("_a", F.coalesce(again, F.lit(True))), F.lit("")).withColumns({k: F.when(F.col("_a"), F.col(f"_r.{v}")).otherwise(F.col(k)) for k, v in NEW.items()}).drop("_a", "_r")
+def reclassify(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Runs the rules again where the category is missing or OTHER; other rows stay as they are.
+
+    With a limit, the first such payments by tx_id are taken and the rest stay too. The result is a batch that
+    sinks.upsert_ledger writes back.
+    """
+    again = F.coalesce(F.col("transaction_category").isNull() | F.col("transaction_category").isin(OTHER) | (F.col("category_source") == "other"), F.lit(True))
+    code = F.col("purpose_code") if "purpose_code" in df.columns else F.lit("")
+    tagged = df.withColumn("_a", again)
+    if limit is not None:
+        chosen = df.filter(again).select("tx_id").orderBy("tx_id").limit(limit).withColumn("_taken", F.lit(True))
+        tagged = tagged.join(chosen, "tx_id", "left").withColumn("_a", F.col("_taken").isNotNull()).drop("_taken")
+    return _with_rule(tagged, code).withColumns({k: F.when(F.col("_a"), F.col(f"_r.{v}")).otherwise(F.col(k)) for k, v in NEW.items()}).drop("_a", "_r")
 
 
 def source_counts(df: DataFrame) -> DataFrame:

@@ -107,5 +107,8 @@ HEADERS = {
     **{f"{s}/{k}": f"{s}_{v}" for s in ("payer", "receiver") for k, v in (("name", "name"), ("iin_bin", "iin_bin"), ("iin", "iin_bin"), ("bin", "iin_bin"), ("residency", "residency"), ("bank", "bank"), ("account", "account"))},
 }
 HEADER_KEYWORDS = ["дата", "время", "операц", "валют", "сумм", "тенге", "назначен", "плательщик", "получатель", "иин", "бин", "счет", "номер счета", "банк", "резидент", "код назначения", "виды операции", "категория", "sdp", "сдп", "transaction", "date", "amount", "currency", "purpose", "payer", "receiver"]
+#: Words in header rows of two banks' own layouts.
+KASPI_MARKS = ["дата операции", "дата", "валюта", "сумма", "назначение", "виды операции", "категория документа"]
+HALYK_MARKS = ["дата и время операции", "дата операции", "дата/время", "валюта операции", "сумма в тенге"]
 GROUP_HEADERS = {"плательщик": "payer", "получатель": "receiver"}
 SUBHEADERS = {"наименование/фио": "name", "иин/бин": "iin_bin", "резидентство": "residency", "банк": "bank", "бик": "bic", "номер счета": "account", "счет": "account"}

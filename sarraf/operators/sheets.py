@@ -5,27 +5,46 @@ Everything is a window or a join over cells of one sheet, ordered by row and col
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, ids, numbers, parties
-from ..functions.text import clean_optional_text, norm_text, semantic_text
+from ..functions.text import clean_optional_text, norm_text, repair_mojibake, semantic_text
+from ..plans.runtime import cut
 from . import rules
-from .classify import is_header
+from .classify import adapter_choice, is_header
 
 SHEET = ["file_id", "sheet"]
 ROW = [*SHEET, "row_no"]
 
 
-def rows(cells: DataFrame) -> DataFrame:
+class Layout(NamedTuple):
+    """How header rows look: at least so many of the words, so many filled cells; whether two-row headers occur and garbled text is mended."""
+
+    name: str
+    words: list[str]
+    least: int
+    filled: int
+    grouped: bool = True
+    repaired: bool = False
+
+
+UNIVERSAL = Layout("universal", rules.HEADER_KEYWORDS, 3, 6)
+#: Layouts in the order in which they are tried. Blocks of under three columns go, so a header fills three cells.
+LAYOUTS = [Layout("kaspi", rules.KASPI_MARKS, 2, 3), Layout("halyk", rules.HALYK_MARKS, 1, 3, grouped=False, repaired=True), UNIVERSAL]
+
+
+def rows(cells: DataFrame, layout: Layout = UNIVERSAL) -> DataFrame:
     """A row for each sheet row: joined text, filled cells, and whether it is a header, a grouped header or its second row."""
     c = cells.withColumn("norm", norm_text(F.col("value")))
     has = lambda words: sum((F.max(F.when(F.col("norm") == w, 1).otherwise(0)) for w in words), F.lit(0))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col_no", "norm"))), lambda s: s["norm"]), " ")  # one entry a cell of the row
     whole = F.col("norm").rlike(r"^\d+$")
     out = c.groupBy(*ROW).agg(joined.alias("joined"), F.count_if(F.col("norm") != "").alias("filled"), has(rules.GROUP_HEADERS).alias("groups"), has(rules.SUBHEADERS).alias("subs"), F.count_if(whole).alias("whole"), F.min(F.when(whole, F.col("norm").cast("long"))).alias("low"), F.max(F.when(whole, F.col("norm").cast("long"))).alias("high"))
-    keys = sorted({k.lower() for k in rules.HEADER_KEYWORDS})
-    return out.withColumn("is_group", F.col("groups") == len(rules.GROUP_HEADERS)).withColumn("is_sub", F.col("subs") >= 3).withColumn("is_header", is_header(F.col("joined"), keys, 3) & (F.col("filled") >= 6)).withColumn("is_index", (F.col("whole") >= 3) & (F.col("whole") == F.col("filled")) & (F.col("low") == 1) & (F.col("high") == F.col("whole")))
+    keys = sorted({k.lower() for k in layout.words})
+    return out.withColumn("is_group", (F.col("groups") == len(rules.GROUP_HEADERS)) & F.lit(layout.grouped)).withColumn("is_sub", F.col("subs") >= 3).withColumn("is_header", is_header(F.col("joined"), keys, layout.least) & (F.col("filled") >= layout.filled)).withColumn("is_index", (F.col("whole") >= 3) & (F.col("whole") == F.col("filled")) & (F.col("low") == 1) & (F.col("high") == F.col("whole")))
 
 
 def blocks(sheet_rows: DataFrame) -> DataFrame:
@@ -47,9 +66,9 @@ def blocks(sheet_rows: DataFrame) -> DataFrame:
 
 
 def headers(cells: DataFrame, tagged: DataFrame) -> DataFrame:
-    """(file_id, sheet, block_id, col_no, header): two-row headers as group/part; a header's second column is dropped."""
+    """(file_id, sheet, block_id, col_no, header): two-row headers as group/part; a header's second column is dropped; ё is е."""
     heads = tagged.filter(F.col("row_no") == F.col("head_row")).select(*SHEET, "block_id", "head_row", "head_rows")
-    c = cells.withColumn("norm", norm_text(F.col("value"))).join(heads, SHEET)
+    c = cells.withColumn("norm", F.translate(norm_text(F.col("value")), "ё", "е")).join(heads, SHEET)
     top = c.filter(F.col("row_no") == F.col("head_row")).select(*SHEET, "block_id", "head_rows", "col_no", F.col("norm").alias("top"))
     sub = c.filter((F.col("head_rows") == 2) & (F.col("row_no") == F.col("head_row") + 1)).select(*SHEET, "block_id", "col_no", F.col("norm").alias("sub"))
     both = top.join(sub, [*SHEET, "block_id", "col_no"], "full_outer")
@@ -63,9 +82,11 @@ def headers(cells: DataFrame, tagged: DataFrame) -> DataFrame:
     return both.withColumn("header", full).filter("header is not null").withColumn("_n", F.row_number().over(first)).filter("_n = 1").select(*SHEET, "block_id", "col_no", "header")
 
 
-def block_rows(cells: DataFrame) -> DataFrame:
+def block_rows(cells: DataFrame, layout: Layout = UNIVERSAL) -> DataFrame:
     """Data rows as maps from header to value; blocks with under three columns and blank rows go."""
-    tagged = blocks(rows(cells))
+    if layout.repaired:
+        cells = cells.withColumn("value", repair_mojibake(F.col("value")))
+    tagged = blocks(rows(cells, layout))
     head = headers(cells, tagged)
     wide = head.groupBy(*SHEET, "block_id").count().filter("count >= 3").drop("count")
     data = cells.join(tagged.filter("in_data").select(*ROW, "block_id"), ROW).join(head, [*SHEET, "block_id", "col_no"]).join(wide, [*SHEET, "block_id"], "left_semi")
@@ -73,9 +94,27 @@ def block_rows(cells: DataFrame) -> DataFrame:
     return data.withColumn("v", value).filter("v is not null").groupBy(*SHEET, "block_id", "row_no").agg(F.map_from_entries(F.collect_list(F.struct("header", "v"))).alias("row"))  # one entry a column
 
 
+def by_layout(cells: DataFrame, banks: DataFrame | None = None, layouts: list[Layout] = LAYOUTS) -> DataFrame:
+    """block_rows of each file by the first layout that finds rows in it, with `layout`.
+
+    banks: (file_id, bank). A file of a known bank is read by that bank's layout or else the universal one; files of
+    no or unknown bank, and all files without banks, by whichever comes first.
+    """
+    found = None
+    for i, one in enumerate(layouts):
+        part = block_rows(cells, one).withColumn("layout", F.lit(one.name)).withColumn("priority", F.lit(i))
+        found = part if found is None else found.unionByName(part)
+    found = cut(found)
+    counted = found.groupBy("file_id", "layout", "priority").agg(F.count("*").alias("rows"))  # a row a file and layout
+    if banks is not None:
+        own = F.nullif(F.col("bank"), F.lit("unknown"))
+        counted = counted.join(banks.select("file_id", "bank"), "file_id", "left").filter(own.isNull() | F.col("layout").isin(UNIVERSAL.name) | (own == F.col("layout"))).drop("bank")
+    return found.join(adapter_choice(counted).select("file_id", "layout"), ["file_id", "layout"]).drop("priority")
+
+
 def canonical(found: DataFrame, mapping: dict[str, str] | None = None) -> DataFrame:
     """Maps of headers as canonical columns; the first header of a column that has a value wins. Other headers stay in `ext`."""
-    book = {k: v for k, v in (mapping or rules.HEADERS).items()}
+    book = {k.replace("ё", "е"): v for k, v in (mapping or rules.HEADERS).items()}
     targets = sorted(set(book.values()))
     cols = [F.coalesce(*(F.element_at("row", F.lit(h)) for h in book if book[h] == t)).alias(t) for t in targets]
     return found.select(*SHEET, "block_id", F.col("row_no").alias("source_row_no"), *cols, F.map_filter("row", lambda k, v: ~k.isin([*book])).alias("ext"))
@@ -139,14 +178,26 @@ def pick_metadata(pairs: DataFrame) -> DataFrame:
 
 
 def footers(cells: DataFrame) -> DataFrame:
-    """Totals and balances: the nearest number right of a label, in any row of the sheet."""
+    """Totals and balances: the nearest number right of a label, in any row of the sheet; else by magnitude.
+
+    Without such a number, a balance is the greatest number of a row that names it, and debit and credit are the two
+    greatest numbers of a total's row; of several rows, that with the greatest counts.
+    """
     c = cells.withColumn("norm", norm_text(F.col("value")))
     label = _ranked(c.filter("norm <> ''"), FOOTER_LABELS, "norm").select(*ROW, F.col("col_no").alias("label_col"), "field", "rank", "at")
     number = numbers.parse_decimal(F.col("value"))
     value = c.withColumn("number", number).filter("number is not null").select(*ROW, "col_no", "number")
     near = label.join(value, ROW).filter(F.col("col_no") >= F.col("label_col"))
     w = Window.partitionBy(*SHEET, "field").orderBy("rank", "at", F.col("col_no") - F.col("label_col"), F.desc("row_no"))
-    return near.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select(*SHEET, "field", F.col("number").alias("value"), "row_no")
+    near = near.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select(*SHEET, "field", F.col("number").alias("value"), "row_no")
+    total, opening, closing = "итого", "входящий остаток", "исходящий остаток"
+    named = c.filter(F.col("norm").rlike(f"{total}|{opening}|{closing}")).select(*ROW).distinct()
+    sizes = F.array_sort(F.collect_list(F.struct((-F.abs("number")).alias("less"), "number")))  # the cells of a row
+    line = c.join(named, ROW, "left_semi").withColumn("number", number).groupBy(*ROW).agg(F.concat_ws(" ", F.collect_list("norm")).alias("joined"), F.transform(F.filter(sizes, lambda s: s["number"].isNotNull()), lambda s: s["number"]).alias("nums"))
+    of = lambda field, word, i, least: F.when(F.col("joined").contains(word) & (F.size("nums") >= least), F.struct(F.lit(field).alias("field"), F.get("nums", F.lit(i)).alias("value")))
+    guess = F.array_compact(F.array(of("closing_balance", closing, 0, 1), of("opening_balance", opening, 0, 1), of("total_debit", total, 0, 2), of("total_credit", total, 1, 2)))
+    great = line.select(*ROW, F.explode(guess).alias("x")).select(*ROW, "x.*").groupBy(*SHEET, "field").agg(F.max(F.struct(F.abs("value").alias("size"), "row_no", "value")).alias("m")).select(*SHEET, "field", "m.value", "m.row_no")
+    return near.unionByName(great.join(near, [*SHEET, "field"], "left_anti"))
 
 
 def owner_fallback(cells: DataFrame) -> DataFrame:
@@ -155,8 +206,3 @@ def owner_fallback(cells: DataFrame) -> DataFrame:
     ok = (F.col("row_no") < 40) & F.col("col_no").between(0, 3) & t.isNotNull() & ~t.contains(":") & numbers.parse_decimal(t).isNull() & (F.length(t) > 3)
     w = Window.partitionBy(*SHEET).orderBy("row_no", "col_no")
     return cells.filter(ok).withColumn("_n", F.row_number().over(w)).filter("_n = 1").select(*SHEET, F.trim("value").alias("owner"))
-
-
-def variant_rows(sheet_rows: DataFrame, marks: list[str], least: int) -> DataFrame:
-    """Header rows of a bank's own layout: at least so many of its marks."""
-    return sheet_rows.filter(is_header(F.col("joined"), marks, least))

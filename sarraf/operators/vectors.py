@@ -69,11 +69,19 @@ def centroids(df: DataFrame, label: str = "label", at_least: int = 5) -> DataFra
     return out.select(label, "n", F.transform("c", lambda x: x / norm).alias("embedding"))
 
 
-def clusters(df: DataFrame, text: str, label: str = "label", samples: int = 10) -> DataFrame:
-    """Each label with its size, centroid where it has one, and a few distinct texts."""
+def clusters(df: DataFrame, text: str, label: str = "label", samples: int = 10, label_vectors: DataFrame | None = None) -> DataFrame:
+    """Each label with its size, centroid where it has one, a few distinct texts, and its words of over two letters.
+
+    With label_vectors (label, embedding), its labels are listed, those without rows too; a label without a centroid
+    has its own vector.
+    """
     first = df.select(label, text).distinct().withColumn("_n", F.row_number().over(Window.partitionBy(label).orderBy(text))).filter(F.col("_n") <= samples)
     few = first.groupBy(label).agg(F.array_sort(F.collect_list(text)).alias("samples"))  # at most `samples` entries
-    return df.groupBy(label).agg(F.count("*").alias("size")).join(centroids(df, label).select(label, "embedding"), label, "left").join(few, label, "left")
+    out = df.groupBy(label).agg(F.count("*").alias("size")).join(centroids(df, label).select(label, "embedding"), label, "left").join(few, label, "left")
+    if label_vectors is not None:
+        out = label_vectors.select(label, F.col("embedding").cast("array<double>").alias("_own")).join(out, label, "left")
+        out = out.withColumns({"size": F.coalesce("size", F.lit(0)), "embedding": F.coalesce("embedding", "_own"), "samples": F.coalesce("samples", F.array().cast("array<string>"))}).drop("_own")
+    return out.withColumn("keywords", F.filter(F.split(F.lower(F.col(label).cast("string")), r"[/\s]+"), lambda w: F.length(w) > 2))
 
 
 def resolve_format(new: DataFrame, formats: DataFrame, least: float = 0.92) -> DataFrame:
@@ -94,9 +102,13 @@ def resolve_format(new: DataFrame, formats: DataFrame, least: float = 0.92) -> D
     return exact.unionByName(near).unionByName(fresh)
 
 
-def bump_usage(formats: DataFrame, resolved: DataFrame) -> DataFrame:
+def bump_usage(formats: DataFrame, resolved: DataFrame, seen: Column | None = None) -> DataFrame:
+    """Adds up uses; with a time, last_seen of the used formats becomes that."""
     used = resolved.groupBy("format_id").agg(F.count("*").alias("_n"))
-    return formats.join(used, "format_id", "left").withColumn("usage_count", F.col("usage_count") + F.coalesce("_n", F.lit(0))).drop("_n")
+    out = formats.join(used, "format_id", "left").withColumn("usage_count", F.col("usage_count") + F.coalesce("_n", F.lit(0)))
+    if seen is not None:
+        out = out.withColumn("last_seen", F.when(F.col("_n").isNotNull(), seen).otherwise(F.col("last_seen") if "last_seen" in formats.columns else F.lit(None)))
+    return out.drop("_n")
 
 
 def semantic_backfill(df: DataFrame, limit: int | None = None) -> DataFrame:

@@ -6,13 +6,13 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from ..functions import numbers, parties
+from ..functions import dates, numbers, parties
 from ..operators import analytics, classify, duplicates, filters, graph, invoices, sheets, vectors
 from ..sources import readers, sinks
 from . import fixtures, runtime
 from .fixtures import LEDGER_SQL, embeddings, ledger
 from .fixtures import invoices as invoice_rows
-from .queries import _CATEGORY, _DETAIL, _EDGES, _I, _L, _MONEY, _TS, _key, _unknown, query
+from .queries import _CATEGORY, _DETAIL, _EDGES, _I, _L, _MONEY, _TS, SQL, _key, _unknown, query
 
 # --- B: scalar functions ---------------------------------------------------------------------------------
 _BAD_IIN = "trim(coalesce({0}, '')) IN ('', '0', '000000000000')"
@@ -273,3 +273,35 @@ def m10_adapter_choice(spark, d):
     own = x.groupBy("file_id", F.col("source_bank").alias("layout")).agg(F.count_if(F.col("currency") == "USD").alias("rows"), F.length("source_bank").alias("priority"))
     other = x.groupBy("file_id").agg(F.count("*").alias("rows")).select("file_id", F.lit("generic").alias("layout"), "rows", F.lit(100).alias("priority"))
     return classify.adapter_choice(own.unionByName(other)).select("file_id", "layout", "rows")
+
+
+@query(f"""{_L} SELECT file_id, CASE WHEN CAST(file_id AS BIGINT) % 3 = 0 THEN 'halyk' ELSE 'kaspi' END AS layout, count(*) + 1 AS rows, count(*) AS dated FROM ledger GROUP BY 1""")
+def m10_layouts(spark, d):
+    """Sheets read by the first layout that finds rows: every third file has garbled headers, which only one layout mends. A total's row is among the rows."""
+    sheet = fixtures.cells(ledger(spark, d))
+    garbled = F.decode(F.encode(F.col("value"), "UTF-8"), "windows-1251")
+    sheet = runtime.cut(sheet.withColumn("value", F.when((F.col("row_no") == 3) & (F.col("file_id").cast("long") % 3 == 0), garbled).otherwise(F.col("value"))))
+    found = sheets.canonical(sheets.by_layout(sheet).withColumn("sheet", F.concat_ws(":", "sheet", "layout")))
+    return found.groupBy("file_id", F.split_part("sheet", F.lit(":"), F.lit(2)).alias("layout")).agg(F.count("*").alias("rows"), F.count(dates.parse_datetime(F.col("operation_ts"))).alias("dated"))
+
+
+# --- K, E: backfill and description ------------------------------------------------------------------------------
+@query(f"""WITH k AS ({SQL['k1_rules']}), l AS ({LEDGER_SQL}) SELECT l.tx_id, CASE WHEN direction = 'credit' THEN k.category ELSE 'KEPT' END AS category,
+  CASE WHEN direction = 'credit' THEN CASE WHEN k.rule_id = 'DEFAULT_OTHER' THEN 'other' ELSE 'rule' END ELSE 'manual' END AS source FROM l JOIN k ON l.tx_id = k.tx_id""")
+def k5_backfill(spark, d):
+    """Payments of no category meet the rules again and are written back by the upsert; the others keep theirs."""
+    credit = F.col("direction") == "credit"
+    stored = ledger(spark, d).withColumns({
+        "row_hash": F.col("tx_id"), "transaction_category": F.when(credit, "OTHER").otherwise("KEPT"), "category_confidence": F.lit(1.0), "category_source": F.when(credit, "other").otherwise("manual"),
+        "category_rule_id": F.lit(None).cast("string"), "needs_review": credit,
+    })
+    changed = classify.reclassify(stored).filter(credit)
+    return sinks.upsert_ledger(stored, changed).select("tx_id", F.col("transaction_category").alias("category"), F.col("category_source").alias("source"))
+
+
+_DESCRIBED = lambda c: f"SELECT '{c}' AS \"column\", CAST(sum(n) AS BIGINT) AS count, count(*) AS distinct_values, (SELECT {c} FROM (SELECT {c}, count(*) AS n FROM ledger WHERE {c} IS NOT NULL GROUP BY 1) ORDER BY n DESC, encode({c}) LIMIT 1) AS top, max(n) AS freq FROM (SELECT {c}, count(*) AS n FROM ledger WHERE {c} IS NOT NULL GROUP BY 1)"
+
+
+@query(f"{_L} {_DESCRIBED('purpose_text')} UNION ALL {_DESCRIBED('currency')} UNION ALL {_DESCRIBED('payer_name')}")
+def e21_describe(spark, d):
+    return analytics.profile(ledger(spark, d), ["purpose_text", "currency", "payer_name"]).select("column", "count", F.col("distinct").alias("distinct_values"), "top", "freq")

@@ -173,3 +173,79 @@ def test_vectors(spark):
 def test_headers(spark):
     h = spark.createDataFrame([("Дата операции",), ("платежа назначение",), ("???",)], "header string")
     assert {(r["header"], r["canonical"], r["method"]) for r in classify.map_headers(h).collect()} == {("Дата операции", "operation_ts", "exact"), ("платежа назначение", "purpose_text", "fuzzy")}
+
+
+def test_profile_of_ties_nulls_and_nothing(spark):
+    from sarraf.operators import analytics
+
+    rows = spark.createDataFrame([(1.0, "b"), (2.0, "a"), (2.0, None), (10.0, "a"), (None, "b")], "x double, s string").withColumn("nothing", F.lit(None).cast("int"))
+    got = {r["column"]: r for r in analytics.profile(rows, ["x", "s", "nothing"]).collect()}
+    x, s, none = got["x"], got["s"], got["nothing"]
+    assert (x["count"], x["distinct"], x["mean"], x["std"], x["min"], x["q25"], x["q50"], x["q75"], x["max"], x["freq"]) == (4, 3, 3.75, 4.1932, 1.0, 1.75, 2.0, 4.0, 10.0, 2)
+    assert (s["count"], s["distinct"], s["top"], s["freq"], s["mean"], s["q50"]) == (4, 2, "a", 2, None, None)
+    assert (none["count"], none["distinct"], none["top"], none["freq"], none["min"]) == (0, 0, None, None, None)
+    assert [r["count"] for r in analytics.profile(rows.limit(0), ["x", "s"]).collect()] == [0, 0]
+
+
+def test_quartiles_over_many_ranges(spark):
+    from sarraf.operators import analytics
+
+    df = spark.range(0, 4001, 1, 8).select(((F.col("id") * 7919) % 4001 / 4).alias("v"), F.lit(5).alias("same"))
+    got = {r["column"]: (r["q25"], r["q50"], r["q75"]) for r in analytics.profile(df, ["v", "same"]).collect()}
+    assert got == {"v": (250.0, 500.0, 750.0), "same": (5.0, 5.0, 5.0)}
+
+
+STORED = "tx_id string, purpose_text string, purpose_code string, operation_type_raw string, transaction_category string, category_source string, category_rule_id string, category_confidence double, needs_review boolean"
+
+
+def test_backfill_keeps_others_and_heeds_its_limit(spark):
+    rows = [("a", "Снятие наличных", None, "", "OTHER", "other", None, 1.0, True), ("b", "Снятие наличных", None, "", None, None, None, None, None), ("c", "Снятие наличных", None, "", "STORE", "manual", None, 1.0, False), ("d", "", "оплата товаров и услуг", "", "OTHER", "other", None, 1.0, True)]
+    df = spark.createDataFrame(rows, STORED)
+    both = lambda x: {r["tx_id"]: r["transaction_category"] for r in x.collect()}
+    assert both(classify.reclassify(df)) == {"a": "CASH", "b": "CASH", "c": "STORE", "d": "STORE"}
+    assert both(classify.reclassify(df, 1)) == {"a": "CASH", "b": None, "c": "STORE", "d": "OTHER"}
+    assert both(classify.reclassify(df, 0)) == {"a": "OTHER", "b": None, "c": "STORE", "d": "OTHER"}
+
+
+def grid(spark, file, lines):
+    return [(file, "s", r, c, v) for r, line in enumerate(lines) for c, v in enumerate(line) if v is not None]
+
+
+def test_layouts(spark):
+    garbled = lambda t: t.encode("utf-8").decode("cp1251")
+    lines = [["дата операции", "валюта", "сумма"], ["01.01.2024", "KZT", "5"], ["02.01.2024", "KZT", "6"]]
+    cells = grid(spark, "plain", lines) + grid(spark, "garbled", [[garbled(x) for x in lines[0]], *lines[1:]]) + grid(spark, "narrow", [["дата операции", "валюта операции"], ["01.01.2024", "KZT"]])
+    cells += grid(spark, "wide", [["transaction", "date", "amount", "payer", "purpose", "банк"], ["1", "01.01.2024", "5", "x", "y", "z"]])
+    df = spark.createDataFrame(cells, "file_id string, sheet string, row_no int, col_no int, value string")
+    count = lambda x: {(r["file_id"], r["layout"]): r["count"] for r in x.groupBy("file_id", "layout").count().collect()}
+    found = sheets.by_layout(df)
+    assert count(found) == {("plain", "kaspi"): 2, ("garbled", "halyk"): 2, ("wide", "universal"): 1}
+    assert {tuple(sorted(r["row"])) for r in found.filter("file_id = 'garbled'").collect()} == {("валюта", "дата операции", "сумма")}
+    banks = spark.createDataFrame([("plain", "halyk"), ("garbled", "kaspi"), ("wide", "unknown")], "file_id string, bank string")
+    assert count(sheets.by_layout(df, banks)) == {("plain", "halyk"): 2, ("wide", "universal"): 1}
+
+
+def test_yo_is_ye_in_headers(spark):
+    lines = [["дата операции", "валюта операции", "номер счёта плательщика", "сумма", "назначение", "банк"], ["01.01.2024", "KZT", "KZ1", "5", "p", "b"]]
+    df = spark.createDataFrame(grid(spark, "f", lines), "file_id string, sheet string, row_no int, col_no int, value string")
+    assert [r["payer_account"] for r in sheets.canonical(sheets.block_rows(df)).collect()] == ["KZ1"]
+
+
+def test_footers_by_magnitude(spark):
+    lines = [["Итого", None, "10", "300", "20"], ["Итого", None, "7", "5", None], ["4 500", "Исходящий остаток", None, None, None], ["Входящий остаток", "9", "8", None, None]]
+    df = spark.createDataFrame(grid(spark, "f", lines), "file_id string, sheet string, row_no int, col_no int, value string")
+    got = {r["field"]: float(r["value"]) for r in sheets.footers(df).collect()}
+    assert got == {"total_debit": 300, "total_credit": 20, "closing_balance": 4500, "opening_balance": 9}
+
+
+def test_clusters_fall_back_on_label_vectors(spark):
+    rows = spark.createDataFrame([("Cash/in hand", f"t{i}", [3.0, 4.0]) for i in range(5)] + [("Few", "t", [1.0, 0.0])], "label string, text string, embedding array<double>")
+    own = spark.createDataFrame([("Cash/in hand", [0.0, 1.0]), ("Few", [0.0, 1.0]), ("None", [1.0, 0.0])], "label string, embedding array<double>")
+    got = {r["label"]: (r["size"], [round(x, 6) for x in r["embedding"]], len(r["samples"]), r["keywords"]) for r in vectors.clusters(rows, "text", label_vectors=own).collect()}
+    assert got == {"Cash/in hand": (5, [0.6, 0.8], 5, ["cash", "hand"]), "Few": (1, [0.0, 1.0], 1, ["few"]), "None": (0, [1.0, 0.0], 0, ["none"])}
+
+
+def test_bump_usage_sees(spark):
+    formats = spark.createDataFrame([("a", 1, "old"), ("b", 2, "old")], "format_id string, usage_count long, last_seen string")
+    used = spark.createDataFrame([("a",), ("a",)], "format_id string")
+    assert {tuple(r) for r in vectors.bump_usage(formats, used, F.lit("new")).select("format_id", "usage_count", "last_seen").collect()} == {("a", 3, "new"), ("b", 2, "old")}
