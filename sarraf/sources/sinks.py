@@ -17,7 +17,7 @@ def upsert_ledger(existing: DataFrame, batch: DataFrame) -> DataFrame:
     """Existing rows keep all but RENEWED, which a replay overwrites; new keys are added whole, first one wins."""
     first = batch.dropDuplicates(KEY) if "source_row_no" not in batch.columns else batch.withColumn("_n", F.row_number().over(Window.partitionBy(*KEY).orderBy("source_row_no"))).filter("_n = 1").drop("_n")
     old, new = existing.alias("o"), first.alias("n")
-    joined = old.join(new, (F.col("o.project_id") == F.col("n.project_id")) & (F.col("o.row_hash") == F.col("n.row_hash")), "full_outer")
+    joined = old.join(new, F.col("o.project_id").eqNullSafe(F.col("n.project_id")) & (F.col("o.row_hash") == F.col("n.row_hash")), "full_outer")
     known = F.col("o.row_hash").isNotNull()
     cols = []
     for c in existing.columns:
@@ -39,17 +39,51 @@ def new_rows_only(batch: DataFrame, existing: DataFrame) -> DataFrame:
     return batch.join(existing.select(*KEY).distinct(), KEY, "left_anti")
 
 
+def _store(spark: SparkSession, path: str):
+    """(file system of a path, maker of its paths)."""
+    p = spark._jvm.org.apache.hadoop.fs.Path
+    return p(path).getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _move(store, source, target) -> None:
+    if not store.rename(source, target):
+        raise OSError(f"{source} could not be renamed to {target}")
+
+
+def table_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a table that swap_in writes is there, after partitions that a crash left aside were put back."""
+    store, p = _store(spark, path)
+    aside = p(f"{path}.old")
+    if store.exists(aside):
+        store.mkdirs(p(path))
+        for part in store.listStatus(aside):
+            here = p(f"{path}/{part.getPath().getName()}")
+            if not store.exists(here):
+                _move(store, part.getPath(), here)
+        store.delete(aside, True)
+    return store.exists(p(path))
+
+
 def swap_in(df: DataFrame, path: str, partition: str = "project_id") -> None:
-    """Writes beside the table and renames, so that a table is never read while it is overwritten."""
+    """Renews the partitions that df has rows of; all others stay untouched.
+
+    Partitions are written beside the table, then old ones step aside and new ones take their places, by renames. What
+    a crash leaves aside is put back by table_exists, which each write asks first; a replay then settles the rest.
+    """
     spark = df.sparkSession
+    table_exists(spark, path)
     df.write.mode("overwrite").partitionBy(partition).parquet(f"{path}.new")
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    p = lambda x: jvm.org.apache.hadoop.fs.Path(x)
-    store = p(path).getFileSystem(conf)
-    if store.exists(p(path)):
-        store.delete(p(f"{path}.old"), True)
-        store.rename(p(path), p(f"{path}.old"))
-    store.rename(p(f"{path}.new"), p(path))
+    store, p = _store(spark, path)
+    for folder in (path, f"{path}.old"):
+        store.mkdirs(p(folder))
+    for part in store.listStatus(p(f"{path}.new")):
+        name = part.getPath().getName()
+        if name.startswith(f"{partition}="):
+            if store.exists(p(f"{path}/{name}")):
+                _move(store, p(f"{path}/{name}"), p(f"{path}.old/{name}"))
+            _move(store, part.getPath(), p(f"{path}/{name}"))
+    store.delete(p(f"{path}.old"), True)
+    store.delete(p(f"{path}.new"), True)
 
 
 def pack_overflow(df: DataFrame, mapped: list[str], key: str = "tx_id") -> DataFrame:
