@@ -1,4 +1,9 @@
-"""A corpus from raw documents: language, near copies, benchmark passages, mixture, shards."""
+"""A corpus from raw documents: language, near copies, benchmark passages, mixture, shards.
+
+Defined cases: documents of null text or without a letter go at the language stage; a row without an id is a document
+like any other; of rows of equal id and text one stays at the near-copy stage; documents without words are near copies of
+nothing and hold no passage; null sources are one source; an empty table stays empty through all stages. Other columns pass through, whatever their names, up to the last stage.
+"""
 
 from __future__ import annotations
 
