@@ -457,8 +457,9 @@ def test_added_spans_keep_base(spark):
 def test_estimate_finds_reliable_labelers():
     chance, share = pii.estimate([("phone:ppppp", 50), ("phone:--nnn", 50), ("phone:p-p-p", 5), ("phone:-nnpn", 5)])
     assert chance["phone:ppppp"] > 0.95 and chance["phone:--nnn"] < 0.05
-    w = pii.fit([("phone:ppppp", 50), ("phone:--nnn", 50)], chance)
-    assert pii.encode("phone:ppppp") @ w > 0 > pii.encode("phone:--nnn") @ w
+    right, wrong = (pii.seen(t, t.index("2"), pii.KINDS.index("phone"), t.index("2") + 12) for t in ("call 200-555-1000 now", "order 200 222 4000 is late"))
+    w = pii.fit([right, wrong], np.array([chance["phone:ppppp"], chance["phone:--nnn"]]), np.array([50.0, 50.0]))
+    assert w[right].sum() > 0 > w[wrong].sum()
 
 
 # --- 8 vectors -----------------------------------------------------------------------------------------------------
