@@ -178,8 +178,13 @@ def drill_bucket(df: DataFrame, bucket: str, limit: int = 50) -> DataFrame:
     return newest(df.filter(within(start, end - timedelta(1))), limit)
 
 
-def drill_party(df: DataFrame, side: str, key_value: str, order: str = "name", limit: int = 50) -> DataFrame:
-    """Payments of a party on one side, or on either with side "any"; key_value as the rankings give it."""
+def drill_party(df: DataFrame, side: str, key_value: str, order: str = "name", limit: int = 50, account: str | None = None) -> DataFrame:
+    """Payments of a party on one side, or on either with side "any"; key_value as the rankings give it.
+
+    With an account, only those in which either side has it.
+    """
+    if account is not None:
+        df = df.filter(F.coalesce(F.col("payer_account") == account, F.lit(False)) | F.coalesce(F.col("receiver_account") == account, F.lit(False)))
     has = {s: F.coalesce(parties.counterparty_key(F.col(f"{s}_iin_bin"), F.col(f"{s}_account"), F.col(f"{s}_name"), order) == key_value, F.lit(False)) for s in ("payer", "receiver")}
     return newest(df.filter(has["payer"] | has["receiver"] if side == "any" else has[side]), limit)
 

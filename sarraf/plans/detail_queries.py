@@ -305,3 +305,10 @@ _DESCRIBED = lambda c: f"SELECT '{c}' AS \"column\", CAST(sum(n) AS BIGINT) AS c
 @query(f"{_L} {_DESCRIBED('purpose_text')} UNION ALL {_DESCRIBED('currency')} UNION ALL {_DESCRIBED('payer_name')}")
 def e21_describe(spark, d):
     return analytics.profile(ledger(spark, d), ["purpose_text", "currency", "payer_name"]).select("column", "count", F.col("distinct").alias("distinct_values"), "top", "freq")
+
+
+# --- H: one account of a party -----------------------------------------------------------------------------------
+@query(f"""{_L} SELECT {_DETAIL} FROM ledger WHERE ({_key('name', 'payer_name', 'payer_iin_bin', 'payer_account')} = 'iin:000000000010' OR {_key('name', 'receiver_name', 'receiver_iin_bin', 'receiver_account')} = 'iin:000000000010')
+  AND 'KZ900000000000000006' IN (payer_account, receiver_account) ORDER BY {_TS} DESC, tx_id DESC LIMIT 50""")
+def h7_drill_account(spark, d):
+    return analytics.drill_party(ledger(spark, d), "any", "iin:000000000010", account="KZ900000000000000006")
