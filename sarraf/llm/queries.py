@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, html_blocks, lang_id, mixing, ngram_join, pii, sharding, suffix_dedup, vector_graph, warc
+from . import centroids, decontam, exact_dedup, html_blocks, lang_id, merkle, mixing, ngram_join, pii, sharding, suffix_dedup, vector_graph, warc
 from .common import table
 
 SHARDS = 24
@@ -48,7 +48,19 @@ def op10_arc_to_warc(spark, sf_dir):
     return warc.convert(table(spark, sf_dir, "pages")).drop("record_id", "url")
 
 
-QUERIES = {f.__name__: f for f in (op1_slot_sharding, op2_suffix_dedup, op3_html_blocks, op4_ppm_language, op5_ngram_jaccard, op6_pivotal_mixing, op7_weak_pii, op8_pruned_graph, op9_aho_decontamination, op10_arc_to_warc)}
+def op11_centroid_clusters(spark, sf_dir):
+    return centroids.clusters(table(spark, sf_dir, "embeddings")).drop("centroid")
+
+
+def op12_exact_dedup(spark, sf_dir):
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), digests=True)
+
+
+def op13_merkle_manifest(spark, sf_dir):
+    return merkle.manifest(table(spark, sf_dir, "documents")).drop("path")
+
+
+QUERIES = {f.__name__: f for f in (op1_slot_sharding, op2_suffix_dedup, op3_html_blocks, op4_ppm_language, op5_ngram_jaccard, op6_pivotal_mixing, op7_weak_pii, op8_pruned_graph, op9_aho_decontamination, op10_arc_to_warc, op11_centroid_clusters, op12_exact_dedup, op13_merkle_manifest)}
 
 #: Components of links(a, b), under the nodes of rows(node): the least node of each.
 _COMPONENTS = """b AS MATERIALIZED (SELECT a AS x, b AS y FROM links UNION SELECT b, a FROM links),
@@ -57,8 +69,65 @@ _COMPONENTS = """b AS MATERIALIZED (SELECT a AS x, b AS y FROM links UNION SELEC
 #: A-Z in lower case, nothing else.
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+def _cluster_sql(rounds: int = 3, k: int = 16) -> str:
+    """Rounds of assignment and floored means, written out one after the other; components stay rows of (vector, place)."""
+    steps = [f"""
+        q AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+          WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY sha256('1:' || vec_id), q) - 1 AS INT) AS cluster, q AS c FROM q QUALIFY cluster < {k})"""]
+    for i in range(rounds + 1):
+        steps.append(f"""
+        a{i} AS MATERIALIZED (SELECT vec_id, q, min(struct_pack(d := CAST(d AS BIGINT), cluster := cluster)) AS x FROM
+          (SELECT vec_id, q, cluster, list_sum(list_transform(list_zip(q, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM q, c{i}) GROUP BY vec_id, q)""")
+        if i < rounds:
+            steps.append(f"""
+        m{i} AS (SELECT cluster, p, sum(v) AS s, count(*) AS n FROM (SELECT x.cluster AS cluster, unnest(range(1, 65)) AS p, unnest(q) AS v FROM a{i}) GROUP BY 1, 2),
+        n{i} AS (SELECT cluster, list(CAST((s - (s % n + n) % n) // n AS BIGINT) ORDER BY p) AS c FROM m{i} GROUP BY 1),
+        c{i + 1} AS MATERIALIZED (SELECT o.cluster, coalesce(n.c, o.c) AS c FROM c{i} o LEFT JOIN n{i} n ON n.cluster = o.cluster)""")
+    return f"""WITH {','.join(steps)}
+        SELECT vec_id, x.cluster AS cluster, x.d AS distance, CAST(sum(x.d) OVER (PARTITION BY x.cluster) AS BIGINT) AS cluster_inertia, CAST(sum(x.d) OVER () AS BIGINT) AS inertia,
+          sha256(array_to_string(c, ',')) AS centroid_sha256
+        FROM a{rounds} JOIN c{rounds} z ON z.cluster = x.cluster"""
+
+
+def _merkle_sql(levels: int = 7, over: int = 3) -> str:
+    """The tree of each language for so many levels, then the one over the languages: 8 ** levels rows a language at most."""
+    field = lambda c, v=None: f"coalesce(octet_length(encode(CAST({v or c} AS VARCHAR))) || ':' || CAST({v or c} AS VARCHAR), '-')"
+    leaf = lambda text: "sha256(" + " || ".join([*map(field, ("doc_id", "source", "lang", "n_chars")), field("", text)]) + ")"
+    bits = "flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: list_transform(range(8), lambda i: CAST((ascii(ch) >> i) & 1 AS BIGINT))))"
+    crc = f"xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {bits}), lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))))"
+    steps = [f"""
+        d AS MATERIALIZED (SELECT doc_id, lang, {leaf('text')} AS leaf, CASE WHEN {crc} % 3 = 0 THEN {leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS forged FROM documents),
+        g AS MATERIALIZED (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS g FROM (SELECT DISTINCT lang FROM d)),
+        e AS MATERIALIZED (SELECT g, doc_id, leaf, forged, row_number() OVER (PARTITION BY g ORDER BY doc_id) - 1 AS p FROM d JOIN g ON d.lang IS NOT DISTINCT FROM g.lang),
+        n0 AS MATERIALIZED (SELECT g, p, leaf AS h, count(*) OVER (PARTITION BY g) AS n FROM e),
+        f0 AS (SELECT g, p, p AS own, coalesce(forged, leaf) AS f, '' AS proof FROM e)"""]
+    for i in range(levels + over):
+        if i == levels:
+            steps.append(f"""
+        n{i}s AS MATERIALIZED (SELECT 0 AS g, g AS p, h, count(*) OVER () AS n FROM n{i}),
+        f{i}s AS (SELECT 0 AS g, g AS p, g AS lang_no, own, f, proof FROM f{i})""")
+        n, f, keep = (f"n{i}s", f"f{i}s", "f.lang_no, ") if i == levels else (f"n{i}", f"f{i}", "f.lang_no, " if i > levels else "")
+        steps.append(f"""
+        s{i} AS MATERIALIZED (SELECT x.g, x.p, x.n, coalesce(string_agg(y.h, '' ORDER BY y.p) FILTER (y.p < x.p), '') AS l, coalesce(string_agg(y.h, '' ORDER BY y.p) FILTER (y.p > x.p), '') AS r
+          FROM {n} x JOIN {n} y ON x.g = y.g AND x.p // 8 = y.p // 8 GROUP BY 1, 2, 3),
+        n{i + 1} AS MATERIALIZED (SELECT g, p // 8 AS p, CASE WHEN n > 1 THEN sha256(string_agg(h, '' ORDER BY p)) ELSE min(h) END AS h, (n + 7) // 8 AS n FROM {n} GROUP BY g, p // 8, n),
+        f{i + 1} AS MATERIALIZED (SELECT f.g, f.p // 8 AS p, {keep}f.own, CASE WHEN s.n > 1 THEN sha256(s.l || f.f || s.r) ELSE f.f END AS f, f.proof || s.l || s.r AS proof FROM {f} f JOIN s{i} s ON s.g = f.g AND s.p = f.p)""")
+    return f"""WITH {','.join(steps)}
+        SELECT e.doc_id, e.leaf, b.h AS subroot, r.h AS root, sha256(f.proof) AS proof_sha256, f.f AS folded_root, f.f = r.h AS verified
+        FROM e JOIN f{levels + over} f ON f.lang_no = e.g AND f.own = e.p JOIN n{levels} b ON b.g = e.g CROSS JOIN n{levels + over} r"""
+
+
 #: What follows from the tables alone, by brute force.
 ORACLE_SQL = {
+    "op11_centroid_clusters": _cluster_sql(),
+    "op12_exact_dedup": """
+        WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS norm FROM documents),
+        r AS (SELECT doc_id, norm, first_value(doc_id) OVER w AS keep_id, row_number() OVER w AS n, count(*) OVER (PARTITION BY norm) AS group_size FROM t WINDOW w AS (PARTITION BY norm ORDER BY points DESC, doc_id))
+        SELECT doc_id, keep_id, group_size, n = 1 AS kept, sha256(norm) AS text_sha256 FROM r
+    """,
+    "op13_merkle_manifest": _merkle_sql(),
     "op5_ngram_jaccard": f"""
         WITH RECURSIVE t AS MATERIALIZED (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
         g AS MATERIALIZED (SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i : i + 4], ' ') END AS gram FROM t, range(1, 1 + greatest(1, len(w) - 4)) r(i) WHERE len(w) > 0),
