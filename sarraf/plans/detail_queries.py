@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, numbers, parties
 from ..operators import analytics, classify, duplicates, filters, graph, invoices, sheets, vectors
-from ..sources import readers, sinks
+from ..sources import readers, sinks, versions
 from . import fixtures, runtime
 from .fixtures import LEDGER_SQL, embeddings, ledger
 from .fixtures import invoices as invoice_rows
@@ -255,6 +255,44 @@ def a14_purge_tables(spark, d):
     return out
 
 
+#: Projects as they come in: none, an empty name, a name with a slash.
+_ODD = "CASE project_id WHEN 'AFRICA' THEN NULL WHEN 'ASIA' THEN '' WHEN 'EUROPE' THEN 'a/b' ELSE project_id END"
+
+
+def _stored_batches(spark, d):
+    """Two batches by statement: the first has credits, the second all, with no category for every third one."""
+    x = ledger(spark, d).withColumn("project_id", F.expr(_ODD)).withColumn("row_hash", F.col("statement_id"))
+    one = x.filter("direction = 'credit'").groupBy("project_id", "row_hash").agg(F.min("tx_id").alias("tx_id")).withColumn("transaction_category", F.lit("OLD")).withColumn("needs_review", F.lit(True))
+    two = x.groupBy("project_id", "row_hash").agg(F.max("tx_id").alias("tx_id")).withColumn("transaction_category", F.when(F.col("row_hash").cast("long") % 3 != 0, "NEW")).withColumn("needs_review", F.lit(None).cast("boolean"))
+    return one, two
+
+
+_STORED = f"""{_L}, x AS (SELECT {_ODD} AS project_id, statement_id AS row_hash, tx_id, direction FROM ledger), o AS (SELECT project_id, row_hash, min(tx_id) AS tx_id FROM x WHERE direction = 'credit' GROUP BY 1, 2), n AS (SELECT project_id, row_hash, max(tx_id) AS tx_id FROM x GROUP BY 1, 2),
+  stored AS (SELECT n.project_id, n.row_hash, coalesce(o.tx_id, n.tx_id) AS tx_id, CASE WHEN CAST(n.row_hash AS BIGINT) % 3 <> 0 THEN 'NEW' END AS transaction_category, CAST(NULL AS BOOLEAN) AS needs_review FROM n LEFT JOIN o ON n.project_id IS NOT DISTINCT FROM o.project_id AND n.row_hash = o.row_hash)"""
+
+
+@query(f"{_STORED} SELECT coalesce(project_id, '<none>') AS project, row_hash, tx_id, transaction_category, needs_review IS NULL AS unseen FROM stored")
+def a7_stored_upsert(spark, d):
+    """Batches upserted into a stored table, nulls as the batch has them, and its last version read."""
+    path = runtime.shared_dir(spark)
+    for batch in _stored_batches(spark, d):
+        sinks.upsert_stored(batch, path)
+    return versions.read(spark, path).select(F.coalesce("project_id", F.lit("<none>")).alias("project"), "row_hash", "tx_id", "transaction_category", F.col("needs_review").isNull().alias("unseen"))
+
+
+@query(f"""{_STORED} SELECT 'ledger' AS name, coalesce(project_id, '<none>') AS project, count(*) AS n FROM stored WHERE project_id <> '' OR project_id IS NULL GROUP BY 2
+  UNION ALL SELECT 'ext', '', count(*) FROM stored WHERE project_id <> '' OR project_id IS NULL""")
+def a14_purge_stored(spark, d):
+    """The project of the empty name purged from a stored ledger and from the table that hangs on its payments; that of no name stays."""
+    paths = {name: runtime.shared_dir(spark) for name in ("ledger", "ext")}
+    for batch in _stored_batches(spark, d):
+        sinks.upsert_stored(batch, paths["ledger"])
+    versions.append_new(versions.read(spark, paths["ledger"]).select("tx_id"), paths["ext"], None, ["tx_id"])
+    sinks.purge_stored(spark, paths, "")
+    left = versions.read(spark, paths["ledger"]).groupBy(F.coalesce("project_id", F.lit("<none>")).alias("project")).agg(F.count("*").alias("n")).select(F.lit("ledger").alias("name"), "project", "n")
+    return left.unionByName(versions.read(spark, paths["ext"]).agg(F.count("*").alias("n")).select(F.lit("ext").alias("name"), F.lit("").alias("project"), "n"))
+
+
 # --- M: sheets ---------------------------------------------------------------------------------------------------
 @query(f"{_L} SELECT file_id, 'total_credit' AS field, CAST(sum(amount_credit) AS DOUBLE) AS value FROM ledger GROUP BY 1")
 def m7_footers(spark, d):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import display_name, norm_text
 from ..operators.filters import category_of, effective
+from . import versions
 
 KEY = ["project_id", "row_hash"]
 #: The columns that a replayed row may renew.
@@ -14,76 +15,36 @@ RENEWED = ["semantic_text", "semantic_embedding", "transaction_category", "categ
 
 
 def upsert_ledger(existing: DataFrame, batch: DataFrame) -> DataFrame:
-    """Existing rows keep all but RENEWED, which a replay overwrites; new keys are added whole, first one wins."""
-    first = batch.dropDuplicates(KEY) if "source_row_no" not in batch.columns else batch.withColumn("_n", F.row_number().over(Window.partitionBy(*KEY).orderBy("source_row_no"))).filter("_n = 1").drop("_n")
-    old, new = existing.alias("o"), first.alias("n")
-    joined = old.join(new, F.col("o.project_id").eqNullSafe(F.col("n.project_id")) & (F.col("o.row_hash") == F.col("n.row_hash")), "full_outer")
-    known = F.col("o.row_hash").isNotNull()
+    """Existing rows keep all but RENEWED, which a replay overwrites, with nulls too; new keys are added whole.
+
+    Of rows with the same key the first of the batch counts. Null is a key like others.
+    """
+    old, new = existing.withColumn("_old", F.lit(True)).alias("o"), versions.first_rows(batch, KEY).withColumn("_new", F.lit(True)).alias("n")
+    joined = old.join(new, F.col("o.project_id").eqNullSafe(F.col("n.project_id")) & F.col("o.row_hash").eqNullSafe(F.col("n.row_hash")), "full_outer")
+    known, met = F.col("o._old").isNotNull(), F.col("n._new").isNotNull()
     cols = []
     for c in existing.columns:
         if c not in batch.columns:
             cols.append(F.col(f"o.{c}").alias(c))
         elif c in RENEWED:
-            cols.append(F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")).alias(c))
+            cols.append(F.when(met, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c))
         else:
             cols.append(F.when(known, F.col(f"o.{c}")).otherwise(F.col(f"n.{c}")).alias(c))
     return joined.select(*cols)
 
 
 def insert_ignore(existing: DataFrame, batch: DataFrame, key: list[str]) -> DataFrame:
-    """Keep-first insert."""
-    return existing.unionByName(batch.dropDuplicates(key).join(existing.select(*key), key, "left_anti").select(*existing.columns))
+    """Keep-first insert: the first row of a key, unless the key is known."""
+    return existing.unionByName(versions.first_rows(batch, key).join(existing.select(*key), key, "left_anti").select(*existing.columns))
 
 
 def new_rows_only(batch: DataFrame, existing: DataFrame) -> DataFrame:
     return batch.join(existing.select(*KEY).distinct(), KEY, "left_anti")
 
 
-def _store(spark: SparkSession, path: str):
-    """(file system of a path, maker of its paths)."""
-    p = spark._jvm.org.apache.hadoop.fs.Path
-    return p(path).getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
-def _move(store, source, target) -> None:
-    if not store.rename(source, target):
-        raise OSError(f"{source} could not be renamed to {target}")
-
-
-def table_exists(spark: SparkSession, path: str) -> bool:
-    """Whether a table that swap_in writes is there, after partitions that a crash left aside were put back."""
-    store, p = _store(spark, path)
-    aside = p(f"{path}.old")
-    if store.exists(aside):
-        store.mkdirs(p(path))
-        for part in store.listStatus(aside):
-            here = p(f"{path}/{part.getPath().getName()}")
-            if not store.exists(here):
-                _move(store, part.getPath(), here)
-        store.delete(aside, True)
-    return store.exists(p(path))
-
-
-def swap_in(df: DataFrame, path: str, partition: str = "project_id") -> None:
-    """Renews the partitions that df has rows of; all others stay untouched.
-
-    Partitions are written beside the table, then old ones step aside and new ones take their places, by renames. What
-    a crash leaves aside is put back by table_exists, which each write asks first; a replay then settles the rest.
-    """
-    spark = df.sparkSession
-    table_exists(spark, path)
-    df.write.mode("overwrite").partitionBy(partition).parquet(f"{path}.new")
-    store, p = _store(spark, path)
-    for folder in (path, f"{path}.old"):
-        store.mkdirs(p(folder))
-    for part in store.listStatus(p(f"{path}.new")):
-        name = part.getPath().getName()
-        if name.startswith(f"{partition}="):
-            if store.exists(p(f"{path}/{name}")):
-                _move(store, p(f"{path}/{name}"), p(f"{path}.old/{name}"))
-            _move(store, part.getPath(), p(f"{path}/{name}"))
-    store.delete(p(f"{path}.old"), True)
-    store.delete(p(f"{path}.new"), True)
+def upsert_stored(batch: DataFrame, path: str) -> versions.Version | None:
+    """upsert_ledger on a table that is published by version, partitioned by project."""
+    return versions.upsert(batch, path, "project_id", KEY, upsert_ledger, RENEWED)
 
 
 def pack_overflow(df: DataFrame, mapped: list[str], key: str = "tx_id") -> DataFrame:
@@ -143,6 +104,36 @@ def purge_project(tables: dict[str, DataFrame], project_id: str) -> dict[str, Da
     return out
 
 
+def purge_stored(spark: SparkSession, tables: dict[str, str], project_id: str | None) -> dict[str, int | None]:
+    """Removes a project from stored tables (name: path), each by a version of its own; the new numbers by name.
+
+    Tables that hang on payments or files come first, while those still name the project, so a purge that broke off is
+    finished by another. Of tables by project a partition is unlisted; of the others, folders with its rows are rewritten.
+    """
+    held = {name: versions.latest(spark, path) for name, path in tables.items()}
+    held = {name: v for name, v in held.items() if v}
+    mine = versions.key(project_id)
+    own = lambda name, col: versions.read(spark, tables[name], [mine], held[name]).select(col)
+    out = {}
+    for name, v in held.items():
+        if v.by == "project_id":
+            continue
+        if "project_id" in v.schema.names:
+            done = versions.delete_matching(spark, tables[name], versions.read(spark, tables[name], None, v).filter(F.col("project_id").eqNullSafe(F.lit(project_id))), ["project_id"]) if project_id is not None else v
+        elif "tx_id" in v.schema.names and "ledger" in held:
+            done = versions.delete_matching(spark, tables[name], own("ledger", "tx_id"), ["tx_id"])
+        elif "file_id" in v.schema.names and "files" in held:
+            done = versions.delete_matching(spark, tables[name], own("files", "file_id"), ["file_id"])
+        else:
+            continue
+        out[name] = done and done.number
+    for name, v in held.items():
+        if v.by == "project_id":
+            done = versions.drop_keys(spark, tables[name], [mine])
+            out[name] = done and done.number
+    return out
+
+
 def import_report(batch: DataFrame, existing: DataFrame) -> DataFrame:
     """One row: rows read, bad, duplicates within the batch, already present, inserted. batch has `skipped` and KEY."""
     seen = existing.select(*KEY).distinct().withColumn("_known", F.lit(True))

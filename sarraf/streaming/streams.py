@@ -6,25 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.sinks import KEY, swap_in, table_exists, upsert_ledger
+from ..sources.sinks import upsert_stored
 
 
 def ingest_stream(batches: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
     """Idempotent upsert of streamed rows by (project_id, row_hash): replays change nothing but the renewed columns.
 
     There is no watermark, since an older statement may arrive after a newer one; the upsert alone settles repeats.
-    A batch reads and rewrites only the projects that it has rows of. Rows of no project are one of these.
+    The table is published by version (sources.versions): a batch that broke off has changed nothing, and one that is
+    played again finds its rows known. Rows of no project are a project of their own.
     """
     rows = batches.withColumn("operation_ts", F.col("operation_ts").cast("timestamp"))
 
     def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        if not table_exists(spark, table):
-            swap_in(batch.dropDuplicates(KEY), table)
-            return
-        touched = batch.select(F.col("project_id").alias("_project")).distinct()
-        held = spark.read.schema(batch.schema).parquet(table).join(touched, F.col("project_id").eqNullSafe(F.col("_project")), "left_semi")
-        swap_in(upsert_ledger(held, batch), table)
+        upsert_stored(batch, table)
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
