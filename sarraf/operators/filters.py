@@ -112,6 +112,9 @@ def cash(kind: str) -> Column:
 CASH_WORDS = "снятие|налич|cash|atm|банкомат"
 
 
+def has_cash_words() -> Column:
+    return F.lower(F.concat_ws(" | ", "purpose_text", "operation_type_raw", "transaction_category")).rlike(CASH_WORDS)
+
+
 def is_cash_out() -> Column:
-    words = F.lower(F.concat_ws(" | ", "purpose_text", "operation_type_raw", "transaction_category"))
-    return (debit_amount(F.col("amount_debit"), F.col("direction"), F.col("amount_kzt")) > 0) & words.rlike(CASH_WORDS)
+    return (debit_amount(F.col("amount_debit"), F.col("direction"), F.col("amount_kzt")) > 0) & has_cash_words()

@@ -352,10 +352,32 @@ def f8_rapid_flushes(spark, d):
     return detectors.rapid_flushes(detectors.days(detectors.prepared(ledger(spark, d))), _SCALED).select("project_id", "file_id", "n", "amount", "ratio")
 
 
-@query()
+def _found(code: str, n: str, amount: str, ratio: str, source: str) -> str:
+    severity, articles = detectors.DETECTORS[code]
+    return f"SELECT project_id, file_id, '{code}' AS code, '{severity}' AS severity, '{', '.join(articles)}' AS articles, CAST({n} AS BIGINT) AS n, round(CAST({amount} AS DOUBLE), 2) AS amount, round(CAST({ratio} AS DOUBLE), 4) AS ratio FROM {source}"
+
+
+#: Every detector at its own thresholds, as tables of groups: c has the features, a the top amounts, k and h the top days, o the top partners.
+_WARNED = f"""{_F0}, {_DAYS}, c AS (SELECT *, CASE WHEN credit > 0 THEN debit / credit ELSE 0 END AS out_ratio, CASE WHEN debit > 0 THEN cash_total / debit ELSE 0 END AS cash_ratio, CASE WHEN credit > 0 THEN abs(credit - debit) / credit ELSE 1 END AS retention, CASE WHEN active_days > 0 THEN same_days / active_days ELSE 0 END AS same_day_ratio, CASE WHEN n_credit > 0 THEN small_credits / n_credit ELSE 0 END AS small_share FROM f),
+  am AS (SELECT project_id, file_id, CASE WHEN cr > 0 THEN 'credit' ELSE 'debit' END AS dir, amount AS a, count(*) AS n FROM r WHERE amount > 0 GROUP BY 1, 2, 3, 4 HAVING count(*) >= 4),
+  ag AS (SELECT project_id, file_id, sum(n) AS covered, count(*) AS amounts, max(struct_pack(n := n, a := a)) AS top FROM am GROUP BY 1, 2), a AS (SELECT ag.*, top.n AS top_n, top.a AS top_a, covered / n_rows AS share FROM ag JOIN f USING (project_id, file_id) WHERE covered / n_rows >= 0.25),
+  k AS (SELECT d.* FROM d JOIN f USING (project_id, file_id) WHERE d.n >= 10 QUALIFY row_number() OVER (PARTITION BY project_id, file_id ORDER BY d.n DESC, d.turnover DESC, dday) = 1),
+  h AS (SELECT d.*, d.debit / d.credit AS flushed FROM d JOIN f USING (project_id, file_id) WHERE d.credit >= 300000 AND d.debit >= 200000 AND d.debit / d.credit >= 0.8 QUALIFY row_number() OVER (PARTITION BY project_id, file_id ORDER BY flushed DESC, d.debit DESC, dday) = 1),
+  og AS (SELECT project_id, file_id, CASE WHEN cr > 0 THEN pk ELSE rk END AS other, count(*) AS n, CAST(sum(CAST(amount AS DECIMAL(18, 2))) AS DOUBLE) AS turnover, count(DISTINCT dday) AS days FROM r WHERE CASE WHEN cr > 0 THEN pk ELSE rk END IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) >= 4 AND sum(CAST(amount AS DECIMAL(18, 2))) >= 500000),
+  os AS (SELECT og.* FROM og JOIN f USING (project_id, file_id)), o AS (SELECT * FROM os QUALIFY row_number() OVER (PARTITION BY project_id, file_id ORDER BY n DESC, turnover DESC, other) = 1),
+  dt AS (SELECT * FROM c WHERE credit >= 300000 AND n_credit >= 5 AND senders >= 4 AND debit >= 200000 AND (receivers >= 3 OR cash_total >= 150000) AND out_ratio >= 0.78 AND retention <= 0.3 AND same_day_ratio >= 0.3),
+  co AS (SELECT * FROM c WHERE credit >= 250000 AND cash_total >= 150000 AND cash_count >= 2 AND cash_ratio >= 0.35), st AS (SELECT * FROM c WHERE credit >= 250000 AND small_credits >= 6 AND senders >= 4 AND small_share >= 0.6),
+  fi AS (SELECT * FROM c WHERE n_credit >= 8 AND senders >= 5), pm AS (SELECT *, mismatches / n_rows AS mismatch_share FROM c WHERE mismatches >= 3)"""
+_WARNINGS = " UNION ALL ".join(
+    _found(*x) for x in (("dropper_transit", "n_credit", "credit", "out_ratio", "dt"), ("cash_out", "cash_count", "cash_total", "cash_ratio", "co"), ("structuring", "small_credits", "credit", "small_share", "st"), ("fan_in_drop_account", "n_credit", "credit", "senders", "fi"), ("purpose_mismatch", "mismatches", "mismatch_max", "mismatch_share", "pm"),
+                         ("repeated_amount_patterns", "top_n", "top_a", "share", "a"), ("high_activity_spike", "n", "turnover", "parties", "k"), ("rapid_balance_flush", "n", "debit", "flushed", "h"), ("repeated_counterparty_flows", "n", "turnover", "days", "o"))
+)
+
+
+@query(f"{_RECONCILED}, {_WARNED} {_WARNINGS} UNION ALL {_found('esf_bank_amount_mismatch', 'payments', 'abs(difference)', 'paid_total / invoice_total', '(SELECT *, CAST(NULL AS VARCHAR) AS file_id FROM mismatched)')}".replace("  r AS (SELECT *, round(invoice_total", "  mismatched AS (SELECT *, round(invoice_total"))
 def f_all_warnings(spark, d):
-    """Every detector at its own thresholds, with severity and articles."""
-    return detectors.detect(ledger(spark, d))
+    """Every detector at its own thresholds, that of invoices too, with severity and articles."""
+    return detectors.detect(ledger(spark, d), invoices=invoice_rows(spark, d))
 
 
 @query(f"""{_L}, {_F0}, w AS (SELECT project_id, file_id FROM f WHERE n_credit >= 8 AND senders >= 5), p AS (SELECT r.project_id, r.file_id, pk AS key, count(*) AS transaction_count, CAST(sum(amount_credit) AS DOUBLE) AS turnover FROM r JOIN w ON r.project_id = w.project_id AND r.file_id = w.file_id WHERE cr > 0 AND pk IS NOT NULL GROUP BY 1, 2, 3),

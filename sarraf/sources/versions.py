@@ -41,6 +41,7 @@ class Version:
     by: str | None
     schema: StructType
     parts: dict[str, list[str]] = field(default_factory=dict)
+    marks: dict[str, float] = field(default_factory=dict)
 
 
 def key(value: str | None) -> str:
@@ -80,7 +81,7 @@ def load(spark: SparkSession, path: str, number: int) -> Version:
         said = json.loads(bytes(stream.readAllBytes()).decode())
     finally:
         stream.close()
-    return Version(number, said["by"], StructType.fromJson(said["schema"]), said["parts"])
+    return Version(number, said["by"], StructType.fromJson(said["schema"]), said["parts"], said["marks"])
 
 
 def latest(spark: SparkSession, path: str) -> Version | None:
@@ -94,7 +95,7 @@ def publish(spark: SparkSession, path: str, version: Version) -> bool:
     aside, target = p(f"{path}/versions/.{uuid.uuid4().hex}"), p(f"{path}/versions/{version.number:012d}.json")
     out = fs.create(aside, False)
     try:
-        out.write(json.dumps({"by": version.by, "schema": version.schema.jsonValue(), "parts": version.parts}).encode())
+        out.write(json.dumps({"by": version.by, "schema": version.schema.jsonValue(), "parts": version.parts, "marks": version.marks}).encode())
     finally:
         out.close()
     try:
@@ -135,17 +136,19 @@ def read(spark: SparkSession, path: str, keys: Iterable[str] | None = None, vers
 
 @dataclass
 class Edit:
-    """What a writer has found out: keys that it has read, new folders in place of theirs or beside them, keys to drop."""
+    """What a writer has found out: keys that it has read, new folders in place of theirs or beside them, keys to drop, and
+    figures that the version is to carry."""
 
     touched: set[str]
     replaced: dict[str, list[str]] = field(default_factory=dict)
     added: dict[str, list[str]] = field(default_factory=dict)
     dropped: set[str] = field(default_factory=set)
+    marks: dict[str, float] = field(default_factory=dict)
 
     def of(self, held: Version) -> Version:
         parts = {k: v for k, v in held.parts.items() if k not in self.dropped} | {k: v for k, v in self.replaced.items() if v}
         parts = {k: v for k, v in parts.items() if k not in self.replaced or self.replaced[k]}
-        return replace(held, number=held.number + 1, parts=parts | {k: [*parts.get(k, []), *v] for k, v in self.added.items()})
+        return replace(held, number=held.number + 1, parts=parts | {k: [*parts.get(k, []), *v] for k, v in self.added.items()}, marks=held.marks | self.marks)
 
 
 def commit(spark: SparkSession, path: str, by: str | None, schema: StructType, work: Callable[[Version], Edit | None], tries: int = 20) -> Version | None:
@@ -157,7 +160,7 @@ def commit(spark: SparkSession, path: str, by: str | None, schema: StructType, w
         if held.by != by:
             raise ValueError(f"{path} is partitioned by {held.by}")
         held = replace(held, schema=wider(held.schema, schema))
-        if base is None or held.schema != base.schema or any(held.parts.get(k) != base.parts.get(k) for k in edit.touched):
+        if base is None or held.schema != base.schema or held.marks != base.marks or any(held.parts.get(k) != base.parts.get(k) for k in edit.touched):
             edit, base = work(held), held
         if edit is None:
             return held if held.number else None
