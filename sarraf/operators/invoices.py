@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.ids import strip_iin
 from ..functions.numbers import invoice_amount
+from ..plans.runtime import cut
 from .analytics import money
 
 
@@ -58,23 +60,99 @@ def plain_token(c: str) -> Column:
     return F.nullif(F.upper(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"[\"'\s]", "")), F.lit(""))
 
 
-def reconcile(ledger: DataFrame, invoices: DataFrame, tolerance: float = 1.0) -> DataFrame:
+def paid() -> Column:
+    return F.greatest(*(F.coalesce(F.col(c), F.lit(0)) for c in ("amount_credit", "amount_debit", "amount_kzt"))).cast("decimal(18,2)")
+
+
+def _references(ledger: DataFrame) -> Column:
+    return F.array_sort(tokens("purpose_text", "raw_note", "operation_type_raw"))
+
+
+def _two_tokens(invoices: DataFrame) -> DataFrame:
+    """Invoices with the tokens r and c of their registration and contract; where both are the same, c is null."""
+    r, c = plain_token("registration_number"), plain_token("contract_number")
+    return invoices.withColumn("r", F.coalesce(r, c)).withColumn("c", F.when(r.isNotNull() & (r != c), c)).filter("r is not null")
+
+
+def _paid_by_token(ledger: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Payments summed by their set of tokens, and by token: (set, project_id, token, paid, payments), (project_id, token, paid, payments)."""
+    sets = ledger.filter("source_bank <> 'esf'").select("project_id", _references(ledger).alias("tokens"), paid().alias("paid")).filter(F.size("tokens") > 0)
+    sets = cut(sets.groupBy("project_id", "tokens").agg(F.sum("paid").alias("paid"), F.count("*").alias("payments")).withColumn("set", F.monotonically_increasing_id()))
+    single = sets.select("set", "project_id", F.explode("tokens").alias("token"), "paid", "payments")
+    return single, cut(single.groupBy("project_id", "token").agg(F.sum("paid").alias("paid"), F.sum("payments").alias("payments")))
+
+
+def _paid_by_both(single: DataFrame, due: DataFrame) -> DataFrame:
+    """(project_id, r, c, paid, payments) of payments that name both tokens of an invoice.
+
+    A pair is looked up by that of its tokens which is in fewer pairs, so a contract of all invoices is no key, and a
+    payment meets at most as many pairs a token as the square root of twice their number; then its other token is
+    looked up among the payment's own.
+    """
+    pairs = cut(due.filter("c is not null").select("project_id", "r", "c").distinct())
+    degree = pairs.select("project_id", F.explode(F.array("r", "c")).alias("token")).groupBy("project_id", "token").agg(F.count("*").alias("pairs"))
+    of = lambda x: degree.select("project_id", F.col("token").alias(x), F.col("pairs").alias(f"{x}_pairs"))
+    rare = F.col("r_pairs") <= F.col("c_pairs")
+    keyed = cut(pairs.join(of("r"), ["project_id", "r"]).join(of("c"), ["project_id", "c"]).select("project_id", "r", "c", F.when(rare, F.col("r")).otherwise(F.col("c")).alias("token"), F.when(rare, F.col("c")).otherwise(F.col("r")).alias("other")))
+    met = single.join(keyed, ["project_id", "token"]).select("set", "r", "c", F.col("other").alias("token"))
+    return cut(met.join(single, ["set", "token"]).groupBy("project_id", "r", "c").agg(F.sum("paid").alias("paid"), F.sum("payments").alias("payments")))
+
+
+def _own(invoices: DataFrame) -> list[str]:
+    return ["project_id", "registration_number", "contract_number", *(c for c in ("row_hash",) if c in invoices.columns)]
+
+
+def reconcile(ledger: DataFrame, invoices: DataFrame, tolerance: float = 1.0, keep: tuple[str, ...] = ()) -> DataFrame:
     """Invoices whose matched payments differ from their total: difference is the invoice's total less the payments.
 
-    A payment of a bank matches an invoice that shares a reference token with it, and counts with the greatest of
-    its credit, debit and tenge. Tokens are exploded on both sides and joined by equality; payments are first
-    summed up by their set of tokens, so one frequent token does not bring all its payments to each invoice.
+    A payment of a bank matches an invoice whose registration or contract number is among its reference tokens, and
+    counts with the greatest of its credit, debit and tenge. Invoices and payments never meet in pairs: an invoice's
+    payments are those of its one token and those of its other, less those that name both, each summed up before.
+    Repeated invoices count each; `keep` names further columns of theirs to return.
+    """
+    own = _own(invoices)
+    due = _two_tokens(invoices).select(*own, "r", "c", F.coalesce(F.col("total_amount"), F.lit(0)).cast("decimal(18,2)").alias("due"), *keep)
+    single, by_token = _paid_by_token(ledger)
+    both = _paid_by_both(single, due)
+    part = lambda df, mark, **names: df.select("project_id", *(F.col(k).alias(v) for k, v in names.items()), F.col("paid").alias(f"paid_{mark}"), F.col("payments").alias(f"n_{mark}"))
+    out = due.join(part(by_token, "r", token="r"), ["project_id", "r"], "left").join(part(by_token, "c", token="c"), ["project_id", "c"], "left").join(part(both, "b", r="r", c="c"), ["project_id", "r", "c"], "left")
+    total = lambda x: F.coalesce(F.col(f"{x}_r"), F.lit(0)) + F.coalesce(F.col(f"{x}_c"), F.lit(0)) - F.coalesce(F.col(f"{x}_b"), F.lit(0))
+    out = out.withColumn("payments", total("n").cast("long")).filter("payments > 0").withColumn("paid_total", total("paid").cast("double")).withColumn("invoice_total", F.col("due").cast("double"))
+    out = out.withColumn("difference", F.round((F.col("due") - total("paid")).cast("double"), 2)).filter(F.abs("difference") >= tolerance)
+    return out.select(*own, "invoice_total", "paid_total", "payments", "difference", *keep)
+
+
+def mismatch_parties(ledger: DataFrame, invoices: DataFrame, tolerance: float = 1.0) -> DataFrame:
+    """The party of each mismatched invoice: its buyer, else its supplier, by name and by digits of the id."""
+    sides = ("buyer_name", "supplier_name", "buyer_iin_bin", "supplier_iin_bin")
+    named = lambda c: F.nullif(F.trim(c), F.lit(""))
+    found = reconcile(ledger, invoices, tolerance, sides)
+    identifier = F.coalesce(strip_iin(F.col("buyer_iin_bin")), strip_iin(F.col("supplier_iin_bin")), F.lit("—"))
+    return found.select(*_own(invoices), F.coalesce(named("buyer_name"), named("supplier_name"), F.lit("Не указан")).alias("name"), identifier.alias("identifier"), F.col("payments").alias("transaction_count"), F.col("paid_total").alias("turnover"))
+
+
+def mismatch_rows(ledger: DataFrame, invoices: DataFrame, limit: int = 8, tolerance: float = 1.0) -> DataFrame:
+    """Of each mismatched invoice the largest payments, the newest of equal ones, with rank.
+
+    The largest ones of an invoice are among the largest of its two tokens, so only so many payments of a token meet
+    the invoices that name it.
     """
-    paid = F.greatest(*(F.coalesce(F.col(c), F.lit(0)) for c in ("amount_credit", "amount_debit", "amount_kzt"))).cast("decimal(18,2)")
-    sets = ledger.filter("source_bank <> 'esf'").select("project_id", F.array_sort(tokens("purpose_text", "raw_note", "operation_type_raw")).alias("tokens"), paid.alias("paid")).filter(F.size("tokens") > 0)
-    sets = sets.groupBy("project_id", "tokens").agg(F.sum("paid").alias("paid"), F.count("*").alias("payments")).select("project_id", "tokens", "paid", "payments", F.explode("tokens").alias("token"))
-    own = ["project_id", "registration_number", "contract_number", *(c for c in ("row_hash",) if c in invoices.columns)]
-    due = invoices.groupBy(*own, F.coalesce(F.col("total_amount"), F.lit(0)).cast("decimal(18,2)").alias("due")).agg(F.count("*").alias("copies"))
-    due = due.withColumn("token", F.explode(F.array_distinct(F.array_compact(F.array(plain_token("registration_number"), plain_token("contract_number"))))))
-    pairs = due.join(sets, ["project_id", "token"]).dropDuplicates([*own, "due", "tokens"])
-    out = pairs.groupBy(*own, "due").agg(money("paid").alias("paid_total"), F.sum("payments").alias("payments"), F.max("copies").alias("copies"))
-    out = out.withColumn("invoice_total", F.col("due").cast("double")).withColumn("difference", F.round(F.col("invoice_total") - F.col("paid_total"), 2)).filter(F.abs("difference") >= tolerance)
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*own, "invoice_total", "paid_total", "payments", "difference")
+    order = [F.desc("paid"), F.col("operation_date").desc_nulls_first(), F.col("operation_ts").desc_nulls_first(), F.col("tx_id")]
+    rows = ledger.filter("source_bank <> 'esf'").select("project_id", "tx_id", paid().alias("paid"), "operation_date", "operation_ts", "direction", F.explode(_references(ledger)).alias("token"))
+    rank = F.row_number().over(Window.partitionBy("project_id", "token").orderBy(*order))
+    most = cut(rows.withColumn("rank", rank).filter(F.col("rank") <= limit).drop("rank"))
+    own = _own(invoices)
+    found = reconcile(ledger, invoices, tolerance).select(*own).distinct()
+    named = _two_tokens(found).select(*own, F.explode(F.array_compact(F.array("r", "c"))).alias("token"))
+    met = named.join(most, ["project_id", "token"]).drop("token").distinct()
+    rank = F.row_number().over(Window.partitionBy(*own).orderBy(*order))
+    return met.withColumn("rank", rank).filter(F.col("rank") <= limit).select(*own, "tx_id", F.col("paid").cast("double").alias("amount"), "operation_date", F.col("rank").cast("long").alias("rank"))
+
+
+def mismatch_indicators(ledger: DataFrame, invoices: DataFrame, tolerance: float = 1.0) -> DataFrame:
+    """The four figures of each mismatched invoice as rows."""
+    cells = {"invoice_total": F.col("invoice_total"), "paid_total": F.col("paid_total"), "difference": F.abs("difference"), "payments": F.col("payments").cast("double")}
+    return reconcile(ledger, invoices, tolerance).select(*_own(invoices), F.explode(F.array(*(F.struct(F.lit(k).alias("indicator"), v.alias("value")) for k, v in cells.items()))).alias("x")).select(*_own(invoices), "x.*")
 
 
 def invoice_shadow(invoices: DataFrame, ledger: DataFrame) -> DataFrame:

@@ -290,6 +290,24 @@ def f10_invoice_mismatch(spark, d):
     return detectors.invoice_mismatches(ledger(spark, d), invoice_rows(spark, d)).drop("articles")
 
 
+@query(f"""{_RECONCILED}, z AS (SELECT r.project_id, r.registration_number, r.contract_number, r.row_hash, ledger.tx_id, CAST(greatest(amount_credit, amount_debit, amount_kzt) AS DOUBLE) AS amount, operation_date,
+  row_number() OVER (PARTITION BY r.project_id, r.registration_number, r.contract_number, r.row_hash ORDER BY greatest(amount_credit, amount_debit, amount_kzt) DESC, operation_date DESC, operation_ts DESC, ledger.tx_id) AS rank
+  FROM r JOIN p ON p.project_id = r.project_id AND p.registration_number = r.registration_number AND p.contract_number = r.contract_number AND p.row_hash = r.row_hash JOIN ledger ON ledger.tx_id = p.tx_id) SELECT * FROM z WHERE rank <= 8""")
+def f10_mismatch_rows(spark, d):
+    """The largest payments behind each mismatched invoice."""
+    return invoices.mismatch_rows(ledger(spark, d), invoice_rows(spark, d))
+
+
+@query(f"{_RECONCILED} SELECT r.project_id, r.registration_number, r.contract_number, r.row_hash, i.buyer_name AS name, i.buyer_iin_bin AS identifier, payments AS transaction_count, paid_total AS turnover FROM r JOIN invoices i ON i.row_hash = r.row_hash")
+def f10_mismatch_parties(spark, d):
+    return invoices.mismatch_parties(ledger(spark, d), invoice_rows(spark, d))
+
+
+@query(f"""{_RECONCILED} SELECT project_id, registration_number, contract_number, row_hash, unnest(['invoice_total', 'paid_total', 'difference', 'payments']) AS indicator, unnest([invoice_total, paid_total, abs(difference), CAST(payments AS DOUBLE)]) AS value FROM r""")
+def f10_mismatch_indicators(spark, d):
+    return invoices.mismatch_indicators(ledger(spark, d), invoice_rows(spark, d))
+
+
 @query(f"""WITH ledger AS ({LEDGER_SQL}), invoices AS ({INVOICES_SQL}) SELECT concat('esf-', registration_number) AS tx_id, project_id, CAST(total_amount AS DOUBLE) AS amount_kzt, CASE WHEN esf_direction = 'purchase' THEN 'debit' ELSE 'credit' END AS direction, supplier_name AS payer_name
   FROM invoices i WHERE NOT EXISTS (SELECT 1 FROM ledger l WHERE l.project_id = i.project_id AND l.statement_id = i.row_hash AND l.direction = 'credit')""")
 def d5_invoice_shadow(spark, d):
@@ -416,6 +434,16 @@ def f_indicators(spark, d):
     return evidence.indicators(evidence.Found(detectors.prepared(ledger(spark, d))))
 
 
+@query(f"{_L}, {_WARNED} {_WARNINGS}")
+def f_stored_warnings(spark, d):
+    """The ledger stored in two batches, and every detector of payments after each: the second time only new payments are read."""
+    rows, (stored, sums) = ledger(spark, d).withColumn("row_hash", F.col("tx_id")), (f"{runtime.shared_dir(spark)}/{name}" for name in ("ledger", "partials"))
+    for batch in ("direction = 'credit'", "direction <> 'credit'"):
+        sinks.upsert_stored(rows.filter(batch), stored)
+        found = detectors.detect_stored(spark, stored, sums)
+    return found
+
+
 # --- G, H: ranking and drill-down ------------------------------------------------------------------------
 @query(f"{_L}, o AS (SELECT *, row_number() OVER (PARTITION BY project_id, concat(statement_id, direction) ORDER BY tx_id) AS n FROM ledger) SELECT project_id, concat(statement_id, direction) AS row_hash, tx_id FROM o WHERE n = 1")
 def g1_first_in_batch(spark, d):
