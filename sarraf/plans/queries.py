@@ -588,7 +588,9 @@ def l6_coarse_index(spark, d):
     return vectors.ivf_search(e.filter("vec_id % 50 = 0"), indexed, centres, 8, 8).select("query_id", "vec_id", F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 
-@query()
+@query(f"""WITH e AS (SELECT * FROM embeddings), q AS (SELECT * FROM e WHERE vec_id % 50 = 0), p AS (SELECT a.vec_id AS layout_id, concat('fmt-', b.vec_id) AS format_id, a.label = b.label AS same, {_DOT} AS score FROM q a, e b WHERE a.vec_id <> b.vec_id),
+  m AS (SELECT * FROM p WHERE score >= 0.92 QUALIFY row_number() OVER (PARTITION BY layout_id ORDER BY same DESC, score DESC, format_id DESC) = 1)
+  SELECT vec_id AS layout_id, concat('fmt-', vec_id) AS format_id, 'fingerprint' AS method FROM e WHERE vec_id % 50 <> 0 UNION ALL SELECT layout_id, format_id, 'vector' FROM m UNION ALL SELECT vec_id, concat('fmt-re-', vec_id), 'new' FROM q WHERE vec_id NOT IN (SELECT layout_id FROM m)""")
 def l3_resolve_format(spark, d):
     """Every row is a known format and a layout. Layouts with ids divisible by 50, the query set of the vectors, come under other fingerprints and do not match themselves."""
     e = embeddings(spark, d)
@@ -599,6 +601,27 @@ def l3_resolve_format(spark, d):
     return vectors.resolve_format(new, known)
 
 
+@query(SQL["l2_knn"])
+def l6_stored_index(spark, d):
+    """An index stored by list: half of the vectors when it is built, the others added without a new fit. Its search is exact."""
+    e = embeddings(spark, d)
+    index = vectors.Index.build(e.filter("vec_id % 2 = 0"), runtime.shared_dir(spark), 16)
+    index.add(e.filter("vec_id % 2 <> 0"))
+    return index.search(e.filter("vec_id % 50 = 0"), 8, 8).select("query_id", "vec_id", F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
+
+
+_TURNED = "list_transform(range(1, 65), lambda i: CAST(embedding[i] AS DOUBLE) + 0.1 * embedding[65 - i])"
+
+
+@query(f"""WITH q AS (SELECT vec_id AS query_id, {_TURNED} AS v FROM embeddings WHERE vec_id % 50 = 0), e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS w FROM embeddings),
+  p AS (SELECT query_id, vec_id, list_inner_product(v, w) / sqrt(list_inner_product(v, v)) / sqrt(list_inner_product(w, w)) AS score FROM q, e), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p WHERE score >= 0.92) SELECT query_id, vec_id, round(score, 6) AS score, rank FROM r WHERE rank <= 3""")
+def l2_near_knn(spark, d):
+    """Near neighbours by hashing: queries are vectors with a tenth of themselves reversed added."""
+    e = embeddings(spark, d)
+    q = e.filter("vec_id % 50 = 0").select("vec_id", F.zip_with("embedding", F.reverse("embedding"), lambda x, y: x.cast("double") + 0.1 * y).alias("embedding"))
+    return vectors.knn_near(q, e, 3, 0.92).select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 # --- A, M: ingestion -----------------------------------------------------------------------------------------
 @query(f"{_L} SELECT direction, currency, count(*) AS n, {_MONEY('amount_debit')} AS debit, {_MONEY('amount_credit')} AS credit, count(CASE WHEN amount_currency <= 0 THEN 1 END) AS skipped FROM ledger GROUP BY 1, 2")
 def a1_ledger_csv(spark, d):
