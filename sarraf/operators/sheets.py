@@ -201,8 +201,27 @@ def footers(cells: DataFrame) -> DataFrame:
 
 
 def owner_fallback(cells: DataFrame) -> DataFrame:
-    """The first text in columns 0 to 3 of the first 40 rows that is no label and no number."""
-    t = clean_optional_text(F.col("value"))
-    ok = (F.col("row_no") < 40) & F.col("col_no").between(0, 3) & t.isNotNull() & ~t.contains(":") & numbers.parse_decimal(t).isNull() & (F.length(t) > 3)
-    w = Window.partitionBy(*SHEET).orderBy("row_no", "col_no")
-    return cells.filter(ok).withColumn("_n", F.row_number().over(w)).filter("_n = 1").select(*SHEET, F.trim("value").alias("owner"))
+    """Name, id and account of a sheet's owner from its first 40 rows: (file_id, sheet, name, iin_bin, account).
+
+    Column 0 holds a label, and the first text of columns 1 to 3 its value. A label goes to the first of name, id and
+    account that it names and that no earlier row has filled; what is not found is empty.
+    """
+    text = F.trim(repair_mojibake(F.trim("value")))
+    few = cells.filter((F.col("row_no") < 40) & F.col("col_no").between(0, 3)).select(*ROW, "col_no", F.nullif(text, F.lit("")).alias("t"))
+    line = few.groupBy(*ROW).agg(F.max(F.when(F.col("col_no") == 0, F.translate(F.lower("t"), "ё", "е"))).alias("label"), F.min_by("t", F.when((F.col("col_no") > 0) & F.col("t").isNotNull(), F.col("col_no"))).alias("t"))
+    line = line.filter("label is not null and t is not null").withColumn("t", F.when(F.col("t") != "", F.col("t")))
+    digits = F.regexp_replace("t", r"[\s\u00a0]", "")
+    iin = F.substring(F.coalesce(F.when(digits.rlike(r"[eE][+-]?\d+"), F.round(F.replace(digits, F.lit(","), F.lit(".")).try_cast("double")).try_cast("decimal(38,0)").cast("string")), F.regexp_replace(digits, r"\D", "")), 1, 12)
+    values = {"name": F.regexp_replace("t", "^\"+|\"+$", ""), "iin_bin": iin, "account": F.col("t")}
+    values["name"] = F.regexp_replace(values["name"], "^'+|'+$", "")
+    words = {"name": "клиент", "iin_bin": "иин|бин", "account": "счет"}
+    # Rows that an earlier field takes are those that name it, up to the one that fills it.
+    taken = F.lit(False)
+    for field, word in words.items():
+        line = line.withColumn("_v", values[field]).withColumn("_mine", F.col("label").rlike(word) & ~taken)
+        filled = F.min(F.when(F.col("_mine") & (F.col("_v") != ""), F.col("row_no"))).over(Window.partitionBy(*SHEET))  # 40 rows at most
+        line = line.withColumn(f"_at_{field}", filled).withColumn(f"_{field}", F.when(F.col("_mine") & (F.col("row_no") == F.col(f"_at_{field}")), F.col("_v"))).withColumn(f"_took_{field}", F.col("_mine") & (F.col("row_no") <= F.coalesce(f"_at_{field}", F.lit(40))))
+        taken = taken | F.col(f"_took_{field}")
+    found = line.groupBy(*SHEET).agg(*(F.coalesce(F.max(f"_{field}"), F.lit("")).alias(field) for field in words))
+    sheets = cells.select(*SHEET).distinct()
+    return sheets.join(found, SHEET, "left").fillna("", list(words))

@@ -201,17 +201,29 @@ def l5_semantic_backfill(spark, d):
 # --- A: sources and sinks --------------------------------------------------------------------------------------
 @query(f"{_I} SELECT project, year, count(*) AS n, {_MONEY('total_amount')} AS total_amount, {_MONEY('vat_amount')} AS vat_amount, {_MONEY('quantity')} AS quantity, min(supplier_iin_bin) AS supplier FROM (SELECT *, 'шт' AS project FROM invoices) GROUP BY 1, 2")
 def a2_invoice_csv(spark, d):
-    """Writes the invoices as a positional file with a title and a header line, and reads it back."""
+    """Writes the invoices as positional files with a title and a header line each, and reads them back."""
     x, path = invoice_rows(spark, d), runtime.shared_dir(spark)
     value = lambda c: F.date_format(c, "dd.MM.yyyy") if c.endswith("date") else F.translate(F.col(c).cast("string"), ".", ",") if c in ("total_amount", "vat_amount", "quantity") else F.col(c).cast("string")
     cells = [F.concat(F.lit('"'), F.coalesce(F.replace(value(c), F.lit('"'), F.lit('""')) if c in x.columns else F.lit(""), F.lit("")), F.lit('"')) for c in readers.INVOICE_COLUMNS]
     head = F.lit(";".join(["Регистрационный номер ЭСФ", "Код", "Статус ЭСФ", *map(str, range(len(readers.INVOICE_COLUMNS) - 3))]))
-    lines = spark.range(1).select(F.lit(0).alias("at"), F.explode(F.array(F.lit("Отчёт"), head)).alias("value")).unionByName(x.select(F.lit(1).alias("at"), F.concat_ws(";", *cells).alias("value")))
-    lines.select("value").coalesce(1).write.text(path)
+    part = F.pmod(F.xxhash64("registration_number"), F.lit(8)).cast("int")
+    heads = spark.range(8).select(F.col("id").cast("int").alias("part"), F.posexplode(F.array(F.lit("Отчёт"), head)).alias("at", "value"))
+    lines = x.select(part.alias("part"), F.lit(2).alias("at"), F.concat_ws(";", *cells).alias("value")).unionByName(heads)
+    lines.repartition("part").sortWithinPartitions("part", "at").select("part", "value").write.partitionBy("part").text(path)  # a file a part, each with its title and header
     back = readers.read_invoice_csv(spark, path)
     return back.groupBy(F.col("unit").alias("project"), "year").agg(F.count("*").alias("n"), analytics.money("total_amount").alias("total_amount"), analytics.money("vat_amount").alias("vat_amount"), analytics.money("quantity").alias("quantity"), F.min("supplier_iin_bin").alias("supplier"))
 
 
+@query(f"{_L} SELECT source_bank, count(*) AS rows, count(DISTINCT tx_id) AS payments FROM ledger GROUP BY 1")
+def a4_statement_files(spark, d):
+    """The ledger as statement files, a folder a bank, read back as cells."""
+    path = runtime.shared_dir(spark)
+    ledger(spark, d).select("source_bank", "tx_id", "currency", "purpose_text").write.partitionBy("source_bank").option("header", True).option("sep", ";").csv(path)
+    cells, _ = readers.read_statements(spark, path)
+    rows = cells.filter("row_no > 0 and col_no = 0").groupBy(F.regexp_extract("source_bank", "=(.*)", 1).alias("source_bank"))
+    return rows.agg(F.count("*").alias("rows"), F.count_distinct("value").alias("payments")).withColumn("source_bank", F.url_decode("source_bank"))
+
+
 @query(f"""{_L}, v AS (SELECT file_id, 'operation_type_raw' AS "column", operation_type_raw AS value, tx_id FROM ledger UNION ALL SELECT file_id, 'source_bank', source_bank, tx_id FROM ledger), r AS (SELECT *, row_number() OVER (PARTITION BY file_id, "column" ORDER BY tx_id) AS n FROM v WHERE value IS NOT NULL)
   SELECT file_id, "column", "column" AS column_norm, string_agg(value, ';' ORDER BY n) AS samples, 'new' AS status FROM r WHERE n <= 5 GROUP BY 1, 2""")
 def a10_discovery_log(spark, d):
@@ -299,9 +311,19 @@ def m7_footers(spark, d):
     return sheets.footers(runtime.cut(fixtures.cells(ledger(spark, d)))).select("file_id", "field", "value")
 
 
-@query(f"{_L} SELECT file_id, 'дата операции' AS owner FROM ledger GROUP BY 1")
+@query(f"""{_L}, f AS (SELECT DISTINCT file_id, CAST(file_id AS BIGINT) AS k FROM ledger)
+  SELECT file_id, CASE WHEN k % 2 = 0 THEN concat('ТОО ', file_id) ELSE '' END AS name, CASE WHEN k % 3 = 0 THEN '860000000000' ELSE lpad(file_id, 12, '0') END AS iin_bin, CASE WHEN k % 5 = 0 THEN concat('KZ', file_id) ELSE '' END AS account FROM f""")
 def m9_owner_fallback(spark, d):
-    return sheets.owner_fallback(runtime.cut(fixtures.cells(ledger(spark, d)))).select("file_id", F.lower("owner").alias("owner"))
+    """Owners of sheets: every second one names its client, quoted and two columns on, before its id; every third one has its
+    id in scientific notation first; every fifth one has its account after an empty one."""
+    sheet = fixtures.cells(ledger(spark, d)).filter("row_no < 60")
+    files, k = sheet.select("file_id", "sheet").distinct(), F.col("file_id").cast("long")
+    cell = lambda row, col, value, when: F.when(when, F.struct(F.lit(row).alias("row_no"), F.lit(col).alias("col_no"), value.alias("value")))
+    head = [cell(0, 0, F.lit("Счёт:"), k % 5 == 0), cell(0, 1, F.lit("  "), k % 5 == 0), cell(1, 0, F.lit("Клиент (БИН)"), k % 2 == 0), cell(1, 2, F.concat(F.lit('"ТОО '), "file_id", F.lit('"')), k % 2 == 0), cell(2, 0, F.lit("ИИН"), k % 3 == 0), cell(2, 3, F.lit("8,6E+11"), k % 3 == 0), cell(2, 0, F.lit("Номер счета"), (k % 5 == 0) & (k % 3 != 0)), cell(2, 1, F.concat(F.lit("KZ"), "file_id"), (k % 5 == 0) & (k % 3 != 0))]
+    more = cell(3, 0, F.lit("Номер счета"), (k % 5 == 0) & (k % 3 == 0)), cell(3, 1, F.concat(F.lit("KZ"), "file_id"), (k % 5 == 0) & (k % 3 == 0))
+    head = files.select("*", F.explode(F.array_compact(F.array(*head, *more))).alias("x")).select("file_id", "sheet", "x.*")
+    sheet = head.unionByName(sheet.withColumn("row_no", F.col("row_no") + 4).select("file_id", "sheet", "row_no", "col_no", "value"))
+    return sheets.owner_fallback(sheet).select("file_id", "name", "iin_bin", "account")
 
 
 @query(f"""{_L}, c AS (SELECT file_id, source_bank AS layout, count(*) FILTER (currency = 'USD') AS rows, length(source_bank) AS priority FROM ledger GROUP BY 1, 2 UNION ALL SELECT file_id, 'generic', count(*), 100 FROM ledger GROUP BY 1)

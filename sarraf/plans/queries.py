@@ -494,14 +494,10 @@ def _components(where: str) -> str:
     return f"WITH RECURSIVE ledger AS ({LEDGER_SQL}), {_EDGES}, s AS (SELECT source, target FROM e WHERE {where}), {_COMPONENT_STEP} SELECT node, root FROM w"
 
 
-#: An edge's sum in tenge from which j5 counts it.
-_STRONG = 71_325_000
-
-
-@query(_components(f"amount >= {_STRONG}"))
+@query(_components("true"))
 def j5_components(spark, d):
-    strong = graph.edges(ledger(spark, d)).filter(F.col("amount") >= _STRONG)
-    return graph.connected_components(strong.select(F.col("source").alias("a"), F.col("target").alias("b")))
+    """Components of the graph, over every edge."""
+    return graph.connected_components(graph.edges(ledger(spark, d)).select(F.col("source").alias("a"), F.col("target").alias("b")))
 
 
 @query(f"""{_L}, {_EDGES}, p AS (SELECT payer_iin_bin AS id, amount_kzt AS a FROM ledger UNION ALL SELECT receiver_iin_bin, amount_kzt FROM ledger), t AS (SELECT id, {_MONEY("a")} AS turnover FROM p GROUP BY 1 ORDER BY turnover DESC, id NULLS LAST LIMIT 500),

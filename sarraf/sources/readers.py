@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, ids, numbers
 from ..functions.text import clean_optional_text
+from ..plans.runtime import cut
 
 CELLS = "file_id string, sheet string, row_no int, col_no int, value string"
 
@@ -67,7 +68,8 @@ def read_invoice_csv(spark: SparkSession, path: str) -> DataFrame:
             typed.append(numbers.optional_decimal(value(i), scale).cast(f"decimal(18,{scale})").alias(c))
         else:
             typed.append(value(i).alias(c))
-    extra = F.filter(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.struct(F.concat(F.lit("extra_"), (i + 1).cast("string")).alias("k"), F.get("p", i + len(INVOICE_COLUMNS)).alias("v"))), lambda s: F.coalesce(s["v"], F.lit("")) != "")
+    beyond = F.slice("p", len(INVOICE_COLUMNS) + 1, F.greatest(F.size("p") - len(INVOICE_COLUMNS), F.lit(0)))
+    extra = F.filter(F.transform(beyond, lambda v, i: F.struct(F.concat(F.lit("extra_"), (i + 1).cast("string")).alias("k"), v.alias("v"))), lambda s: F.coalesce(s["v"], F.lit("")) != "")
     return named.select("file", *typed, F.map_from_entries(extra).alias("extra"))
 
 
@@ -88,15 +90,72 @@ def register_files(spark: SparkSession, path: str, parser_version: str = "1") ->
     return files.select(ids.uuid5(ids.TX_NAMESPACE, digest).alias("file_id"), name.alias("filename"), F.element_at(F.split("path", "/"), -2).alias("source_bank"), digest.alias("sha256"), F.lit(parser_version).alias("parser_version"), F.col("modificationTime").alias("uploaded_at"))
 
 
+#: Two bytes a character, the high one of Latin, Greek, Cyrillic, punctuation or number signs.
+_LITTLE, _BIG = r"(?s)^(?:.[\x00-\x04\x20\x21])++$", r"(?s)^(?:[\x00-\x04\x20\x21].)++$"
+
+
 def decode_text(content: Column) -> Column:
-    """The first of UTF-8 (with or without mark), UTF-16 by mark, Windows-1251 and Latin-1 that decodes.
+    """The first of UTF-16 (by mark, or by where its high bytes stand), UTF-8, Windows-1251 and Latin-1 that decodes.
 
-    Needs plans.runtime.configure() for Windows-1251.
+    Text of the other encodings has no bytes from 0 to 4; where such bytes are, and only every other byte is a high one,
+    a text without a mark is UTF-16. Needs plans.runtime.configure() for Windows-1251.
     """
     head = F.hex(F.substring(content, 1, 3))
-    utf8 = F.is_valid_utf8(content.cast("string"))
-    cyrillic = F.decode(content, "windows-1251")
-    return F.when(utf8, F.regexp_replace(content.cast("string"), "^﻿", "")).when(head.startswith("FFFE") | head.startswith("FEFF"), F.decode(content, "UTF-16")).when(F.encode(cyrillic, "windows-1251") == content, cyrillic).otherwise(F.decode(content, "ISO-8859-1"))
+    plain = content.cast("string")
+    cyrillic, bytes_ = F.decode(content, "windows-1251"), F.decode(content, "ISO-8859-1")
+    wide = bytes_.rlike(r"[\x00-\x04]")
+    out = F.when(head.startswith("FFFE") | head.startswith("FEFF"), F.decode(content, "UTF-16")).when(wide & bytes_.rlike(_LITTLE), F.decode(content, "UTF-16LE")).when(wide & bytes_.rlike(_BIG), F.decode(content, "UTF-16BE"))
+    return out.when(F.is_valid_utf8(plain), F.regexp_replace(plain, "^\ufeff", "")).when(F.encode(cyrillic, "windows-1251") == content, cyrillic).otherwise(bytes_)
+
+
+_READ = CELLS + ", source_bank string, reason string"
+
+
+def _parsed(files):
+    """Cells of decoded files; of a file that has none, one row with the reason."""
+    import csv
+    import io
+
+    import pandas as pd
+
+    for batch in files:
+        out = []
+        for file, bank, text in zip(batch["file_id"], batch["source_bank"], batch["text"], strict=True):
+            cells, why = [], None
+            if not text or not text.strip():
+                why = "empty"
+            elif "\x00" in text:
+                why = "not a text"
+            else:
+                first = max(text.splitlines()[:40], key=lambda line: max(line.count(d) for d in ";,\t|"), default="")
+                mark = max(";,\t|", key=first.count)
+                try:
+                    for i, row in enumerate(csv.reader(io.StringIO(text, newline=""), delimiter=mark, strict=True)):
+                        cells += [(file, "", i, j, v.strip(), bank, None) for j, v in enumerate(row) if v.strip()]
+                except csv.Error as e:
+                    cells, why = [], f"row {i + 2}: {e}" if cells else f"row 1: {e}"
+            out += cells if why is None else [(file, "", None, None, None, bank, why)]
+        yield pd.DataFrame(out, columns=["file_id", "sheet", "row_no", "col_no", "value", "source_bank", "reason"]).astype({"row_no": "Int32", "col_no": "Int32"})
+
+
+def read_statements(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """Delimited statement files below root/<bank>/ as cells, and those that could not be read, with the reason.
+
+    Files in any encoding that decode_text tells; file_id is the path. One bad file keeps no other from being read. Each
+    file is read by one task, as it was uploaded. Spark does not list files of no bytes, so these are in neither.
+    """
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    text = raw.select(F.col("path").alias("file_id"), F.element_at(F.split("path", "/"), -2).alias("source_bank"), decode_text(F.col("content")).alias("text"))
+    found = cut(text.mapInPandas(_parsed, _READ))
+    cells = found.filter("reason is null").select(*(c.split()[0] for c in CELLS.split(", ")), "source_bank")
+    return cells, found.filter("reason is not null").select("file_id", "source_bank", "reason")
+
+
+def read_counts(cells: DataFrame, rejects: DataFrame) -> DataFrame:
+    """Files read, files rejected and rows read of each bank."""
+    read = cells.select("source_bank", "file_id", "row_no").distinct().groupBy("source_bank", "file_id").agg(F.count("*").alias("rows")).select("source_bank", F.lit(1).alias("read"), F.lit(0).alias("rejected"), "rows")
+    all_ = read.unionByName(rejects.select("source_bank", F.lit(0).alias("read"), F.lit(1).alias("rejected"), F.lit(0).cast("long").alias("rows")))
+    return all_.groupBy("source_bank").agg(F.sum("read").alias("files"), F.sum("rejected").alias("rejected"), F.sum("rows").alias("rows"))
 
 
 def upload_batches(df: DataFrame, order: str = "source_row_no") -> DataFrame:
