@@ -5,8 +5,10 @@ density, those of the blocks before and after it, and what its enclosing element
 aside, form, article, names of classes and ids). A decision tree trained on the small labelled table below
 tells main text from the rest; it is trained by Spark on every use and then walked inside the tasks.
 
-What elements say: html and body say nothing; article and main begin anew, unless they stand in a nav, header,
-aside or footer or are themselves a comment; names such as no-sidebar or has-sidebar say nothing.
+What elements say: html and body say nothing, and names such as no-sidebar or has-sidebar neither. A wrapper, which
+holds over half of the page's words, says nothing of them by a part of a name (fixed-header), by being a form, or
+where most of its words are in an element within that names itself the body; comments stay comments. article and main
+begin anew, unless they stand in a nav, header, aside or footer, or among comments, or are comments themselves.
 
 Defined cases: null and empty html give an empty text; unclosed and unknown tags, lone `<` and truncated
 references are taken as browsers do; scripts, styles, comments, titles and form controls hold no text; null
@@ -33,7 +35,8 @@ SILENT = frozenset("script style noscript template textarea select button iframe
 #: Words in names of elements, classes, ids and roles, by what they say of a block.
 MENU = frozenset("nav menu navbar navigation breadcrumb breadcrumbs header masthead toolbar tabs pagination pager footer colophon copyright contentinfo".split())
 SIDE = frozenset("aside sidebar related widget ad ads advert advertisement adsense banner promo sponsor sponsored cookie cookies consent notice notices alert popup modal newsletter subscribe share social complementary".split())
-TALK = frozenset("comment comments respond replies disqus form login signup search".split())
+COMMENTS = frozenset("comment comments respond replies disqus".split())
+TALK = COMMENTS | frozenset("form login signup search".split())
 BODY = frozenset("article main post content entry story body-text".split())
 #: Elements that an article inside them does not leave, and first parts of names that speak of the layout only.
 FIRM = frozenset("nav header aside footer".split())
@@ -47,35 +50,72 @@ _END = {x: re.compile(rf"</{x}\b[^>]*>?", re.I) for x in ("script", "style", "te
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "menu", "side", "talk", "body", "loose")
 
 
+class _Says(NamedTuple):
+    """An element that says something: its parent among such, itself by tag, whole names and parts of names."""
+
+    parent: int
+    tag: str
+    whole: tuple[int, int, int, int]
+    parts: tuple[int, int, int, int]
+    comments: bool  # by a whole name
+
+
 class _Inside(NamedTuple):
-    """What holds for text at one place: flags menu, side, talk and body; if a FIRM element encloses it; silent elements and links."""
+    """Where text stands: the nearest element that says something, and whether it is silent or linked."""
 
-    flags: tuple[int, int, int, int] = (0, 0, 0, 0)
-    firm: bool = False
+    says: int = 0
     silent: bool = False
     linked: bool = False
 
 
-def _within(outer: _Inside, tag: str, attributes: str) -> _Inside:
+def _within(outer: _Inside, tag: str, attributes: str, said: list[_Says]) -> _Inside:
     """What holds inside this element."""
     outer = outer._replace(silent=outer.silent or tag in SILENT, linked=outer.linked or tag == "a")
     if tag in ("html", "body") or (tag not in BLOCKS and not attributes):
         return outer
-    whole = [name for m in _NAMED.finditer(attributes) for name in (m[1] or m[2] or m[3] or "").lower().split()]
-    if tag in ("article", "main"):
-        kept = outer.flags if outer.firm else (0, 0, 0, 0)
-        return outer._replace(flags=(kept[0], kept[1], max(kept[2], int(not TALK.isdisjoint(whole))), 1))
-    names = {tag, *whole}
-    for name in whole:
-        parts = re.split(r"[-_]", name)
-        names.update(parts if parts[0] not in LAYOUT else ())
-    says = [int(not names.isdisjoint(x)) for x in (MENU, SIDE, TALK, BODY)]
-    return outer._replace(flags=tuple(map(max, outer.flags, says)), firm=outer.firm or tag in FIRM)
+    names = [name for m in _NAMED.finditer(attributes) for name in (m[1] or m[2] or m[3] or "").lower().split()]
+    split = {x for parts in (re.split(r"[-_]", name) for name in names) if parts[0] not in LAYOUT for x in parts} - set(names)
+    whole, parts = (tuple(int(not found.isdisjoint(x)) for x in (MENU, SIDE, TALK, BODY)) for found in ({tag, *names}, split))
+    if not any(whole) and not any(parts):
+        return outer
+    said.append(_Says(outer.says, tag, whole, parts, not COMMENTS.isdisjoint(names)))
+    return outer._replace(says=len(said) - 1)
+
+
+def _flags(said: list[_Says], words: list[int]) -> list[tuple[int, int, int, int]]:
+    """Menu, side, talk and body of the text right within each element; words are those right within."""
+    total, held, body = sum(words), list(words), [0] * len(words)
+    for i in range(len(said) - 1, 0, -1):
+        x = said[i]
+        held[x.parent] += held[i]
+        bad = any(x.whole[:3]) or any(x.parts[:3])
+        if not bad:
+            body[x.parent] = max(body[x.parent], body[i], held[i] if x.whole[3] or x.parts[3] else 0)
+    flags, firm = [(0, 0, 0, 0)] * len(said), [False] * len(said)
+    for i in range(1, len(said)):
+        x, outer = said[i], flags[said[i].parent]
+        firm[i] = firm[x.parent] or x.tag in FIRM
+        wraps = 2 * held[i] > total and x.tag not in FIRM
+        around = wraps and 2 * body[i] > held[i]  # most of it is in a named body
+        menu, side, talk, own = x.whole
+        if around or (wraps and x.tag == "form" and not x.comments):
+            menu, side, talk = 0, 0, int(x.comments)
+        if not wraps:
+            menu, side = menu | x.parts[0], side | x.parts[1]
+        if not around:
+            talk |= x.parts[2] if x.tag != "form" or not wraps else 0
+        if x.tag in ("article", "main"):
+            kept = outer if firm[x.parent] else (0, 0, outer[2], 0)
+            flags[i] = (kept[0], kept[1], max(kept[2], x.whole[2], 0 if wraps else x.parts[2]), 1)
+        else:
+            flags[i] = tuple(map(max, outer, (menu, side, talk, own | x.parts[3])))
+    return flags
 
 
 def blocks(page: str) -> list[list]:
     """[text, words, share of words in links, menu, side, talk, body] of each block."""
     out, parts, at = [], [], 0
+    said, words = [_Says(0, "", (0, 0, 0, 0), (0, 0, 0, 0), False)], Counter()
     stack: list[tuple[str, _Inside]] = [("", _Inside())]
     open_: Counter[str] = Counter()
 
@@ -87,9 +127,10 @@ def blocks(page: str) -> list[list]:
         nonlocal parts
         text = _SPACE.sub(" ", "".join(x for x, _ in parts)).strip()
         if text:
-            words = len(text.split(" "))
+            n = len(text.split(" "))
             inside = sum(len(x.split()) for x, link in parts if link)
-            out.append([text, words, min(1.0, inside / words), *stack[-1][1].flags])
+            words[stack[-1][1].says] += n
+            out.append([text, n, min(1.0, inside / n), stack[-1][1].says])
         parts = []
 
     def close(tag: str) -> None:
@@ -119,11 +160,12 @@ def blocks(page: str) -> list[list]:
                 close(tag)  # closed by the next of its kind
             if tag == "body":
                 close("head")
-            stack.append((tag, _within(stack[-1][1], tag, m[3])))
+            stack.append((tag, _within(stack[-1][1], tag, m[3], said)))
             open_[tag] += 1
     say(page[at:]) if at < len(page) else None
     end()
-    return out
+    flags = _flags(said, [words[i] for i in range(len(said))])
+    return [[*b[:3], *flags[b[3]]] for b in out]
 
 
 def features(found: list[list]) -> list[list[float]]:

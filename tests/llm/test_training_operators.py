@@ -162,6 +162,14 @@ MENU = "<ul><li><a href=a>Home</a></li><li><a href=b>News and views</a></li><li>
     ("page", "want"),
     [
         (f"<body class='has-sidebar'><article><p>{LONG}</p></article></body>", [LONG]),
+        (f"<div class='content-sidebar-wrap'><div class='content'><p>{LONG}</p></div><aside class=sidebar><p>Buy it</p></aside></div>", [LONG]),
+        (f"<form id='aspnetForm'><div id='main'><p>{LONG}</p></div></form>", [LONG]),
+        (f"<form id='aspnetForm'><div><p>{LONG}</p></div></form>", [LONG]),
+        (f"<div class='page search-page'><div class='content'><p>{LONG}</p></div></div>", [LONG]),
+        (f"<div class='with-header fixed-header'><p>{LONG}</p></div>", [LONG]),
+        (f"<article><p>{LONG}</p></article><section id='comments'><article class='comment-body'><p>{LONG} {LONG}</p></article></section>", [LONG]),
+        (f"<article><p>{LONG}</p></article><div class='user-comments'><div class=comment><div class=content><p>{LONG} {LONG}</p></div></div></div>", [LONG]),
+        (f"<div class=post><p>{LONG}</p></div><div id=comments class=comments-area><div class=content>{LONG} {LONG}</div></div>", [LONG]),
         (f"<article class='post sidebar-right'><p>{LONG}</p></article>", [LONG]),
         ("<body><p>Only nine words stand here in this one.</p></body>", ["Only nine words stand here in this one."]),
         (f"<div class='no-sidebar'><p>{LONG}</p></div>", [LONG]),
