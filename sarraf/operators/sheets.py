@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, ids, numbers, parties
@@ -158,6 +158,77 @@ def metadata(cells: DataFrame, lookback: int = 30) -> DataFrame:
     return pair.join(tagged, SHEET).filter(above).select(*SHEET, "block_id", "row_no", "col_no", "key", F.col("found").alias("value"))
 
 
+#: What a label in a statement's first column names, in order; what it must hold, and must not hold.
+KASPI_LABELS = [
+    ("клиент", "^клиент$", None),
+    ("иин/бин", "иин|бин", None),
+    ("period", "^период", None),
+    ("iban", "счет", "валюта|тип"),
+    ("currency", "валюта счета", None),
+    ("account_type", "тип счета", None),
+    ("statement_date", "дата формирования|дата выписки|формирования", None),
+    ("opening_balance", "входящий остаток", None),
+    ("closing_balance", "исходящий остаток", None),
+]
+#: Texts that stand for no value; patterns of accounts, ids, contracts and currencies; columns that are read.
+NO_VALUE = ["", "'", '"', "-", "—", "–", "''", '""']
+ACCOUNT, TAX_ID, CONTRACT, CURRENCY = r"\bKZ[A-Z0-9]{8,32}\b", r"\b\d{12}\b", r"(?i)\bCONTRACT\s*#?\s*(KZ[0-9A-Z]{10,40})\b", r"\b(KZT|USD|EUR|RUB|CNY)\b"
+WIDE = {"kaspi": 10, "halyk": 14}
+#: How far right of a label its value may be.
+REACH = 5
+
+
+def bank_metadata(cells: DataFrame, bank: str = "", lookback: int = 80) -> DataFrame:
+    """key and value pairs above each block by a bank's own rules, a row a key; pick_metadata chooses among them.
+
+    kaspi: the first column holds a label, its value is in the third, else the second column, else below it. halyk: pairs
+    within a cell, clients beside a tax id, contracts, currencies of contracts, and labels ending in a colon with a value
+    up to five columns on. Other banks: pairs, such labels and accounts. The last value of a key counts; accounts and ids
+    found in the text alone only fill what no label has named. row_no and col_no tell where a key came first.
+    """
+    tagged = blocks(rows(cells)).filter(F.col("row_no") == F.col("head_row")).select(*SHEET, "block_id", "head_row")
+    wide = WIDE.get(bank, 14)
+    few = cells.filter(F.col("col_no") < wide).select(*ROW, "col_no", F.trim("value").alias("v")).filter("v <> ''")
+    line = few.groupBy(*ROW).agg(F.map_from_entries(F.collect_list(F.struct("col_no", "v"))).alias("m"))  # a row's first cells
+    order = Window.partitionBy(*SHEET).orderBy("row_no")
+    below = F.lead(F.struct("row_no", F.col("m")[0].alias("v"))).over(order)
+    line = line.withColumn("below", below).join(tagged, SHEET).filter((F.col("row_no") < F.col("head_row")) & (F.col("row_no") >= F.col("head_row") - lookback))
+    clean = lambda c: F.when(~c.isin(NO_VALUE), c)
+    cell = lambda i: clean(F.col("m")[i])
+    at = lambda i: F.col("m")[F.lit(i)]
+    text = F.concat_ws(" | ", *(at(i) for i in range(wide)))
+    squeezed = F.regexp_replace(F.upper(text), r"\s+", "")
+    none = F.lit(None).cast("string")
+
+    def push(seq: int, col: int, key: Column, value: Column, when: Column, fills: bool = False) -> Column:
+        k, v = norm_text(key), clean(F.trim(value))
+        return F.when(when & (k != "") & v.isNotNull(), F.struct(F.lit(seq).alias("seq"), F.lit(col).alias("col"), F.lit(fills).alias("fills"), k.alias("key"), v.alias("value")))
+
+    found = lambda t, pattern, group=0: F.nullif(F.regexp_extract(t, pattern, group), F.lit(""))
+    account, tax_id = found(squeezed, ACCOUNT), found(text, TAX_ID)
+    long_account = push(7, 0, F.lit("iban"), account, (F.length(account) >= 20) & ~F.lower(text).contains("contract"), True)
+    pairs = [push(0, i, F.substring_index(at(i), ":", 1), F.expr(f"substring(m[{i}], locate(':', m[{i}]) + 1)"), at(i).contains(":")) for i in range(wide)]
+    ahead = lambda i: F.coalesce(*(cell(j) for j in range(i + 1, min(wide, i + 1 + REACH))), none)
+    labels = [push(8, i, F.regexp_replace(at(i), "^[ :]+|[ :]+$", ""), ahead(i), at(i).endswith(":")) for i in range(wide)]
+    if bank == "kaspi":
+        label = norm_text(cell(0))
+        under = F.when((F.col("below.row_no") == F.col("row_no") + 1) & (F.col("below.row_no") < F.col("head_row")), clean(F.col("below.v")))
+        value, key = F.coalesce(cell(2), cell(1), under), none
+        for name, holds, lacks in reversed(KASPI_LABELS):
+            key = F.when(label.rlike(holds) & (~label.rlike(lacks) if lacks else F.lit(True)), name).otherwise(key)
+        said = [push(0, 0, key, value, key.isNotNull()), long_account, push(7, 1, F.lit("иин/бин"), tax_id, tax_id.isNotNull(), True)]
+    elif bank == "halyk":
+        named, contract, currency = tax_id.isNotNull() & F.lower(text).rlike("иин|бин"), found(text, CONTRACT, 1), found(F.upper(text), CURRENCY, 1)
+        said = [*pairs, push(1, 0, F.lit("иин/бин"), tax_id, named), push(2, 0, F.lit("клиент"), cell(1), named), push(3, 0, F.lit("contract #"), contract, contract.isNotNull()), push(4, 0, F.lit("валюта контракта"), currency, F.lower(text).contains("валюта контракта") & currency.isNotNull()), long_account, *labels]
+    else:
+        each = [found(F.regexp_replace(F.upper(at(i)), r"\s+", ""), ACCOUNT) for i in range(wide)]
+        said = [*pairs, *labels, *(push(9, i, F.lit("iban"), x, x.isNotNull()) for i, x in enumerate(each))]
+    out = line.select(*SHEET, "block_id", "row_no", F.explode(F.array_compact(F.array(*said))).alias("x")).select(*SHEET, "block_id", "row_no", "x.*")
+    place = F.struct("row_no", "seq", "col")
+    out = out.groupBy(*SHEET, "block_id", "key").agg(F.max_by("value", F.when(~F.col("fills"), place)).alias("last"), F.min_by("value", F.when(F.col("fills"), place)).alias("first"), F.min(place).alias("p"))
+    return out.select(*SHEET, "block_id", F.col("p.row_no").alias("row_no"), (F.col("p.seq") * 100 + F.col("p.col")).alias("col_no"), "key", F.coalesce("last", "first").alias("value"))
+
+
 #: Labels of statement metadata and of footer totals.
 META_LABELS = {"client_name": ["наименование клиента", "клиент", "фио", "владелец счета"], "client_iin_bin": ["иин/бин", "иин", "бин"], "account_iban": ["номер счета", "счет", "iban"], "currency": ["валюта счета", "валюта"], "period": ["период", "за период"], "opening_balance": ["входящий остаток", "остаток на начало", "начальный баланс"], "closing_balance": ["исходящий остаток", "остаток на конец", "конечный баланс"]}
 FOOTER_LABELS = {"total_debit": ["итого дебет", "итого по дебету", "обороты по дебету"], "total_credit": ["итого кредит", "итого по кредиту", "обороты по кредиту"], "opening_balance": ["входящий остаток", "начальный баланс"], "closing_balance": ["исходящий остаток", "конечный баланс"]}

@@ -311,6 +311,18 @@ def m7_footers(spark, d):
     return sheets.footers(runtime.cut(fixtures.cells(ledger(spark, d)))).select("file_id", "field", "value")
 
 
+@query(f"""{_L}, f AS (SELECT DISTINCT file_id, CAST(file_id AS BIGINT) AS k FROM ledger) SELECT file_id, 'клиент' AS key, concat('Client ', file_id) AS value FROM f UNION ALL SELECT file_id, 'иин/бин', lpad(file_id, 12, '0') FROM f
+  UNION ALL SELECT file_id, 'iban', CASE WHEN k % 2 = 0 THEN concat('KZ', lpad(file_id, 18, '1')) ELSE concat('KZ', lpad(file_id, 18, '2')) END FROM f UNION ALL SELECT file_id, 'opening_balance', '10,00' FROM f""")
+def m6_bank_metadata(spark, d):
+    """Metadata by a bank's own rules, 60 rows above the header: values below and beside their labels, and accounts in the text."""
+    body = fixtures.cells(ledger(spark, d)).filter("row_no >= 3").withColumn("row_no", F.col("row_no") + 60)
+    files, even = body.select("file_id", "sheet").distinct(), F.col("file_id").cast("long") % 2 == 0
+    cell = lambda row, col, value, when=F.lit(True): F.when(when, F.struct(F.lit(row).alias("row_no"), F.lit(col).alias("col_no"), value.alias("value")))
+    head = [cell(0, 0, F.lit("Клиент")), cell(1, 0, F.concat(F.lit("Client "), "file_id")), cell(3, 0, F.lit("ИИН/БИН")), cell(3, 2, F.lpad("file_id", 12, "0")), cell(3, 1, F.lit("нет")), cell(5, 1, F.concat(F.lit("KZ "), F.lpad("file_id", 18, "1")), even), cell(7, 0, F.lit("Номер счета"), ~even), cell(7, 1, F.concat(F.lit("KZ"), F.lpad("file_id", 18, "2")), ~even), cell(8, 0, F.lit("Входящий остаток")), cell(8, 1, F.lit("10,00"))]
+    sheet = files.select("*", F.explode(F.array_compact(F.array(*head))).alias("x")).select("file_id", "sheet", "x.*").unionByName(body.select("file_id", "sheet", "row_no", "col_no", "value"))
+    return sheets.bank_metadata(runtime.cut(sheet), "kaspi").select("file_id", "key", "value")
+
+
 @query(f"""{_L}, f AS (SELECT DISTINCT file_id, CAST(file_id AS BIGINT) AS k FROM ledger)
   SELECT file_id, CASE WHEN k % 2 = 0 THEN concat('ТОО ', file_id) ELSE '' END AS name, CASE WHEN k % 3 = 0 THEN '860000000000' ELSE lpad(file_id, 12, '0') END AS iin_bin, CASE WHEN k % 5 = 0 THEN concat('KZ', file_id) ELSE '' END AS account FROM f""")
 def m9_owner_fallback(spark, d):
