@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
@@ -216,6 +216,52 @@ def total_pages(df: DataFrame, size: int) -> DataFrame:
     return df.agg(F.count("*").alias("total"), F.ceil(F.count("*") / size).alias("total_pages"))
 
 
+class Ordered:
+    """A table stored in an order, in ranges of about so many rows, with a directory of how many rows stand before each.
+
+    A page is read from the one or two ranges that hold it, whatever its number; only their rows are numbered. The order
+    has to end with a key, else equal rows change places between pages.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, order: list[Column]):
+        self.spark, self.path, self.order = spark, path, order
+
+    @classmethod
+    def build(cls, df: DataFrame, path: str, order: list[Column], range_rows: int = 100_000) -> Ordered:
+        """Ranges are cut by sampled bounds, sorted each by its task, and counted; the directory has a row a range."""
+        ranges = max(1, -(-df.count() // range_rows))
+        df.repartitionByRange(ranges, *order).withColumn("range", F.spark_partition_id()).write.partitionBy("range").parquet(f"{path}/rows")
+        spark = df.sparkSession
+        spark.createDataFrame([], df.schema).coalesce(1).write.parquet(f"{path}/shape")  # a table without rows has no ranges to read it from
+        out = cls(spark, path, order)
+        counts = sorted(tuple(r) for r in out._rows().groupBy("range").agg(F.count("*")).collect())  # a row a range
+        first, told = 0, []
+        for i, n in counts:
+            told.append((i, n, first))
+            first += n
+        spark.createDataFrame(told, "range int, n long, first long").coalesce(1).write.parquet(f"{path}/directory")
+        return out
+
+    def _rows(self) -> DataFrame:
+        shape = self.spark.read.parquet(f"{self.path}/shape").schema
+        return self.spark.read.schema(shape.add("range", "integer")).parquet(f"{self.path}/rows")
+
+    def directory(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/directory")
+
+    def total_pages(self, per_page: int) -> int:
+        return -(-(self.directory().agg(F.sum("n")).first()[0] or 0) // per_page)
+
+    def page(self, number: int, per_page: int) -> DataFrame:
+        """Rows of a page, numbered by `place` from 1."""
+        lo, hi = (number - 1) * per_page, number * per_page
+        wanted = {r["range"]: r["first"] for r in self.directory().filter((F.col("first") < hi) & (F.col("first") + F.col("n") > lo)).collect()}  # what overlaps the page
+        rows = self._rows().filter(F.col("range").isin(list(wanted)))
+        before = F.create_map(*(F.lit(x) for kv in wanted.items() for x in kv))[F.col("range")] if wanted else F.lit(0)
+        place = F.row_number().over(Window.partitionBy("range").orderBy(*self.order)) + before
+        return rows.withColumn("place", place.cast("long")).filter((F.col("place") > lo) & (F.col("place") <= hi)).drop("range")
+
+
 def capped(df: DataFrame, limit: int | None = None, cap: int = 1000) -> DataFrame:
     """The row cap of ad-hoc questions."""
     return df.limit(min(limit or cap, cap))

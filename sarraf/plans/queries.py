@@ -459,6 +459,14 @@ def h3_sorted_page(spark, d):
     return analytics.detail(analytics.page(x, 2, 100, analytics.sort_keys("credit")))
 
 
+@query(f"{_L} SELECT row_number() OVER (ORDER BY amount_credit DESC, {_TS} DESC, tx_id DESC) AS place, tx_id, CAST(amount_credit AS DOUBLE) AS credit FROM ledger QUALIFY place > 5000 AND place <= 5100")
+def h3_page_of_ranges(spark, d):
+    """A far page of the ledger stored in its order: one range of it is read."""
+    order = analytics.sort_keys("credit")
+    stored = analytics.Ordered.build(ledger(spark, d), runtime.shared_dir(spark), order, 4096)
+    return stored.page(51, 100).select("place", "tx_id", F.col("amount_credit").cast("double").alias("credit"))
+
+
 @query(f"{_L} SELECT {_DETAIL} FROM ledger WHERE strftime({_TS}, '%Y-%m') = '1995-03' ORDER BY {_TS} DESC, tx_id DESC LIMIT 50")
 def h4_drill_month(spark, d):
     return analytics.drill_bucket(ledger(spark, d), "1995-03")
