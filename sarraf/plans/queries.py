@@ -414,24 +414,99 @@ def f12_row_evidence(spark, d):
     return detectors.row_evidence(rows, warned).select("project_id", "file_id", "tx_id", "amount", F.col("rank").cast("long").alias("rank"))
 
 
-@query()
+_CASHED = "db > 0 AND regexp_matches(lower(purpose_text), 'снятие|налич|cash|atm|банкомат')"
+_OTHER = "CASE WHEN cr > 0 THEN pk ELSE rk END"
+
+
+def _matched(code: str, part: str, shown: int, size: str, source: str, where: str, parties: int, side: str | None = None, times: str = "0") -> str:
+    return f"SELECT r.*, '{code}' AS code, '{part}' AS part, {shown} AS shown, {size} AS size, {parties} AS parties, {repr(side) if side else 'NULL'} AS side, {times} AS times FROM r JOIN {source} USING (project_id, file_id) WHERE {where}"
+
+
+#: Payments of each part of a warning.
+_MATCHED = "matched AS (" + " UNION ALL ".join(
+    _matched(*x)
+    for x in (
+        ("dropper_transit", "credits", 5, "cr", "(SELECT project_id, file_id FROM dt)", "cr > 0", 4, "payer"),
+        ("dropper_transit", "debits", 5, "db", "(SELECT project_id, file_id FROM dt)", "db > 0", 4, "receiver"),
+        ("cash_out", "cash", 6, "db", "(SELECT project_id, file_id FROM co)", _CASHED, 5, "receiver"),
+        ("cash_out", "credits", 3, "cr", "(SELECT project_id, file_id FROM co)", "cr > 0", 0, "payer"),
+        ("structuring", "small", 8, "cr", "(SELECT project_id, file_id FROM st)", "cr > 0 AND cr <= 100000", 6, "payer"),
+        ("repeated_amount_patterns", "repeated", 8, "amount", "(SELECT am.project_id, am.file_id, dir, am.a, am.n FROM am JOIN a USING (project_id, file_id)) x", "dir = CASE WHEN cr > 0 THEN 'credit' ELSE 'debit' END AND x.a = amount", 6, None, "x.n"),
+        ("high_activity_spike", "day", 8, "amount", "(SELECT project_id, file_id, dday AS on_day FROM k)", "dday = on_day", 6),
+        ("repeated_counterparty_flows", "party", 8, "amount", "(SELECT project_id, file_id, other FROM o)", f"{_OTHER} = other", 0),
+        ("fan_in_drop_account", "credits", 8, "cr", "(SELECT project_id, file_id FROM fi)", "cr > 0", 6, "payer"),
+        ("rapid_balance_flush", "credits", 8, "cr", "(SELECT project_id, file_id, dday AS on_day FROM h)", "cr > 0 AND dday = on_day", 3, "payer"),
+        ("rapid_balance_flush", "debits", 8, "db", "(SELECT project_id, file_id, dday AS on_day FROM h)", "db > 0 AND dday = on_day", 3, "receiver"),
+        ("purpose_mismatch", "private", 8, "amount", "(SELECT project_id, file_id FROM pm)", "regexp_matches(lower(purpose_text), 'личн|частн') AND amount >= 200000", 6),
+    )
+) + ")"
+
+
+def _identified(side: str) -> str:
+    return f"coalesce(nullif(regexp_replace(coalesce({side}_iin_bin, ''), '[^0-9]', '', 'g'), ''), nullif(trim({side}_account), ''))"
+
+
+def _called(side: str) -> str:
+    return f"coalesce(nullif(trim({side}_name), ''), {_identified(side)})"
+
+
+_ARTICLES = "CASE code " + " ".join(f"WHEN '{c}' THEN '{', '.join(x)}'" for c, (_, x) in detectors.DETECTORS.items()) + " END"
+
+
+@query(f"""{_L}, {_WARNED}, {_MATCHED}, sided AS (SELECT *, coalesce(side, first_value(CASE WHEN cr > 0 THEN 'payer' ELSE 'receiver' END) OVER (PARTITION BY project_id, file_id, code, side IS NULL ORDER BY times DESC, CASE WHEN times > 0 THEN amount END DESC, dday DESC, operation_ts DESC, tx_id DESC)) AS role FROM matched WHERE parties > 0),
+  e AS (SELECT *, CASE WHEN role = 'payer' THEN pk ELSE rk END AS key FROM sided), g AS (SELECT project_id, file_id, code, part, parties, role, key, min(CASE WHEN role = 'payer' THEN {_called("payer")} ELSE {_called("receiver")} END) AS name, min(CASE WHEN role = 'payer' THEN {_identified("payer")} ELSE {_identified("receiver")} END) AS identifier,
+    count(*) AS transaction_count, CAST(sum(CASE WHEN role = 'payer' THEN amount_credit ELSE amount_debit END) AS DOUBLE) AS turnover FROM e WHERE key IS NOT NULL GROUP BY 1, 2, 3, 4, 5, 6, 7),
+  t AS (SELECT project_id, file_id, code, role, key, name, identifier, transaction_count, turnover, row_number() OVER (PARTITION BY project_id, file_id, code, part ORDER BY turnover DESC, transaction_count DESC, key) AS rank FROM g QUALIFY rank <= parties),
+  ow AS (SELECT *, row_number() OVER (PARTITION BY project_id, file_id ORDER BY n DESC, turnover DESC, other) AS rank FROM os QUALIFY rank <= 6),
+  names AS (SELECT project_id, file_id, {_OTHER} AS other, min(CASE WHEN cr > 0 THEN {_called("payer")} ELSE {_called("receiver")} END) AS name, min(CASE WHEN cr > 0 THEN {_identified("payer")} ELSE {_identified("receiver")} END) AS identifier FROM r GROUP BY 1, 2, 3),
+  z AS (SELECT * FROM t UNION ALL SELECT project_id, file_id, 'repeated_counterparty_flows', 'party', other, name, identifier, n, turnover, rank FROM ow JOIN names USING (project_id, file_id, other)) SELECT *, {_ARTICLES} AS articles FROM z""")
 def f11_all_parties(spark, d):
     """Parties behind every warning; their articles are those of the warning."""
     found = evidence.Found(detectors.prepared(ledger(spark, d)))
     return evidence.warning_parties(found).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query()
+@query(f"""{_L}, {_WARNED}, {_MATCHED}, s AS (SELECT * FROM matched QUALIFY row_number() OVER (PARTITION BY project_id, file_id, code, part ORDER BY size DESC, dday DESC, operation_ts DESC, tx_id) <= shown),
+  u AS (SELECT DISTINCT project_id, file_id, code, tx_id, CASE WHEN cr > 0 THEN 'in' ELSE 'out' END AS direction, amount, operation_ts, dday, CASE WHEN cr > 0 THEN {_called("payer")} ELSE {_called("receiver")} END AS counterparty, purpose_text AS purpose FROM s)
+  SELECT project_id, file_id, code, tx_id, direction, round(amount, 2) AS amount, operation_ts, counterparty, purpose, row_number() OVER (PARTITION BY project_id, file_id, code ORDER BY u.amount DESC, dday DESC, operation_ts DESC, tx_id) AS rank FROM u QUALIFY rank <= 8""")
 def f12_all_rows(spark, d):
     """Payments behind every warning, at most eight of each."""
     found = evidence.Found(detectors.prepared(ledger(spark, d)))
     return evidence.warning_rows(found).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query()
+def _figures(code: str, source: str, numbers: dict[str, str], texts: dict[str, str] | None = None) -> str:
+    cells = [f"struct_pack(indicator := '{k}', number := round(CAST({v} AS DOUBLE), 4), text := CAST(NULL AS VARCHAR))" for k, v in numbers.items()]
+    cells += [f"struct_pack(indicator := '{k}', number := CAST(NULL AS DOUBLE), text := CAST({v} AS VARCHAR))" for k, v in (texts or {}).items()]
+    return f"SELECT project_id, file_id, '{code}' AS code, unnest([{', '.join(cells)}], recursive := true) FROM {source}"
+
+
+def _same(*names: str) -> dict[str, str]:
+    return {n: n for n in names}
+
+
+_FIGURES = " UNION ALL ".join(
+    _figures(*x)
+    for x in (
+        ("dropper_transit", "dt", _same("n_credit", "senders", "out_ratio", "same_days", "active_days", "cash_total")),
+        ("cash_out", "co", _same("cash_total", "cash_ratio", "cash_count")),
+        ("structuring", "st LEFT JOIN rc USING (project_id, file_id)", _same("small_credits", "small_share", "senders") | {"repeated_credits": "coalesce(rep, 0)"}),
+        ("fan_in_drop_account", "fi LEFT JOIN cd USING (project_id, file_id)", _same("n_credit", "senders", "credit", "credit_days")),
+        ("purpose_mismatch", "pm", _same("mismatches", "mismatch_max", "mismatch_share")),
+        ("repeated_amount_patterns", "a", {"amounts": "amounts", "a": "top_a", "n": "top_n", "share": "share"}),
+        ("high_activity_spike", "k", _same("n", "turnover", "parties"), {"day": "dday"}),
+        ("repeated_counterparty_flows", "o", _same("n", "turnover", "days"), {"other_key": "other"}),
+        ("rapid_balance_flush", "h", {"credit": "credit", "debit": "debit", "ratio": "flushed"}, {"day": "dday"}),
+    )
+)
+
+
+@query(f"""{_L}, {_WARNED}, cd AS (SELECT project_id, file_id, count(DISTINCT dday) AS credit_days FROM r WHERE cr > 0 GROUP BY 1, 2),
+  rc AS (SELECT project_id, file_id, count(*) AS rep FROM (SELECT project_id, file_id, cr FROM r WHERE cr > 0 GROUP BY 1, 2, 3 HAVING count(*) >= 3) GROUP BY 1, 2) {_FIGURES}""")
 def f_indicators(spark, d):
-    """The figures of every warning."""
-    return evidence.indicators(evidence.Found(detectors.prepared(ledger(spark, d))))
+    """The figures of every warning, those that are numbers as such."""
+    found, number = evidence.indicators(evidence.Found(detectors.prepared(ledger(spark, d)))), F.expr("try_cast(value AS double)")
+    return found.select("project_id", "file_id", "code", "indicator", F.round(number, 4).alias("number"), F.when(number.isNull(), F.col("value")).alias("text"))
 
 
 @query(f"{_L}, {_WARNED} {_WARNINGS}")
@@ -667,7 +742,8 @@ def a9_pack_overflow(spark, d):
     return sinks.pack_overflow(x, keep).select("tx_id", F.size("ext").cast("long").alias("n"))
 
 
-@query()
+@query(f"""{_L} SELECT strftime({_TS}, '%d.%m.%Y %H:%M') AS "Дата", {_shown("payer_name", "payer_account")} AS "Отправитель", payer_iin_bin AS "ИИН/БИН отправителя", payer_account AS "Счёт отправителя", {_shown("receiver_name", "receiver_account")} AS "Получатель", receiver_iin_bin AS "ИИН/БИН получателя",
+  receiver_account AS "Счёт получателя", {_CATEGORY} AS "Категория", operation_type_raw AS "Тип операции", purpose_text AS "Назначение", currency AS "Валюта", amount_debit AS "Дебет", amount_credit AS "Кредит", amount_kzt AS "Сумма в тенге", source_bank AS "Банк" FROM ledger""")
 def a11_export_ledger(spark, d):
     return sinks.export_ledger(ledger(spark, d))
 
