@@ -82,6 +82,11 @@ def format_percent(c: Column) -> Column:
     return F.concat(F.format_number(c * 100, 0), F.lit("%"))
 
 
+def format_dt(ts: Column, day: Column) -> Column:
+    """Time of a payment to the minute, else its day, else that it has none."""
+    return F.coalesce(F.date_format(ts, "dd.MM.yyyy HH:mm"), F.date_format(day, "dd.MM.yyyy"), F.lit("Без даты"))
+
+
 def month_label(ts: Column) -> Column:
     names = F.array(*map(F.lit, MONTHS))
     return F.concat_ws(" ", F.element_at(names, F.month(ts)), F.year(ts).cast("string"))

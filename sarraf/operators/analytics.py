@@ -216,6 +216,12 @@ def total_pages(df: DataFrame, size: int) -> DataFrame:
     return df.agg(F.count("*").alias("total"), F.ceil(F.count("*") / size).alias("total_pages"))
 
 
+def described(df: DataFrame, columns: list[str], key: str, over: int = 15, shown: int = 5) -> tuple[DataFrame | None, DataFrame]:
+    """What is told of a result: over so many rows its profile and first rows by key, else no profile and all of it."""
+    few = df.limit(over + 1).count() <= over
+    return (None, df.orderBy(key)) if few else (profile(df, columns), df.orderBy(key).limit(shown))
+
+
 class Ordered:
     """A table stored in an order, in ranges of about so many rows, with a directory of how many rows stand before each.
 

@@ -1,9 +1,12 @@
-"""Pages of a table that is stored in ranges."""
+"""Pages of a table that is stored in ranges, and what is told of a result."""
+
+from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from sarraf.operators.analytics import Ordered
+from sarraf.functions.text import format_dt
+from sarraf.operators.analytics import Ordered, described
 
 
 @pytest.fixture(scope="module")
@@ -33,3 +36,16 @@ def test_a_page_reads_its_ranges_only(stored):
 def test_an_empty_table_has_no_pages(spark, tmp_path):
     pages = Ordered.build(spark.range(0), str(tmp_path / "none"), [F.asc("id")])
     assert pages.total_pages(10) == 0 and pages.page(1, 10).count() == 0
+
+
+def test_small_results_are_shown_whole(spark):
+    df = spark.range(16).select("id", (F.col("id") % 3).alias("v"))
+    what, rows = described(df, ["v"], "id")
+    assert [r["id"] for r in rows.collect()] == [0, 1, 2, 3, 4] and what.filter("column = 'v'").first()["count"] == 16
+    what, rows = described(df.limit(15), ["v"], "id")
+    assert what is None and rows.count() == 15
+
+
+def test_times_of_payments(spark):
+    df = spark.createDataFrame([(datetime(2024, 2, 1, 9, 5), None), (None, date(2024, 2, 1)), (None, None)], "t timestamp, d date")
+    assert [r[0] for r in df.select(format_dt(df["t"], df["d"])).collect()] == ["01.02.2024 09:05", "01.02.2024", "Без даты"]
