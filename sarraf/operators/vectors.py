@@ -166,8 +166,12 @@ def resolve_format(new: DataFrame, formats: DataFrame, least: float = 0.92) -> D
     # Of formats with equal vectors the two greatest are enough: a layout's own one may be the first.
     second = F.row_number().over(Window.partitionBy("source_bank", "embedding").orderBy(F.desc("format_id")))
     known = cut(formats.filter("embedding is not null").select("format_id", "source_bank", "embedding").withColumn("_n", second).filter("_n <= 2").drop("_n"))
-    pairs = near_pairs(rest.select("layout_id", "embedding"), known, "layout_id", "format_id", least).join(known.select("format_id", F.col("source_bank").alias("_bank")), "format_id")
-    pairs = pairs.join(rest.select("layout_id", "source_bank", *(["own_format"] if "own_format" in new.columns else [])), "layout_id")
+    # Equal vectors meet as one, whatever their banks and however many layouts have them.
+    ours = cut(rest.filter("embedding is not null").groupBy("embedding").agg(F.min("layout_id").alias("a_vec")))
+    theirs = cut(known.groupBy("embedding").agg(F.min("format_id").alias("b_vec")))
+    near = near_pairs(ours, theirs, "a_vec", "b_vec", least)
+    layouts = rest.join(ours, "embedding").select("layout_id", "source_bank", "a_vec", *(["own_format"] if "own_format" in new.columns else []))
+    pairs = near.join(layouts, "a_vec").join(known.join(theirs, "embedding").select("format_id", F.col("source_bank").alias("_bank"), "b_vec"), "b_vec")
     if "own_format" in new.columns:
         pairs = pairs.filter(~F.col("own_format").eqNullSafe(F.col("format_id")))
     near = pairs.groupBy("layout_id").agg(F.max(F.struct((F.col("source_bank") == F.col("_bank")).alias("same"), "score", "format_id")).alias("m")).select("layout_id", "m.format_id", F.lit("vector").alias("method"))
