@@ -64,7 +64,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     of = np.searchsorted(start, offsets)  # the first word of each text
     gram = np.zeros(max(0, len(name) - N + 1), np.uint64)
     for k in range(N):
-        gram += name[k : len(name) - N + 1 + k] * _FACTORS[k]
+        gram += name[k : k + len(gram)] * _FACTORS[k]
     gram, out = common.mix64(gram), []
     for lo, hi in zip(of[:-1].tolist(), of[1:].tolist(), strict=True):
         if hi - lo >= N:
