@@ -56,10 +56,12 @@ def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_BYTES = np.random.Generator(np.random.PCG64(20240517)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: The hash has two residues of 31 bits: polynomials over random byte values at random points, modulo a prime.
+_PRIME = (1 << 31) - 1
+_RANDOM = np.random.Generator(np.random.PCG64(20240517))
+_POINTS = [int(x) for x in _RANDOM.integers(1 << 30, _PRIME, 2)]
+_BYTES = _RANDOM.integers(1, _PRIME, (2, 256), dtype=np.uint64)
+_powers: dict[int, np.ndarray] = {}
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -68,28 +70,45 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i < n at least."""
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, _INVERSE)):
-            x = np.full(n * 2, base, np.uint64)
-            x[0] = 1
-            _powers[k] = np.cumprod(x, dtype=np.uint64)
-    return _powers[0], _powers[1]
+def _fold(x: np.ndarray) -> np.ndarray:
+    """Closer to x modulo the prime: 2**31 is 1 there, so its digits of 31 bits are added up. A product of numbers under 2**31 and 2**33 comes under 2**34."""
+    return (x & np.uint64(_PRIME)) + (x >> np.uint64(31))
+
+
+def _modulo(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime for any x of 64 bits."""
+    x = _fold(_fold(x))
+    return np.minimum(x, x - np.uint64(_PRIME))  # wraps far up where x is under the prime
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base**i modulo the prime for i < n at least."""
+    x = _powers.get(base, np.ones(1, np.uint64))
+    while len(x) < n:
+        x = np.concatenate([x, _modulo(x * np.uint64(pow(base, len(x), _PRIME)))])
+    _powers[base] = x
+    return x
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """S with S[i] the polynomial hash of data[:i]; see window_hash()."""
-    up, _ = powers(len(data) + 1)
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTES[data] * up[: len(data)], dtype=np.uint64, out=out[1:])
+    """S with S[k, i] the polynomial hash of data[:i] at point k, not reduced (fewer than 2**30 bytes); see window_hash()."""
+    out = np.zeros((2, len(data) + 1), np.uint64)
+    for k, point in enumerate(_POINTS):
+        np.cumsum(_fold(_BYTES[k][data] * powers(point, len(data))[: len(data)]), dtype=np.uint64, out=out[k, 1:])
     return out
 
 
 def window_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of data[start:end]; equal bytes have equal hashes wherever they stand."""
-    _, down = powers(len(prefix))
-    return mix64((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64))
+    """Hash of data[start:end] in 64 bits; equal bytes have equal hashes wherever they stand.
+
+    Modulo a prime, no shape of text makes both residues meet; modulo 2**64, texts such as Thue and Morse's word and
+    its complement do at every point.
+    """
+    out = mix64((end - start).astype(np.uint64))
+    for k, point in enumerate(_POINTS):
+        down = powers(pow(point, -1, _PRIME), prefix.shape[1])
+        out ^= _modulo(_fold(_fold(prefix[k][end] - prefix[k][start])) * down[start]) << np.uint64(31 * k)
+    return mix64(out)
 
 
 def components(edges: DataFrame) -> DataFrame:

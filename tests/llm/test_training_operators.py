@@ -255,6 +255,34 @@ def test_ngram_join(docs, empty, small):
     assert ngram_join.jaccard_join(empty).count() == 0
 
 
+def test_words_that_collide_modulo_powers_of_two(spark):
+    word = "".join("ab"[i.bit_count() & 1] for i in range(1024))  # Thue and Morse's
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word), (2, other), (3, f"{word} {other}"), (4, f"{other} {word}"), (5, other)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    same(ngram_join.jaccard_join(df), JOIN, brute.jaccard(rows))
+    same(suffix_dedup.remove_repeats(df), REPEATS, brute.repeats(rows))
+
+
+@pytest.mark.parametrize("texts", [["a"], ["a b", "A  b"], ["a b c d"], ["a b c d e", " "]])
+def test_fewer_words_than_an_ngram_in_a_batch(texts):
+    raw = [t.encode() for t in texts]
+    sets = ngram_join.shingles(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    assert [len(x) for x in sets] == [int(bool(t.strip())) for t in texts]
+    if len(sets) > 1 and texts[1].strip():
+        assert sets[0].tolist() == sets[1].tolist()
+
+
+def test_window_hash_names_bytes():
+    data = np.random.Generator(np.random.PCG64(3)).integers(97, 100, 20_000, dtype=np.uint8)
+    prefix, raw = common.prefix_hash(data), data.tobytes()
+    for width in (1, 5, 128, 401):
+        start, name = np.arange(len(data) - width + 1), {}
+        for at, h in zip(start, common.window_hash(prefix, start, start + width).tolist(), strict=True):
+            assert name.setdefault(raw[at : at + width], h) == h
+        assert len(set(name.values())) == len(name)
+
+
 def test_null_ids_link(spark):
     text = words(31, 60)
     near = lambda *at: " ".join(f"other{k}" if k in at else w for k, w in enumerate(text))
