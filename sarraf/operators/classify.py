@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,16 +39,89 @@ def recycled() -> Column:
     return result("CASH_TOPUP_DIRECT", "CASH_TOPUP", 0.99, "rule", False)
 
 
-def rule_of(text: Column) -> Column:
-    """Struct of rule_id, category, confidence and source: the first rule by priority, else OTHER for review.
+def required(pattern: str) -> frozenset[str] | None:
+    """Literals in lower case of which every match of the pattern holds one; None if there is no such set.
 
-    text is a column, not an expression: each of the patterns reads it.
+    Reads the parts of Python's own parse of the pattern: in a sequence the best part counts, in alternatives all do.
     """
-    out = None
-    for rule_id, category, _, pattern in sorted(rules.RULES, key=lambda r: -r[2]):
-        hit = text.rlike(rx(pattern)), result(rule_id, category, rules.RULE_CONFIDENCE, "rule", False)
+    return _required(re._parser.parse(pattern, re.IGNORECASE))
+
+
+def _required(parts) -> frozenset[str] | None:
+    found, run = [], ""
+    for op, arg in [*parts, (None, None)]:
+        if str(op) == "LITERAL":
+            run += chr(arg).lower()
+            continue
+        if run:
+            found.append(frozenset([run]))
+        run, inner = "", None
+        if str(op) == "BRANCH":
+            each = [_required(x) for x in arg[1]]
+            inner = frozenset().union(*each) if all(each) else None
+        elif str(op) == "SUBPATTERN":
+            inner = _required(arg[-1])
+        elif str(op) == "MAX_REPEAT" and arg[0]:
+            inner = _required(arg[-1])
+        if inner:
+            found.append(inner)
+    return max(found, key=lambda x: (min(map(len, x)), -len(x)), default=None)
+
+
+def _any_prefix(words: list[str]) -> str:
+    """A pattern of any of these words, none of them a prefix of another, with common prefixes written once."""
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        heads.setdefault(w[0], []).append(w[1:])
+    parts = [re.escape(c) + (_any_prefix(rest) if all(rest) else "") for c, rest in sorted(heads.items())]
+    return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+
+@lru_cache(maxsize=1)
+def rule_index() -> tuple[list[tuple], dict[str, int]]:
+    """The rules by priority, and the inverted table: each literal with the rules that need it, one bit a rule by place."""
+    ordered = sorted(rules.RULES, key=lambda r: -r[2])
+    needs = [required(r[3]) for r in ordered]
+    if len(ordered) > 63 or not all(needs):
+        raise ValueError("a rule needs a literal, and a number of 64 bits has room for 63 rules")
+    every, index = frozenset().union(*needs), {}
+    for at, need in enumerate(needs):
+        for word in need:
+            head = min((x for x in every if word.startswith(x)), key=len)  # so that one literal at most starts at a place
+            index[head] = index.get(head, 0) | 1 << at
+    return ordered, index
+
+
+#: Letters that a pattern without case takes for others although lower case leaves them as they are: by their upper case.
+LOOSE = "İıſᲀᲁᲂᲃᲄᲅᲆ", "iisвдосттъ"
+
+
+def rule_candidates(text: Column) -> Column:
+    """One bit for each rule whose literals the text holds: all literals are found in one pass, by a tree of their letters."""
+    _, index = rule_index()
+    plain = F.lower(F.translate(text, *LOOSE))
+    held = F.array_distinct(F.regexp_extract_all(plain, F.lit(f"(?=({_any_prefix(list(index))}))"), F.lit(1)))
+    book = F.create_map(*(F.lit(x) for kv in sorted(index.items()) for x in kv))
+    return F.aggregate(held, F.lit(0).cast("long"), lambda bits, word: bits.bitwiseOR(F.element_at(book, word).cast("long")))
+
+
+def rule_place(text: Column, candidates: Column) -> Column:
+    """Place of the first rule by priority whose pattern the text holds, else their number.
+
+    Both are columns, not expressions, since each rule reads them; candidates are rule_candidates(text). A pattern is
+    tried only on texts that hold one of its literals.
+    """
+    out, ordered = None, rule_index()[0]
+    for at, rule in enumerate(ordered):
+        hit = (candidates.bitwiseAND(F.lit(1 << at)) != 0) & text.rlike(rx(rule[3])), F.lit(at)
         out = F.when(*hit) if out is None else out.when(*hit)
-    return out.otherwise(result("DEFAULT_OTHER", "OTHER", 1.0, "other", True))
+    return out.otherwise(len(ordered))
+
+
+def rule_of(place: Column) -> Column:
+    """Struct of rule_id, category, confidence and source for a place; behind the last rule stands OTHER, for review."""
+    named = [result(rule_id, category, rules.RULE_CONFIDENCE, "rule", False) for rule_id, category, _, _ in rule_index()[0]]
+    return F.get(F.array(*named, result("DEFAULT_OTHER", "OTHER", 1.0, "other", True)), place)
 
 
 #: Different texts whose rules may be broadcast, about 100 characters each; beyond, the join shuffles.
@@ -61,14 +137,19 @@ def classify_rules(df: DataFrame) -> DataFrame:
 
 
 def _with_rule(df: DataFrame, code: Column) -> DataFrame:
-    """Each different cleaned text meets the rules once, however many payments have it; the one rule over raw texts is tried on every row."""
-    raw = F.concat_ws(" | ", "purpose_text", "operation_type_raw").rlike(rx(rules.RECYCLER))
-    rows = df.withColumns({"_text": rule_text(F.col("purpose_text"), code, F.col("operation_type_raw")), "_recycler": raw})
-    ruled = rows.select("_text").distinct().withColumn("_plain", rule_of(F.col("_text")))
-    ruled = cut(ruled)
-    size = ruled.agg(F.count("*"), F.coalesce(F.sum(F.length("_text")), F.lit(0))).first()
+    """Each different text is cleaned and meets its rules once, however many payments have it; cleaned texts are stored with their candidates."""
+    keys = {"_purpose": F.col("purpose_text"), "_code": F.coalesce(code, F.lit("")), "_type": F.col("operation_type_raw")}
+    rows = df.withColumns(keys)
+    texts = rows.select(*keys).distinct().withColumn("_text", rule_text(F.col("_purpose"), F.col("_code"), F.col("_type")))
+    texts = cut(texts.withColumn("_rules", rule_candidates(F.col("_text"))))
+    size = texts.agg(F.count("*"), F.coalesce(F.sum(sum((F.coalesce(F.length(k), F.lit(0)) for k in keys), F.lit(0))), F.lit(0))).first()
+    raw = F.concat_ws(" | ", "_purpose", "_type").rlike(rx(rules.RECYCLER))
+    place = F.when(raw, -1).otherwise(rule_place(F.col("_text"), F.col("_rules")))
+    ruled = texts.select(*(F.col(k).alias(f"{k}2") for k in keys), place.alias("_place"))
     ruled = F.broadcast(ruled) if size[0] <= BROADCAST_TEXTS and size[1] <= 100 * BROADCAST_TEXTS else ruled
-    return rows.join(ruled, "_text").withColumn("_r", F.when(F.col("_recycler"), recycled()).otherwise(F.col("_plain"))).drop("_text", "_recycler", "_plain")
+    same = [F.col(k).eqNullSafe(F.col(f"{k}2")) for k in keys]
+    found = F.when(F.col("_place") < 0, recycled()).otherwise(rule_of(F.col("_place")))
+    return rows.join(ruled, same).withColumn("_r", found).drop("_place", *keys, *(f"{k}2" for k in keys))
 
 
 def classify_vectors(df: DataFrame, label_vectors: DataFrame, accept: float = 0.35, review: float = 0.55) -> DataFrame:
@@ -127,25 +208,96 @@ def tag_questions(df: DataFrame, text: str = "question") -> DataFrame:
     )
 
 
+#: Bits of a row of the table of common subsequences that one number holds.
+_BITS = 62
+
+
+def lcs_length(pattern: Column, text: Column) -> Column:
+    """Length in characters of the longest common subsequence.
+
+    The row of the dynamic programme is kept as bits, one a character of the pattern and 0 where the length grows; a
+    character of the text moves the whole row on by an addition with carry, in numbers of 62 bits.
+    """
+    full = (1 << _BITS) - 1
+    letters = F.filter(F.split(pattern, ""), lambda c: c != "")
+    words = F.ceil(F.size(letters) / _BITS).cast("int")
+
+    def where(letter: Column, word: Column) -> Column:
+        """The places of a character in one number's part of the pattern, as bits."""
+        own = F.slice(letters, word * _BITS + 1, F.lit(_BITS))
+        hits = F.filter(F.transform(own, lambda c, i: F.when(c == letter, F.call_function("shiftleft", F.lit(1).cast("long"), i))), lambda x: x.isNotNull())
+        return F.aggregate(hits, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
+
+    def move(row: Column, letter: Column) -> Column:
+        def one(state: Column, at: Column) -> Column:
+            v = F.get(row, at)
+            hit = v.bitwiseAND(where(letter, at))
+            total = v + hit + state["carry"]
+            new = total.bitwiseAND(F.lit(full)).bitwiseOR(v - hit)
+            return F.struct(F.array_append(state["row"], new).alias("row"), F.call_function("shiftrightunsigned", total, F.lit(_BITS)).alias("carry"))
+
+        start = F.struct(F.array().cast("array<long>").alias("row"), F.lit(0).cast("long").alias("carry"))
+        return F.aggregate(F.sequence(F.lit(0), words - 1), start, one, lambda s: s["row"])
+
+    first = F.array_repeat(F.lit(full), words)
+    last = F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), first, move)
+    ones = F.aggregate(last, F.lit(0), lambda n, v: n + F.bit_count(v))
+    return F.when((F.length(pattern) == 0) | (F.length(text) == 0), 0).otherwise(words * _BITS - ones)
+
+
+def word_set(c: Column) -> Column:
+    """The different words between white space, sorted."""
+    return F.array_sort(F.array_distinct(F.filter(F.split(c, r"(?U)\s+"), lambda w: w != "")))
+
+
 def token_set_ratio(a: Column, b: Column) -> Column:
-    """0 to 100: 100 if one word set holds the other, else by edit distance of the sorted words. An approximation of the usual measure."""
-    words = lambda c: F.array_sort(F.array_distinct(F.filter(F.split(F.regexp_replace(c, r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")))
-    x, y = words(F.trim(a)), words(F.trim(b))
-    both = F.array_intersect(x, y)
-    sx, sy = F.array_join(x, " "), F.array_join(y, " ")
-    whole = (F.size(both) > 0) & ((F.size(both) == F.size(x)) | (F.size(both) == F.size(y)))
-    return F.when(whole, 100.0).otherwise(100 * (1 - F.levenshtein(sx, sy) / F.greatest(F.length(sx), F.length(sy), F.lit(1))))
+    """0 to 100: the best of the three similarities among the shared words, those with a's own and those with b's own.
+
+    A similarity is 100 less the share of characters to insert or delete. Texts without words have 0, one word set within
+    the other has 100.
+    """
+    x, y = word_set(a), word_set(b)
+    both, own_x, own_y = F.array_intersect(x, y), F.array_join(F.array_except(x, y), " "), F.array_join(F.array_except(y, x), " ")
+    shared, n, m = F.length(F.array_join(both, " ")), F.length(own_x), F.length(own_y)
+    gap = F.when(shared > 0, 1).otherwise(0)
+    near = lambda steps, total: 100 - 100 * steps / total
+    longer = near(n + m - 2 * lcs_length(own_y, own_x), 2 * (shared + gap) + n + m)
+    mixed = F.greatest(longer, near(gap + n, 2 * shared + gap + n), near(gap + m, 2 * shared + gap + m))
+    return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).when((shared > 0) & ((n == 0) | (m == 0)), 100.0).when(shared > 0, mixed).otherwise(longer)
+
+
+def _pieces(words: Column) -> Column:
+    """Words, marked by a blank before, and the pairs of neighbouring characters of the words joined by blanks."""
+    whole = F.array_join(words, " ")
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(whole) - 1, F.lit(1))), lambda i: F.substring(whole, i, F.lit(2)))
+    return F.array_distinct(F.concat(F.transform(words, lambda w: F.concat(F.lit("\n"), w)), F.filter(pairs, lambda p: F.length(p) == 2)))
 
 
 def map_headers(headers: DataFrame, header_vectors: DataFrame | None = None, canonical_vectors: DataFrame | None = None, fuzzy: float = 92, similar: float = 0.85) -> DataFrame:
-    """header -> canonical column and how it was found: exact dictionary, fuzzy words, then vectors."""
+    """header -> canonical column and how it was found: exact dictionary, fuzzy words, then vectors.
+
+    A header is compared with names of the dictionary that share a word with it, or so many pairs of characters that
+    the ratio can be reached: an inserted or deleted character costs two pairs at most. From 87.5 on none is missed;
+    lower ratios are refused. Of equal ratios the name that stands first in the dictionary counts.
+    """
+    if fuzzy < 87.5:
+        raise ValueError("headers are compared by shared words and pairs of characters, which needs a ratio of 87.5 or more")
     spark = headers.sparkSession
-    book = F.broadcast(spark.createDataFrame(sorted(rules.HEADERS.items()), "known string, canonical string"))  # the fixed dictionary
+    book = spark.createDataFrame([(k, v, i) for i, (k, v) in enumerate(rules.HEADERS.items())], "known string, canonical string, place int")
     named = headers.select("header").distinct().withColumn("norm", norm_text(F.col("header")))
-    exact = named.join(book, F.col("norm") == F.col("known")).select("header", "canonical", F.lit("exact").alias("method"), F.lit(1.0).alias("score"))
+    exact = named.join(F.broadcast(book), F.col("norm") == F.col("known")).select("header", "canonical", F.lit("exact").alias("method"), F.lit(1.0).alias("score"))
     rest = named.join(exact.select("header"), "header", "left_anti")
-    score = token_set_ratio(F.col("norm"), F.col("known"))
-    close = rest.crossJoin(book).withColumn("score", score).filter(F.col("score") >= fuzzy).groupBy("header").agg(F.max_by("canonical", F.struct("score", "canonical")).alias("canonical"), F.lit("fuzzy").alias("method"), (F.max("score") / 100).alias("score"))
+    entries = book.withColumn("pieces", _pieces(word_set(F.col("known"))))
+    entries = entries.select("known", "canonical", "place", F.explode("pieces").alias("piece"))  # the fixed dictionary
+    asked = rest.withColumn("pieces", _pieces(word_set(F.col("norm")))).select("header", "norm", F.explode("pieces").alias("piece"))
+    met = asked.join(F.broadcast(entries), "piece").groupBy("header", "norm", "known", "canonical", "place").agg(
+        F.count_if(F.col("piece").startswith("\n")).alias("words"), F.count_if(~F.col("piece").startswith("\n")).alias("pairs")
+    )
+    steps = F.floor((F.length("norm") + F.length("known")) * (100 - fuzzy) / 100)
+    pairs_of = lambda c: F.size(F.filter(_pieces(word_set(F.col(c))), lambda p: ~F.startswith(p, F.lit("\n"))))
+    can = (F.col("words") > 0) | (F.col("pairs") >= F.greatest(pairs_of("norm"), pairs_of("known")) - 2 * steps)
+    scored = met.filter(can).withColumn("score", token_set_ratio(F.col("norm"), F.col("known"))).filter(F.col("score") >= fuzzy)
+    close = scored.groupBy("header").agg(F.max_by("canonical", F.struct("score", -F.col("place"))).alias("canonical"), F.lit("fuzzy").alias("method"), (F.max("score") / 100).alias("score"))
     out = exact.unionByName(close)
     if header_vectors is not None:
         left = header_vectors.join(rest.select("header"), "header", "left_semi").join(close.select("header"), "header", "left_anti")
