@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import once
+
 #: Tenge for one unit of a currency.
 RATES = {"KZT": 1.0, "USD": 475.50, "EUR": 520.30, "RUB": 5.20, "CNY": 66.00}
 
@@ -16,10 +18,12 @@ def number(c: Column) -> Column:
 def parse_decimal(c: Column) -> Column:
     """The first number in a text; spaces group thousands, one comma is a decimal point, commas beside one dot group."""
     token = F.regexp_extract(F.translate(c, " ", " "), r"-?\d+(?: ?\d{3})*(?:[.,]\d+)?", 0)
-    token = F.replace(token, F.lit(" "), F.lit(""))
-    commas, dots = (F.length(token) - F.length(F.replace(token, F.lit(x), F.lit(""))) for x in (",", "."))
-    token = F.when((commas == 1) & (dots == 0), F.replace(token, F.lit(","), F.lit("."))).when((commas >= 1) & (dots == 1), F.replace(token, F.lit(","), F.lit(""))).otherwise(token)
-    return token.try_cast("double")
+
+    def number(t: Column) -> Column:
+        commas, dots = (F.length(t) - F.length(F.replace(t, F.lit(x), F.lit(""))) for x in (",", "."))
+        return F.when((commas == 1) & (dots == 0), F.replace(t, F.lit(","), F.lit("."))).when((commas >= 1) & (dots == 1), F.replace(t, F.lit(","), F.lit(""))).otherwise(t).try_cast("double")
+
+    return once(F.replace(token, F.lit(" "), F.lit("")), number)
 
 
 def to_float(c: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -36,12 +37,24 @@ def clean_optional_text(c: Column) -> Column:
     return F.when((t != "") & ~F.lower(t).isin(NULL_WORDS), t)
 
 
+def once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """use(c) for a use that names c several times; c is worked out once a row."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
+#: Fixed value: finds whatever norm_text changes in a trimmed text of lower case.
+_UNTIDY = r"(?U)[\u00a0–—“”\"']|\s\s|[^\S ]|\s[/:]|[/:]\s|^[\s\-]|[\s\-]$"
+
+
 def norm_text(c: Column) -> Column:
-    """Lower case, plain spaces and dashes, no quotes, tight around / and :."""
-    t = F.lower(F.coalesce(clean_optional_text(c), F.lit("")))
-    t = F.regexp_replace(F.translate(t, " –—", " --"), r"(?U)\s+", " ")
-    t = F.regexp_replace(F.regexp_replace(t, "[“”\"']", ""), r"\s*([/:])\s*", "$1")
-    return F.regexp_replace(t, r"^[ \t\r\n\-—]+|[ \t\r\n\-—]+$", "")
+    """Lower case, plain spaces and dashes, no quotes, tight around / and :. Tidy texts, which most are, take one look."""
+
+    def tidied(t: Column) -> Column:
+        plain = F.regexp_replace(F.translate(t, "\u00a0–—", " --"), r"(?U)\s+", " ")
+        plain = F.regexp_replace(F.regexp_replace(plain, "[“”\"']", ""), r"\s*([/:])\s*", "$1")
+        return F.when(t.rlike(_UNTIDY), F.regexp_replace(plain, r"^[ \t\r\n\-—]+|[ \t\r\n\-—]+$", "")).otherwise(t)
+
+    return once(F.lower(F.coalesce(clean_optional_text(c), F.lit(""))), tidied)
 
 
 def norm_account(c: Column) -> Column:
@@ -101,7 +114,7 @@ def semantic_text(*parts: Column) -> Column:
 def is_service_row(*values: Column) -> Column:
     """Blank rows, total and balance rows, and rows of at least three numbers only."""
     joined = F.trim(F.concat_ws(" ", *(F.nullif(norm_text(v), F.lit("")) for v in values)))
-    return (joined == "") | joined.rlike("|".join(SERVICE_WORDS)) | joined.rlike(r"^(\d+\s*){3,}$")
+    return once(joined, lambda t: (t == "") | t.rlike("|".join(SERVICE_WORDS)) | t.rlike(r"^(\d+\s*){3,}$"))
 
 
 def reference_tokens(*texts: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, ids, numbers, parties
-from ..functions.text import clean_optional_text, norm_text, repair_mojibake, semantic_text
+from ..functions.text import any_of, clean_optional_text, norm_text, repair_mojibake, semantic_text
 from ..plans.runtime import cut
 from . import rules
 from .classify import adapter_choice, is_header
@@ -232,6 +232,8 @@ def bank_metadata(cells: DataFrame, bank: str = "", lookback: int = 80) -> DataF
 #: Labels of statement metadata and of footer totals.
 META_LABELS = {"client_name": ["наименование клиента", "клиент", "фио", "владелец счета"], "client_iin_bin": ["иин/бин", "иин", "бин"], "account_iban": ["номер счета", "счет", "iban"], "currency": ["валюта счета", "валюта"], "period": ["период", "за период"], "opening_balance": ["входящий остаток", "остаток на начало", "начальный баланс"], "closing_balance": ["исходящий остаток", "остаток на конец", "конечный баланс"]}
 FOOTER_LABELS = {"total_debit": ["итого дебет", "итого по дебету", "обороты по дебету"], "total_credit": ["итого кредит", "итого по кредиту", "обороты по кредиту"], "opening_balance": ["входящий остаток", "начальный баланс"], "closing_balance": ["исходящий остаток", "конечный баланс"]}
+#: Words one of which every label of a footer holds.
+FOOTER_WORDS = ["итого", "обороты", "остаток", "баланс"]
 
 
 def _ranked(df: DataFrame, labels: dict[str, list[str]], text: str) -> DataFrame:
@@ -254,15 +256,17 @@ def footers(cells: DataFrame) -> DataFrame:
     Without such a number, a balance is the greatest number of a row that names it, and debit and credit are the two
     greatest numbers of a total's row; of several rows, that with the greatest counts.
     """
-    c = cells.withColumn("norm", norm_text(F.col("value")))
-    label = _ranked(c.filter("norm <> ''"), FOOTER_LABELS, "norm").select(*ROW, F.col("col_no").alias("label_col"), "field", "rank", "at")
+    plain = F.translate(F.lower("value"), "“”\"'", "")
+    marked = cells.filter(any_of(*(plain.contains(w) for w in FOOTER_WORDS))).withColumn("norm", norm_text(F.col("value")))
+    label = _ranked(marked, FOOTER_LABELS, "norm").select(*ROW, F.col("col_no").alias("label_col"), "field", "rank", "at")
+    c = cells.join(marked.select(*ROW).distinct(), ROW, "left_semi").withColumn("norm", norm_text(F.col("value")))  # only rows that name a field matter
     number = numbers.parse_decimal(F.col("value"))
     value = c.withColumn("number", number).filter("number is not null").select(*ROW, "col_no", "number")
     near = label.join(value, ROW).filter(F.col("col_no") >= F.col("label_col"))
     w = Window.partitionBy(*SHEET, "field").orderBy("rank", "at", F.col("col_no") - F.col("label_col"), F.desc("row_no"))
     near = near.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select(*SHEET, "field", F.col("number").alias("value"), "row_no")
     total, opening, closing = "итого", "входящий остаток", "исходящий остаток"
-    named = c.filter(F.col("norm").rlike(f"{total}|{opening}|{closing}")).select(*ROW).distinct()
+    named = marked.filter(F.col("norm").rlike(f"{total}|{opening}|{closing}")).select(*ROW).distinct()
     sizes = F.array_sort(F.collect_list(F.struct((-F.abs("number")).alias("less"), "number")))  # the cells of a row
     line = c.join(named, ROW, "left_semi").withColumn("number", number).groupBy(*ROW).agg(F.concat_ws(" ", F.collect_list("norm")).alias("joined"), F.transform(F.filter(sizes, lambda s: s["number"].isNotNull()), lambda s: s["number"]).alias("nums"))
     of = lambda field, word, i, least: F.when(F.col("joined").contains(word) & (F.size("nums") >= least), F.struct(F.lit(field).alias("field"), F.get("nums", F.lit(i)).alias("value")))
