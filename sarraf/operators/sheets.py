@@ -36,15 +36,23 @@ UNIVERSAL = Layout("universal", rules.HEADER_KEYWORDS, 3, 6)
 LAYOUTS = [Layout("kaspi", rules.KASPI_MARKS, 2, 3), Layout("halyk", rules.HALYK_MARKS, 1, 3, grouped=False, repaired=True), UNIVERSAL]
 
 
+def lines(cells: DataFrame) -> DataFrame:
+    """A row for each sheet row with its cells by column, (col_no, value, norm). Cells are dealt by sheet once; windows over a sheet need no other shuffle."""
+    dealt = cells.select(*ROW, "col_no", "value").repartition(*SHEET)
+    cell = F.struct("col_no", "value", norm_text(F.col("value")).alias("norm"))
+    return dealt.groupBy(*ROW).agg(F.array_sort(F.collect_list(cell)).alias("cells"))  # one entry a cell of the row
+
+
 def rows(cells: DataFrame, layout: Layout = UNIVERSAL) -> DataFrame:
-    """A row for each sheet row: joined text, filled cells, and whether it is a header, a grouped header or its second row."""
-    c = cells.withColumn("norm", norm_text(F.col("value")))
-    has = lambda words: sum((F.max(F.when(F.col("norm") == w, 1).otherwise(0)) for w in words), F.lit(0))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col_no", "norm"))), lambda s: s["norm"]), " ")  # one entry a cell of the row
-    whole = F.col("norm").rlike(r"^\d+$")
-    out = c.groupBy(*ROW).agg(joined.alias("joined"), F.count_if(F.col("norm") != "").alias("filled"), has(rules.GROUP_HEADERS).alias("groups"), has(rules.SUBHEADERS).alias("subs"), F.count_if(whole).alias("whole"), F.min(F.when(whole, F.col("norm").cast("long"))).alias("low"), F.max(F.when(whole, F.col("norm").cast("long"))).alias("high"))
+    """The lines of a sheet with joined text, filled cells, and whether a line is a header, a grouped header or its second row."""
+    x = lines(cells).withColumn("norms", F.col("cells.norm"))
+    x = x.withColumn("joined", F.array_join("norms", " ")).withColumn("numbers", F.transform(F.filter("norms", lambda n: n.rlike(r"^\d+$")), lambda n: n.try_cast("long")))
+    has = lambda words: F.size(F.array_intersect("norms", F.array(*map(F.lit, words))))
+    out = x.withColumn("filled", F.size(F.filter("norms", lambda n: n != ""))).withColumn("whole", F.size("numbers"))
     keys = sorted({k.lower() for k in layout.words})
-    return out.withColumn("is_group", (F.col("groups") == len(rules.GROUP_HEADERS)) & F.lit(layout.grouped)).withColumn("is_sub", F.col("subs") >= 3).withColumn("is_header", is_header(F.col("joined"), keys, layout.least) & (F.col("filled") >= layout.filled)).withColumn("is_index", (F.col("whole") >= 3) & (F.col("whole") == F.col("filled")) & (F.col("low") == 1) & (F.col("high") == F.col("whole")))
+    index = (F.col("whole") >= 3) & (F.col("whole") == F.col("filled")) & (F.array_min("numbers") == 1) & (F.array_max("numbers") == F.col("whole"))
+    head = is_header(F.col("joined"), keys, layout.least) & (F.col("filled") >= layout.filled)
+    return out.withColumn("is_group", (has(rules.GROUP_HEADERS) == len(rules.GROUP_HEADERS)) & F.lit(layout.grouped)).withColumn("is_sub", has(rules.SUBHEADERS) >= 3).withColumn("is_header", head).withColumn("is_index", F.coalesce(index, F.lit(False))).drop("norms", "numbers", "whole")
 
 
 def blocks(sheet_rows: DataFrame) -> DataFrame:
@@ -65,12 +73,13 @@ def blocks(sheet_rows: DataFrame) -> DataFrame:
     return x.withColumn("in_data", body & ~F.col("ended") & ~F.col("is_index")).drop("starts", "gap", "two")
 
 
-def headers(cells: DataFrame, tagged: DataFrame) -> DataFrame:
+def headers(tagged: DataFrame) -> DataFrame:
     """(file_id, sheet, block_id, col_no, header): two-row headers as group/part; a header's second column is dropped; ё is е."""
-    heads = tagged.filter(F.col("row_no") == F.col("head_row")).select(*SHEET, "block_id", "head_row", "head_rows")
-    c = cells.withColumn("norm", F.translate(norm_text(F.col("value")), "ё", "е")).join(heads, SHEET)
-    top = c.filter(F.col("row_no") == F.col("head_row")).select(*SHEET, "block_id", "head_rows", "col_no", F.col("norm").alias("top"))
-    sub = c.filter((F.col("head_rows") == 2) & (F.col("row_no") == F.col("head_row") + 1)).select(*SHEET, "block_id", "col_no", F.col("norm").alias("sub"))
+    top_row, sub_row = F.col("row_no") == F.col("head_row"), (F.col("head_rows") == 2) & (F.col("row_no") == F.col("head_row") + 1)
+    c = tagged.filter(top_row | sub_row).select(*ROW, "block_id", "head_row", "head_rows", F.explode("cells").alias("c"))
+    c = c.select("*", "c.col_no", F.translate("c.norm", "ё", "е").alias("norm"))
+    top = c.filter(top_row).select(*SHEET, "block_id", "head_rows", "col_no", F.col("norm").alias("top"))
+    sub = c.filter(sub_row).select(*SHEET, "block_id", "col_no", F.col("norm").alias("sub"))
     both = top.join(sub, [*SHEET, "block_id", "col_no"], "full_outer")
     w = Window.partitionBy(*SHEET, "block_id").orderBy("col_no")
     name = F.nullif(F.col("top"), F.lit(""))
@@ -87,11 +96,12 @@ def block_rows(cells: DataFrame, layout: Layout = UNIVERSAL) -> DataFrame:
     if layout.repaired:
         cells = cells.withColumn("value", repair_mojibake(F.col("value")))
     tagged = blocks(rows(cells, layout))
-    head = headers(cells, tagged)
-    wide = head.groupBy(*SHEET, "block_id").count().filter("count >= 3").drop("count")
-    data = cells.join(tagged.filter("in_data").select(*ROW, "block_id"), ROW).join(head, [*SHEET, "block_id", "col_no"]).join(wide, [*SHEET, "block_id"], "left_semi")
-    value = clean_optional_text(F.col("value"))
-    return data.withColumn("v", value).filter("v is not null").groupBy(*SHEET, "block_id", "row_no").agg(F.map_from_entries(F.collect_list(F.struct("header", "v"))).alias("row"))  # one entry a column
+    book = headers(tagged).groupBy(*SHEET, "block_id").agg(F.map_from_entries(F.collect_list(F.struct("col_no", "header"))).alias("book")).filter(F.size("book") >= 3)  # one entry a column
+    books = book.groupBy(*SHEET).agg(F.map_from_entries(F.collect_list(F.struct("block_id", "book"))).alias("books"))  # one entry a block of the sheet
+    data = tagged.filter("in_data").join(books, SHEET).withColumn("book", F.try_element_at("books", "block_id")).filter("book is not null")
+    named = F.transform("cells", lambda c: F.struct(F.try_element_at("book", c["col_no"]).alias("header"), clean_optional_text(c["value"]).alias("v")))
+    held = F.filter(named, lambda e: e["header"].isNotNull() & e["v"].isNotNull())
+    return data.select(*SHEET, "block_id", "row_no", held.alias("held")).filter(F.size("held") > 0).select(*SHEET, "block_id", "row_no", F.map_from_entries("held").alias("row"))
 
 
 def by_layout(cells: DataFrame, banks: DataFrame | None = None, layouts: list[Layout] = LAYOUTS) -> DataFrame:
