@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import once
+
 #: Accepted formats, in order.
 FORMATS = [f"{d}{t}" for d in ("yyyy-MM-dd", "dd.MM.yyyy", "dd/MM/yyyy") for t in (" HH:mm:ss", " HH:mm", "")]
 INVOICE_FORMATS = [*FORMATS, "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss.SSS"]
@@ -20,7 +22,7 @@ def parse_datetime(c: Column) -> Column:
     t = F.regexp_replace(t, r"^(\d{1,2})[./-](\d{1,2})[./-](\d{2})(?!\d)", "$1.$2.20$3")
     t = F.regexp_replace(t, r"^(\d{4})[./](\d{1,2})[./](\d{1,2})", "$1-$2-$3")
     short = ["d.M.yyyy HH:mm:ss", "d.M.yyyy HH:mm", "d.M.yyyy", "yyyy-M-d HH:mm:ss", "yyyy-M-d"]
-    return F.coalesce(parse_operation_datetime(t, INVOICE_FORMATS), *(F.try_to_timestamp(t, F.lit(f)) for f in short))
+    return once(t, lambda t: F.coalesce(parse_operation_datetime(t, INVOICE_FORMATS), *(F.try_to_timestamp(t, F.lit(f)) for f in short)))
 
 
 def extract_all_dates(c: Column) -> Column:

@@ -44,12 +44,16 @@ DIRECTION_WORDS = [
 
 def derive_direction(op_type: Column, purpose: Column, debit: Column, credit: Column) -> Column:
     both = F.concat_ws(" | ", F.nullif(norm_text(op_type), F.lit("")), F.nullif(norm_text(purpose), F.lit("")))
-    out = None
-    for words, name in DIRECTION_WORDS:
-        hit = any_of(*(both.contains(w) for w in words))
-        out = F.when(hit, name) if out is None else out.when(hit, name)
+
+    def named(t: Column) -> Column:
+        out = None
+        for words, name in DIRECTION_WORDS:
+            hit = any_of(*(t.contains(w) for w in words))
+            out = F.when(hit, name) if out is None else out.when(hit, name)
+        return out
+
     d, c = F.coalesce(debit.cast("double"), F.lit(0.0)), F.coalesce(credit.cast("double"), F.lit(0.0))
-    return out.when((d != 0) & (c == 0), "debit").when((c != 0) & (d == 0), "credit")
+    return F.coalesce(text.once(both, named), F.when((d != 0) & (c == 0), "debit").when((c != 0) & (d == 0), "credit"))
 
 
 def party(name: Column, iin: Column, account: Column) -> Column:
