@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import norm_text
+from .text import norm_text, once
 
 #: Fixed value: the namespace of transaction ids.
 TX_NAMESPACE = "b7c8b2f7-8a2a-4a3f-a5ad-1a8b7ddc0e7a"
@@ -42,9 +42,9 @@ def row_hash(bank: Column, account: Column, ts: Column, amount: Column, payer: C
 
 def uuid5(namespace: str, name: Column) -> Column:
     """Name-based version 5 UUID, as hexadecimal text."""
-    h = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(name, "UTF-8")))
-    variant = F.lower(F.hex(F.conv(F.substring(h, 17, 1), 16, 10).cast("int").bitwiseAND(3).bitwiseOR(8)))
-    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
+    variant = lambda h: F.lower(F.hex(F.conv(F.substring(h, 17, 1), 16, 10).cast("int").bitwiseAND(3).bitwiseOR(8)))
+    parts = lambda h: F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant(h), F.substring(h, 18, 3)), F.substring(h, 21, 12))
+    return once(F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(name, "UTF-8"))), parts)
 
 
 def tx_id(project: Column, hash_: Column) -> Column:
