@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import semantic_text
 from ..plans.runtime import cut
 from ..sources import versions
+from . import nearest
 
 #: Rows of a side that may be broadcast; a larger side is dealt into blocks that meet the other's blocks.
 BROADCAST_ROWS = 50_000
@@ -57,11 +58,11 @@ def best_match(rows: DataFrame, key: str, labels: DataFrame, label: str) -> Data
 
 
 def knn(queries: DataFrame, corpus: DataFrame, k: int, key: str = "vec_id", where: Column | None = None) -> DataFrame:
-    """The k nearest of the corpus, or of its rows where a condition holds, to each query by L2. Ranks within each task first, so k rows a query and task are shuffled."""
+    """The k nearest of the corpus, or of its rows where a condition holds, to each query by L2. Blocks of both sides meet as products; k rows a query and slice of the corpus are shuffled."""
     corpus = corpus if where is None else corpus.filter(where)
-    q = queries.select(F.col(key).alias("query_id"), F.col("embedding").alias("_q"))
-    pairs = against(q, corpus.select(key, "embedding")).withColumn("distance", l2(F.col("embedding"), F.col("_q"))).select("query_id", key, "distance")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", key))
+    q = queries.select(F.lit(0).alias("_part"), F.col(key).alias("query_id"), F.col("embedding").alias("_q"), F.lit(None).cast("double").alias("bound"))
+    pairs = nearest.blocks(q, corpus.select(F.lit(0).alias("_part"), key, "embedding"), k, key, "_part")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.asc_nulls_last("distance"), key))
     return pairs.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
@@ -228,8 +229,9 @@ class Index:
         rows = more.select(self.key, "embedding")
         if versions.latest(self.spark, self.lists) is not None:
             rows = rows.join(versions.read(self.spark, self.lists).select(self.key), self.key, "left_anti")
-        gaps = rows.join(F.broadcast(self.centres())).groupBy(self.key, "embedding").agg(F.min(F.struct(l2(F.col("embedding"), F.col("centre")).alias("gap"), "list")).alias("m"))  # a row a list
-        rows = cut(gaps.select(self.key, "embedding", "m.list", "m.gap"))
+        centres = self.centres().agg(F.collect_list(F.struct("list", "centre")).alias("_centres"))  # an entry a list
+        gaps = F.transform("_centres", lambda c: F.struct(l2(F.col("embedding"), c["centre"]).alias("gap"), c["list"].alias("list")))
+        rows = cut(rows.join(F.broadcast(centres)).withColumn("m", F.array_min(gaps)).select(self.key, "embedding", "m.list", "m.gap"))
         reach = rows.groupBy("list").agg(F.max("gap").alias("radius"), F.count("*").alias("n")).withColumn("added", F.lit(uuid.uuid4().hex))
         versions.append_new(reach, self.radii, None, ["list", "added"])  # first, so that no list reaches farther than is known
         versions.append_new(rows.select(self.key, "embedding", "list"), self.lists, "list", [self.key])
@@ -270,16 +272,15 @@ def ivf_search(queries: DataFrame, indexed: DataFrame, centres: DataFrame, k: in
 def _probe(queries: DataFrame, reaches: DataFrame, opened: Callable[[list[int]], DataFrame], k: int, probes: int, key: str) -> DataFrame:
     q = queries.select(F.col(key).alias("query_id"), F.col("embedding").alias("_q"))
     near = F.row_number().over(Window.partitionBy("query_id").orderBy("gap", "list"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", key))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.asc_nulls_last("distance"), key))
     lists = cut(q.join(F.broadcast(reaches)).withColumn("gap", l2(F.col("_q"), F.col("centre"))).withColumn("_n", near).select("query_id", "_q", "list", "gap", "radius", "_n"))  # a row a list
 
     def read(asked: DataFrame) -> DataFrame:
         wanted = [r[0] for r in asked.select("list").distinct().collect()]  # numbers of lists
-        asked = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
-        return opened(wanted).join(asked, "list").withColumn("distance", l2(F.col("embedding"), F.col("_q")))
+        return nearest.blocks(asked, opened(wanted), k, key, "list")
 
-    first = cut(read(lists.filter(F.col("_n") <= probes).select("query_id", "_q", "list")).select("query_id", key, "distance").withColumn("_r", rank).filter(F.col("_r") <= k))
+    first = cut(read(lists.filter(F.col("_n") <= probes).select("query_id", "_q", "list", F.lit(None).cast("double").alias("bound"))).withColumn("_r", rank).filter(F.col("_r") <= k))
     bound = first.filter(F.col("_r") == k).select("query_id", (F.col("distance") * (1 + 1e-9) + 1e-9).alias("bound"))  # room for rounding
     rest = lists.filter(F.col("_n") > probes).join(bound, "query_id", "left").filter(F.col("bound").isNull() | (F.col("gap") - F.col("radius") <= F.col("bound")))
-    more = read(cut(rest.select("query_id", "_q", "list", "bound"))).filter(F.col("bound").isNull() | (F.col("distance") <= F.col("bound"))).select("query_id", key, "distance")
+    more = read(cut(rest.select("query_id", "_q", "list", "bound")))
     return first.drop("_r").unionByName(more).withColumn("rank", rank).filter(F.col("rank") <= k)
