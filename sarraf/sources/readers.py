@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+import re
+from itertools import islice
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -111,31 +116,54 @@ def decode_text(content: Column) -> Column:
 _READ = CELLS + ", source_bank string, reason string"
 
 
-def _parsed(files):
-    """Cells of decoded files; of a file that has none, one row with the reason."""
-    import csv
-    import io
+#: Cells of a file that are in memory at once.
+CHUNK = 20_000
+_END = r"\n\r\v\f\x1c-\x1e\x85\u2028\u2029"
+#: Lines as io.StringIO with newline="" has them, and as str.splitlines.
+_LINES, _ALL_LINES = re.compile(r"[^\r\n]*(?:\r\n|[\r\n])|[^\r\n]+"), re.compile(f"[^{_END}]*(?:\r\n|[{_END}])|[^{_END}]+")
+
+
+def _rows(text: str, mark: str):
+    return csv.reader((m.group() for m in _LINES.finditer(text)), delimiter=mark, strict=True)
+
+
+def _parsed(batches):
+    """Cells of decoded files; of a file that has none, one row with the reason.
+
+    A file is read twice, first for errors, so that no more than its text and a chunk of its cells are in memory.
+    """
+    fields = [c.split() for c in _READ.split(", ")]
 
-    import pandas as pd
+    def packed(rows: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if t == "int" else pa.string()) for c, (_, t) in zip(zip(*rows), fields)], names=[name for name, _ in fields])
 
-    for batch in files:
-        out = []
-        for file, bank, text in zip(batch["file_id"], batch["source_bank"], batch["text"], strict=True):
-            cells, why = [], None
-            if not text or not text.strip():
+    for batch in batches:
+        for n in range(batch.num_rows):
+            file, bank, text = (batch.column(c)[n].as_py() for c in ("file_id", "source_bank", "text"))
+            why, mark, i, some = None, ";", -1, False
+            if not text or text.isspace():
                 why = "empty"
             elif "\x00" in text:
                 why = "not a text"
             else:
-                first = max(text.splitlines()[:40], key=lambda line: max(line.count(d) for d in ";,\t|"), default="")
+                first = max((m.group() for m in islice(_ALL_LINES.finditer(text), 40)), key=lambda line: max(line.count(d) for d in ";,\t|"), default="")
                 mark = max(";,\t|", key=first.count)
                 try:
-                    for i, row in enumerate(csv.reader(io.StringIO(text, newline=""), delimiter=mark, strict=True)):
-                        cells += [(file, "", i, j, v.strip(), bank, None) for j, v in enumerate(row) if v.strip()]
+                    for i, row in enumerate(_rows(text, mark)):
+                        some = some or any(v.strip() for v in row)
                 except csv.Error as e:
-                    cells, why = [], f"row {i + 2}: {e}" if cells else f"row 1: {e}"
-            out += cells if why is None else [(file, "", None, None, None, bank, why)]
-        yield pd.DataFrame(out, columns=["file_id", "sheet", "row_no", "col_no", "value", "source_bank", "reason"]).astype({"row_no": "Int32", "col_no": "Int32"})
+                    why = f"row {i + 2}: {e}" if some else f"row 1: {e}"
+            if why is not None:
+                yield packed([(file, "", None, None, None, bank, why)])
+                continue
+            cells: list = []
+            for i, row in enumerate(_rows(text, mark)):
+                cells += [(file, "", i, j, v.strip(), bank, None) for j, v in enumerate(row) if v.strip()]
+                if len(cells) >= CHUNK:
+                    yield packed(cells)
+                    cells = []
+            if cells:
+                yield packed(cells)
 
 
 def read_statements(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
@@ -146,7 +174,7 @@ def read_statements(spark: SparkSession, root: str) -> tuple[DataFrame, DataFram
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     text = raw.select(F.col("path").alias("file_id"), F.element_at(F.split("path", "/"), -2).alias("source_bank"), decode_text(F.col("content")).alias("text"))
-    found = cut(text.mapInPandas(_parsed, _READ))
+    found = cut(text.mapInArrow(_parsed, _READ))
     cells = found.filter("reason is null").select(*(c.split()[0] for c in CELLS.split(", ")), "source_bank")
     return cells, found.filter("reason is not null").select("file_id", "source_bank", "reason")
 

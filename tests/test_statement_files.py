@@ -28,6 +28,24 @@ def test_one_broken_file_keeps_no_other_from_being_read(spark, tmp_path):
     assert {tuple(r) for r in readers.read_counts(cells, rejects).collect()} == {("kaspi", 2, 0, 5), ("halyk", 0, 3, 0)}
 
 
+def test_a_large_file_is_read_in_chunks():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    def peak(n):
+        text = "Дата;Сумма;Назначение\n" + "01.02.2024;5,00;Оплата\n" * n
+        batch = pa.RecordBatch.from_pydict({"file_id": ["f"], "source_bank": ["b"], "text": [text]})
+        tracemalloc.start()
+        cells = sum(b.num_rows for b in readers._parsed([batch]))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert cells == 3 * (n + 1)
+        return most
+
+    assert peak(60_000) < peak(20_000) + 5_000_000  # the text itself, but no more cells
+
+
 def test_all_further_columns_of_invoices_are_kept(spark, tmp_path):
     n = len(readers.INVOICE_COLUMNS)
     head = ["Регистрационный номер ЭСФ", "Код", "Статус ЭСФ", *map(str, range(n - 3 + 40))]
