@@ -125,7 +125,9 @@ _H1 = {"category": f"lower({_CATEGORY})", "purpose": "lower(purpose_text)", "sen
 
 @query(f"{_L} " + " UNION ALL ".join(f"(SELECT '{k}' AS sort, tx_id FROM ledger ORDER BY {v} DESC NULLS LAST, {_TS} DESC NULLS LAST, tx_id DESC LIMIT 40)" for k, v in _H1.items()))
 def h1_sorts(spark, d):
-    x, out = ledger(spark, d), None
+    """The first page by each of several sorts. What the sorts read is joined and written once."""
+    read = ["tx_id", "operation_ts", "operation_date", "transaction_category", "sdp_name", "purpose_text", "operation_type_raw", "direction", "payer_name", "currency", "amount_kzt"]
+    x, out = runtime.cut(ledger(spark, d).select(*read)), None
     for k in _H1:
         part = analytics.page(x, 1, 40, analytics.sort_keys(k)).select(F.lit(k).alias("sort"), "tx_id")
         out = part if out is None else out.unionByName(part)
