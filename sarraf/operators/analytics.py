@@ -229,14 +229,19 @@ class Ordered:
     has to end with a key, else equal rows change places between pages.
     """
 
+    #: Ranges that a task cuts, about, and room for their numbers: tasks, bounds and what they send to the driver are fewer than ranges.
+    RANGES, MOST = 64, 1 << 16
+
     def __init__(self, spark: SparkSession, path: str, order: list[Column]):
         self.spark, self.path, self.order = spark, path, order
 
     @classmethod
     def build(cls, df: DataFrame, path: str, order: list[Column], range_rows: int = 100_000) -> Ordered:
-        """Ranges are cut by sampled bounds, sorted each by its task, and counted; the directory has a row a range."""
-        ranges = max(1, -(-df.count() // range_rows))
-        df.repartitionByRange(ranges, *order).withColumn("range", F.spark_partition_id()).write.partitionBy("range").parquet(f"{path}/rows")
+        """Tasks by sampled bounds sort their rows and cut them into ranges, which are counted; the directory has a row a range."""
+        tasks = max(1, -(-df.count() // (range_rows * cls.RANGES)))
+        row = F.monotonically_increasing_id()  # a task's number before the place within it
+        at = (F.shiftright(row, 33) * cls.MOST + F.floor(row.bitwiseAND((1 << 33) - 1) / range_rows)).cast("int")
+        df.repartitionByRange(tasks, *order).sortWithinPartitions(*order).withColumn("range", at).write.partitionBy("range").parquet(f"{path}/rows")
         spark = df.sparkSession
         spark.createDataFrame([], df.schema).coalesce(1).write.parquet(f"{path}/shape")  # a table without rows has no ranges to read it from
         out = cls(spark, path, order)
