@@ -31,3 +31,8 @@ def test_a_task_writes_many_ranges(spark, tmp_path):
     tasks = {f.name.split("-")[1] for f in (tmp_path / "o" / "rows").rglob("part-*.parquet")}
     assert len(tasks) <= 4 and pages.directory().count() >= 200
     assert [r["id"] for r in pages.page(7, 30).orderBy("place").collect()] == list(range(180, 210))
+
+
+def test_evidence_reads_one_stored_copy(spark, sf):
+    for name in ("f11_party_evidence", "f12_row_evidence"):
+        assert "lineitem" not in QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString() and "l_orderkey" not in QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
