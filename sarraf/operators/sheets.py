@@ -5,6 +5,7 @@ Everything is a window or a join over cells of one sheet, ordered by row and col
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -157,8 +158,36 @@ def to_ledger(found: DataFrame, project_id: str, source_bank: str, account: str
     return x.withColumn("tx_id", ids.tx_id(F.col("project_id"), F.col("row_hash"))).withColumn("operation_date", F.to_date("operation_ts")).drop(*(f"_{c}" for c in amt))
 
 
+def near_headers(cells: DataFrame, lookback: int, layout: Layout = UNIVERSAL) -> DataFrame:
+    """The cells of all rows that blocks() and a look-back above their headers can need; those of other rows go.
+
+    A header holds the first word of each of its keywords within one cell, so rows that may be headers are known by marks
+    of their cells, a few numbers a row. The numbers of these rows, of those above and of those between a grouped header
+    and the next one are few and different, whatever the sheets; sheets that have rows of the same number keep them.
+    """
+    plain, keys = F.translate(F.lower("value"), "“”\"'", ""), sorted({k.lower() for k in layout.words})
+    first = lambda k: re.split("[ /:]", k)[0]
+    groups = [*rules.GROUP_HEADERS] if layout.grouped else []
+    marks, least = F.lit(0).cast("long"), F.lit(False)
+    words = sorted({first(k) for k in (*keys, *groups)})
+    for word in words:
+        bits = sum(1 << i for i, k in enumerate((*keys, *groups)) if first(k) == word)
+        marks = marks.bitwiseOR(F.when(plain.contains(word), F.lit(bits).cast("long")).otherwise(0))
+    of_keys, of_groups = (1 << len(keys)) - 1, ((1 << len(groups)) - 1) << len(keys)
+    some = plain.rlike("|".join(re.escape(word) for word in words))  # most cells hold none: one look instead of one a word
+    found = cells.filter(some).select(*ROW, marks.alias("m")).groupBy(*ROW).agg(F.bit_or("m").alias("m"))
+    if groups:
+        least = F.col("m").bitwiseAND(F.lit(of_groups).cast("long")) == of_groups
+    found = found.withColumn("group", least).filter(F.col("group") | (F.bit_count(F.col("m").bitwiseAND(F.lit(of_keys).cast("long"))) >= layout.least))
+    before = F.lag(F.struct("row_no", "group")).over(Window.partitionBy(*SHEET).orderBy("row_no"))
+    ends = found.withColumn("b", before).select(F.least(F.col("row_no") - lookback, F.when(F.col("b.group"), F.col("b.row_no"))).alias("low"), F.col("row_no").alias("high")).distinct()
+    numbers = cut(ends.select(F.explode(F.sequence("low", "high")).alias("row_no")).distinct())
+    return cells.join(numbers, "row_no", "left_semi").select(cells.columns)
+
+
 def metadata(cells: DataFrame, lookback: int = 30) -> DataFrame:
     """key and value pairs above each block: "key: value" within a cell, or a label ending in a colon and the next cell."""
+    cells = near_headers(cells, lookback)
     tagged = blocks(rows(cells)).filter(F.col("row_no") == F.col("head_row")).select(*SHEET, "block_id", "head_row")
     w = Window.partitionBy(*ROW).orderBy("col_no")
     c = cells.filter(clean_optional_text(F.col("value")).isNotNull()).withColumn("next", F.lead("value").over(w))
@@ -196,6 +225,7 @@ def bank_metadata(cells: DataFrame, bank: str = "", lookback: int = 80) -> DataF
     up to five columns on. Other banks: pairs, such labels and accounts. The last value of a key counts; accounts and ids
     found in the text alone only fill what no label has named. row_no and col_no tell where a key came first.
     """
+    cells = near_headers(cells, lookback)
     tagged = blocks(rows(cells)).filter(F.col("row_no") == F.col("head_row")).select(*SHEET, "block_id", "head_row")
     wide = WIDE.get(bank, 14)
     few = cells.filter(F.col("col_no") < wide).select(*ROW, "col_no", F.trim("value").alias("v")).filter("v <> ''")

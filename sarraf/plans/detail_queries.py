@@ -310,18 +310,19 @@ def a14_purge_stored(spark, d):
 # --- M: sheets ---------------------------------------------------------------------------------------------------
 @query(f"{_L} SELECT file_id, 'total_credit' AS field, CAST(sum(amount_credit) AS DOUBLE) AS value FROM ledger GROUP BY 1")
 def m7_footers(spark, d):
-    return sheets.footers(runtime.cut(fixtures.cells(ledger(spark, d)))).select("file_id", "field", "value")
+    return sheets.footers(runtime.cut(fixtures.cells(fixtures.ledger_by_file(spark, d)))).select("file_id", "field", "value")
 
 
 @query(f"""{_L}, f AS (SELECT DISTINCT file_id, CAST(file_id AS BIGINT) AS k FROM ledger) SELECT file_id, 'клиент' AS key, concat('Client ', file_id) AS value FROM f UNION ALL SELECT file_id, 'иин/бин', lpad(file_id, 12, '0') FROM f
   UNION ALL SELECT file_id, 'iban', CASE WHEN k % 2 = 0 THEN concat('KZ', lpad(file_id, 18, '1')) ELSE concat('KZ', lpad(file_id, 18, '2')) END FROM f UNION ALL SELECT file_id, 'opening_balance', '10,00' FROM f""")
 def m6_bank_metadata(spark, d):
     """Metadata by a bank's own rules, 60 rows above the header: values below and beside their labels, and accounts in the text."""
-    body = fixtures.cells(ledger(spark, d)).filter("row_no >= 3").withColumn("row_no", F.col("row_no") + 60)
-    files, even = body.select("file_id", "sheet").distinct(), F.col("file_id").cast("long") % 2 == 0
+    body = fixtures.cells(fixtures.ledger_by_file(spark, d)).filter("row_no >= 3").withColumn("row_no", F.col("row_no") + 60)
+    even = F.col("file_id").cast("long") % 2 == 0
     cell = lambda row, col, value, when=F.lit(True): F.when(when, F.struct(F.lit(row).alias("row_no"), F.lit(col).alias("col_no"), value.alias("value")))
     head = [cell(0, 0, F.lit("Клиент")), cell(1, 0, F.concat(F.lit("Client "), "file_id")), cell(3, 0, F.lit("ИИН/БИН")), cell(3, 2, F.lpad("file_id", 12, "0")), cell(3, 1, F.lit("нет")), cell(5, 1, F.concat(F.lit("KZ "), F.lpad("file_id", 18, "1")), even), cell(7, 0, F.lit("Номер счета"), ~even), cell(7, 1, F.concat(F.lit("KZ"), F.lpad("file_id", 18, "2")), ~even), cell(8, 0, F.lit("Входящий остаток")), cell(8, 1, F.lit("10,00"))]
-    sheet = files.select("*", F.explode(F.array_compact(F.array(*head))).alias("x")).select("file_id", "sheet", "x.*").unionByName(body.select("file_id", "sheet", "row_no", "col_no", "value"))
+    own, first = F.array(F.struct("row_no", "col_no", "value")), (F.col("row_no") == 63) & (F.col("col_no") == 0)  # a sheet's first header brings its head along
+    sheet = body.select("file_id", "sheet", F.explode(F.when(first, F.concat(own, F.array_compact(F.array(*head)))).otherwise(own)).alias("x")).select("file_id", "sheet", "x.*")
     return sheets.bank_metadata(runtime.cut(sheet), "kaspi").select("file_id", "key", "value")
 
 
@@ -330,7 +331,7 @@ def m6_bank_metadata(spark, d):
 def m9_owner_fallback(spark, d):
     """Owners of sheets: every second one names its client, quoted and two columns on, before its id; every third one has its
     id in scientific notation first; every fifth one has its account after an empty one."""
-    sheet = fixtures.cells(ledger(spark, d)).filter("row_no < 60")
+    sheet = fixtures.cells(fixtures.ledger_by_file(spark, d)).filter("row_no < 60")
     files, k = sheet.select("file_id", "sheet").distinct(), F.col("file_id").cast("long")
     cell = lambda row, col, value, when: F.when(when, F.struct(F.lit(row).alias("row_no"), F.lit(col).alias("col_no"), value.alias("value")))
     head = [cell(0, 0, F.lit("Счёт:"), k % 5 == 0), cell(0, 1, F.lit("  "), k % 5 == 0), cell(1, 0, F.lit("Клиент (БИН)"), k % 2 == 0), cell(1, 2, F.concat(F.lit('"ТОО '), "file_id", F.lit('"')), k % 2 == 0), cell(2, 0, F.lit("ИИН"), k % 3 == 0), cell(2, 3, F.lit("8,6E+11"), k % 3 == 0), cell(2, 0, F.lit("Номер счета"), (k % 5 == 0) & (k % 3 != 0)), cell(2, 1, F.concat(F.lit("KZ"), "file_id"), (k % 5 == 0) & (k % 3 != 0))]
@@ -352,7 +353,7 @@ def m10_adapter_choice(spark, d):
 @query(f"""{_L} SELECT file_id, CASE WHEN CAST(file_id AS BIGINT) % 3 = 0 THEN 'halyk' ELSE 'kaspi' END AS layout, count(*) + 1 AS rows, count(*) AS dated FROM ledger GROUP BY 1""")
 def m10_layouts(spark, d):
     """Sheets read by the first layout that finds rows: every third file has garbled headers, which only one layout mends. A total's row is among the rows."""
-    sheet = fixtures.cells(ledger(spark, d))
+    sheet = fixtures.cells(fixtures.ledger_by_file(spark, d))
     garbled = F.decode(F.encode(F.col("value"), "UTF-8"), "windows-1251")
     sheet = runtime.cut(sheet.withColumn("value", F.when((F.col("row_no") == 3) & (F.col("file_id").cast("long") % 3 == 0), garbled).otherwise(F.col("value"))))
     found = sheets.canonical(sheets.by_layout(sheet).withColumn("sheet", F.concat_ws(":", "sheet", "layout")))

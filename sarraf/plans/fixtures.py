@@ -39,7 +39,7 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey
 
 #: The same joins in the order in which Spark shuffles least: narrow payments meet parts and suppliers first, and parties come with orders.
 _JOINS = LEDGER_SQL[LEDGER_SQL.index("FROM lineitem") :]
-_NARROW_FIRST = """FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
+_NARROW_FIRST = """FROM lineitem JOIN (SELECT p_partkey, left(p_type, 8) AS p_type FROM part ) ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
   JOIN (orders JOIN customer ON o_custkey = c_custkey JOIN nation cn ON c_nationkey = cn.n_nationkey JOIN region ON cn.n_regionkey = r_regionkey) ON l_orderkey = o_orderkey
 """
 
@@ -75,6 +75,18 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, sf_dir, LEDGER_SQL.replace(_JOINS, _NARROW_FIRST))
 
 
+#: What the ledger's columns are made of; a part's type is only read by its first letters.
+_BASE = """SELECT CAST(o_custkey AS VARCHAR(20)) AS _file, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_returnflag, l_linestatus, o_orderkey, o_orderpriority,
+  r_name, cn.n_name, c_custkey, c_name, s_suppkey, p_type """
+
+
+def ledger_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger dealt by file_id. Numbers travel, and ids, accounts and texts are made of them where they arrive."""
+    base = _sql(spark, sf_dir, _BASE + _NARROW_FIRST).repartition("_file")
+    made = LEDGER_SQL.replace(_JOINS, "FROM {base} AS cn").replace("CAST(o_custkey AS VARCHAR(20)) AS file_id", "_file AS file_id")
+    return spark.sql(made, base=base)
+
+
 def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, sf_dir, INVOICES_SQL)
 
@@ -100,16 +112,20 @@ CELL_HEADERS = [("Дата операции", "operation_ts"), ("Валюта о
 
 
 def cells(rows: DataFrame) -> DataFrame:
-    """The ledger as sheets of cells: a sheet for each account file, metadata above, an index row, and a total below."""
+    """The ledger as sheets of cells: a sheet for each account file, metadata above, an index row, and a total below.
+
+    A file's first payment brings the rest of its sheet along, so the ledger is read and dealt once.
+    """
     from pyspark.sql import Window
 
-    w = Window.partitionBy("file_id").orderBy("tx_id")
-    value = lambda c: F.date_format(c, "dd.MM.yyyy HH:mm:ss") if c == "operation_ts" else F.col(c).cast("string")
-    body = rows.withColumn("row_no", F.row_number().over(w) + 4).select("file_id", "row_no", F.explode(F.array(*(F.struct(F.lit(i).alias("col_no"), value(c).alias("value")) for i, (_, c) in enumerate(CELL_HEADERS)))).alias("x")).select("file_id", "row_no", "x.*")
-    head = [(0, 0, F.concat(F.lit("Наименование клиента: Client "), F.col("file_id"))), (1, 0, F.lit("ИИН/БИН:")), (1, 1, F.lpad("file_id", 12, "0"))]
-    head += [(3, i, F.lit(h)) for i, (h, _) in enumerate(CELL_HEADERS)] + [(4, i, F.lit(str(i + 1))) for i in range(len(CELL_HEADERS))]
-    tail = [(0, F.lit("Итого по кредиту")), (3, F.sum("amount_credit").cast("string"))]
-    files = rows.groupBy("file_id").agg(F.count("*").alias("n"), *(v.alias(f"t{i}") for i, (c, v) in enumerate(tail) if i == 1))
-    fixed = F.array(*(F.struct(F.lit(r).alias("row_no"), F.lit(c).alias("col_no"), v.alias("value")) for r, c, v in head), *(F.struct((F.col("n") + 5).cast("int").alias("row_no"), F.lit(c).alias("col_no"), (F.col("t1") if i else v).alias("value")) for i, (c, v) in enumerate(tail)))
-    edges = files.select("file_id", F.explode(fixed).alias("x")).select("file_id", "x.*")
-    return body.unionByName(edges).filter("value is not null").select("file_id", F.lit("Sheet1").alias("sheet"), F.col("row_no").cast("int").alias("row_no"), F.col("col_no").cast("int").alias("col_no"), "value")
+    file = Window.partitionBy("file_id")
+    text = lambda c: F.date_format(c, "dd.MM.yyyy HH:mm:ss") if c == "operation_ts" else F.col(c).cast("string")
+    cell = lambda r, c, v: F.struct(F.lit(r).cast("int").alias("row_no"), F.lit(c).cast("int").alias("col_no"), v.alias("value"))
+    place, n, total = (F.col(c) for c in ("_place", "_n", "_total"))
+    rows = rows.select("file_id", "tx_id", *(c for _, c in CELL_HEADERS)).withColumns({"_place": F.row_number().over(file.orderBy("tx_id")), "_n": F.count("*").over(file), "_total": F.sum("amount_credit").over(file)})
+    edges = [cell(0, 0, F.concat(F.lit("Наименование клиента: Client "), F.col("file_id"))), cell(1, 0, F.lit("ИИН/БИН:")), cell(1, 1, F.lpad("file_id", 12, "0"))]
+    edges += [cell(3, i, F.lit(h)) for i, (h, _) in enumerate(CELL_HEADERS)] + [cell(4, i, F.lit(str(i + 1))) for i in range(len(CELL_HEADERS))]
+    edges += [cell(n + 5, 0, F.lit("Итого по кредиту")), cell(n + 5, 3, total.cast("string"))]
+    own = F.array(*(cell(place + 4, i, text(c)) for i, (_, c) in enumerate(CELL_HEADERS)))
+    found = rows.select("file_id", F.explode(F.when(place == 1, F.concat(own, F.array(*edges))).otherwise(own)).alias("x"))
+    return found.select("file_id", F.lit("Sheet1").alias("sheet"), "x.*").filter("value is not null")
