@@ -370,7 +370,7 @@ def k5_backfill(spark, d):
         "row_hash": F.col("tx_id"), "transaction_category": F.when(credit, "OTHER").otherwise("KEPT"), "category_confidence": F.lit(1.0), "category_source": F.when(credit, "other").otherwise("manual"),
         "category_rule_id": F.lit(None).cast("string"), "needs_review": credit,
     })
-    changed = classify.reclassify(stored).filter(credit)
+    changed = classify.reclassify(stored).filter(credit).select(*sinks.KEY, *(c for c in sinks.RENEWED if c in stored.columns))  # known payments take nothing else of a batch
     return sinks.upsert_ledger(stored, changed).select("tx_id", F.col("transaction_category").alias("category"), F.col("category_source").alias("source"))
 
 
