@@ -64,7 +64,7 @@ def paid() -> Column:
     return F.greatest(*(F.coalesce(F.col(c), F.lit(0)) for c in ("amount_credit", "amount_debit", "amount_kzt"))).cast("decimal(18,2)")
 
 
-def _references(ledger: DataFrame) -> Column:
+def _references() -> Column:
     return F.array_sort(tokens("purpose_text", "raw_note", "operation_type_raw"))
 
 
@@ -74,22 +74,40 @@ def _two_tokens(invoices: DataFrame) -> DataFrame:
     return invoices.withColumn("r", F.coalesce(r, c)).withColumn("c", F.when(r.isNotNull() & (r != c), c)).filter("r is not null")
 
 
+def named_columns() -> dict[str, Column]:
+    """Of a bank's payment, what it names and pays: tokens and paid."""
+    return {"tokens": F.when(F.col("source_bank") != "esf", _references()), "paid": paid()}
+
+
+def named(rows: DataFrame) -> DataFrame:
+    """Payments that name anything, of rows with those columns."""
+    return rows.filter(F.size("tokens") > 0).select("project_id", "tokens", "paid")
+
+
 def _paid_by_token(ledger: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Payments summed by their set of tokens, and by token: (set, project_id, token, paid, payments), (project_id, token, paid, payments)."""
-    sets = ledger.filter("source_bank <> 'esf'").select("project_id", _references(ledger).alias("tokens"), paid().alias("paid")).filter(F.size("tokens") > 0)
-    sets = cut(sets.groupBy("project_id", "tokens").agg(F.sum("paid").alias("paid"), F.count("*").alias("payments")).withColumn("set", F.monotonically_increasing_id()))
-    single = sets.select("set", "project_id", F.explode("tokens").alias("token"), "paid", "payments")
+    return _sums_by_token(named(ledger.withColumns(named_columns())))
+
+
+def _sums_by_token(payments: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Payments summed by their set of tokens, and by token: (set, project_id, token, tokens, paid, payments), tokens their number, (project_id, token, paid, payments)."""
+    sets = cut(payments.groupBy("project_id", "tokens").agg(F.sum("paid").alias("paid"), F.count("*").alias("payments")).withColumn("set", F.monotonically_increasing_id()))
+    single = sets.select("set", "project_id", F.explode("tokens").alias("token"), F.size("tokens").alias("tokens"), "paid", "payments")
     return single, cut(single.groupBy("project_id", "token").agg(F.sum("paid").alias("paid"), F.sum("payments").alias("payments")))
 
 
 def _paid_by_both(single: DataFrame, due: DataFrame) -> DataFrame:
     """(project_id, r, c, paid, payments) of payments that name both tokens of an invoice.
 
-    A pair is looked up by that of its tokens which is in fewer pairs, so a contract of all invoices is no key, and a
-    payment meets at most as many pairs a token as the square root of twice their number; then its other token is
-    looked up among the payment's own.
+    Only payments of two tokens and more can, so invoices meet the tokens of these first. A pair is looked up by that of
+    its tokens which is in fewer pairs, so a contract of all invoices is no key, and a payment meets at most as many
+    pairs a token as the square root of twice their number; then its other token is looked up among the payment's own.
     """
-    pairs = cut(due.filter("c is not null").select("project_id", "r", "c").distinct())
+    single = single.filter("tokens > 1").drop("tokens")
+    beside = cut(single.select("project_id", "token").distinct())
+    pairs = due.filter("c is not null").select("project_id", "r", "c")
+    for x in ("r", "c"):
+        pairs = pairs.join(beside.withColumnRenamed("token", x), ["project_id", x], "left_semi")
+    pairs = cut(pairs.select("project_id", "r", "c").distinct())
     degree = pairs.select("project_id", F.explode(F.array("r", "c")).alias("token")).groupBy("project_id", "token").agg(F.count("*").alias("pairs"))
     of = lambda x: degree.select("project_id", F.col("token").alias(x), F.col("pairs").alias(f"{x}_pairs"))
     rare = F.col("r_pairs") <= F.col("c_pairs")
@@ -110,9 +128,14 @@ def reconcile(ledger: DataFrame, invoices: DataFrame, tolerance: float = 1.0, ke
     payments are those of its one token and those of its other, less those that name both, each summed up before.
     Repeated invoices count each; `keep` names further columns of theirs to return.
     """
+    return reconcile_named(named(ledger.withColumns(named_columns())), invoices, tolerance, keep)
+
+
+def reconcile_named(payments: DataFrame, invoices: DataFrame, tolerance: float = 1.0, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The same from payments with their tokens (named)."""
     own = _own(invoices)
-    due = _two_tokens(invoices).select(*own, "r", "c", F.coalesce(F.col("total_amount"), F.lit(0)).cast("decimal(18,2)").alias("due"), *keep)
-    single, by_token = _paid_by_token(ledger)
+    due = cut(_two_tokens(invoices).select(*own, "r", "c", F.coalesce(F.col("total_amount"), F.lit(0)).cast("decimal(18,2)").alias("due"), *keep))
+    single, by_token = _sums_by_token(payments)
     both = _paid_by_both(single, due)
     part = lambda df, mark, **names: df.select("project_id", *(F.col(k).alias(v) for k, v in names.items()), F.col("paid").alias(f"paid_{mark}"), F.col("payments").alias(f"n_{mark}"))
     out = due.join(part(by_token, "r", token="r"), ["project_id", "r"], "left").join(part(by_token, "c", token="c"), ["project_id", "c"], "left").join(part(both, "b", r="r", c="c"), ["project_id", "r", "c"], "left")
@@ -138,7 +161,7 @@ def mismatch_rows(ledger: DataFrame, invoices: DataFrame, limit: int = 8, tolera
     the invoices that name it.
     """
     order = [F.desc("paid"), F.col("operation_date").desc_nulls_first(), F.col("operation_ts").desc_nulls_first(), F.col("tx_id")]
-    rows = ledger.filter("source_bank <> 'esf'").select("project_id", "tx_id", paid().alias("paid"), "operation_date", "operation_ts", "direction", F.explode(_references(ledger)).alias("token"))
+    rows = ledger.filter("source_bank <> 'esf'").select("project_id", "tx_id", paid().alias("paid"), "operation_date", "operation_ts", "direction", F.explode(_references()).alias("token"))
     rank = F.row_number().over(Window.partitionBy("project_id", "token").orderBy(*order))
     most = cut(rows.withColumn("rank", rank).filter(F.col("rank") <= limit).drop("rank"))
     own = _own(invoices)
