@@ -12,10 +12,14 @@ from .analytics import money
 VALID = lambda c: ~text.is_unknown_iin(F.col(c))
 
 
+def linked(df: DataFrame) -> DataFrame:
+    """Payments between two valid ids that differ."""
+    return df.filter(VALID("payer_iin_bin") & VALID("receiver_iin_bin") & (F.col("payer_iin_bin") != F.col("receiver_iin_bin")))
+
+
 def edges(df: DataFrame) -> DataFrame:
     """source < target, amount and payments between two valid ids; no self-loops."""
-    pair = df.filter(VALID("payer_iin_bin") & VALID("receiver_iin_bin") & (F.col("payer_iin_bin") != F.col("receiver_iin_bin")))
-    return pair.groupBy(F.least("payer_iin_bin", "receiver_iin_bin").alias("source"), F.greatest("payer_iin_bin", "receiver_iin_bin").alias("target")).agg(money("amount_kzt").alias("amount"), F.count("*").alias("tx_count"))
+    return linked(df).groupBy(F.least("payer_iin_bin", "receiver_iin_bin").alias("source"), F.greatest("payer_iin_bin", "receiver_iin_bin").alias("target")).agg(money("amount_kzt").alias("amount"), F.count("*").alias("tx_count"))
 
 
 def both_ways(e: DataFrame) -> DataFrame:
@@ -86,10 +90,33 @@ def global_graph(df: DataFrame, limit_nodes: int = 200) -> tuple[DataFrame, Data
 
 
 def connected_components(pairs: DataFrame) -> DataFrame:
-    """(node, root), root the least node connected, for each node of the pairs (a, b).
+    """(node, root), root the least node connected, for each node of the pairs (a, b), which may recur.
 
-    Large-star and small-star rounds: grouped minima and joins, written out after each, until nothing changes.
+    Each node's least and greatest neighbour make a small graph of the same nodes, whose components are found by star
+    rounds. Pairs may join these; where one has most nodes, only pairs with a node outside it are looked at. Roots that
+    pairs join are components of a graph of roots.
     """
+    node, root = F.col("node"), F.col("root")
+    e = cut(pairs.filter("a <> b").select("a", "b"))
+    ends = e.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("x")).select("x.*")
+    near = ends.groupBy("node").agg(F.min("other").alias("least"), F.max("other").alias("greatest"))
+    roots = cut(_stars(near.select(node.alias("a"), F.explode(F.array("least", "greatest")).alias("b"))))
+    sizes = roots.groupBy("root").agg(F.count("*").alias("n")).agg(F.max(F.struct("n", "root")).alias("largest"), F.sum("n").alias("n")).first()
+    met, marked = e.select(F.col("a").alias("node"), F.col("b").alias("other")), roots
+    if sizes["n"] and 2 * sizes["largest"]["n"] > sizes["n"]:
+        met, marked = ends, cut(roots.filter(root != sizes["largest"]["root"]))
+        if marked.isEmpty():
+            return roots
+    met = met.join(marked.select("node", root.alias("a")), "node").select(F.col("other").alias("node"), "a").distinct()
+    met = cut(met.join(roots, "node").filter(root != F.col("a")).select("a", root.alias("b")).distinct())
+    if met.isEmpty():
+        return roots
+    joined = connected_components(met).select(node.alias("root"), root.alias("_root"))
+    return roots.join(joined, "root", "left").select("node", F.coalesce("_root", "root").alias("root"))
+
+
+def _stars(pairs: DataFrame) -> DataFrame:
+    """Components by large-star and small-star rounds: grouped minima and joins, written out after each, until nothing changes."""
     a, b = F.col("a"), F.col("b")
     e = cut(pairs.filter(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct())
     while True:

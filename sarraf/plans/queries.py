@@ -579,7 +579,7 @@ def _components(where: str) -> str:
 @query(_components("true"))
 def j5_components(spark, d):
     """Components of the graph, over every edge."""
-    return graph.connected_components(graph.edges(ledger(spark, d)).select(F.col("source").alias("a"), F.col("target").alias("b")))
+    return graph.connected_components(graph.linked(ledger(spark, d)).select(F.col("payer_iin_bin").alias("a"), F.col("receiver_iin_bin").alias("b")))
 
 
 @query(f"""{_L}, {_EDGES}, p AS (SELECT payer_iin_bin AS id, amount_kzt AS a FROM ledger UNION ALL SELECT receiver_iin_bin, amount_kzt FROM ledger), t AS (SELECT id, {_MONEY("a")} AS turnover FROM p GROUP BY 1 ORDER BY turnover DESC, id NULLS LAST LIMIT 500),
@@ -591,7 +591,7 @@ def j4_global_graph(spark, d):
 @query(_components("true"))
 def j6_all_components(spark, d):
     """Components of the whole graph: every edge, whatever its sum."""
-    return graph.connected_components(graph.edges(ledger(spark, d)).select(F.col("source").alias("a"), F.col("target").alias("b")))
+    return graph.connected_components(graph.linked(ledger(spark, d)).select(F.col("payer_iin_bin").alias("a"), F.col("receiver_iin_bin").alias("b")))
 
 
 _GLOBAL = f"""WITH RECURSIVE ledger AS ({LEDGER_SQL}), {_EDGES}, p AS (SELECT payer_iin_bin AS id, amount_kzt AS a FROM ledger UNION ALL SELECT receiver_iin_bin, amount_kzt FROM ledger), t AS (SELECT id, {_MONEY("a")} AS turnover FROM p GROUP BY 1 ORDER BY turnover DESC, id NULLS LAST LIMIT 200),
