@@ -35,10 +35,15 @@ def rate(currency: Column) -> Column:
     return F.element_at(F.create_map(*(F.lit(x) for kv in RATES.items() for x in kv)), code)
 
 
+def hundredth(c: Column) -> Column:
+    """The nearest hundredth by whole hundredths of a double, as SQL engines round doubles; Spark's round() goes by the shortest decimal that stands for it."""
+    return F.round(c * 100) / 100
+
+
 def resolve_amount_kzt(kzt: Column, amount: Column, debit: Column, credit: Column, currency: Column) -> Column:
     """The tenge amount if there is one, else the currency amount or larger side at its fixed rate; 0 without a rate."""
     base = F.when(number(amount) > 0, number(amount)).otherwise(F.greatest(number(debit), number(credit)))
-    return F.round(F.when(number(kzt) > 0, number(kzt)).when(base > 0, base * F.coalesce(rate(currency), F.lit(0.0))).otherwise(0.0), 2)
+    return hundredth(F.when(number(kzt) > 0, number(kzt)).when(base > 0, base * F.coalesce(rate(currency), F.lit(0.0))).otherwise(0.0))
 
 
 def safe_amount(amount: Column, debit: Column, credit: Column) -> Column:
