@@ -42,6 +42,10 @@ def once(c: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(c), use), F.lit(0))
 
 
+#: Fixed value: words one of which every service word holds.
+SERVICE_MARKS = ["итого", "сальдо", "остаток", "баланс"]
+#: Fixed value: letters, digits and spaces that norm_text leaves alone, unless two spaces meet; a quick look that most texts pass.
+_PLAIN = r"^[0-9a-zа-яё№.,() ]*$"
 #: Fixed value: finds whatever norm_text changes in a trimmed text of lower case.
 _UNTIDY = r"(?U)[\u00a0–—“”\"']|\s\s|[^\S ]|\s[/:]|[/:]\s|^[\s\-]|[\s\-]$"
 
@@ -52,7 +56,7 @@ def norm_text(c: Column) -> Column:
     def tidied(t: Column) -> Column:
         plain = F.regexp_replace(F.translate(t, "\u00a0–—", " --"), r"(?U)\s+", " ")
         plain = F.regexp_replace(F.regexp_replace(plain, "[“”\"']", ""), r"\s*([/:])\s*", "$1")
-        return F.when(t.rlike(_UNTIDY), F.regexp_replace(plain, r"^[ \t\r\n\-—]+|[ \t\r\n\-—]+$", "")).otherwise(t)
+        return F.when(t.rlike(_PLAIN) & ~t.contains("  "), t).when(t.rlike(_UNTIDY), F.regexp_replace(plain, r"^[ \t\r\n\-—]+|[ \t\r\n\-—]+$", "")).otherwise(t)
 
     return once(F.lower(F.coalesce(clean_optional_text(c), F.lit(""))), tidied)
 
@@ -112,9 +116,14 @@ def semantic_text(*parts: Column) -> Column:
 
 
 def is_service_row(*values: Column) -> Column:
-    """Blank rows, total and balance rows, and rows of at least three numbers only."""
+    """Blank rows, total and balance rows, and rows of at least three numbers only.
+
+    Other rows hold letters, and no word that marks totals or stands for nothing, so they are told without normal forms.
+    """
+    plain = F.translate(F.lower(F.concat_ws(" ", *values)), "“”\"'", "")
+    may = once(plain, lambda t: ~t.rlike(r"\p{L}") | t.rlike("|".join([*SERVICE_MARKS, *NULL_WORDS])))
     joined = F.trim(F.concat_ws(" ", *(F.nullif(norm_text(v), F.lit("")) for v in values)))
-    return once(joined, lambda t: (t == "") | t.rlike("|".join(SERVICE_WORDS)) | t.rlike(r"^(\d+\s*){3,}$"))
+    return F.when(may, once(joined, lambda t: (t == "") | t.rlike("|".join(SERVICE_WORDS)) | t.rlike(r"^(\d+\s*){3,}$"))).otherwise(False)
 
 
 def reference_tokens(*texts: Column) -> Column:

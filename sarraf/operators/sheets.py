@@ -8,17 +8,21 @@ from __future__ import annotations
 import re
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, ids, numbers, parties
-from ..functions.text import any_of, clean_optional_text, norm_text, repair_mojibake, semantic_text
-from ..plans.runtime import cut
+from ..functions.text import NULL_WORDS, any_of, clean_optional_text, norm_text, once, repair_mojibake, semantic_text
+from ..plans.runtime import bucketed, cut
 from . import rules
-from .classify import adapter_choice, is_header
+from .classify import is_header
 
 SHEET = ["file_id", "sheet"]
 ROW = [*SHEET, "row_no"]
+#: Cells of a bucket, about.
+PER_BUCKET = 2_000_000
+#: What a text holds of which norm_text leaves something, if it is no word for a missing value; a line of texts one of which may be the number 1.
+_SOME, _ONE = r"(?U)[^\s“”\"'\-–—]", r"(?m)^[^0-9\p{L}\n]*0*1[^0-9\p{L}\n]*$"
 
 
 class Layout(NamedTuple):
@@ -37,23 +41,40 @@ UNIVERSAL = Layout("universal", rules.HEADER_KEYWORDS, 3, 6)
 LAYOUTS = [Layout("kaspi", rules.KASPI_MARKS, 2, 3), Layout("halyk", rules.HALYK_MARKS, 1, 3, grouped=False, repaired=True), UNIVERSAL]
 
 
+def deal(cells: DataFrame) -> DataFrame:
+    """Cells stored in buckets of whole files: what reads them, as often as it may, shuffles no cell again."""
+    return bucketed(cells, buckets(cells.sparkSession, cells.count()), "file_id")
+
+
+def buckets(spark: SparkSession, cells: int) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + cells // PER_BUCKET)
+
+
 def lines(cells: DataFrame) -> DataFrame:
-    """A row for each sheet row with its cells by column, (col_no, value, norm). Cells are dealt by sheet once; windows over a sheet need no other shuffle."""
-    dealt = cells.select(*ROW, "col_no", "value").repartition(*SHEET)
-    cell = F.struct("col_no", "value", norm_text(F.col("value")).alias("norm"))
-    return dealt.groupBy(*ROW).agg(F.array_sort(F.collect_list(cell)).alias("cells"))  # one entry a cell of the row
+    """A row for each sheet row with its cells by column, (col_no, value), and how many of them are filled."""
+    some = F.col("value").rlike(_SOME) & ~F.lower(F.trim("value")).isin(NULL_WORDS)
+    x = cells.select(*ROW, F.struct("col_no", "value").alias("c"), some.alias("some"))
+    return x.groupBy(*ROW).agg(F.array_sort(F.collect_list("c")).alias("cells"), F.count_if("some").alias("filled"))  # one entry a cell of the row
 
 
 def rows(cells: DataFrame, layout: Layout = UNIVERSAL) -> DataFrame:
-    """The lines of a sheet with joined text, filled cells, and whether a line is a header, a grouped header or its second row."""
-    x = lines(cells).withColumn("norms", F.col("cells.norm"))
+    """The lines of a sheet with filled cells, and whether a line is a header, a grouped header, its second row or a row of column numbers.
+
+    Only lines that hold the first words of enough names, or a cell that may be a 1, are normalised; no other can be any of these.
+    """
+    keys = sorted({k.lower() for k in layout.words})
+    raw = F.translate(F.lower(F.array_join("cells.value", "\n")), "“”\"'", "")
+    held = lambda words: sum((F.when(F.col("raw").contains(re.split("[ /:]", w)[0]), 1).otherwise(0) for w in words), F.lit(0))
+    may = any_of(held(keys) >= layout.least, held(rules.GROUP_HEADERS) == len(rules.GROUP_HEADERS), held(rules.SUBHEADERS) >= 3, F.col("raw").rlike(_ONE))
+    x = lines(cells).select("*", F.explode(F.array(raw)).alias("raw"))  # so that it is joined once a line
+    x = x.withColumn("norms", F.when(may, F.transform("cells.value", norm_text))).drop("raw")
     x = x.withColumn("joined", F.array_join("norms", " ")).withColumn("numbers", F.transform(F.filter("norms", lambda n: n.rlike(r"^\d+$")), lambda n: n.try_cast("long")))
     has = lambda words: F.size(F.array_intersect("norms", F.array(*map(F.lit, words))))
-    out = x.withColumn("filled", F.size(F.filter("norms", lambda n: n != ""))).withColumn("whole", F.size("numbers"))
-    keys = sorted({k.lower() for k in layout.words})
-    index = (F.col("whole") >= 3) & (F.col("whole") == F.col("filled")) & (F.array_min("numbers") == 1) & (F.array_max("numbers") == F.col("whole"))
+    whole = F.size("numbers")
+    index = (whole >= 3) & (whole == F.col("filled")) & (F.array_min("numbers") == 1) & (F.array_max("numbers") == whole)
     head = is_header(F.col("joined"), keys, layout.least) & (F.col("filled") >= layout.filled)
-    return out.withColumn("is_group", (has(rules.GROUP_HEADERS) == len(rules.GROUP_HEADERS)) & F.lit(layout.grouped)).withColumn("is_sub", has(rules.SUBHEADERS) >= 3).withColumn("is_header", head).withColumn("is_index", F.coalesce(index, F.lit(False))).drop("norms", "numbers", "whole")
+    marks = {"is_group": (has(rules.GROUP_HEADERS) == len(rules.GROUP_HEADERS)) & F.lit(layout.grouped), "is_sub": has(rules.SUBHEADERS) >= 3, "is_header": head, "is_index": index}
+    return x.withColumns({k: F.coalesce(v, F.lit(False)) for k, v in marks.items()}).drop("norms", "numbers", "joined")
 
 
 def blocks(sheet_rows: DataFrame) -> DataFrame:
@@ -74,61 +95,80 @@ def blocks(sheet_rows: DataFrame) -> DataFrame:
     return x.withColumn("in_data", body & ~F.col("ended") & ~F.col("is_index")).drop("starts", "gap", "two")
 
 
-def headers(tagged: DataFrame) -> DataFrame:
-    """(file_id, sheet, block_id, col_no, header): two-row headers as group/part; a header's second column is dropped; ё is е."""
-    top_row, sub_row = F.col("row_no") == F.col("head_row"), (F.col("head_rows") == 2) & (F.col("row_no") == F.col("head_row") + 1)
-    c = tagged.filter(top_row | sub_row).select(*ROW, "block_id", "head_row", "head_rows", F.explode("cells").alias("c"))
-    c = c.select("*", "c.col_no", F.translate("c.norm", "ё", "е").alias("norm"))
-    top = c.filter(top_row).select(*SHEET, "block_id", "head_rows", "col_no", F.col("norm").alias("top"))
-    sub = c.filter(sub_row).select(*SHEET, "block_id", "col_no", F.col("norm").alias("sub"))
-    both = top.join(sub, [*SHEET, "block_id", "col_no"], "full_outer")
-    w = Window.partitionBy(*SHEET, "block_id").orderBy("col_no")
-    name = F.nullif(F.col("top"), F.lit(""))
-    group = F.last(name, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    side = F.element_at(F.create_map(*(F.lit(x) for kv in rules.GROUP_HEADERS.items() for x in kv)), group)
-    part = F.element_at(F.create_map(*(F.lit(x) for kv in rules.SUBHEADERS.items() for x in kv)), F.nullif(F.col("sub"), F.lit("")))
-    full = F.when(part.isNotNull() & side.isNotNull(), F.concat_ws("/", side, part)).otherwise(F.coalesce(F.nullif(F.col("sub"), F.lit("")), name))
-    first = Window.partitionBy(*SHEET, "block_id", "header").orderBy("col_no")
-    return both.withColumn("header", full).filter("header is not null").withColumn("_n", F.row_number().over(first)).filter("_n = 1").select(*SHEET, "block_id", "col_no", "header")
-
-
-def block_rows(cells: DataFrame, layout: Layout = UNIVERSAL) -> DataFrame:
-    """Data rows as maps from header to value; blocks with under three columns and blank rows go."""
+def book(top: Column, sub: Column) -> Column:
+    """Headers by column from a header's cells and those of its second row, if it has one: two-row headers as group/part; a header's second column is dropped; ё is е."""
+    norm = lambda cells: F.map_from_entries(F.transform(cells, lambda c: F.struct(c["col_no"], F.nullif(F.translate(norm_text(c["value"]), "ё", "е"), F.lit("")))))
+    fixed = lambda names: F.create_map(*(F.lit(x) for kv in names.items() for x in kv))
+
+    def named(at: Column) -> Column:
+        """One entry a column, by number, with its texts in both rows."""
+        cols = F.array_sort(F.array_union(F.map_keys(at["top"]), F.map_keys(at["sub"])))
+        return F.transform(cols, lambda c: F.struct(c.alias("col_no"), F.try_element_at(at["top"], c).alias("top"), F.try_element_at(at["sub"], c).alias("sub")))
+
+    def full(x: Column) -> Column:
+        def one(n: Column, i: Column) -> Column:
+            group = F.try_element_at(F.filter(F.slice(x["top"], 1, i + 1), lambda t: t.isNotNull()), F.lit(-1))
+            side, part = F.element_at(fixed(rules.GROUP_HEADERS), group), F.element_at(fixed(rules.SUBHEADERS), n["sub"])
+            return F.struct(n["col_no"].alias("col_no"), F.when(part.isNotNull() & side.isNotNull(), F.concat_ws("/", side, part)).otherwise(F.coalesce(n["sub"], n["top"])).alias("header"))
+
+        return F.filter(F.transform(x, one), lambda e: e["header"].isNotNull())
+
+    both = F.struct(norm(top).alias("top"), norm(F.coalesce(sub, F.slice(top, 1, 0))).alias("sub"))
+    entries = once(once(both, named), full)
+    return F.map_from_entries(once(entries, lambda x: F.filter(x, lambda e, i: F.array_position(x["header"], e["header"]) == i + 1)))
+
+
+def block_rows(cells: DataFrame, layout: Layout = UNIVERSAL, dealt: bool = False) -> DataFrame:
+    """Data rows as maps from header to value; blocks with under three columns and blank rows go.
+
+    Cells are dealt by file once, unless they are stored so (`deal`); a block's header goes down its rows by windows.
+    """
+    cells = cells if dealt else cells.repartition("file_id")
     if layout.repaired:
         cells = cells.withColumn("value", repair_mojibake(F.col("value")))
-    tagged = blocks(rows(cells, layout))
-    book = headers(tagged).groupBy(*SHEET, "block_id").agg(F.map_from_entries(F.collect_list(F.struct("col_no", "header"))).alias("book")).filter(F.size("book") >= 3)  # one entry a column
-    books = book.groupBy(*SHEET).agg(F.map_from_entries(F.collect_list(F.struct("block_id", "book"))).alias("books"))  # one entry a block of the sheet
-    data = tagged.filter("in_data").join(books, SHEET).withColumn("book", F.try_element_at("books", "block_id")).filter("book is not null")
+    w = Window.partitionBy(*SHEET, "block_id").orderBy("row_no")
+    head = F.col("row_no") == F.col("head_row")
+    below = F.when(head & (F.col("head_rows") == 2), F.lead(F.struct("row_no", "cells")).over(w))
+    tagged = blocks(rows(cells, layout)).withColumn("below", below)
+    made = F.when(head, book(F.col("cells"), F.when(F.col("below.row_no") == F.col("row_no") + 1, F.col("below.cells"))))
+    tagged = tagged.withColumn("made", made).withColumn("book", F.first("made").over(w)).filter("in_data and size(book) >= 3")
     named = F.transform("cells", lambda c: F.struct(F.try_element_at("book", c["col_no"]).alias("header"), clean_optional_text(c["value"]).alias("v")))
     held = F.filter(named, lambda e: e["header"].isNotNull() & e["v"].isNotNull())
-    return data.select(*SHEET, "block_id", "row_no", held.alias("held")).filter(F.size("held") > 0).select(*SHEET, "block_id", "row_no", F.map_from_entries("held").alias("row"))
+    data = tagged.select(*SHEET, "block_id", "row_no", F.explode(F.array(held)).alias("held")).filter(F.size("held") > 0)  # worked out once a row
+    return data.select(*SHEET, "block_id", "row_no", F.map_from_entries("held").alias("row"))
 
 
-def by_layout(cells: DataFrame, banks: DataFrame | None = None, layouts: list[Layout] = LAYOUTS) -> DataFrame:
+def by_layout(cells: DataFrame, banks: DataFrame | None = None, layouts: list[Layout] = LAYOUTS, dealt: bool = False) -> DataFrame:
     """block_rows of each file by the first layout that finds rows in it, with `layout`.
 
     banks: (file_id, bank). A file of a known bank is read by that bank's layout or else the universal one; files of
-    no or unknown bank, and all files without banks, by whichever comes first.
+    no or unknown bank, and all files without banks, by whichever comes first. A layout reads only files in which none
+    before it has found rows.
     """
-    found = None
-    for i, one in enumerate(layouts):
-        part = block_rows(cells, one).withColumn("layout", F.lit(one.name)).withColumn("priority", F.lit(i))
+    cells = cells if dealt else deal(cells)
+    found, left = None, cells
+    for one in layouts:
+        mine = left
+        if banks is not None and one.name != UNIVERSAL.name:
+            other = banks.filter(~F.col("bank").isin("unknown", one.name)).select("file_id").distinct()
+            mine = left.join(other.hint("shuffle_hash"), "file_id", "left_anti")
+        part = cut(block_rows(mine, one, dealt=True)).withColumn("layout", F.lit(one.name))
         found = part if found is None else found.unionByName(part)
-    found = cut(found)
-    counted = found.groupBy("file_id", "layout", "priority").agg(F.count("*").alias("rows"))  # a row a file and layout
-    if banks is not None:
-        own = F.nullif(F.col("bank"), F.lit("unknown"))
-        counted = counted.join(banks.select("file_id", "bank"), "file_id", "left").filter(own.isNull() | F.col("layout").isin(UNIVERSAL.name) | (own == F.col("layout"))).drop("bank")
-    return found.join(adapter_choice(counted).select("file_id", "layout"), ["file_id", "layout"]).drop("priority")
+        left = cells.join(found.select("file_id").distinct().hint("shuffle_hash"), "file_id", "left_anti")
+    return found
 
 
 def canonical(found: DataFrame, mapping: dict[str, str] | None = None) -> DataFrame:
     """Maps of headers as canonical columns; the first header of a column that has a value wins. Other headers stay in `ext`."""
     book = {k.replace("ё", "е"): v for k, v in (mapping or rules.HEADERS).items()}
-    targets = sorted(set(book.values()))
-    cols = [F.coalesce(*(F.element_at("row", F.lit(h)) for h in book if book[h] == t)).alias(t) for t in targets]
-    return found.select(*SHEET, "block_id", F.col("row_no").alias("source_row_no"), *cols, F.map_filter("row", lambda k, v: ~k.isin([*book])).alias("ext"))
+    known = F.create_map(*(F.lit(x) for h in book for x in (h, f"{[*book].index(h):04d}{book[h]}")))
+    named = F.transform(F.map_entries("row"), lambda e: F.struct(F.element_at(known, e["key"]).alias("k"), e["value"].alias("v")))
+    named = F.array_sort(F.filter(named, lambda e: e["k"].isNotNull() & e["v"].isNotNull()))
+    named = once(F.transform(named, lambda e: F.struct(F.substring(e["k"], 5, 1000).alias("k"), e["v"].alias("v"))), lambda x: F.filter(x, lambda e, i: F.array_position(x["k"], e["k"]) == i + 1))
+    # Exploding one map a row keeps later filters from looking everything up again for each time that they name a column.
+    x = found.select(*SHEET, "block_id", F.col("row_no").alias("source_row_no"), "row", F.explode(F.array(F.map_from_entries(named))).alias("_m"))
+    cols = [F.element_at("_m", F.lit(t)).alias(t) for t in sorted(set(book.values()))]
+    return x.select(*SHEET, "block_id", "source_row_no", *cols, F.map_filter("row", lambda k, v: ~k.isin([*book])).alias("ext"))
 
 
 def to_ledger(found: DataFrame, project_id: str, source_bank: str, account: str | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import configure
+from .runtime import bucketed, configure
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings", "conversations"]
 
@@ -80,9 +80,10 @@ _BASE = """SELECT CAST(o_custkey AS VARCHAR(20)) AS _file, l_orderkey, l_linenum
   r_name, cn.n_name, c_custkey, c_name, s_suppkey, p_type """
 
 
-def ledger_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ledger dealt by file_id. Numbers travel, and ids, accounts and texts are made of them where they arrive."""
-    base = _sql(spark, sf_dir, _BASE + _NARROW_FIRST).repartition("_file")
+def ledger_by_file(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
+    """The ledger dealt by file_id, into so many parts if a number is given. Numbers travel, and ids, accounts and texts are made of them where they arrive."""
+    base = _sql(spark, sf_dir, _BASE + _NARROW_FIRST)
+    base = base.repartition("_file") if parts is None else base.repartition(parts, "_file")
     made = LEDGER_SQL.replace(_JOINS, "FROM {base} AS cn").replace("CAST(o_custkey AS VARCHAR(20)) AS file_id", "_file AS file_id")
     return spark.sql(made, base=base)
 
@@ -129,3 +130,11 @@ def cells(rows: DataFrame) -> DataFrame:
     own = F.array(*(cell(place + 4, i, text(c)) for i, (_, c) in enumerate(CELL_HEADERS)))
     found = rows.select("file_id", F.explode(F.when(place == 1, F.concat(own, F.array(*edges))).otherwise(own)).alias("x"))
     return found.select("file_id", F.lit("Sheet1").alias("sheet"), "x.*").filter("value is not null")
+
+
+def dealt_cells(spark: SparkSession, sf_dir: str, change=lambda x: x) -> DataFrame:
+    """cells of the ledger, changed, stored in buckets by file (sheets.deal) without another shuffle, since payments are dealt so before."""
+    from ..operators.sheets import buckets
+
+    parts = buckets(spark, len(CELL_HEADERS) * spark.read.parquet(f"{sf_dir}/lineitem.parquet").count())
+    return bucketed(change(cells(ledger_by_file(spark, sf_dir, parts))), parts, "file_id", dealt=True)

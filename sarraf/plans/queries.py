@@ -714,8 +714,8 @@ def a1_ledger_csv(spark, d):
 @query(f"""{_L} SELECT file_id, direction, count(*) AS n, {_MONEY("CASE WHEN direction = 'credit' THEN amount_credit ELSE amount_debit END")} AS amount FROM (SELECT file_id, CASE WHEN operation_type_raw LIKE '%дебет%' THEN 'debit' WHEN purpose_text LIKE '%кредит%' THEN 'credit' WHEN lower(purpose_text) LIKE '%перевод card to card%' THEN 'debit' ELSE direction END AS direction, amount_credit, amount_debit FROM ledger) GROUP BY 1, 2""")
 def m_sheets_to_ledger(spark, d):
     """The ledger as sheets of cells, found again by header, block and column."""
-    sheet = runtime.cut(fixtures.cells(fixtures.ledger_by_file(spark, d)))
-    back = sheets.to_ledger(sheets.canonical(sheets.block_rows(sheet)), "p", "bank")
+    sheet = fixtures.dealt_cells(spark, d)
+    back = sheets.to_ledger(sheets.canonical(sheets.block_rows(sheet, dealt=True)), "p", "bank")
     amount = F.when(F.col("direction") == "credit", F.col("amount_credit")).otherwise(F.col("amount_debit"))
     return back.groupBy("file_id", "direction").agg(F.count("*").alias("n"), analytics.money(amount).alias("amount"))
 

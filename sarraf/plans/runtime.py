@@ -33,10 +33,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, buckets: int, *keys: str) -> DataFrame:
-    """Like cut, in buckets by key: grouping, ranking and joining by the keys, or by more, does not shuffle the table again."""
+def bucketed(df: DataFrame, buckets: int, *keys: str, dealt: bool = False) -> DataFrame:
+    """Like cut, in buckets by key: grouping, ranking and joining by the keys, or by more, does not shuffle the table again. Rows may be dealt by these keys into as many partitions already."""
     spark, name = df.sparkSession, f"dealt_{uuid.uuid4().hex}"
-    df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).option("path", shared_dir(spark)).format("parquet").saveAsTable(name)
+    df = df if dealt else df.repartition(buckets, *keys)
+    df.write.bucketBy(buckets, *keys).option("path", shared_dir(spark)).format("parquet").saveAsTable(name)
     out = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # the files stay
     return out
