@@ -353,10 +353,9 @@ def m10_adapter_choice(spark, d):
 @query(f"""{_L} SELECT file_id, CASE WHEN CAST(file_id AS BIGINT) % 3 = 0 THEN 'halyk' ELSE 'kaspi' END AS layout, count(*) + 1 AS rows, count(*) AS dated FROM ledger GROUP BY 1""")
 def m10_layouts(spark, d):
     """Sheets read by the first layout that finds rows: every third file has garbled headers, which only one layout mends. A total's row is among the rows."""
-    sheet = fixtures.cells(fixtures.ledger_by_file(spark, d))
     garbled = F.decode(F.encode(F.col("value"), "UTF-8"), "windows-1251")
-    sheet = runtime.cut(sheet.withColumn("value", F.when((F.col("row_no") == 3) & (F.col("file_id").cast("long") % 3 == 0), garbled).otherwise(F.col("value"))))
-    found = sheets.canonical(sheets.by_layout(sheet).withColumn("sheet", F.concat_ws(":", "sheet", "layout")))
+    sheet = fixtures.dealt_cells(spark, d, lambda x: x.withColumn("value", F.when((F.col("row_no") == 3) & (F.col("file_id").cast("long") % 3 == 0), garbled).otherwise(F.col("value"))))
+    found = sheets.canonical(sheets.by_layout(sheet, dealt=True).withColumn("sheet", F.concat_ws(":", "sheet", "layout")))
     return found.groupBy("file_id", F.split_part("sheet", F.lit(":"), F.lit(2)).alias("layout")).agg(F.count("*").alias("rows"), F.count(dates.parse_datetime(F.col("operation_ts"))).alias("dated"))
 
 
