@@ -337,9 +337,13 @@ def footers(cells: DataFrame) -> DataFrame:
     greatest numbers of a total's row; of several rows, that with the greatest counts.
     """
     plain = F.translate(F.lower("value"), "“”\"'", "")
-    marked = cells.filter(any_of(*(plain.contains(w) for w in FOOTER_WORDS))).withColumn("norm", norm_text(F.col("value")))
+    word = any_of(*(plain.contains(w) for w in FOOTER_WORDS))
+    c = cells.select(*ROW, "col_no", "value", F.coalesce(word, F.lit(False)).alias("word"))
+    # Only rows that name a field matter: they are few and stored. Cells that are stored by file (deal) are not shuffled for that.
+    c = cut(c.withColumn("named", F.max("word").over(Window.partitionBy(*ROW))).filter("named").drop("named"))
+    marked = c.filter("word").withColumn("norm", norm_text(F.col("value")))
     label = _ranked(marked, FOOTER_LABELS, "norm").select(*ROW, F.col("col_no").alias("label_col"), "field", "rank", "at")
-    c = cells.join(marked.select(*ROW).distinct(), ROW, "left_semi").withColumn("norm", norm_text(F.col("value")))  # only rows that name a field matter
+    c = c.withColumn("norm", norm_text(F.col("value")))
     number = numbers.parse_decimal(F.col("value"))
     value = c.withColumn("number", number).filter("number is not null").select(*ROW, "col_no", "number")
     near = label.join(value, ROW).filter(F.col("col_no") >= F.col("label_col"))

@@ -310,7 +310,7 @@ def a14_purge_stored(spark, d):
 # --- M: sheets ---------------------------------------------------------------------------------------------------
 @query(f"{_L} SELECT file_id, 'total_credit' AS field, CAST(sum(amount_credit) AS DOUBLE) AS value FROM ledger GROUP BY 1")
 def m7_footers(spark, d):
-    return sheets.footers(runtime.cut(fixtures.cells(fixtures.ledger_by_file(spark, d)))).select("file_id", "field", "value")
+    return sheets.footers(fixtures.dealt_cells(spark, d)).select("file_id", "field", "value")
 
 
 @query(f"""{_L}, f AS (SELECT DISTINCT file_id, CAST(file_id AS BIGINT) AS k FROM ledger) SELECT file_id, 'клиент' AS key, concat('Client ', file_id) AS value FROM f UNION ALL SELECT file_id, 'иин/бин', lpad(file_id, 12, '0') FROM f

@@ -93,3 +93,18 @@ def test_filled_cells_are_those_with_a_normal_form(spark):
     filled = {r["row_no"]: r["filled"] for r in sheets.lines(cells).collect()}
     norms = {r["row_no"]: int(r["n"] != "") for r in cells.select("row_no", text.norm_text(F.col("value")).alias("n")).collect()}
     assert filled == norms
+
+
+def test_footers_of_dealt_cells_store_named_rows_alone(spark, monkeypatch):
+    lines = {i: [f"x{i}", "7"] for i in range(40)} | {40: ["Итого по кредиту", None, "12,5"], 41: ["Входящий", "остаток", "3"]}
+    cells, stored, cut = _cells(spark, {"a": lines, "b": lines}), [], sheets.cut
+
+    def counted(df):
+        stored.append((df._jdf.queryExecution().executedPlan().toString(), cut(df)))
+        return stored[-1][1]
+
+    monkeypatch.setattr(sheets, "cut", counted)
+    found = {(r["file_id"], r["field"], r["value"], r["row_no"]) for r in sheets.footers(sheets.deal(cells)).collect()}
+    assert {("a", "total_credit", 12.5, 40), ("b", "total_credit", 12.5, 40)} <= found
+    ((plan, rows),) = stored
+    assert "dealt_" in plan and "Exchange" not in plan and rows.count() == 2 * 5
