@@ -14,3 +14,9 @@ def test_features_read_dealt_payments(spark, sf, monkeypatch):
     monkeypatch.setattr(activity, "CROWDS", 40)
     monkeypatch.setattr(activity, "BUSY", 150)
     assert warned(detectors.features(rows, LOW)) == whole
+
+
+def test_group_detectors_read_dealt_payments(spark, sf):
+    found = detectors.group_detectors(detectors.features(detectors.prepared(fixtures.ledger(spark, sf)), LOW), LOW)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not found.isEmpty() and "dealt_" in plan and "l_orderkey" not in plan
