@@ -20,3 +20,10 @@ def test_group_detectors_read_dealt_payments(spark, sf):
     found = detectors.group_detectors(detectors.features(detectors.prepared(fixtures.ledger(spark, sf)), LOW), LOW)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert not found.isEmpty() and "dealt_" in plan and "l_orderkey" not in plan
+
+
+def test_row_evidence_reads_dealt_features(spark, sf):
+    from sarraf.plans.queries import QUERIES
+
+    for name in ("f11_party_evidence", "f12_row_evidence"):
+        assert "dealt_" in QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
