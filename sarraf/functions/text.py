@@ -45,7 +45,7 @@ def once(c: Column, use: Callable[[Column], Column]) -> Column:
 #: Fixed value: words one of which every service word holds.
 SERVICE_MARKS = ["итого", "сальдо", "остаток", "баланс"]
 #: Fixed value: letters, digits and spaces that norm_text leaves alone, unless two spaces meet; a quick look that most texts pass.
-_PLAIN = r"^[0-9a-zа-яё№.,() ]*$"
+_PLAIN = r"\A[0-9a-zа-яё№.,() ]*\z"
 #: Fixed value: finds whatever norm_text changes in a trimmed text of lower case.
 _UNTIDY = r"(?U)[\u00a0–—“”\"']|\s\s|[^\S ]|\s[/:]|[/:]\s|^[\s\-]|[\s\-]$"
 

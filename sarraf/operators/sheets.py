@@ -228,7 +228,7 @@ def near_headers(cells: DataFrame, lookback: int, layout: Layout = UNIVERSAL) ->
 def metadata(cells: DataFrame, lookback: int = 30) -> DataFrame:
     """key and value pairs above each block: "key: value" within a cell, or a label ending in a colon and the next cell."""
     cells = near_headers(cells, lookback)
-    tagged = blocks(rows(cells)).filter(F.col("row_no") == F.col("head_row")).select(*SHEET, "block_id", "head_row")
+    tagged = blocks(rows(cells.repartition(*SHEET))).filter(F.col("row_no") == F.col("head_row")).select(*SHEET, "block_id", "head_row")
     w = Window.partitionBy(*ROW).orderBy("col_no")
     c = cells.filter(clean_optional_text(F.col("value")).isNotNull()).withColumn("next", F.lead("value").over(w))
     key, value = F.trim(F.regexp_extract("value", r"(?s)^([^:]{2,80}):(.*)$", 1)), F.trim(F.regexp_extract("value", r"(?s)^([^:]{2,80}):(.*)$", 2))
@@ -266,7 +266,7 @@ def bank_metadata(cells: DataFrame, bank: str = "", lookback: int = 80) -> DataF
     found in the text alone only fill what no label has named. row_no and col_no tell where a key came first.
     """
     cells = near_headers(cells, lookback)
-    tagged = blocks(rows(cells)).filter(F.col("row_no") == F.col("head_row")).select(*SHEET, "block_id", "head_row")
+    tagged = blocks(rows(cells.repartition(*SHEET))).filter(F.col("row_no") == F.col("head_row")).select(*SHEET, "block_id", "head_row")
     wide = WIDE.get(bank, 14)
     few = cells.filter(F.col("col_no") < wide).select(*ROW, "col_no", F.trim("value").alias("v")).filter("v <> ''")
     line = few.groupBy(*ROW).agg(F.map_from_entries(F.collect_list(F.struct("col_no", "v"))).alias("m"))  # a row's first cells

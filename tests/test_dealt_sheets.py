@@ -108,3 +108,8 @@ def test_footers_of_dealt_cells_store_named_rows_alone(spark, monkeypatch):
     assert {("a", "total_credit", 12.5, 40), ("b", "total_credit", 12.5, 40)} <= found
     ((plan, rows),) = stored
     assert "dealt_" in plan and "Exchange" not in plan and rows.count() == 2 * 5
+
+
+def test_plain_texts_end_without_line_breaks(spark):
+    df = spark.createDataFrame([("abc\n",), ("abc",), ("a  b",), ("a\nb",)], "x string")
+    assert [r[0] for r in df.select(text.norm_text(F.col("x"))).collect()] == ["abc", "abc", "a b", "a b"]
